@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pageloom.llm import quality
+from pageloom.llm import packing, quality, secrets, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality.op1_quality_rules,
+        "op2_packing": packing.op2_packing,
+        "op4_secret_scans": secrets.op4_secret_scans,
+        "op6_warc": warc.op6_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality.OP1_SQL,
+        "op4_secret_scans": secrets.OP4_SQL,
+        "op6_warc": warc.OP6_SQL,
     }
