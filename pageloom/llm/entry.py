@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pageloom.llm import packing, quality, secrets, warc
+from pageloom.llm import langid, neardup, packing, quality, secrets, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality.op1_quality_rules,
         "op2_packing": packing.op2_packing,
+        "op3_language_id": langid.op3_language_id,
         "op4_secret_scans": secrets.op4_secret_scans,
+        "op5_minhash_near_dedup": neardup.op5_minhash_near_dedup,
         "op6_warc": warc.op6_warc,
     }
 
