@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pageloom.llm import langid, neardup, packing, quality, secrets, warc
+from pageloom.llm import chat, fingerprints, langid, neardup, packing, pieces, quality, secrets, token_counts, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_secret_scans": secrets.op4_secret_scans,
         "op5_minhash_near_dedup": neardup.op5_minhash_near_dedup,
         "op6_warc": warc.op6_warc,
+        "op7_token_counts": token_counts.op7_token_counts,
+        "op8_sentencepiece": pieces.op8_sentencepiece,
+        "op9_chat_formatting": chat.op9_chat_formatting,
+        "op10_document_fingerprints": fingerprints.op10_document_fingerprints,
     }
 
 
@@ -25,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_quality_rules": quality.OP1_SQL,
         "op4_secret_scans": secrets.OP4_SQL,
         "op6_warc": warc.OP6_SQL,
+        "op9_chat_formatting": chat.OP9_SQL,
     }
