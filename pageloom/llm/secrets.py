@@ -135,9 +135,12 @@ def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return some.withColumn("spans", F.filter("spans", lambda s: s["kind"].isin(kinds)))
 
 
-def spans_of(docs: DataFrame, ledger: DataFrame) -> DataFrame:
-    """docs with a column spans: the ledger's findings for each row's text, empty if it has none."""
-    found = findings(ledger).withColumnsRenamed({"blob": "_blob", "spans": "_spans"})
+def spans_of(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs with a column spans: what findings() has for each row's text, empty if nothing.
+
+    If found is a written table, the join can split a blob that many rows share.
+    """
+    found = found.withColumnsRenamed({"blob": "_blob", "spans": "_spans"})
     df = docs.drop("spans").withColumn("_blob", blob(F.col("text"))).join(found, "_blob", "left")
     return df.withColumn("spans", F.coalesce("_spans", F.array().cast(SPANS))).drop("_blob", "_spans")
 
@@ -161,9 +164,9 @@ def listed(spans: Column) -> Column:
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ledger = written(update(docs), "ledger")
-    # the digests and findings are joined, then the text is no longer needed
-    df = spans_of(docs, ledger).select("doc_id", "spans")
+    found = written(findings(written(update(docs), "ledger")), "findings")
+    # the digests and findings are joined; the text stays behind
+    df = spans_of(docs, found).select("doc_id", "spans")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["place"] < len(BASE))
     return df.select("doc_id", *[count(r.kind) for r in BASE], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
