@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from pageloom.llm import chat, fingerprints, langid, neardup, packing, pieces, quality, secrets, token_counts, warc
 
 
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentencepiece": pieces.op8_sentencepiece,
         "op9_chat_formatting": chat.op9_chat_formatting,
         "op10_document_fingerprints": fingerprints.op10_document_fingerprints,
+        "pipeline": corpus_pipeline.run,
     }
 
 
