@@ -7,8 +7,11 @@ the sample of a text is the pair (term, t) of the least
 ln(c) - r * (t - b) - r. Two texts then agree in a sample with the odds of their
 generalised Jaccard similarity, the sum of smaller weights over that of larger.
 
-Draws come from a table of 2**14 triples under an index hashed from the term
+Draws come from a table of 2**12 triples under an index hashed from the term
 and the sample, and equal values are told apart by further bits of that hash.
+The table holds each draw's value for every weight up to 16 and, above, for
+quarters of powers of two, to which such weights are rounded; so a sample costs
+a hash, a lookup and a minimum.
 Everything is built-in functions: terms are counted by sorting hashes inside
 the row, then one aggregation takes K minima at once. The next document is
 found in one shuffle, by buckets of consecutive ids with the first document of
@@ -25,21 +28,29 @@ from pyspark.sql import functions as F
 from pageloom.llm.common import table, words
 
 SAMPLES = 32
-POOL_BITS = 14
+POOL_BITS = 12
+#: The weights that values are tabled for.
+EXACT = 16
+WEIGHTS = [float(w) for w in range(1, EXACT + 1)] + [2 ** (4 + j / 4) for j in range(1, 4 * 27 + 1)]
 #: Documents of a bucket of consecutive ids, and the most buckets.
 BUCKET_DOCS = 64
 MOST_BUCKETS = 1 << 16
 LOWEST = -(1 << 63)
 
 
-def gamma_pool(spark: SparkSession, size: int = 1 << POOL_BITS) -> dict[str, Column]:
-    """Arrays of r, of b and of ln(c) + r * b - r over the draws, each a scalar subquery that is worked out once."""
+def pool(spark: SparkSession, size: int = 1 << POOL_BITS) -> Column:
+    """Values of all draws, weight by weight, as integers above 32 free bits: a scalar subquery, worked out once."""
     uniform = lambda i, j: (F.shiftrightunsigned(F.xxhash64(i, F.lit(j)), 11) + 0.5) / float(1 << 53)
     r = lambda i: -F.log(uniform(i, 0) * uniform(i, 1))
-    b = lambda i: uniform(i, 4)
-    base = lambda i: F.log(-F.log(uniform(i, 2) * uniform(i, 3))) + r(i) * b(i) - r(i)
-    draws = F.sequence(F.lit(0), F.lit(size - 1))
-    return {k: spark.range(1).select(F.transform(draws, f).alias(k)).scalar() for k, f in (("r", r), ("b", b), ("base", base))}
+    draw = lambda i: F.struct(r(i).alias("r"), uniform(i, 4).alias("b"), F.log(-F.log(uniform(i, 2) * uniform(i, 3))).alias("c"))
+    draws = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), draw).alias("draws"))
+
+    def value(d: Column, weight: Column) -> Column:
+        t = F.floor(F.log(weight) / d["r"] + d["b"])
+        return F.shiftleft(F.floor((d["c"] - d["r"] * (t - d["b"] + 1) + 4096) * (1 << 18)), 32)
+
+    weights = F.array(*[F.lit(w) for w in WEIGHTS])
+    return draws.select(F.flatten(F.transform(weights, lambda w: F.transform("draws", lambda d: value(d, w))))).scalar()
 
 
 def _constants(values, kind: str) -> Column:
@@ -60,13 +71,17 @@ def _terms(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("_x", F.explode_outer("_runs")).withColumns({"h": F.col("_x.h"), "w": F.col("_x.w")}).drop("_runs", "_x")
 
 
-def _sample(k: int, r: Column, b: Column, base: Column) -> Column:
-    """What a term offers in sample k: its value, made an integer, above 32 bits that name the term."""
+def _place(w: Column) -> Column:
+    """Where the values of a weight begin in the pool."""
+    rounded = F.floor(4 * (F.log2(w.cast("double")) - 4) + 0.5) + EXACT - 1
+    return F.shiftleft(F.when(w <= EXACT, w - 1).otherwise(rounded).cast("int"), POOL_BITS)
+
+
+def _sample(k: int, values: Column) -> Column:
+    """What a term offers in sample k: its value above 32 bits that name the term."""
     e = F.xxhash64("h", F.lit(k))
-    i = e.bitwiseAND((1 << POOL_BITS) - 1).cast("int")
-    t = F.floor(F.log(F.col("w").cast("double")) / F.get(r, i) + F.get(b, i))
-    value = F.when(F.col("w") == 1, F.get(base, i)).otherwise(F.get(base, i) - F.get(r, i) * t)
-    return F.shiftleft(F.floor((value + 1024) * (1 << 20)), 32).bitwiseOR(F.shiftrightunsigned(e, 32))
+    i = e.bitwiseAND((1 << POOL_BITS) - 1).cast("int") + F.col("_place")
+    return F.get(values, i).bitwiseOR(F.shiftrightunsigned(e, 32))
 
 
 def signatures(df: DataFrame, text: str, keys: list[str], samples: int = SAMPLES) -> DataFrame:
@@ -74,9 +89,10 @@ def signatures(df: DataFrame, text: str, keys: list[str], samples: int = SAMPLES
 
     A null text counts as empty, and texts without words all have one signature, of -1.
     """
-    pool = gamma_pool(df.sparkSession)
-    terms = _terms(df.select(*keys, text), text)
-    least = [F.min(F.when(F.col("h").isNotNull(), _sample(k, pool["r"], pool["b"], pool["base"]))).alias(f"_s{k}") for k in range(samples)]
+    values = pool(df.sparkSession)
+    # without terms h and w are null, and so is every sample
+    terms = _terms(df.select(*keys, text), text).withColumn("_place", _place(F.col("w")))
+    least = [F.min(_sample(k, values)).alias(f"_s{k}") for k in range(samples)]
     out = terms.groupBy(*keys).agg(*least)
     return out.select(*keys, F.array(*[F.coalesce(f"_s{k}", F.lit(-1).cast("long")) for k in range(samples)]).alias("signature"))
 
