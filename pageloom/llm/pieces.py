@@ -22,8 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pageloom.llm.common import cached, table
 
 SPACE = "▁"
-#: Segmented words that a worker remembers.
-MEMORY = 200_000
+#: Segmented words that a worker remembers, about; those not seen again for so many new ones are forgotten.
+MEMORY = 400_000
+#: Texts that are segmented together.
+TOGETHER = 2048
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: A word: a run of spaces and what follows it. No piece reaches over the end of one.
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -81,39 +83,77 @@ class Pieces:
         self.raw = [b"" if i in special else p.encode() for i, p in enumerate(names)]
         for b, i in self.byte_ids.items():
             self.raw[i] = bytes([b])
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.histories: dict[int, tuple | None] = {}
+        self.follows: dict[int, bool] = {}
         self.words: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
+        # runs of spaces aside, words hold no longer piece than this
+        self.longest_word = max((len(p) for p in self.id if p.strip(SPACE)), default=1)
 
     @staticmethod
     def _key(h, n: int):
         with np.errstate(over="ignore"):
             return (h ^ (h >> np.uint64(29))) * _P + np.uint64(n)
 
-    def _merge(self, text: str) -> list[str]:
-        """The segmentation of a short text by merging the best-scored neighbours, leftmost first."""
-        parts = list(text)
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = self.score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    def _history(self, piece: int) -> tuple[list[float], list[str], list[str]] | None:
+        """How a piece comes about by merging the best-scored neighbours, leftmost first: the scores, and its first and
+        last part before each merge and at the end. None if merging does not lead to it."""
+        if piece not in self.histories:
+            parts, scores, first, last = list(self.names[piece]), [], [], []
+            while True:
+                first.append(parts[0])
+                last.append(parts[-1])
+                found = [(s, -i) for i in range(len(parts) - 1) if (s := self.score.get(parts[i] + parts[i + 1])) is not None]
+                if not found:
+                    break
+                score, at = max(found)
+                parts[-at : 2 - at] = [parts[-at] + parts[1 - at]]
+                scores.append(score)
+            self.histories[piece] = (scores, first, last) if len(parts) == 1 else None
+        return self.histories[piece]
 
     def _may_follow(self, before: int, piece: int) -> bool:
-        """before: an id, -1 at the start of a word, the unknown id after a character without a piece."""
-        key = (before, piece)
-        if key not in self.follows:
-            right = self.names[piece]
-            left = [] if before in (-1, self.unknown) else [self.names[before]]
-            self.follows[key] = self._merge("".join(left) + right) == [*left, right]
-        return self.follows[key]
+        """Whether merging two pieces' texts together gives these two: no pair across their border is ever the best.
+
+        before: an id, -1 at the start of a word, the unknown id after a character without a piece.
+        """
+        right = self._history(piece)
+        if right is None or before in (-1, self.unknown):
+            return right is not None
+        left = self._history(before)
+        if left is None:
+            return False
+        i = j = 0
+        while True:
+            across = self.score.get(left[2][i] + right[1][j])
+            a = left[0][i] if i < len(left[0]) else None
+            b = right[0][j] if j < len(right[0]) else None
+            # among equals the leftmost merges first: the left piece, the border, the right piece
+            if across is not None and (a is None or across > a) and (b is None or across >= b):
+                return False
+            if a is None and b is None:
+                return True
+            if b is None or (a is not None and a >= b):
+                i += 1
+            else:
+                j += 1
+
+    def _may_all_follow(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        keys, of = np.unique((before + 1) * len(self.names) + piece, return_inverse=True)
+        known = self.follows
+        good = np.empty(len(keys), bool)
+        for i, key in enumerate(keys.tolist()):
+            answer = known.get(key)
+            if answer is None:
+                b, p = divmod(key, len(self.names))
+                answer = known[key] = self._may_follow(b - 1, p)
+            good[i] = answer
+        return good[of]
 
     def _segment(self, words: list[str]) -> list[list[int]]:
         """Ids of words of one length."""
         n, length = len(words), len(words[0])
+        longest = self.longest if any(w.startswith(2 * SPACE) for w in words) else self.longest_word
         hashes = _prefix_hashes(_codes(words))
         power = np.cumprod(np.array([1, *[int(_P)] * self.longest], np.uint64), dtype=np.uint64)
         total = np.full((n, length + 1), -np.inf)
@@ -121,22 +161,28 @@ class Pieces:
         last = np.full((n, length + 1), -1, np.int64)
         back = np.zeros((n, length + 1), np.int32)
         for end in range(1, length + 1):
-            for size in range(min(end, self.longest), 0, -1):
+            # of a model built from merges only one piece can end a prefix: words that have it are done
+            todo = np.arange(n)
+            for size in range(min(end, longest), 0, -1):
                 start = end - size
-                key = self._key(hashes[:, end] - hashes[:, start] * power[size], size)
+                key = self._key(hashes[todo, end] - hashes[todo, start] * power[size], size)
                 at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                hit = np.flatnonzero((self.keys[at] == key) & np.isfinite(total[:, start]))
+                found = (self.keys[at] == key) & np.isfinite(total[todo, start])
+                hit = todo[found]
                 if not len(hit):
                     continue
-                piece, before = self.ids[at[hit]], last[hit, start]
+                piece, before = self.ids[at[found]], last[hit, start]
                 if self.merges:
-                    pairs, of = np.unique(np.stack([before, piece]), axis=1, return_inverse=True)
-                    good = np.array([self._may_follow(b, p) for b, p in pairs.T.tolist()])[of.ravel()]
+                    good = self._may_all_follow(before, piece)
                     hit, piece = hit[good], piece[good]
                 score = total[hit, start] + self.scores[piece]
                 better = score > total[hit, end]
                 hit = hit[better]
                 total[hit, end], last[hit, end], back[hit, end] = score[better], piece[better], size
+                if self.merges:
+                    todo = todo[~np.isfinite(total[todo, end])]
+                    if not len(todo):
+                        break
             # a character without a piece stands alone, and what follows it starts anew
             lone = np.flatnonzero(~np.isfinite(total[:, end]) & np.isfinite(total[:, end - 1]))
             lone = [i for i in lone if words[i][end - 1] not in self.id]
@@ -159,21 +205,24 @@ class Pieces:
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text, spaces as their mark and one put in front; an empty text has none."""
         split = [_WORD.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if len(self.words) > MEMORY:
-            self.words.clear()
+        if len(self.words) > MEMORY // 2:
+            self.words, self.older = {}, self.words
+        if len(self.follows) > 4 * MEMORY:
             self.follows.clear()
+        known, older = self.words, self.older
         new: dict[int, dict[str, None]] = {}
-        for words in split:
-            for w in words:
-                if w not in self.words:
+        for w in {w for words in split for w in words}:
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
                     new.setdefault(len(w), {})[w] = None
         for group in new.values():
             group = list(group)
             step = max(1, (1 << 20) // len(group[0]))
             for at in range(0, len(group), step):
                 part = group[at : at + step]
-                self.words.update(zip(part, self._segment(part), strict=True))
-        known = self.words
+                known.update(zip(part, self._segment(part), strict=True))
         return [[i for w in words for i in known[w]] for words in split]
 
     def decode(self, ids: list[int]) -> str:
@@ -193,8 +242,8 @@ def _encoded(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), []
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for at in range(0, len(texts), 256):
-                part = texts[at : at + 256]
+            for at in range(0, len(texts), TOGETHER):
+                part = texts[at : at + TOGETHER]
                 for text, found in zip(part, pieces.encode(part), strict=True):
                     same = pieces.decode(found) == text.replace(SPACE, " ")
                     rows.append((len(found), zlib.crc32(np.array(found, "<u4").tobytes()), same))
