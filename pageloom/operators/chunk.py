@@ -16,23 +16,27 @@ RANGE_PAGES = 10
 MAX_CHAPTERS = 50
 
 
-def _fold(items: Column, step, start: Column, end) -> Column:
-    return F.aggregate(items, start, step, end)
-
-
 def paragraphs_joined(text: Column, most: Column) -> Column:
-    """Paragraphs put together, in order, while they fit into ``most`` characters; a longer one stands alone."""
+    """Paragraphs put together, in order, while they fit into ``most`` characters; longer ones are cut at that length.
+
+    ``most`` travels with the fold, so that it is worked out once for a text and not for every paragraph.
+    """
 
     def step(acc: Column, para: Column) -> Column:
         cur = acc["cur"]
         joined = F.concat(cur, F.lit("\n\n"), para)
-        over = (F.char_length(joined) > most) & (cur != "")
+        over = (F.char_length(joined) > acc["most"]) & (cur != "")
         shut = F.when(T.blank(cur), acc["out"]).otherwise(F.array_append(acc["out"], T.trim(cur)))
-        return F.struct(F.when(over, shut).otherwise(acc["out"]).alias("out"), F.when(over | (cur == ""), para).otherwise(joined).alias("cur"))
+        cur_next = F.when(over | (cur == ""), para).otherwise(joined)
+        return F.struct(F.when(over, shut).otherwise(acc["out"]).alias("out"), cur_next.alias("cur"), acc["most"].alias("most"))
+
+    def end(acc: Column) -> Column:
+        whole = F.when(T.blank(acc["cur"]), acc["out"]).otherwise(F.array_append(acc["out"], T.trim(acc["cur"])))
+        cut = lambda c: F.when(F.char_length(c) > acc["most"], T.code_point_pieces(c, acc["most"])).otherwise(F.array(c))
+        return F.flatten(F.transform(whole, cut))
 
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
-    last = lambda acc: F.when(T.blank(acc["cur"]), acc["out"]).otherwise(F.array_append(acc["out"], T.trim(acc["cur"])))
-    return _fold(F.split(text, "\n\n+", -1), step, start, last)
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"), most.alias("most"))
+    return F.aggregate(F.split(text, "\n\n+", -1), start, step, end)
 
 
 def chunk_text(text: Column, max_tokens: Column | int = 4000) -> Column:
@@ -41,8 +45,8 @@ def chunk_text(text: Column, max_tokens: Column | int = 4000) -> Column:
     Null and blank texts have no chunks.
     """
     most = F.greatest(F.lit(100), F.floor(T.lit(max_tokens) * T.chars_per_token(text))).cast("int")
-    pieces = F.flatten(F.transform(paragraphs_joined(text, most), lambda c: F.when(F.char_length(c) > most, T.code_point_pieces(c, most)).otherwise(F.array(c))))
-    return F.when(T.blank(text), F.array().cast("array<string>")).when(F.char_length(text) <= most, F.array(text)).otherwise(pieces)
+    none = F.array().cast("array<string>")
+    return F.when(T.blank(text), none).when(F.char_length(text) <= most, F.array(text)).otherwise(paragraphs_joined(text, most))
 
 
 # fixed value: characters behind which a tail may begin
