@@ -8,17 +8,18 @@ only formed from shared ones, and most documents form none.
 
 Documents with equal sets are one class from the start. In a table bucket of
 few classes all pairs are candidates; in a larger one each class is paired with
-the smallest, and, as long as the bucket then still spans several components, its
-members are dealt again into tables whose half-keys take one minimum more. So
-the number of candidates grows with the number of rows, not with the square of
+the smallest, and, if the bucket then still spans several components, its members
+are dealt again into tables whose half-keys take one and two minima more. So the
+number of candidates grows with the number of rows, not with the square of
 a group. Candidates are
 compared by their minima, then exactly on their full shingle sets. Components
 of the verified links are found by spreading smallest labels between tables.
 
 What can be lost: a pair at a similarity of exactly 0.75 shares no key with
-odds of 2 * (1 - 0.75**2)**M = 0.00002 (far less above). Only where all buckets
-of a pair are large and its classes are still apart, the further tables must
-find it; they miss such a pair with odds of 0.0024 and 0.004 (simulated).
+odds of 2 * (1 - 0.75**2)**M = 0.00002, and has too few equal minima with odds
+of 0.00006 (both far less above). Only where all buckets of a pair are large
+and its classes are still apart, the further tables must find it; they miss
+such a pair with odds of 0.0024 and 0.008, both with 0.00002 if independent.
 """
 
 from __future__ import annotations
@@ -40,9 +41,9 @@ FUNCTIONS = 4 * M
 #: Buckets of up to so many classes give all their pairs.
 SMALL = 8
 #: What the members of a large bucket are dealt by next: minima of a half-key, and half-keys of either side.
-DEEPER = ((3, 24), (4, 40))
-#: Pairs with fewer equal minima are not compared further: 0.75 less over five standard deviations.
-LEAST_EQUAL = 25
+DEEPER = ((3, 24), (4, 32))
+#: Pairs with fewer equal minima are not compared further: 0.75 less four standard deviations.
+LEAST_EQUAL = 29
 SIMILAR = 75
 
 FEATURES = "doc_id long, n long, d1 long, d2 long, keys array<long>"
@@ -129,117 +130,102 @@ class _Linker:
         self.sets = sets
         self.labels = written(sets.select("node", F.col("node").alias("label")).distinct(), "labels")
 
-    def _across(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs whose classes are not in one component yet."""
-        labels = self.labels
-        pairs = pairs.join(labels.select(F.col("node").alias("a"), F.col("label").alias("_la")), "a")
-        pairs = pairs.join(labels.select(F.col("node").alias("b"), F.col("label").alias("_lb")), "b")
-        return pairs.where("_la <> _lb").drop("_la", "_lb")
-
     def _likely(self, pairs: DataFrame) -> DataFrame:
-        """a, b and equal, the number of equal minima, of pairs that may be similar."""
-        info = self.sets.select("node", "n", "minima")
-        a = info.withColumnsRenamed({"node": "a", "n": "_na", "minima": "_ma"})
-        b = info.withColumnsRenamed({"node": "b", "n": "_nb", "minima": "_mb"})
+        """Those of the pairs (a, b) that are in two components and may be similar by size and equal minima."""
+        info = self.sets.select("node", "n", "minima").join(self.labels, "node")
+        a = info.withColumnsRenamed({"node": "a", "n": "_na", "minima": "_ma", "label": "_la"})
+        b = info.withColumnsRenamed({"node": "b", "n": "_nb", "minima": "_mb", "label": "_lb"})
         equal = F.size(F.filter(F.zip_with("_ma", "_mb", lambda x, y: x == y), lambda x: x))
-        df = pairs.join(a, "a").join(b, "b").where(100 * F.least("_na", "_nb") >= SIMILAR * F.greatest("_na", "_nb"))
-        return df.select("a", "b", equal.alias("equal")).where(F.col("equal") >= LEAST_EQUAL)
+        df = pairs.join(a, "a").join(b, "b").where("_la <> _lb")
+        df = df.where(100 * F.least("_na", "_nb") >= SIMILAR * F.greatest("_na", "_nb")).where(equal >= LEAST_EQUAL)
+        return df.select("a", "b", "_la", "_lb")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         full = self.sets.select("node", "n", "shingles")
         a = full.withColumnsRenamed({"node": "a", "n": "_na", "shingles": "_sa"})
         b = full.withColumnsRenamed({"node": "b", "n": "_nb", "shingles": "_sb"})
         both = F.size(F.array_intersect("_sa", "_sb")).cast("long")
-        df = pairs.select("a", "b").join(a, "a").join(b, "b").withColumn("_both", both)
-        return df.where(100 * F.col("_both") >= SIMILAR * (F.col("_na") + F.col("_nb") - F.col("_both"))).select("a", "b")
+        df = pairs.join(a, "a").join(b, "b").withColumn("_both", both)
+        return df.where(100 * F.col("_both") >= SIMILAR * (F.col("_na") + F.col("_nb") - F.col("_both")))
 
-    def _merge(self, pairs: DataFrame) -> None:
-        links = written(self._verified(pairs), "links")
+    def link(self, pairs: DataFrame) -> None:
+        """Verify candidate pairs (a, b) on their full sets and put the components of those that are links together."""
+        likely = written(self._likely(pairs), "likely")
+        links = written(self._verified(likely).select(F.col("_la").alias("a"), F.col("_lb").alias("b")).distinct(), "links")
         if not links.isEmpty():
             labels = self.labels
-            ends = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("_la")), "a")
-            ends = ends.join(labels.select(F.col("node").alias("b"), F.col("label").alias("_lb")), "b")
-            moved = components(ends.select(F.col("_la").alias("a"), F.col("_lb").alias("b")).where("a <> b").distinct())
+            moved = components(links)
             to = moved.select(F.col("node").alias("label"), F.col("label").alias("_to"))
             self.labels = written(labels.join(to, "label", "left").select("node", F.coalesce("_to", "label").alias("label")), "labels")
             drop(labels)
             drop(moved)
         drop(links)
-
-    def link(self, pairs: DataFrame) -> None:
-        """Verify candidate pairs (a, b): each class with its likeliest partner first, then what that left apart."""
-        likely = written(self._likely(pairs), "likely")
-        best = likely.groupBy("a").agg(F.max(F.struct("equal", "b")).alias("_best")).select("a", "_best.b")
-        self._merge(best)
-        rest = written(self._across(likely), "rest")
-        if not rest.isEmpty():
-            self._merge(rest)
-        drop(rest)
         drop(likely)
 
 
 def _candidates(keyed: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a the larger: all of a small bucket, those with the smallest class of a larger one."""
+    """Distinct pairs (a, b), a the larger: all of a small bucket, those with the smallest class of a larger one that
+    are not in its component."""
     two = buckets.where("size = 2").select(F.col("last").alias("a"), F.col("first").alias("b"))
     more = keyed.join(buckets.where("size > 2"), "key")
-    star = more.where((F.col("size") > SMALL) & (F.col("node") != F.col("first"))).select(F.col("node").alias("a"), F.col("first").alias("b"))
+    star = more.where((F.col("size") > SMALL) & (F.col("label") != F.col("first_label"))).select(F.col("node").alias("a"), F.col("first").alias("b"))
     short = more.where(F.col("size") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
     all_ = short.select(F.explode(_pairs_of(F.col("nodes"))).alias("p")).select("p.a", "p.b")
     return two.union(star).union(all_).distinct()
 
 
 def _tables(halves: DataFrame, m: int) -> tuple[DataFrame, DataFrame]:
-    """node, key and the buckets of all keys that several nodes have; halves: node, pos, half, with 2 * m places."""
-    shared = written(halves.groupBy("half").agg(F.min("node").alias("_x"), F.max("node").alias("_y")).where("_x <> _y").select("half"), "halves")
-    own = halves.join(shared, "half").groupBy("node").agg(F.collect_set(F.struct("pos", "half")).alias("_own"))
+    """node, label, key and the buckets of all keys whose nodes are of several components.
+
+    halves: node, label, pos, half, with 2 * m places.
+    """
+    shared = written(halves.groupBy("half").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).where("_x <> _y").select("half"), "halves")
+    own = halves.join(shared, "half").groupBy("node", "label").agg(F.collect_set(F.struct("pos", "half")).alias("_own"))
     side = lambda test: F.transform(F.filter("_own", lambda h: test(h["pos"])), lambda h: h["half"])
-    own = own.select("node", side(lambda p: p < m).alias("_left"), side(lambda p: p >= m).alias("_right"))
+    own = own.select("node", "label", side(lambda p: p < m).alias("_left"), side(lambda p: p >= m).alias("_right"))
     tensor = F.flatten(F.transform("_left", lambda x: F.transform("_right", lambda y: F.xxhash64(x, y))))
-    keyed = written(own.select("node", F.explode(tensor).alias("key")), "keyed")
+    keyed = written(own.select("node", "label", F.explode(tensor).alias("key")), "keyed")
     drop(shared)
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("first"), F.max("node").alias("last"))
-    return keyed, written(sizes.where("first <> last"), "buckets")
+    sizes = keyed.groupBy("key").agg(
+        F.count("*").alias("size"), F.min("node").alias("first"), F.max("node").alias("last"), F.min_by("label", "node").alias("first_label"), F.min("label").alias("_x"), F.max("label").alias("_y")
+    )
+    return keyed, written(sizes.where("_x <> _y").drop("_x", "_y"), "buckets")
 
 
 def _longer_halves(sets: DataFrame, minima: int, m: int) -> DataFrame:
-    """node, pos, half: half-keys of more minima, each a fixed choice among those of its side."""
+    """node, label, pos, half: half-keys of more minima, each a fixed choice among those of its side."""
     draw = random.Random(minima)
     low = lambda i: F.get("minima", F.lit(i))
     keys = [F.xxhash64(F.lit(pos), *[low(i + (pos >= m) * FUNCTIONS // 2) for i in draw.sample(range(FUNCTIONS // 2), minima)]) for pos in range(2 * m)]
-    return sets.select("node", F.posexplode(F.array(*keys)).alias("pos", "half"))
+    return sets.select("node", "label", F.posexplode(F.array(*keys)).alias("pos", "half"))
 
 
 def _link_classes(docs: DataFrame, reps: DataFrame) -> DataFrame | None:
     """node and label of the classes that may be linked; reps: node and its half-keys."""
-    linker = None
-    for depth in range(len(DEEPER) + 1):
-        if depth == 0:
-            keyed, buckets = _tables(reps.select("node", F.posexplode("keys").alias("pos", "half")), M)
-        else:
-            minima, m = DEEPER[depth - 1]
-            keyed, buckets = _tables(_longer_halves(linker.sets.join(wide, "node", "left_semi"), minima, m), m)
-        pairs = written(_candidates(keyed, buckets), "pairs")
-        if linker is None:
-            if pairs.isEmpty():
-                return None
-            nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-            texts = docs.select("doc_id", "text").join(nodes, "doc_id").dropDuplicates(["doc_id", "text"])
-            linker = _Linker(written(texts.mapInArrow(_full_sets, SETS), "sets"))
-            linker.link(pairs)
-        else:
-            linker.link(linker._across(pairs))
-        drop(pairs)
-        if depth < len(DEEPER):
-            # the members of large buckets that span components are dealt again
-            large = keyed.join(buckets.where(F.col("size") > SMALL).select("key"), "key").join(linker.labels, "node")
-            large = written(large, "large")
-            span = large.groupBy("key").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).where("_x <> _y").select("key")
-            wide = written(large.join(span, "key").select("node").distinct(), "wide")
-            drop(large)
-            if wide.isEmpty():
-                break
-        drop(keyed)
-        drop(buckets)
+    keyed, buckets = _tables(reps.select("node", F.col("node").alias("label"), F.posexplode("keys").alias("pos", "half")), M)
+    pairs = written(_candidates(keyed, buckets), "pairs")
+    if pairs.isEmpty():
+        return None
+    nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    texts = docs.select("doc_id", "text").join(nodes, "doc_id").dropDuplicates(["doc_id", "text"])
+    linker = _Linker(written(texts.mapInArrow(_full_sets, SETS), "sets"))
+    linker.link(pairs)
+    drop(pairs)
+
+    # the members of large buckets that still span components are dealt again
+    large = written(keyed.join(buckets.where(F.col("size") > SMALL).select("key"), "key").drop("label").join(linker.labels, "node"), "large")
+    span = large.groupBy("key").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).where("_x <> _y").select("key")
+    wide = written(large.join(span, "key").select("node").distinct(), "wide")
+    for done in (large, keyed, buckets):
+        drop(done)
+    if not wide.isEmpty():
+        again = linker.sets.select("node", "minima").join(wide, "node", "left_semi").join(linker.labels, "node")
+        again = written(again, "again")
+        found = None
+        for minima, m in DEEPER:
+            pairs = written(_candidates(*_tables(_longer_halves(again, minima, m), m)), "pairs")
+            found = pairs if found is None else found.union(pairs)
+        linker.link(found.distinct())
     return linker.labels
 
 
