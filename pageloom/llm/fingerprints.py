@@ -7,11 +7,9 @@ the sample of a text is the pair (term, t) of the least
 ln(c) - r * (t - b) - r. Two texts then agree in a sample with the odds of their
 generalised Jaccard similarity, the sum of smaller weights over that of larger.
 
-Draws come from a table of 2**12 triples under an index hashed from the term
-and the sample, and equal values are told apart by further bits of that hash.
-The table holds each draw's value for every weight up to 16 and, above, for
-quarters of powers of two, to which such weights are rounded; so a sample costs
-a hash, a lookup and a minimum.
+r and c are drawn from tables of 4,096 quantiles of their distribution, b is
+uniform; all come from one hash of the term and the sample, whose upper half
+tells equal values apart.
 Everything is built-in functions: terms are counted by sorting hashes inside
 the row, then one aggregation takes K minima at once. The next document is
 found in one shuffle, by buckets of consecutive ids with the first document of
@@ -27,30 +25,33 @@ from pyspark.sql import functions as F
 
 from pageloom.llm.common import table, words
 
-SAMPLES = 32
-POOL_BITS = 12
-#: The weights that values are tabled for.
-EXACT = 16
-WEIGHTS = [float(w) for w in range(1, EXACT + 1)] + [2 ** (4 + j / 4) for j in range(1, 4 * 27 + 1)]
+SAMPLES = 24
+#: Quantiles of Gamma(2, 1), and bits of the hash that choose one.
+BITS = 12
 #: Documents of a bucket of consecutive ids, and the most buckets.
 BUCKET_DOCS = 64
 MOST_BUCKETS = 1 << 16
 LOWEST = -(1 << 63)
 
 
-def pool(spark: SparkSession, size: int = 1 << POOL_BITS) -> Column:
-    """Values of all draws, weight by weight, as integers above 32 free bits: a scalar subquery, worked out once."""
-    uniform = lambda i, j: (F.shiftrightunsigned(F.xxhash64(i, F.lit(j)), 11) + 0.5) / float(1 << 53)
-    r = lambda i: -F.log(uniform(i, 0) * uniform(i, 1))
-    draw = lambda i: F.struct(r(i).alias("r"), uniform(i, 4).alias("b"), F.log(-F.log(uniform(i, 2) * uniform(i, 3))).alias("c"))
-    draws = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), draw).alias("draws"))
+def gamma_quantiles(n: int = 1 << BITS) -> list[float]:
+    """The middles of n equal parts of Gamma(2, 1), whose distribution function is 1 - (1 + x) * exp(-x)."""
+    out, low = [], 0.0
+    for i in range(n):
+        a, b = low, 64.0
+        for _ in range(60):
+            mid = (a + b) / 2
+            a, b = (mid, b) if 1 - (1 + mid) * math.exp(-mid) < (i + 0.5) / n else (a, mid)
+        low = a
+        out.append(b)
+    return out
 
-    def value(d: Column, weight: Column) -> Column:
-        t = F.floor(F.log(weight) / d["r"] + d["b"])
-        return F.shiftleft(F.floor((d["c"] - d["r"] * (t - d["b"] + 1) + 4096) * (1 << 18)), 32)
 
-    weights = F.array(*[F.lit(w) for w in WEIGHTS])
-    return draws.select(F.flatten(F.transform(weights, lambda w: F.transform("draws", lambda d: value(d, w))))).scalar()
+def draws(spark: SparkSession) -> dict[str, Column]:
+    """Tables of r, of 1 / r and of ln(c), as scalar subqueries: one small array each, which all samples look up."""
+    x = gamma_quantiles()
+    made = {"r": x, "inverse": [1 / v for v in x], "log_c": [math.log(v) for v in x]}
+    return {k: spark.range(1).select(_constants(v, "double").alias(k)).scalar() for k, v in made.items()}
 
 
 def _constants(values, kind: str) -> Column:
@@ -71,17 +72,14 @@ def _terms(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("_x", F.explode_outer("_runs")).withColumns({"h": F.col("_x.h"), "w": F.col("_x.w")}).drop("_runs", "_x")
 
 
-def _place(w: Column) -> Column:
-    """Where the values of a weight begin in the pool."""
-    rounded = F.floor(4 * (F.log2(w.cast("double")) - 4) + 0.5) + EXACT - 1
-    return F.shiftleft(F.when(w <= EXACT, w - 1).otherwise(rounded).cast("int"), POOL_BITS)
-
-
-def _sample(k: int, values: Column) -> Column:
-    """What a term offers in sample k: its value above 32 bits that name the term."""
+def _sample(k: int, tables: dict[str, Column]) -> Column:
+    """What a term (h, and the logarithm of its weight in _log) offers in sample k: its value above 32 bits of its own."""
     e = F.xxhash64("h", F.lit(k))
-    i = e.bitwiseAND((1 << POOL_BITS) - 1).cast("int") + F.col("_place")
-    return F.get(values, i).bitwiseOR(F.shiftrightunsigned(e, 32))
+    part = lambda at: F.shiftrightunsigned(e, at).bitwiseAND((1 << BITS) - 1).cast("int")
+    r, inverse, log_c = F.get(tables["r"], part(0)), F.get(tables["inverse"], part(0)), F.get(tables["log_c"], part(BITS))
+    b = F.shiftrightunsigned(e, 2 * BITS).bitwiseAND((1 << 20) - 1) / float(1 << 20)
+    value = log_c - r * (F.floor(F.col("_log") * inverse + b) - b + 1)
+    return F.shiftleft(F.floor((value + 4096) * (1 << 18)), 32).bitwiseOR(F.shiftrightunsigned(e, 32))
 
 
 def signatures(df: DataFrame, text: str, keys: list[str], samples: int = SAMPLES) -> DataFrame:
@@ -89,10 +87,10 @@ def signatures(df: DataFrame, text: str, keys: list[str], samples: int = SAMPLES
 
     A null text counts as empty, and texts without words all have one signature, of -1.
     """
-    values = pool(df.sparkSession)
+    tables = draws(df.sparkSession)
     # without terms h and w are null, and so is every sample
-    terms = _terms(df.select(*keys, text), text).withColumn("_place", _place(F.col("w")))
-    least = [F.min(_sample(k, values)).alias(f"_s{k}") for k in range(samples)]
+    terms = _terms(df.select(*keys, text), text).withColumn("_log", F.log(F.col("w").cast("double")))
+    least = [F.min(_sample(k, tables)).alias(f"_s{k}") for k in range(samples)]
     out = terms.groupBy(*keys).agg(*least)
     return out.select(*keys, F.array(*[F.coalesce(f"_s{k}", F.lit(-1).cast("long")) for k in range(samples)]).alias("signature"))
 
