@@ -85,8 +85,8 @@ class Pieces:
             self.raw[i] = bytes([b])
         self.histories: dict[int, tuple | None] = {}
         self.follows: dict[int, bool] = {}
-        self.words: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # runs of spaces aside, words hold no longer piece than this
         self.longest_word = max((len(p) for p in self.id if p.strip(SPACE)), default=1)
 
@@ -150,8 +150,8 @@ class Pieces:
             good[i] = answer
         return good[of]
 
-    def _segment(self, words: list[str]) -> list[list[int]]:
-        """Ids of words of one length."""
+    def _segment(self, words: list[str]) -> list[bytes]:
+        """Ids of words of one length, each as little-endian unsigned 32-bit numbers."""
         n, length = len(words), len(words[0])
         longest = self.longest if any(w.startswith(2 * SPACE) for w in words) else self.longest_word
         hashes = _prefix_hashes(_codes(words))
@@ -187,23 +187,32 @@ class Pieces:
             lone = np.flatnonzero(~np.isfinite(total[:, end]) & np.isfinite(total[:, end - 1]))
             lone = [i for i in lone if words[i][end - 1] not in self.id]
             total[lone, end], last[lone, end], back[lone, end] = total[lone, end - 1] - 1e6, self.unknown, 1
-        out = []
-        for i, word in enumerate(words):
-            ids, end = [], length
-            while end:
-                piece, size = int(last[i, end]), int(back[i, end])
-                if size == 0:
-                    raise ValueError(f"no segmentation of {word!r}")
-                if piece == self.unknown and self.byte_ids:
-                    ids += [self.byte_ids[b] for b in reversed(word[end - size : end].encode())]
-                else:
-                    ids.append(piece)
-                end -= size
-            out.append(ids[::-1])
+        steps, at, rows = [], np.full(n, length), np.arange(n)
+        while at.any():
+            steps.append(np.where(at > 0, last[rows, at], -1))
+            size = back[rows, at]
+            if ((size == 0) & (at > 0)).any():
+                raise ValueError("a word has no segmentation")
+            at = at - size
+        ids = np.stack(steps[::-1], axis=1)
+        flat, ends = ids[ids >= 0].astype("<u4").tobytes(), (4 * (ids >= 0).sum(axis=1)).cumsum().tolist()
+        out = [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        if self.byte_ids:
+            for i in np.flatnonzero((ids == self.unknown).any(axis=1)):
+                out[i] = self._with_bytes(words[i], out[i])
         return out
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text, spaces as their mark and one put in front; an empty text has none."""
+    def _with_bytes(self, word: str, ids: bytes) -> bytes:
+        """Ids with each unknown one replaced by those of its character's bytes."""
+        out, at = [], 0
+        for i in np.frombuffer(ids, "<u4").tolist():
+            size = 1 if i == self.unknown else len(self.names[i])
+            out += [self.byte_ids[b] for b in word[at : at + size].encode()] if i == self.unknown else [i]
+            at += size
+        return np.array(out, "<u4").tobytes()
+
+    def encode_packed(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit numbers; see encode()."""
         split = [_WORD.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         if len(self.words) > MEMORY // 2:
             self.words, self.older = {}, self.words
@@ -223,7 +232,11 @@ class Pieces:
             for at in range(0, len(group), step):
                 part = group[at : at + step]
                 known.update(zip(part, self._segment(part), strict=True))
-        return [[i for w in words for i in known[w]] for words in split]
+        return [b"".join([known[w] for w in words]) for words in split]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text, spaces as their mark and one put in front; an empty text has none."""
+        return [np.frombuffer(x, "<u4").tolist() for x in self.encode_packed(texts)]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids. Bytes that are no UTF-8 become replacement characters."""
@@ -244,9 +257,9 @@ def _encoded(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for at in range(0, len(texts), TOGETHER):
                 part = texts[at : at + TOGETHER]
-                for text, found in zip(part, pieces.encode(part), strict=True):
-                    same = pieces.decode(found) == text.replace(SPACE, " ")
-                    rows.append((len(found), zlib.crc32(np.array(found, "<u4").tobytes()), same))
+                for text, found in zip(part, pieces.encode_packed(part), strict=True):
+                    same = pieces.decode(np.frombuffer(found, "<u4").tolist()) == text.replace(SPACE, " ")
+                    rows.append((len(found) // 4, zlib.crc32(found), same))
             columns = [pa.array(ids, pa.int64())] + [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
