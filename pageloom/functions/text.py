@@ -274,8 +274,8 @@ def code_point_pieces(c: Column, size) -> Column:
     return F.transform(starts, lambda i: F.substring(c, i, size))
 
 
-def label_paragraphs(pages: Column, first: int = 0) -> Column:
-    """All paragraphs of all pages, each after its page's label, long ones in labelled pieces."""
+def label_paragraphs(pages: Column, first: Column | int = 0) -> Column:
+    """All paragraphs of all pages, each after its page's label (``first`` pages lie before), long ones in labelled pieces."""
 
     def page(text: Column, i: Column) -> Column:
         paras = F.filter(F.transform(F.split(text, "\n\n+"), trim), lambda p: p != "")

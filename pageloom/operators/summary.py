@@ -105,18 +105,14 @@ def full_summary(docs: DataFrame, key: str, pages: str, summarize=leading, max_t
 
 def chapter_summary(docs: DataFrame, key: str, chapters: str, pages: str, summarize=leading, max_tokens: int = 4000) -> DataFrame:
     """key and summary: each chapter's labelled text summarised under its title; chapters without output are left out."""
-
-    def one(c: Column) -> Column:
-        own = F.slice(F.col(pages), c["start_page"], c["end_page"] - c["start_page"] + 1)
-        numbered = F.transform(own, lambda t, i: F.struct(t.alias("t"), (i + c["start_page"]).alias("n")))
-        paras = lambda x: F.filter(F.transform(F.split(F.coalesce(x["t"], F.lit("")), "\n\n+"), T.trim), lambda p: p != "")
-        label = lambda x: F.transform(F.flatten(F.transform(paras(x), lambda p: T.long_paragraph(p))), lambda p: F.concat(F.lit("[p."), x["n"].cast("string"), F.lit("] "), p))
-        text = F.array_join(F.flatten(F.transform(numbered, label)), "\n\n")
-        body = F.array_join(F.transform(chunk_text(text, max_tokens), lambda c: summarize(c)), "\n\n")
-        return F.when(T.blank(body), F.lit(None)).otherwise(F.concat(F.lit("## "), c["title"], F.lit("\n\n"), body))
-
-    parts = F.array_compact(F.transform(chapters, one))
-    return docs.select(key, F.array_join(parts, SEPARATOR).alias("summary"))
+    df = docs.select(key, pages, F.posexplode_outer(chapters).alias("_i", "_c"))
+    df = df.withColumn("_own", F.slice(pages, F.col("_c.start_page"), F.col("_c.end_page") - F.col("_c.start_page") + 1)).drop(pages)
+    df = df.withColumn("_text", T.label_paragraphs(F.col("_own"), F.col("_c.start_page") - 1)).drop("_own")
+    df = df.withColumn("_chunks", chunk_text(F.col("_text"), max_tokens)).drop("_text")
+    df = df.withColumn("_body", F.array_join(F.transform("_chunks", lambda c: summarize(c)), "\n\n"))
+    part = F.when(~T.blank(F.col("_body")), F.struct("_i", F.concat(F.lit("## "), F.col("_c.title"), F.lit("\n\n"), "_body").alias("t")))
+    parts = F.transform(F.sort_array(F.collect_list(part)), lambda x: x["t"])
+    return df.groupBy(key).agg(F.array_join(parts, SEPARATOR).alias("summary"))
 
 
 def custom_summary(docs: DataFrame, key: str, text: str, template: str, chunked: bool, summarize=leading, max_tokens: int = 4000) -> DataFrame:
