@@ -14,7 +14,12 @@ from pageloom.operators import qa, search, store
 from pageloom.operators import vectors as V
 from pageloom.plans.registry import query, table
 
-HASH = F.sha2(F.col("doc_id").cast("string"), 256)
+
+
+def doc_hash():
+    return F.sha2(F.col("doc_id").cast("string"), 256)
+
+
 HASH_SQL = "sha256(CAST(doc_id AS VARCHAR))"
 DAY = "concat('2024-01-', lpad(cast(doc_id % 28 + 1 as string), 2, '0'))"
 DAY_SQL = "concat('2024-01-', lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0'))"
@@ -23,7 +28,7 @@ DAY_SQL = "concat('2024-01-', lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0'))"
 def sessions(spark, d):
     summaries = F.when(F.col("doc_id") % 4 == 0, F.create_map(F.lit("full"), F.left("text", F.lit(300)))).otherwise(F.create_map().cast("map<string,string>"))
     return table(spark, d, "documents").select(
-        HASH.alias("doc_hash"),
+        doc_hash().alias("doc_hash"),
         F.concat("source", F.lit("-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"),
         F.split("text", "\n").alias("page_texts"),
         summaries.alias("summaries"),
@@ -183,8 +188,8 @@ def j1(spark, d):
     docs = table(spark, d, "documents")
     members = docs.select(F.col("doc_id").alias("pos"), F.sha2(F.floor(F.col("doc_id") / 2).cast("string"), 256).alias("doc_hash"))
     k = F.col("doc_id")
-    entries = docs.where("doc_id % 2 = 0").select(HASH.alias("doc_hash"), F.concat(F.lit("file "), k.cast("string")).alias("file_name"), F.when(k % 10 == 4, "old").otherwise("new").alias("embed_model"), F.lit(64).alias("embed_dim"), F.when(k % 6 == 2, 0).otherwise(5).alias("chunk_count"))
-    tabs = docs.where("doc_id % 7 = 0").select(HASH.alias("doc_hash"), F.concat(F.lit("tab "), k.cast("string")).alias("file_name"))
+    entries = docs.where("doc_id % 2 = 0").select(doc_hash().alias("doc_hash"), F.concat(F.lit("file "), k.cast("string")).alias("file_name"), F.when(k % 10 == 4, "old").otherwise("new").alias("embed_model"), F.lit(64).alias("embed_dim"), F.when(k % 6 == 2, 0).otherwise(5).alias("chunk_count"))
+    tabs = docs.where("doc_id % 7 = 0").select(doc_hash().alias("doc_hash"), F.concat(F.lit("tab "), k.cast("string")).alias("file_name"))
     active = {"doc_hash": "5feceb66ffc86f38d952786c6d696c79c2dbc239dd4e91b46729d73a27fb57e9", "model": "new", "dim": 64}
     return search.resolve_members(members, entries, tabs, active)
 
@@ -431,7 +436,7 @@ def s25(spark, d):
 def p10(spark, d):
     k = F.col("doc_id")
     raw = table(spark, d, "documents").select(
-        F.when(k % 4 == 0, "nothash").otherwise(HASH).alias("doc_hash"),
+        F.when(k % 4 == 0, "nothash").otherwise(doc_hash()).alias("doc_hash"),
         F.repeat("source", F.lit(200)).alias("file_name"),
         F.lit(None).cast("string").alias("file_path"),
         F.when(k % 3 == 0, "many").otherwise(k.cast("string")).alias("page_count"),
@@ -451,8 +456,8 @@ def p10(spark, d):
 def j9(spark, d):
     k = F.col("doc_id")
     docs = table(spark, d, "documents")
-    known = docs.where(k % 5 != 0).select(HASH.alias("doc_hash"), F.lit(3).alias("chunk_count"))
-    found = docs.where(k % 5 != 1).select(HASH.alias("doc_hash"), (~((k % 10 == 0) | (k % 10 == 2))).alias("readable"), (k % 5 != 3).alias("has_index"))
+    known = docs.where(k % 5 != 0).select(doc_hash().alias("doc_hash"), F.lit(3).alias("chunk_count"))
+    found = docs.where(k % 5 != 1).select(doc_hash().alias("doc_hash"), (~((k % 10 == 0) | (k % 10 == 2))).alias("readable"), (k % 5 != 3).alias("has_index"))
     return store.reconciled(known, found)
 
 
@@ -470,8 +475,8 @@ def c21(spark, d):
     k = F.col("doc_id")
     docs = table(spark, d, "documents")
     version = F.when(k % 4 == 1, 1).when(k % 4 == 2, 2).otherwise(0)
-    kept = docs.where(k % 4 != 0).select(HASH.alias("doc_hash"), version.alias("schema_version"), F.when(k % 3 == 1, "new").otherwise("old").alias("embed_model"), F.lit(2).alias("chunk_count"), F.create_map(F.lit("c"), F.lit("x"), F.lit("b"), F.lit("y"), F.lit("a"), F.lit(" ")).alias("summaries"), k.alias("n_messages"))
-    return store.restored(docs.select(HASH.alias("doc_hash")), kept, "new")
+    kept = docs.where(k % 4 != 0).select(doc_hash().alias("doc_hash"), version.alias("schema_version"), F.when(k % 3 == 1, "new").otherwise("old").alias("embed_model"), F.lit(2).alias("chunk_count"), F.create_map(F.lit("c"), F.lit("x"), F.lit("b"), F.lit("y"), F.lit("a"), F.lit(" ")).alias("summaries"), k.alias("n_messages"))
+    return store.restored(docs.select(doc_hash().alias("doc_hash")), kept, "new")
 
 
 @query(
@@ -490,7 +495,7 @@ def c22(spark, d):
 @query("s28_collections")
 def s28(spark, d):
     docs = table(spark, d, "documents")
-    made = docs.select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit(" set "), "source").alias("name"), F.array(HASH, HASH, F.lit("bad")).alias("doc_hashes"), F.expr(DAY).alias("last_accessed"))
+    made = docs.select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit(" set "), "source").alias("name"), F.array(doc_hash(), doc_hash(), F.lit("bad")).alias("doc_hashes"), F.expr(DAY).alias("last_accessed"))
     return store.saved_collections(made.where("id < 40"), made.where("id >= 30 and id < 90"), "3").select("id", "name", F.size("doc_hashes").cast("long").alias("members"))
 
 
