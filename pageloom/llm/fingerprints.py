@@ -34,24 +34,29 @@ MOST_BUCKETS = 1 << 16
 LOWEST = -(1 << 63)
 
 
-def gamma_quantiles(n: int = 1 << BITS) -> list[float]:
-    """The middles of n equal parts of Gamma(2, 1), whose distribution function is 1 - (1 + x) * exp(-x)."""
-    out, low = [], 0.0
-    for i in range(n):
-        a, b = low, 64.0
-        for _ in range(60):
-            mid = (a + b) / 2
-            a, b = (mid, b) if 1 - (1 + mid) * math.exp(-mid) < (i + 0.5) / n else (a, mid)
-        low = a
-        out.append(b)
-    return out
+def gamma_quantiles(n: int, zero: Column) -> Column:
+    """The middles of n equal parts of Gamma(2, 1), by halving: its distribution function is 1 - (1 + x) * exp(-x).
+
+    ``zero`` is a column of zeros, which keeps the table out of the text of the plan.
+    """
+    middle = lambda a: (a["low"] + a["high"]) / 2
+
+    def halve(i: Column):
+        def step(a: Column, _: Column) -> Column:
+            x = middle(a)
+            below = 1 - (1 + x) * F.exp(-x) < (i + 0.5 + zero) / n
+            return F.struct(F.when(below, x).otherwise(a["low"]).alias("low"), F.when(below, a["high"]).otherwise(x).alias("high"))
+
+        return step
+
+    start = F.struct(F.lit(0.0).alias("low"), F.lit(64.0).alias("high"))
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, halve(i), middle))
 
 
 def draws(spark: SparkSession) -> dict[str, Column]:
-    """Tables of r, of 1 / r and of ln(c), as scalar subqueries: one small array each, which all samples look up."""
-    x = gamma_quantiles()
-    made = {"r": x, "inverse": [1 / v for v in x], "log_c": [math.log(v) for v in x]}
-    return {k: spark.range(1).select(_constants(v, "double").alias(k)).scalar() for k, v in made.items()}
+    """Tables of r and of ln(c), as scalar subqueries: one small array each, which all samples look up."""
+    r = gamma_quantiles(1 << BITS, F.col("id"))
+    return {"r": spark.range(1).select(r.alias("r")).scalar(), "log_c": spark.range(1).select(F.transform(r, lambda x: F.log(x)).alias("log_c")).scalar()}
 
 
 def _constants(values, kind: str) -> Column:
@@ -72,13 +77,13 @@ def _terms(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("_x", F.explode_outer("_runs")).withColumns({"h": F.col("_x.h"), "w": F.col("_x.w")}).drop("_runs", "_x")
 
 
-def _sample(k: int, tables: dict[str, Column]) -> Column:
-    """What a term (h, and the logarithm of its weight in _log) offers in sample k: its value above 32 bits of its own."""
-    e = F.xxhash64("h", F.lit(k))
+def _sample(e: Column, tables: dict[str, Column]) -> Column:
+    """What a term offers in a sample: its value above 32 bits of its own. e: the hash of term and sample; the logarithm
+    of the term's weight is in _log."""
     part = lambda at: F.shiftrightunsigned(e, at).bitwiseAND((1 << BITS) - 1).cast("int")
-    r, inverse, log_c = F.get(tables["r"], part(0)), F.get(tables["inverse"], part(0)), F.get(tables["log_c"], part(BITS))
+    r, log_c = F.get(tables["r"], part(0)), F.get(tables["log_c"], part(BITS))
     b = F.shiftrightunsigned(e, 2 * BITS).bitwiseAND((1 << 20) - 1) / float(1 << 20)
-    value = log_c - r * (F.floor(F.col("_log") * inverse + b) - b + 1)
+    value = log_c - r * (F.floor(F.col("_log") / r + b) - b + 1)
     return F.shiftleft(F.floor((value + 4096) * (1 << 18)), 32).bitwiseOR(F.shiftrightunsigned(e, 32))
 
 
@@ -90,7 +95,9 @@ def signatures(df: DataFrame, text: str, keys: list[str], samples: int = SAMPLES
     tables = draws(df.sparkSession)
     # without terms h and w are null, and so is every sample
     terms = _terms(df.select(*keys, text), text).withColumn("_log", F.log(F.col("w").cast("double")))
-    least = [F.min(_sample(k, tables)).alias(f"_s{k}") for k in range(samples)]
+    # each hash is used several times: in a column of its own it is worked out and written down once
+    terms = terms.withColumns({f"_e{k}": F.xxhash64("h", F.lit(k)) for k in range(samples)})
+    least = [F.min(_sample(F.col(f"_e{k}"), tables)).alias(f"_s{k}") for k in range(samples)]
     out = terms.groupBy(*keys).agg(*least)
     return out.select(*keys, F.array(*[F.coalesce(f"_s{k}", F.lit(-1).cast("long")) for k in range(samples)]).alias("signature"))
 
