@@ -45,6 +45,8 @@ DEEPER = ((3, 24), (4, 32))
 #: Pairs with fewer equal minima are not compared further: 0.75 less four standard deviations.
 LEAST_EQUAL = 29
 SIMILAR = 75
+#: Ids of candidate documents that are sent to every executor, at most: 4 MB.
+MOST_SENT = 500_000
 
 FEATURES = "doc_id long, n long, d1 long, d2 long, keys array<long>"
 SETS = "node long, n long, minima array<int>, shingles array<long>"
@@ -164,14 +166,16 @@ class _Linker:
 
 
 def _candidates(keyed: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a the larger: all of a small bucket, those with the smallest class of a larger one that
-    are not in its component."""
+    """Distinct pairs (a, b), a the larger, written: all of a small bucket, those with the smallest class of a larger
+    one that are not in its component. keyed and buckets are joined once and are not needed afterwards."""
     two = buckets.where("size = 2").select(F.col("last").alias("a"), F.col("first").alias("b"))
-    more = keyed.join(buckets.where("size > 2"), "key")
+    more = written(keyed.join(buckets.where("size > 2").select("key", "size", "first", "first_label"), "key"), "more")
     star = more.where((F.col("size") > SMALL) & (F.col("label") != F.col("first_label"))).select(F.col("node").alias("a"), F.col("first").alias("b"))
     short = more.where(F.col("size") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
     all_ = short.select(F.explode(_pairs_of(F.col("nodes"))).alias("p")).select("p.a", "p.b")
-    return two.union(star).union(all_).distinct()
+    pairs = written(two.union(star).union(all_).distinct(), "pairs")
+    drop(more)
+    return pairs
 
 
 def _tables(halves: DataFrame, m: int) -> tuple[DataFrame, DataFrame]:
@@ -203,11 +207,13 @@ def _longer_halves(sets: DataFrame, minima: int, m: int) -> DataFrame:
 def _link_classes(docs: DataFrame, reps: DataFrame) -> DataFrame | None:
     """node and label of the classes that may be linked; reps: node and its half-keys."""
     keyed, buckets = _tables(reps.select("node", F.col("node").alias("label"), F.posexplode("keys").alias("pos", "half")), M)
-    pairs = written(_candidates(keyed, buckets), "pairs")
+    pairs = _candidates(keyed, buckets)
     if pairs.isEmpty():
         return None
-    nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select("doc_id", "text").join(nodes, "doc_id").dropDuplicates(["doc_id", "text"])
+    nodes = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "nodes")
+    # a list of ids of checked size is sent to the texts; a longer one meets them in a shuffle
+    few = nodes.count() <= MOST_SENT
+    texts = docs.select("doc_id", "text").join(F.broadcast(nodes) if few else nodes, "doc_id").dropDuplicates(["doc_id", "text"])
     linker = _Linker(written(texts.mapInArrow(_full_sets, SETS), "sets"))
     linker.link(pairs)
     drop(pairs)
@@ -223,7 +229,10 @@ def _link_classes(docs: DataFrame, reps: DataFrame) -> DataFrame | None:
         again = written(again, "again")
         found = None
         for minima, m in DEEPER:
-            pairs = written(_candidates(*_tables(_longer_halves(again, minima, m), m)), "pairs")
+            keyed, buckets = _tables(_longer_halves(again, minima, m), m)
+            pairs = _candidates(keyed, buckets)
+            drop(keyed)
+            drop(buckets)
             found = pairs if found is None else found.union(pairs)
         linker.link(found.distinct())
     return linker.labels
