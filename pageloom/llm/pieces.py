@@ -24,6 +24,8 @@ from pageloom.llm.common import cached, table
 SPACE = "▁"
 #: Segmented words that a worker remembers, about; those not seen again for so many new ones are forgotten.
 MEMORY = 400_000
+#: So few words of one length, longer than this, are searched one by one.
+FEW, LONG = 8, 64
 #: Texts that are segmented together.
 TOGETHER = 2048
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -211,6 +213,39 @@ class Pieces:
             at += size
         return np.array(out, "<u4").tobytes()
 
+    def _segment_long(self, word: str) -> bytes:
+        """The same search for one long word, where there is nothing to advance together."""
+        total: list[float | None] = [0.0] + [None] * len(word)
+        last, back = [-1] * (len(word) + 1), [0] * (len(word) + 1)
+        longest = self.longest if word.startswith(2 * SPACE) else self.longest_word
+        for end in range(1, len(word) + 1):
+            for size in range(min(end, longest), 0, -1):
+                before = total[end - size]
+                piece = self.id.get(word[end - size : end]) if before is not None else None
+                if piece is None:
+                    continue
+                if self.merges:
+                    key = (last[end - size] + 1) * len(self.names) + piece
+                    if key not in self.follows:
+                        self.follows[key] = self._may_follow(last[end - size], piece)
+                    if not self.follows[key]:
+                        continue
+                score = before + self.scores[piece]
+                if total[end] is None or score > total[end]:
+                    total[end], last[end], back[end] = score, piece, size
+                    if self.merges:
+                        break
+            if total[end] is None and total[end - 1] is not None and word[end - 1] not in self.id:
+                total[end], last[end], back[end] = total[end - 1] - 1e6, self.unknown, 1
+        ids, end = [], len(word)
+        while end:
+            if not back[end]:
+                raise ValueError("a word has no segmentation")
+            ids.append(last[end])
+            end -= back[end]
+        packed = np.array(ids[::-1], "<i8").astype("<u4").tobytes()
+        return self._with_bytes(word, packed) if self.byte_ids and self.unknown in ids else packed
+
     def encode_packed(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers; see encode()."""
         split = [_WORD.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
@@ -228,6 +263,9 @@ class Pieces:
                     new.setdefault(len(w), {})[w] = None
         for group in new.values():
             group = list(group)
+            if len(group) < FEW and len(group[0]) > LONG:
+                known.update((w, self._segment_long(w)) for w in group)
+                continue
             step = max(1, (1 << 20) // len(group[0]))
             for at in range(0, len(group), step):
                 part = group[at : at + step]
