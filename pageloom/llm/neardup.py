@@ -9,8 +9,8 @@ only formed from shared ones, and most documents form none.
 Documents with equal sets are one class from the start. In a table bucket of
 few classes all pairs are candidates; in a larger one each class is paired with
 the smallest, and, if the bucket then still spans several components, its members
-are dealt again into tables whose half-keys take one and two minima more. So the
-number of candidates grows with the number of rows, not with the square of
+are dealt again into tables whose half-keys take one and two minima more, and
+are paired with a drawn class of each bucket as well. So the number of candidates grows with the number of rows, not with the square of
 a group. Candidates are
 compared by their minima, then exactly on their full shingle sets. Components
 of the verified links are found by spreading smallest labels between tables.
@@ -165,12 +165,16 @@ class _Linker:
         drop(likely)
 
 
-def _candidates(keyed: DataFrame, buckets: DataFrame) -> DataFrame:
+def _candidates(keyed: DataFrame, buckets: DataFrame, spread: bool) -> DataFrame:
     """Distinct pairs (a, b), a the larger, written: all of a small bucket, those with the smallest class of a larger
-    one that are not in its component. keyed and buckets are joined once and are not needed afterwards."""
+    one that are not in its component; if spread is set, also those with a class drawn by the key, so that a class that
+    is not like the smallest one meets others. keyed and buckets are joined once and are not needed afterwards."""
     two = buckets.where("size = 2").select(F.col("last").alias("a"), F.col("first").alias("b"))
-    more = written(keyed.join(buckets.where("size > 2").select("key", "size", "first", "first_label"), "key"), "more")
+    more = written(keyed.join(buckets.where("size > 2").select("key", "size", "first", "first_label", "other", "other_label"), "key"), "more")
     star = more.where((F.col("size") > SMALL) & (F.col("label") != F.col("first_label"))).select(F.col("node").alias("a"), F.col("first").alias("b"))
+    if spread:
+        drawn = more.where((F.col("size") > SMALL) & (F.col("label") != F.col("other_label")))
+        star = star.union(drawn.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")))
     short = more.where(F.col("size") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
     all_ = short.select(F.explode(_pairs_of(F.col("nodes"))).alias("p")).select("p.a", "p.b")
     pairs = written(two.union(star).union(all_).distinct(), "pairs")
@@ -191,7 +195,8 @@ def _tables(halves: DataFrame, m: int) -> tuple[DataFrame, DataFrame]:
     keyed = written(own.select("node", "label", F.explode(tensor).alias("key")), "keyed")
     drop(shared)
     sizes = keyed.groupBy("key").agg(
-        F.count("*").alias("size"), F.min("node").alias("first"), F.max("node").alias("last"), F.min_by("label", "node").alias("first_label"), F.min("label").alias("_x"), F.max("label").alias("_y")
+        F.count("*").alias("size"), F.min("node").alias("first"), F.max("node").alias("last"), F.min_by("label", "node").alias("first_label"),
+        F.min_by("node", F.xxhash64("node", "key")).alias("other"), F.min_by("label", F.xxhash64("node", "key")).alias("other_label"), F.min("label").alias("_x"), F.max("label").alias("_y")
     )
     return keyed, written(sizes.where("_x <> _y").drop("_x", "_y"), "buckets")
 
@@ -207,7 +212,7 @@ def _longer_halves(sets: DataFrame, minima: int, m: int) -> DataFrame:
 def _link_classes(docs: DataFrame, reps: DataFrame) -> DataFrame | None:
     """node and label of the classes that may be linked; reps: node and its half-keys."""
     keyed, buckets = _tables(reps.select("node", F.col("node").alias("label"), F.posexplode("keys").alias("pos", "half")), M)
-    pairs = _candidates(keyed, buckets)
+    pairs = _candidates(keyed, buckets, spread=False)
     if pairs.isEmpty():
         return None
     nodes = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "nodes")
@@ -230,7 +235,7 @@ def _link_classes(docs: DataFrame, reps: DataFrame) -> DataFrame | None:
         found = None
         for minima, m in DEEPER:
             keyed, buckets = _tables(_longer_halves(again, minima, m), m)
-            pairs = _candidates(keyed, buckets)
+            pairs = _candidates(keyed, buckets, spread=True)
             drop(keyed)
             drop(buckets)
             found = pairs if found is None else found.union(pairs)
