@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pageloom.llm.common import table, written
 
 REDACTED = "[REDACTED]"
+#: Findings that are sent to every executor have at most so many blobs and spans together: about 15 MB.
+MOST_SENT = 200_000
 
 
 @dataclass(frozen=True)
@@ -136,10 +138,14 @@ def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def spans_of(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with a column spans: what findings() has for each row's text, empty if nothing.
+    """docs with a column spans: what findings() has for each row's text, empty if nothing. found: a written table.
 
-    If found is a written table, the join can split a blob that many rows share.
+    Findings of checked size are sent to the texts. Larger ones meet them in a shuffle, whose join can split a blob
+    that many rows share.
     """
+    size = found.agg(F.count("*").alias("n"), F.sum(F.size("spans")).alias("spans")).first()
+    if size["n"] + (size["spans"] or 0) <= MOST_SENT:
+        found = F.broadcast(found)
     found = found.withColumnsRenamed({"blob": "_blob", "spans": "_spans"})
     df = docs.drop("spans").withColumn("_blob", blob(F.col("text"))).join(found, "_blob", "left")
     return df.withColumn("spans", F.coalesce("_spans", F.array().cast(SPANS))).drop("_blob", "_spans")
