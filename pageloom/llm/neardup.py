@@ -15,11 +15,17 @@ a group. Candidates are
 compared by their minima, then exactly on their full shingle sets. Components
 of the verified links are found by spreading smallest labels between tables.
 
+Large buckets that even then span several components are settled: each member
+is paired with the class of its bucket that has most verified links (the middle
+of a group) and with a fresh draw, for a few rounds. In what is left, all
+classes of different components are compared exactly, in blocks of sets; only
+this last step grows with the square of a group, of classes that share buckets
+and are not linked.
+
 What can be lost: a pair at a similarity of exactly 0.75 shares no key with
-odds of 2 * (1 - 0.75**2)**M = 0.00002, and has too few equal minima with odds
-of 0.00006 (both far less above). Only where all buckets of a pair are large
-and its classes are still apart, the further tables must find it; they miss
-such a pair with odds of 0.0024 and 0.008, both with 0.00002 if independent.
+odds of 2 * (1 - 0.75**2)**M = 0.00002, and, where its buckets are small, has
+too few equal minima with odds of 0.00006 (both far less above). In a large
+bucket no pair of different components stays uncompared.
 """
 
 from __future__ import annotations
@@ -42,6 +48,11 @@ FUNCTIONS = 4 * M
 SMALL = 8
 #: What the members of a large bucket are dealt by next: minima of a half-key, and half-keys of either side.
 DEEPER = ((3, 24), (4, 32))
+#: Rounds of pairs with the middles of large buckets, before what is left is compared in blocks.
+ROUNDS = 3
+#: Sets of a block, and shingles in them, about.
+BLOCK_SETS = 512
+BLOCK_SHINGLES = 500_000
 #: Pairs with fewer equal minima are not compared further: 0.75 less four standard deviations.
 LEAST_EQUAL = 29
 SIMILAR = 75
@@ -131,6 +142,7 @@ class _Linker:
     def __init__(self, sets: DataFrame):
         self.sets = sets
         self.labels = written(sets.select("node", F.col("node").alias("label")).distinct(), "labels")
+        self.degrees: DataFrame | None = None
 
     def _likely(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that are in two components and may be similar by size and equal minima."""
@@ -150,19 +162,121 @@ class _Linker:
         df = pairs.join(a, "a").join(b, "b").withColumn("_both", both)
         return df.where(100 * F.col("_both") >= SIMILAR * (F.col("_na") + F.col("_nb") - F.col("_both")))
 
-    def link(self, pairs: DataFrame) -> None:
-        """Verify candidate pairs (a, b) on their full sets and put the components of those that are links together."""
+    def merge(self, links: DataFrame) -> None:
+        """Put components together; links: pairs (a, b) of labels."""
+        labels = self.labels
+        moved = components(links)
+        to = moved.select(F.col("node").alias("label"), F.col("label").alias("_to"))
+        self.labels = written(labels.join(to, "label", "left").select("node", F.coalesce("_to", "label").alias("label")), "labels")
+        drop(labels)
+        drop(moved)
+
+    def link(self, pairs: DataFrame) -> bool:
+        """Verify candidate pairs (a, b) on their full sets and put the components of those that are links together;
+        whether there were any. Links are counted by node in degrees."""
         likely = written(self._likely(pairs), "likely")
-        links = written(self._verified(likely).select(F.col("_la").alias("a"), F.col("_lb").alias("b")).distinct(), "links")
-        if not links.isEmpty():
-            labels = self.labels
-            moved = components(links)
-            to = moved.select(F.col("node").alias("label"), F.col("label").alias("_to"))
-            self.labels = written(labels.join(to, "label", "left").select("node", F.coalesce("_to", "label").alias("label")), "labels")
-            drop(labels)
-            drop(moved)
+        links = written(self._verified(likely).select("a", "b", "_la", "_lb").distinct(), "links")
+        found = not links.isEmpty()
+        if found:
+            self.merge(links.select(F.col("_la").alias("a"), F.col("_lb").alias("b")).distinct())
+            ends = links.select(F.col("a").alias("node")).union(links.select("b")).withColumn("degree", F.lit(1).cast("long"))
+            before = self.degrees
+            both = ends if before is None else ends.union(before)
+            self.degrees = written(both.groupBy("node").agg(F.sum("degree").alias("degree")), "degrees")
+            if before is not None:
+                drop(before)
         drop(links)
         drop(likely)
+        return found
+
+
+def _block_links(key: tuple, rows: pa.Table) -> pa.Table:
+    """Links (a, b) of labels among the rows of two blocks, exact; those that others imply are left out."""
+    _, i, j = (k.as_py() for k in key)
+    labels, block, n = (rows[c].to_numpy() for c in ("label", "block", "n"))
+    lists = rows["shingles"].combine_chunks()
+    flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(n)
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    links: list[tuple[int, int]] = []
+    if len(left) and len(right) and (labels != labels[0]).any():
+        owner = np.repeat(np.arange(len(n)), n)
+        inside = np.flatnonzero(block[owner] == j)
+        inside = inside[np.argsort(flat[inside], kind="stable")]
+        tokens, owner = flat[inside], owner[inside]
+        up = {x: x for x in labels.tolist()}
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for a in left.tolist():
+            own = flat[ends[a] - n[a] : ends[a]]
+            low = np.searchsorted(tokens, own)
+            many = np.searchsorted(tokens, own, "right") - low
+            at = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+            both = np.bincount(owner[at], minlength=len(n))
+            for b in np.flatnonzero((both > 0) & (labels != labels[a]) & (100 * both >= SIMILAR * (n + n[a] - both))).tolist():
+                x, y = top(int(labels[a])), top(int(labels[b]))
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    links.append((int(labels[a]), int(labels[b])))
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+
+def _link_blocks(linker: _Linker, spanning: DataFrame) -> None:
+    """Compare all classes of different components that buckets connect. spanning: node, key and label.
+
+    The largest component of such a group is only compared with the rest, not with itself.
+    """
+    firsts = spanning.groupBy("key").agg(F.min("node").alias("b"))
+    groups = components(spanning.join(firsts, "key").select(F.col("node").alias("a"), "b").where("a <> b").distinct())
+    ids = groups.withColumnRenamed("label", "group").join(linker.labels, "node").join(linker.sets.groupBy("node").agg(F.sum("n").alias("_n")), "node")
+    ids = written(ids, "grouped")
+    by_label = ids.groupBy("group", "label").agg(F.count("*").alias("size"), F.sum("_n").alias("total"))
+    sizes = by_label.groupBy("group").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
+    blocks = by_label.join(sizes, "group").groupBy("group", "main", (F.col("label") == F.col("main")).alias("_is_main")).agg(F.sum("size").alias("size"), F.sum("total").alias("total"))
+    needed = F.ceil(F.greatest(F.col("size") / BLOCK_SETS, F.col("total") / BLOCK_SHINGLES)).cast("int")
+    side = lambda test: F.max(F.when(test, needed))
+    blocks = blocks.groupBy("group", "main").agg(side(~F.col("_is_main")).alias("_rest"), side(F.col("_is_main")).alias("_mains"))
+    placed = ids.join(blocks, "group")
+    is_main = F.col("label") == F.col("main")
+    spot = lambda count: F.pmod(F.xxhash64("node"), count).cast("int")
+    placed = placed.withColumn("block", F.when(is_main, F.col("_rest") + spot(F.col("_mains"))).otherwise(spot(F.col("_rest"))))
+    last = F.when(is_main, F.col("_rest")).otherwise(F.col("_rest") + F.col("_mains")) - 1
+    placed = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), last)))
+    placed = placed.select("node", "label", "group", "block", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"))
+    rows = placed.join(linker.sets.select("node", "n", "shingles"), "node").select("group", "i", "j", "block", "label", "n", "shingles")
+    links = written(rows.groupBy("group", "i", "j").applyInArrow(_block_links, "a long, b long").distinct(), "links")
+    if not links.isEmpty():
+        linker.merge(links)
+    for done in (links, ids, groups):
+        drop(done)
+
+
+def _settle(linker: _Linker, large: DataFrame) -> None:
+    """Link until no pair of different components in a large bucket is left uncompared. large: node and key."""
+    more = True
+    for turn in range(ROUNDS + 1):
+        now = large.join(linker.labels, "node")
+        span = now.groupBy("key").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).where("_x <> _y").select("key")
+        spanning = written(now.join(span, "key").select("node", "key", "label"), "spanning")
+        if spanning.isEmpty():
+            drop(spanning)
+            return
+        if turn == ROUNDS or not more or linker.degrees is None:
+            break
+        ranked = spanning.join(linker.degrees, "node", "left").withColumn("_draw", F.xxhash64("node", "key", F.lit(turn)))
+        middle = F.max_by("node", F.struct(F.coalesce("degree", F.lit(0)), "_draw"))
+        to = ranked.groupBy("key").agg(F.array(middle, F.min_by("node", "_draw")).alias("_to"))
+        met = spanning.join(to, "key").select("node", F.explode("_to").alias("other")).where("node <> other")
+        pairs = written(met.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct(), "pairs")
+        more = linker.link(pairs)
+        for done in (pairs, spanning):
+            drop(done)
+    _link_blocks(linker, spanning)
+    drop(spanning)
 
 
 def _candidates(keyed: DataFrame, buckets: DataFrame, spread: bool) -> DataFrame:
@@ -227,7 +341,7 @@ def _link_classes(docs: DataFrame, reps: DataFrame) -> DataFrame | None:
     large = written(keyed.join(buckets.where(F.col("size") > SMALL).select("key"), "key").drop("label").join(linker.labels, "node"), "large")
     span = large.groupBy("key").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).where("_x <> _y").select("key")
     wide = written(large.join(span, "key").select("node").distinct(), "wide")
-    for done in (large, keyed, buckets):
+    for done in (keyed, buckets):
         drop(done)
     if not wide.isEmpty():
         again = linker.sets.select("node", "minima").join(wide, "node", "left_semi").join(linker.labels, "node")
@@ -240,6 +354,8 @@ def _link_classes(docs: DataFrame, reps: DataFrame) -> DataFrame | None:
             drop(buckets)
             found = pairs if found is None else found.union(pairs)
         linker.link(found.distinct())
+        _settle(linker, large.select("node", "key"))
+    drop(large)
     return linker.labels
 
 

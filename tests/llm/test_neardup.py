@@ -84,3 +84,26 @@ def test_empty_and_alone(spark):
 def test_components_of_a_long_chain(spark):
     edges = spark.range(1, 200).select((F.col("id") * 7 % 199).alias("a"), ((F.col("id") + 1) * 7 % 199).alias("b"))
     assert {r["label"] for r in N.components(edges).collect()} == {0}
+
+
+def test_copies_around_a_base_are_one_component(spark):
+    r = rng(8)
+    base = prose(r, 400)
+    rows = [(i, edited(r, base, 0.0275)) for i in range(1, 2001)] + [(9999, base)]  # like the base, but not like each other
+    own = shingles(base)
+    near = [i for i, t in rows if 100 * len(own & shingles(t)) >= 75 * len(own | shingles(t))]
+    assert len(near) > 1900
+    got = {x["doc_id"]: x["component_id"] for x in N.near_duplicates(docs(spark, rows)).collect()}
+    assert {got[i] for i in near} == {min(near)}
+
+
+def test_what_rounds_leave_is_compared_in_blocks(spark):
+    kept = N.SMALL, N.ROUNDS, N.BLOCK_SETS
+    rows = corpus()
+    want = brute(rows)
+    try:
+        N.SMALL, N.ROUNDS, N.BLOCK_SETS = 2, 0, 7
+        got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in N.near_duplicates(docs(spark, rows)).collect()}
+    finally:
+        N.SMALL, N.ROUNDS, N.BLOCK_SETS = kept
+    assert got == want
