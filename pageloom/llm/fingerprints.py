@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from pageloom.llm.common import table, words
 
-SAMPLES = 24
+SAMPLES = 32
 #: Quantiles of Gamma(2, 1), and bits of the hash that choose one.
 BITS = 12
 #: Documents of a bucket of consecutive ids, and the most buckets.

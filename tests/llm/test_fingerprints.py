@@ -59,3 +59,8 @@ def test_empty_and_alone(spark):
     assert r["edited_sha256"] == hashlib.sha256(b"abab").hexdigest() and r["near_next"] == 1.0
     plan = P.compare_edited(docs(spark, [(4, "abcd")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_enough_samples(spark):
+    (r,) = P.compare_edited(docs(spark, [(4, "one row of a few words")])).collect()
+    assert len(r["fingerprint"]) >= 8 * 32
