@@ -403,11 +403,14 @@ def hwp(data: bytes) -> Extracted:
 
 
 def pdf(data: bytes) -> Extracted:
-    """Pages' text from content streams with plain encodings; others give empty pages, as a scan would."""
+    """Pages' text from content streams with plain encodings; others give empty pages, as a scan would. Files of more
+    than MAX_PAGES pages are refused."""
     objects = {int(m[1]): m[2] for m in re.finditer(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", data, re.S)}
     pages = [o for _, o in sorted(objects.items()) if re.search(rb"/Type\s*/Page\b(?!s)", o)]
     out = Extracted("pdf", "page")
-    for page in pages[:MAX_PAGES]:
+    if len(pages) > MAX_PAGES:
+        raise Damaged(f"PDF of {len(pages)} pages, more than {MAX_PAGES}")
+    for page in pages:
         refs = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", page)
         text = "\n".join(_pdf_text(objects.get(int(n), b"")) for n in re.findall(rb"(\d+)\s+\d+\s+R", refs[1])) if refs else ""
         out.units.append(text.strip())

@@ -118,6 +118,14 @@ def test_pdf_and_frame(spark):
     assert got["c.docx"]["error"].startswith("Damaged") and got["d.txt"]["error"] == "unsupported format" and got["e"]["error"]
 
 
+def test_pdf_of_too_many_pages_is_refused():
+    stream = b"%d 0 obj << >> stream\nBT (%s) Tj ET\nendstream endobj\n" % (1, b"enough letters " * 5)
+    pdf = lambda n: b"%PDF-1.4\n" + stream + b"".join(b"%d 0 obj << /Type /Page /Contents 1 0 R >> endobj\n" % i for i in range(2, n + 2))
+    assert len(X.pdf(pdf(500)).units) == 500
+    with pytest.raises(Damaged, match="501 pages"):
+        X.pdf(pdf(501))
+
+
 def test_limits():
     with pytest.raises(Damaged):
         unzip(b"PK\3\4")
