@@ -12,7 +12,7 @@ HASH = "^[a-f0-9]{64}$"
 EPOCH = "1970-01-01T00:00:00.000Z"
 
 
-def upsert(stored: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:
+def upsert(stored: DataFrame, changes: DataFrame, key: str | list[str], order: str) -> DataFrame:
     """stored with changes, the row of the latest ``order`` for each key; one shuffle of both by key."""
     both = stored.unionByName(changes, allowMissingColumns=True)
     latest = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
@@ -96,14 +96,16 @@ def toggled(hashes: Column, one: Column) -> Column:
     return F.when(F.array_contains(hashes, one), F.array_remove(hashes, one)).otherwise(F.array_append(hashes, one))
 
 
-def saved_collections(stored: DataFrame, changes: DataFrame, current: str | None = None) -> DataFrame:
+def saved_collections(stored: DataFrame, changes: DataFrame, current: str | Column | None = None, by: list[str] | None = None) -> DataFrame:
     """Collections (id, name, doc_hashes, last_accessed) after an upsert; the least recently used go over 50, but not
-    the current one. Names are cut and members cleaned; a collection without members is not saved."""
+    the current one. Names are cut and members cleaned; a collection without members is not saved. by: columns that
+    part the tables into libraries; current may be a column, the id for each row's library."""
+    by = by or []
     df = changes.withColumns({"name": F.left(F.trim("name"), F.lit(MAX_NAME)), "doc_hashes": clean_hashes(F.col("doc_hashes"))})
-    df = upsert(stored, df.where((F.col("name") != "") & (F.size("doc_hashes") > 0)), "id", "last_accessed")
-    entries = df.select(F.col("id").alias("doc_hash"), "last_accessed", F.lit(0).cast("long").alias("byte_size"), F.coalesce(F.col("id") == current, F.lit(False)).alias("pinned"))
-    gone = evicted(entries, most=MAX_COLLECTIONS, most_bytes=0).select(F.col("doc_hash").alias("id"))
-    return df.join(gone, "id", "left_anti")
+    df = upsert(stored, df.where((F.col("name") != "") & (F.size("doc_hashes") > 0)), [*by, "id"], "last_accessed")
+    entries = df.select(*by, F.col("id").alias("doc_hash"), "last_accessed", F.lit(0).cast("long").alias("byte_size"), F.coalesce(F.col("id") == current, F.lit(False)).alias("pinned"))
+    gone = evicted(entries, by, most=MAX_COLLECTIONS, most_bytes=0).select(*by, F.col("doc_hash").alias("id"))
+    return df.join(gone, [*by, "id"], "left_anti")
 
 
 def opened(collection: DataFrame, sessions: DataFrame) -> DataFrame:

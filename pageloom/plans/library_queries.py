@@ -494,9 +494,13 @@ def c22(spark, d):
 
 @query("s28_collections")
 def s28(spark, d):
-    docs = table(spark, d, "documents")
-    made = docs.select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit(" set "), "source").alias("name"), F.array(doc_hash(), doc_hash(), F.lit("bad")).alias("doc_hashes"), F.expr(DAY).alias("last_accessed"))
-    return store.saved_collections(made.where("id < 40"), made.where("id >= 30 and id < 90"), "3").select("id", "name", F.size("doc_hashes").cast("long").alias("members"))
+    # libraries of a hundred ids; a third of the documents is stored only, a third new, and a third stored and changed
+    k = F.col("doc_id")
+    made = lambda name, day: table(spark, d, "documents").select(F.floor(k / 100).alias("lib"), k.cast("string").alias("id"), F.concat(F.lit(name), "source").alias("name"), F.array(doc_hash(), doc_hash(), F.lit("bad")).alias("doc_hashes"), day.alias("last_accessed"), k)
+    stored = made(" set ", F.expr(DAY)).where(k % 3 != 0).drop("doc_id")
+    changes = made(" new ", F.replace(F.expr(DAY), F.lit("2024-01"), F.lit("2024-02"))).where(k % 3 != 1).drop("doc_id")
+    current = (F.col("lib") * 100 + 1).cast("string")
+    return store.saved_collections(stored, changes, current, ["lib"]).select("id", "name", F.size("doc_hashes").cast("long").alias("members"))
 
 
 @query("x8_latest_request", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1")

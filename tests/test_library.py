@@ -6,6 +6,22 @@ from pyspark.sql import functions as F
 
 from pageloom.operators import qa, search, store
 from pageloom.operators import vectors as V
+from pageloom.plans import library_queries  # noqa: F401  (registers itself)
+from pageloom.plans.registry import QUERIES
+
+
+def test_collections_of_all_documents(spark):
+    want, docs = {}, spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "source").collect()
+    for k, source in docs:
+        day = f"{k % 28 + 1:02}"
+        new = k % 3 != 1
+        want.setdefault(k // 100, {})[str(k)] = (f"2024-0{1 + new}-{day}", f"new {source}" if new else f"set {source}")
+    for lib, own in want.items():
+        for i in sorted(own, key=lambda i: (own[i][0], i)):
+            if len(own) > 50 and i != str(lib * 100 + 1):
+                del own[i]
+    got = {r["id"]: r["name"].strip() for r in QUERIES["s28_collections"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == {i: name for own in want.values() for i, (_, name) in own.items()} and len(docs) > 90
 
 
 def session(spark, pages, name="doc.pdf", summaries=None):
