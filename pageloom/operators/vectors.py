@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 from typing import Protocol
 
 import numpy as np
@@ -70,13 +71,18 @@ def search(chunks: DataFrame, query: list[float], k: int = TOP_K, least: float =
 def best_scores(queries: DataFrame, chunks: DataFrame, key: str, block: int = 4096) -> DataFrame:
     """key and max_score (0 at least) of every query over all chunks, by blocks of matrix products.
 
-    queries: key, embedding, a stated set of bounded size (sentences of an answer). It is sent to the tasks that read
-    the chunks; each sends back one row for a query.
+    queries: key, embedding, a stated set (sentences of an answer) that the driver can hold. Each block of it is sent
+    to the tasks that read the chunks, which are read once for a block; each task sends back one row for a query.
     """
-    rows = queries.select(key, "embedding").limit(block + 1).collect()
-    if len(rows) > block:
-        raise ValueError(f"more than {block} queries")
     kind = queries.schema[key].dataType.simpleString()
+    rows = queries.select(key, "embedding").toLocalIterator()
+    parts = _best_of(list(islice(rows, block)), chunks, key, kind)
+    while more := list(islice(rows, block)):
+        parts = parts.union(_best_of(more, chunks, key, kind))
+    return parts.groupBy(key).agg(F.max("max_score").alias("max_score"))
+
+
+def _best_of(rows: list, chunks: DataFrame, key: str, kind: str) -> DataFrame:
     keys = [r[0] for r in rows]
     left = np.asarray([r[1] for r in rows], dtype=np.float64)
 
@@ -88,8 +94,7 @@ def best_scores(queries: DataFrame, chunks: DataFrame, key: str, block: int = 40
                 best = np.maximum(best, (left @ np.asarray(same, dtype=np.float64).T).max(axis=1))
         yield pd.DataFrame({key: keys, "max_score": np.minimum(best, 1.0)})
 
-    parts = chunks.select("embedding").mapInPandas(run, f"{key} {kind}, max_score double")
-    return parts.groupBy(key).agg(F.max("max_score").alias("max_score"))
+    return chunks.select("embedding").mapInPandas(run, f"{key} {kind}, max_score double")
 
 
 class Embedder(Protocol):

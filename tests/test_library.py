@@ -54,6 +54,13 @@ def vectors(spark, *vs):
     return spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(vs)], "idx int, embedding array<float>")
 
 
+def test_best_scores_work_through_queries_in_blocks(spark):
+    queries = vectors(spark, (1, 0), (0, 1), (-1, 0), (0.6, 0.8), (0.5, 0))
+    got = {r["idx"]: round(r["max_score"], 5) for r in V.best_scores(queries, vectors(spark, (1, 0), (0, 0.5)), "idx", block=2).collect()}
+    assert got == {0: 1.0, 1: 0.5, 2: 0.0, 3: 0.6, 4: 0.5}
+    assert V.best_scores(queries.limit(0), queries, "idx").count() == 0
+
+
 def test_vector_search(spark):
     df = vectors(spark, [1, 0, 0], [0.7, 0.7, 0], [0, 1, 0]).withColumn("embedding", V.normalized(F.col("embedding")))
     got = V.search(df, [1.0, 0.0, 0.0], 5, 0.0).collect()
