@@ -8,29 +8,31 @@ only formed from shared ones, and most documents form none.
 
 Documents with equal sets are one class from the start. In a table bucket of
 few classes all pairs are candidates; in a larger one each class is paired with
-the smallest, and, if the bucket then still spans several components, its members
-are dealt again into tables whose half-keys take one and two minima more, and
-are paired with a drawn class of each bucket as well. So the number of candidates grows with the number of rows, not with the square of
-a group. Candidates are
-compared by their minima, then exactly on their full shingle sets. Components
-of the verified links are found by spreading smallest labels between tables.
-
-Large buckets that even then span several components are settled: each member
-is paired with the class of its bucket that has most verified links (the middle
-of a group) and with a fresh draw, for a few rounds. In what is left, all
-classes of different components are compared exactly, in blocks of sets; only
-this last step grows with the square of a group, of classes that share buckets
-and are not linked.
+the smallest. Candidates are compared by their minima, then exactly on their
+full shingle sets, and the verified links are contracted at once: components of
+links are found by spreading smallest labels between tables.
+
+Large buckets that then span several components go on in three steps, each of
+which sees only what the one before left apart:
+
+1. A class leaves a bucket in which it provably has no link. Its shingles that
+   no other class of these buckets has count towards every union but towards no
+   intersection, and a link at 0.75 needs 7/3 of the larger set's common part.
+2. Each class meets the middle of its bucket: the class with the smallest share
+   of such lonely shingles, which for copies around a base is the base.
+3. All classes of different components that large buckets still connect are
+   compared exactly, in blocks of sets that emit links only. This step grows
+   with the square of a group, of classes that share buckets, that the bound
+   cannot refute and that are not linked.
 
 What can be lost: a pair at a similarity of exactly 0.75 shares no key with
 odds of 2 * (1 - 0.75**2)**M = 0.00002, and, where its buckets are small, has
-too few equal minima with odds of 0.00006 (both far less above). In a large
+too few equal minima with odds of 0.0000004 (both far less above). In a large
 bucket no pair of different components stays uncompared.
 """
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,21 +48,22 @@ M = 14
 FUNCTIONS = 4 * M
 #: Buckets of up to so many classes give all their pairs.
 SMALL = 8
-#: What the members of a large bucket are dealt by next: minima of a half-key, and half-keys of either side.
-DEEPER = ((3, 24), (4, 32))
-#: Rounds of pairs with the middles of large buckets, before what is left is compared in blocks.
-ROUNDS = 3
 #: Sets of a block, and shingles in them, about.
 BLOCK_SETS = 512
 BLOCK_SHINGLES = 500_000
-#: Pairs with fewer equal minima are not compared further: 0.75 less four standard deviations.
-LEAST_EQUAL = 29
+#: Pairs with fewer equal minima are not compared further: 0.75 less five standard deviations.
+LEAST_EQUAL = 25
 SIMILAR = 75
 #: Ids of candidate documents that are sent to every executor, at most: 4 MB.
 MOST_SENT = 500_000
 
-FEATURES = "doc_id long, n long, d1 long, d2 long, keys array<long>"
-SETS = "node long, n long, minima array<int>, shingles array<long>"
+#: A key with more rows than this, and more than a 50,000th of all, meets copies of its partner in several tasks.
+HEAVY = 1000
+MOST_COPIES = 50_000
+
+SET = ["n", "d1", "d2"]
+FEATURES = "doc_id long, digest long, n long, d1 long, d2 long, keys array<long>"
+SETS = "doc_id long, n long, d1 long, d2 long, minima array<int>, shingles array<long>"
 
 
 def _lists(values: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -68,46 +71,52 @@ def _lists(values: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel(), kind))
 
 
-def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Ids and sets of a few megabytes of texts at a time."""
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], list[np.ndarray]]]:
+    """Rows, without their last column, and the sets of these texts, a few megabytes of texts at a time."""
     for batch in batches:
-        ids, texts, size = [], [], 0
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids.append(doc_id)
+        rows, texts, size = [], [], 0
+        given = zip(*(c.to_pylist() for c in batch.columns[:-1]), strict=True)
+        for row, text in zip(given, batch.columns[-1], strict=True):
+            rows.append(row)
             texts.append((text.as_py() or "").encode())
             size += len(texts[-1])
             if size >= 4 * shingles.CHUNK:
-                yield ids, shingles.sets(texts)
-                ids, texts, size = [], [], 0
-        if ids:
-            yield ids, shingles.sets(texts)
+                yield rows, shingles.sets(texts)
+                rows, texts, size = [], [], 0
+        if rows:
+            yield rows, shingles.sets(texts)
+
+
+def _digests(found: list[np.ndarray]) -> list[pa.Array]:
+    """n, d1 and d2 of each set: two sums that tell sets apart."""
+    n = np.array([len(s) for s in found], np.int64)
+    d1 = np.array([s.sum(dtype=np.uint64) for s in found], np.uint64).view(np.int64)
+    d2 = np.array([shingles.mix(s + np.uint64(1)).sum(dtype=np.uint64) for s in found], np.uint64).view(np.int64)
+    return [pa.array(n), pa.array(d1), pa.array(d2)]
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, found in _shingled(batches):
-        n = np.array([len(s) for s in found], np.int64)
-        d1 = np.array([s.sum(dtype=np.uint64) for s in found], np.uint64).view(np.int64)
-        d2 = np.array([shingles.mix(s + np.uint64(1)).sum(dtype=np.uint64) for s in found], np.uint64).view(np.int64)
-        keys = np.zeros((len(ids), 2 * M), np.int64)
-        full = np.flatnonzero(n)
+    for rows, found in _shingled(batches):
+        keys = np.zeros((len(rows), 2 * M), np.int64)
+        full = np.flatnonzero([len(s) for s in found])
         if len(full):
             low = shingles.minima([found[i] for i in full], FUNCTIONS)
             half = shingles.mix(low[:, 0::2] + shingles.mix(low[:, 1::2] + np.arange(2 * M, dtype=np.uint64)))
             keys[full] = half.view(np.int64)
-        columns = [pa.array(ids, pa.int64()), pa.array(n), pa.array(d1), pa.array(d2), _lists(keys, pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "d1", "d2", "keys"])
+        given = [pa.array([r[i] for r in rows], pa.int64()) for i in range(2)]
+        yield pa.RecordBatch.from_arrays([*given, *_digests(found), _lists(keys, pa.int64())], names=["doc_id", "digest", *SET, "keys"])
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, found in _shingled(batches):
+    for rows, found in _shingled(batches):
         keep = [i for i, s in enumerate(found) if len(s)]
         if keep:
             kept = [found[i] for i in keep]
             low = (shingles.minima(kept, FUNCTIONS) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
             offsets = np.cumsum([0, *[len(s) for s in kept]]).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(kept).view(np.int64)))
-            columns = [pa.array([ids[i] for i in keep], pa.int64()), pa.array(np.diff(offsets).astype(np.int64)), _lists(low, pa.int32()), flat]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "minima", "shingles"])
+            columns = [pa.array([rows[i][0] for i in keep], pa.int64()), *_digests(kept), _lists(low, pa.int32()), flat]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *SET, "minima", "shingles"])
 
 
 def _pairs_of(nodes: Column) -> Column:
@@ -136,13 +145,28 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _join_heavy(rows: DataFrame, other: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined to other, which has each key once. Keys of many rows are dealt over several tasks.
+
+    rows must be a written table. What is sent to every executor are its heavy keys, MOST_COPIES at most.
+    """
+    limit = max(HEAVY, -(-rows.count() // MOST_COPIES))
+    heavy = rows.groupBy(key).count().where(F.col("count") > limit)
+    heavy = heavy.select(key, F.ceil(F.col("count") / limit).cast("int").alias("_parts")).where(F.col(key).isNotNull()).collect()
+    if not heavy:
+        return rows.join(other, key, how)
+    parts = rows.sparkSession.createDataFrame(heavy, f"{key} long, _parts int")
+    dealt = rows.join(F.broadcast(parts), key, "left").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.coalesce("_parts", F.lit(1))).cast("int"))
+    copies = other.join(F.broadcast(parts), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+    return dealt.drop("_parts").join(copies.drop("_parts"), [key, "_salt"], how).drop("_salt")
+
+
 class _Linker:
-    """Verified links and the components they make so far. labels: node and label of all candidate classes."""
+    """The components that verified links make so far. labels: node and label of all candidate classes."""
 
     def __init__(self, sets: DataFrame):
         self.sets = sets
-        self.labels = written(sets.select("node", F.col("node").alias("label")).distinct(), "labels")
-        self.degrees: DataFrame | None = None
+        self.labels = written(sets.select("node", F.col("node").alias("label")), "labels")
 
     def _likely(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that are in two components and may be similar by size and equal minima."""
@@ -150,7 +174,7 @@ class _Linker:
         a = info.withColumnsRenamed({"node": "a", "n": "_na", "minima": "_ma", "label": "_la"})
         b = info.withColumnsRenamed({"node": "b", "n": "_nb", "minima": "_mb", "label": "_lb"})
         equal = F.size(F.filter(F.zip_with("_ma", "_mb", lambda x, y: x == y), lambda x: x))
-        df = pairs.join(a, "a").join(b, "b").where("_la <> _lb")
+        df = _join_heavy(pairs, b, "b").join(a, "a").where("_la <> _lb")
         df = df.where(100 * F.least("_na", "_nb") >= SIMILAR * F.greatest("_na", "_nb")).where(equal >= LEAST_EQUAL)
         return df.select("a", "b", "_la", "_lb")
 
@@ -159,7 +183,7 @@ class _Linker:
         a = full.withColumnsRenamed({"node": "a", "n": "_na", "shingles": "_sa"})
         b = full.withColumnsRenamed({"node": "b", "n": "_nb", "shingles": "_sb"})
         both = F.size(F.array_intersect("_sa", "_sb")).cast("long")
-        df = pairs.join(a, "a").join(b, "b").withColumn("_both", both)
+        df = _join_heavy(pairs, b, "b").join(a, "a").withColumn("_both", both)
         return df.where(100 * F.col("_both") >= SIMILAR * (F.col("_na") + F.col("_nb") - F.col("_both")))
 
     def merge(self, links: DataFrame) -> None:
@@ -171,23 +195,14 @@ class _Linker:
         drop(labels)
         drop(moved)
 
-    def link(self, pairs: DataFrame) -> bool:
-        """Verify candidate pairs (a, b) on their full sets and put the components of those that are links together;
-        whether there were any. Links are counted by node in degrees."""
+    def link(self, pairs: DataFrame) -> None:
+        """Verify candidate pairs (a, b), a written table, on their full sets and put the components of links together."""
         likely = written(self._likely(pairs), "likely")
-        links = written(self._verified(likely).select("a", "b", "_la", "_lb").distinct(), "links")
-        found = not links.isEmpty()
-        if found:
-            self.merge(links.select(F.col("_la").alias("a"), F.col("_lb").alias("b")).distinct())
-            ends = links.select(F.col("a").alias("node")).union(links.select("b")).withColumn("degree", F.lit(1).cast("long"))
-            before = self.degrees
-            both = ends if before is None else ends.union(before)
-            self.degrees = written(both.groupBy("node").agg(F.sum("degree").alias("degree")), "degrees")
-            if before is not None:
-                drop(before)
+        links = written(self._verified(likely).select(F.col("_la").alias("a"), F.col("_lb").alias("b")).distinct(), "links")
+        if not links.isEmpty():
+            self.merge(links)
         drop(links)
         drop(likely)
-        return found
 
 
 def _block_links(key: tuple, rows: pa.Table) -> pa.Table:
@@ -232,7 +247,7 @@ def _link_blocks(linker: _Linker, spanning: DataFrame) -> None:
     """
     firsts = spanning.groupBy("key").agg(F.min("node").alias("b"))
     groups = components(spanning.join(firsts, "key").select(F.col("node").alias("a"), "b").where("a <> b").distinct())
-    ids = groups.withColumnRenamed("label", "group").join(linker.labels, "node").join(linker.sets.groupBy("node").agg(F.sum("n").alias("_n")), "node")
+    ids = groups.withColumnRenamed("label", "group").join(linker.labels, "node").join(linker.sets.select("node", F.col("n").alias("_n")), "node")
     ids = written(ids, "grouped")
     by_label = ids.groupBy("group", "label").agg(F.count("*").alias("size"), F.sum("_n").alias("total"))
     sizes = by_label.groupBy("group").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
@@ -255,40 +270,61 @@ def _link_blocks(linker: _Linker, spanning: DataFrame) -> None:
         drop(done)
 
 
+def _spanning(rows: DataFrame, linker: _Linker) -> DataFrame:
+    """The rows (node, key) with their labels of the buckets that hold several components."""
+    now = rows.join(linker.labels, "node")
+    span = now.groupBy("key").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).where("_x <> _y").select("key")
+    return now.join(span, "key")
+
+
+def _with_counts(sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """node, n and lonely, the number of shingles that no other node of rows has, for every node of rows."""
+    own = sets.join(rows.select("node").distinct(), "node", "left_semi")
+    held = own.select("node", F.explode("shingles").alias("_s")).groupBy("_s").agg(F.min("node").alias("node"), F.max("node").alias("_other"))
+    alone = held.where("node = _other").groupBy("node").agg(F.count("*").alias("_alone"))
+    return own.select("node", "n").join(alone, "node", "left").select("node", "n", F.coalesce("_alone", F.lit(0)).alias("lonely"))
+
+
+def _unrefuted(rows: DataFrame) -> DataFrame:
+    """The rows (node, key, label, n, lonely) whose class may be linked with another of its bucket.
+
+    A link of sets of n and m shingles has 100 * common >= SIMILAR * (n + m - common), where common is at most
+    n - lonely and m is at least SIMILAR % of n and the smallest of the bucket.
+    """
+    least = rows.groupBy("key").agg(F.min("n").alias("_least"))
+    other = F.greatest(F.col("_least"), F.ceil(SIMILAR * F.col("n") / 100))
+    may = (100 + SIMILAR) * (F.col("n") - F.col("lonely")) >= SIMILAR * (F.col("n") + other)
+    return rows.join(least, "key").where(may).drop("_least")
+
+
 def _settle(linker: _Linker, large: DataFrame) -> None:
     """Link until no pair of different components in a large bucket is left uncompared. large: node and key."""
-    more = True
-    for turn in range(ROUNDS + 1):
-        now = large.join(linker.labels, "node")
-        span = now.groupBy("key").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).where("_x <> _y").select("key")
-        spanning = written(now.join(span, "key").select("node", "key", "label"), "spanning")
-        if spanning.isEmpty():
-            drop(spanning)
-            return
-        if turn == ROUNDS or not more or linker.degrees is None:
-            break
-        ranked = spanning.join(linker.degrees, "node", "left").withColumn("_draw", F.xxhash64("node", "key", F.lit(turn)))
-        middle = F.max_by("node", F.struct(F.coalesce("degree", F.lit(0)), "_draw"))
-        to = ranked.groupBy("key").agg(F.array(middle, F.min_by("node", "_draw")).alias("_to"))
-        met = spanning.join(to, "key").select("node", F.explode("_to").alias("other")).where("node <> other")
-        pairs = written(met.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct(), "pairs")
-        more = linker.link(pairs)
-        for done in (pairs, spanning):
-            drop(done)
-    _link_blocks(linker, spanning)
-    drop(spanning)
+    first = written(_spanning(large, linker), "spanning")
+    if first.isEmpty():
+        drop(first)
+        return
+    counts = written(_with_counts(linker.sets, first), "counts")
+    left = written(_unrefuted(first.join(counts, "node")), "unrefuted")
+    drop(first)
+    middles = left.groupBy("key").agg(F.min_by("node", F.struct(F.col("lonely") / F.col("n"), "node")).alias("_to"))
+    homes = linker.labels.withColumnsRenamed({"node": "_to", "label": "_home"})
+    met = left.join(middles.join(homes, "_to"), "key").where("label <> _home")
+    pairs = written(met.select(F.greatest("node", "_to").alias("a"), F.least("node", "_to").alias("b")).distinct(), "pairs")
+    linker.link(pairs)
+    # what the middles have merged needs no further comparison, and the bound may refute more of the buckets that stay
+    again = written(_spanning(_unrefuted(_spanning(left.drop("label"), linker)).drop("label"), linker).select("node", "key", "label"), "spanning")
+    for done in (counts, left, pairs):
+        drop(done)
+    if not again.isEmpty():
+        _link_blocks(linker, again)
+    drop(again)
 
 
-def _candidates(keyed: DataFrame, buckets: DataFrame, spread: bool) -> DataFrame:
-    """Distinct pairs (a, b), a the larger, written: all of a small bucket, those with the smallest class of a larger
-    one that are not in its component; if spread is set, also those with a class drawn by the key, so that a class that
-    is not like the smallest one meets others. keyed and buckets are joined once and are not needed afterwards."""
+def _candidates(keyed: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a the larger, written: all of a small bucket, those with the smallest class of a larger one."""
     two = buckets.where("size = 2").select(F.col("last").alias("a"), F.col("first").alias("b"))
-    more = written(keyed.join(buckets.where("size > 2").select("key", "size", "first", "first_label", "other", "other_label"), "key"), "more")
-    star = more.where((F.col("size") > SMALL) & (F.col("label") != F.col("first_label"))).select(F.col("node").alias("a"), F.col("first").alias("b"))
-    if spread:
-        drawn = more.where((F.col("size") > SMALL) & (F.col("label") != F.col("other_label")))
-        star = star.union(drawn.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")))
+    more = written(keyed.join(buckets.where("size > 2").select("key", "size", "first"), "key"), "more")
+    star = more.where((F.col("size") > SMALL) & (F.col("node") != F.col("first"))).select(F.col("node").alias("a"), F.col("first").alias("b"))
     short = more.where(F.col("size") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
     all_ = short.select(F.explode(_pairs_of(F.col("nodes"))).alias("p")).select("p.a", "p.b")
     pairs = written(two.union(star).union(all_).distinct(), "pairs")
@@ -296,93 +332,126 @@ def _candidates(keyed: DataFrame, buckets: DataFrame, spread: bool) -> DataFrame
     return pairs
 
 
-def _tables(halves: DataFrame, m: int) -> tuple[DataFrame, DataFrame]:
-    """node, label, key and the buckets of all keys whose nodes are of several components.
+def _tables(halves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """node and key, and the buckets of all keys that several nodes have: key, size, first and last; both written.
 
-    halves: node, label, pos, half, with 2 * m places.
+    halves: node, pos, half, with 2 * M places.
     """
-    shared = written(halves.groupBy("half").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).where("_x <> _y").select("half"), "halves")
-    own = halves.join(shared, "half").groupBy("node", "label").agg(F.collect_set(F.struct("pos", "half")).alias("_own"))
+    shared = written(halves.groupBy("half").agg(F.min("node").alias("_x"), F.max("node").alias("_y")).where("_x <> _y").select("half"), "halves")
+    own = halves.join(shared, "half").groupBy("node").agg(F.collect_set(F.struct("pos", "half")).alias("_own"))
     side = lambda test: F.transform(F.filter("_own", lambda h: test(h["pos"])), lambda h: h["half"])
-    own = own.select("node", "label", side(lambda p: p < m).alias("_left"), side(lambda p: p >= m).alias("_right"))
+    own = own.select("node", side(lambda p: p < M).alias("_left"), side(lambda p: p >= M).alias("_right"))
     tensor = F.flatten(F.transform("_left", lambda x: F.transform("_right", lambda y: F.xxhash64(x, y))))
-    keyed = written(own.select("node", "label", F.explode(tensor).alias("key")), "keyed")
+    keyed = written(own.select("node", F.explode(tensor).alias("key")), "keyed")
     drop(shared)
-    sizes = keyed.groupBy("key").agg(
-        F.count("*").alias("size"), F.min("node").alias("first"), F.max("node").alias("last"), F.min_by("label", "node").alias("first_label"),
-        F.min_by("node", F.xxhash64("node", "key")).alias("other"), F.min_by("label", F.xxhash64("node", "key")).alias("other_label"), F.min("label").alias("_x"), F.max("label").alias("_y")
-    )
-    return keyed, written(sizes.where("_x <> _y").drop("_x", "_y"), "buckets")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("first"), F.max("node").alias("last"))
+    return keyed, written(sizes.where("size > 1"), "buckets")
 
 
-def _longer_halves(sets: DataFrame, minima: int, m: int) -> DataFrame:
-    """node, label, pos, half: half-keys of more minima, each a fixed choice among those of its side."""
-    draw = random.Random(minima)
-    low = lambda i: F.get("minima", F.lit(i))
-    keys = [F.xxhash64(F.lit(pos), *[low(i + (pos >= m) * FUNCTIONS // 2) for i in draw.sample(range(FUNCTIONS // 2), minima)]) for pos in range(2 * m)]
-    return sets.select("node", "label", F.posexplode(F.array(*keys)).alias("pos", "half"))
+def _node(df: DataFrame, shared_ids: DataFrame | None) -> DataFrame:
+    """df (doc_id, n, d1, d2 and more) with node: the doc_id, or, where classes share it, a hash of it and the class."""
+    if shared_ids is None:
+        return df.withColumn("node", F.col("doc_id"))
+    several = shared_ids.select("doc_id", F.lit(True).alias("_several"))
+    return df.join(several, "doc_id", "left").withColumn("node", F.when(F.col("_several"), F.xxhash64("doc_id", *SET)).otherwise(F.col("doc_id"))).drop("_several")
 
 
-def _link_classes(docs: DataFrame, reps: DataFrame) -> DataFrame | None:
-    """node and label of the classes that may be linked; reps: node and its half-keys."""
-    keyed, buckets = _tables(reps.select("node", F.col("node").alias("label"), F.posexplode("keys").alias("pos", "half")), M)
-    pairs = _candidates(keyed, buckets, spread=False)
+def _link_classes(docs: DataFrame, reps: DataFrame, shared_ids: DataFrame | None) -> DataFrame | None:
+    """node and label of the classes that may be linked; reps: doc_id, digest, node and the half-keys of
+    each class."""
+    keyed, buckets = _tables(reps.select("node", F.posexplode("keys").alias("pos", "half")))
+    pairs = _candidates(keyed, buckets)
     if pairs.isEmpty():
+        for done in (keyed, buckets, pairs):
+            drop(done)
         return None
-    nodes = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "nodes")
+    nodes = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
+    ids = reps.join(nodes, "node").select("doc_id", "digest")
     # a list of ids of checked size is sent to the texts; a longer one meets them in a shuffle
     few = nodes.count() <= MOST_SENT
-    texts = docs.select("doc_id", "text").join(F.broadcast(nodes) if few else nodes, "doc_id").dropDuplicates(["doc_id", "text"])
-    linker = _Linker(written(texts.mapInArrow(_full_sets, SETS), "sets"))
+    texts = docs.join(F.broadcast(ids) if few else ids, ["doc_id", "digest"]).select("doc_id", "text").distinct()
+    sets = _node(texts.mapInArrow(_full_sets, SETS), shared_ids)
+    linker = _Linker(written(sets.select("node", "n", "minima", "shingles"), "sets"))
+    drop(nodes)
     linker.link(pairs)
     drop(pairs)
-
-    # the members of large buckets that still span components are dealt again
-    large = written(keyed.join(buckets.where(F.col("size") > SMALL).select("key"), "key").drop("label").join(linker.labels, "node"), "large")
-    span = large.groupBy("key").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).where("_x <> _y").select("key")
-    wide = written(large.join(span, "key").select("node").distinct(), "wide")
+    large = written(keyed.join(buckets.where(F.col("size") > SMALL).select("key"), "key"), "large")
     for done in (keyed, buckets):
         drop(done)
-    if not wide.isEmpty():
-        again = linker.sets.select("node", "minima").join(wide, "node", "left_semi").join(linker.labels, "node")
-        again = written(again, "again")
-        found = None
-        for minima, m in DEEPER:
-            keyed, buckets = _tables(_longer_halves(again, minima, m), m)
-            pairs = _candidates(keyed, buckets, spread=True)
-            drop(keyed)
-            drop(buckets)
-            found = pairs if found is None else found.union(pairs)
-        linker.link(found.distinct())
-        _settle(linker, large.select("node", "key"))
+    _settle(linker, large)
     drop(large)
+    drop(linker.sets)
     return linker.labels
 
 
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, digest (of the text), n_shingles, component_id and component for every row of docs (doc_id, text).
+
+    component tells components apart even if they have the same smallest doc_id, which only repeated ids allow. Rows of
+    the same doc_id with different texts are documents of their own. A row with a null doc_id has its class's component
+    and never gives a component_id; a class of such rows alone is linked with no other class and has a null
+    component_id. Texts without words have a null component.
+    """
+    docs = docs.select("doc_id", F.xxhash64("text").alias("digest"), "text")
+    features = written(docs.mapInArrow(_features, FEATURES), "features")
+    classes = written(features.where("n > 0").groupBy(*SET).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("size")), "classes")
+    shared_ids = written(classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "ids")
+    if shared_ids.isEmpty():
+        drop(shared_ids)
+        shared_ids = None
+    named = _node(classes, shared_ids)
+    # the class's half-keys, from one of the rows that carry its smallest doc_id
+    reps = features.join(classes.where("doc_id is not null").select("doc_id", *SET), ["doc_id", *SET], "left_semi")
+    reps = reps.groupBy("doc_id", *SET, "keys").agg(F.min("digest").alias("digest"))
+    reps = written(_node(reps, shared_ids).select("doc_id", "digest", "node", "keys"), "reps")
+    labels = _link_classes(docs, reps, shared_ids)
+    if labels is None:
+        named = named.withColumn("label", F.col("node"))
+    else:
+        named = named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    component = F.coalesce("label", F.xxhash64(*SET))
+    if shared_ids is None:
+        named = named.select(*SET, "size", F.col("label").alias("component_id"), component.alias("component"))
+    else:
+        named = written(named.select(*SET, "size", "doc_id", component.alias("component")), "named")
+        least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+        named = named.join(least, "component").drop("doc_id")
+    named = written(named, "components")
+    for done in [classes, reps] + [x for x in (labels, shared_ids) if x is not None]:
+        drop(done)
+    return _join_classes(features.drop("keys"), named)
+
+
+def _join_classes(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows with their class's component_id and component. A class of many rows is dealt over several tasks."""
+    limit = max(HEAVY, -(-rows.count() // MOST_COPIES))
+    heavy = named.where(F.col("size") > limit).select(*SET, F.ceil(F.col("size") / limit).cast("int").alias("_parts")).collect()
+    result = ["doc_id", "digest", F.col("n").alias("n_shingles"), "component_id", "component"]
+    full, named = rows.where("n > 0"), named.drop("size")
+    if heavy:
+        parts = F.broadcast(rows.sparkSession.createDataFrame(heavy, "n long, d1 long, d2 long, _parts int"))
+        count = F.coalesce("_parts", F.lit(1))
+        full = full.join(parts, SET, "left").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), count).cast("int"))
+        named = named.join(parts, SET, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), count - 1)))
+        joined = full.drop("_parts").join(named.drop("_parts"), [*SET, "_salt"])
+    else:
+        joined = full.join(named, SET)
+    none = F.lit(None).cast("long")
+    empty = rows.where("n = 0").select("doc_id", "digest", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), none.alias("component"))
+    return joined.select(*result).unionByName(empty)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
     Links documents whose sets of five-word shingles have a Jaccard similarity of 0.75 or more; component_id is the
     smallest doc_id reachable. Equal sets are linked. Texts that are null or without words have an empty set and are
-    linked with nothing. Repeated rows share their result, and rows with one doc_id but different texts count as
-    linked. A row with a null doc_id takes its class's component and never gives one. Other columns are not read.
+    linked with nothing. Repeated rows share their result. Rows of one doc_id with different texts are documents of their
+    own, which are linked only if they are similar. A row with a null doc_id takes its class's component and never gives
+    one. Other columns are not read.
     """
-    docs = docs.select("doc_id", "text")
-    features = written(docs.mapInArrow(_features, FEATURES), "features")
-    set_ = ["n", "d1", "d2"]
-    classes = features.where("n > 0").groupBy(*set_).agg(F.min("doc_id").alias("node"))
-    classes = written(classes, "classes")
-    # the class's features, from the rows that carry its smallest doc_id
-    reps = features.select(F.col("doc_id").alias("node"), *set_, "keys").join(classes.where("node is not null"), ["node", *set_], "left_semi")
-    labels = _link_classes(docs, reps.select("node", "keys").distinct())
-    if labels is None:
-        named = classes.withColumn("component_id", F.col("node"))
-    else:
-        named = classes.join(labels, "node", "left").withColumn("component_id", F.coalesce("label", "node"))
-    named = written(named.select(*set_, "component_id"), "components")
-    out = features.select("doc_id", *set_).join(named, set_, "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    out = grouped(docs)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,12 +57,13 @@ def corpus():
 def test_components_equal_brute_force(spark):
     rows = corpus()
     want = brute(rows)
-    for small, deeper in ((8, N.DEEPER), (2, N.DEEPER)):
-        kept, N.SMALL = N.SMALL, small
+    for small, heavy in ((8, N.HEAVY), (2, 3)):
+        kept = N.SMALL, N.HEAVY
+        N.SMALL, N.HEAVY = small, heavy
         try:
             got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.near_duplicates(docs(spark, rows, "n", "node", "label")).collect()}
         finally:
-            N.SMALL = kept
+            N.SMALL, N.HEAVY = kept
         assert got == want
 
 
@@ -97,13 +98,59 @@ def test_copies_around_a_base_are_one_component(spark):
     assert {got[i] for i in near} == {min(near)}
 
 
-def test_what_rounds_leave_is_compared_in_blocks(spark):
-    kept = N.SMALL, N.ROUNDS, N.BLOCK_SETS
+def test_what_is_left_is_compared_in_blocks(spark):
+    kept = N.SMALL, N.BLOCK_SETS
     rows = corpus()
     want = brute(rows)
     try:
-        N.SMALL, N.ROUNDS, N.BLOCK_SETS = 2, 0, 7
+        N.SMALL, N.BLOCK_SETS = 1, 7
         got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in N.near_duplicates(docs(spark, rows)).collect()}
     finally:
-        N.SMALL, N.ROUNDS, N.BLOCK_SETS = kept
+        N.SMALL, N.BLOCK_SETS = kept
     assert got == want
+
+
+def around(size):
+    """Copies of one text with up to 8 % of their words replaced: many pairs are near the limit."""
+    r = rng(21)
+    base = prose(r, 150)
+    return [(i, edited(r, base, r.uniform(0.005, 0.08))) for i in range(size)]
+
+
+def test_groups_near_the_limit_equal_brute_force_and_pairs_grow_in_proportion(spark):
+    made, link = {}, N._Linker.link
+
+    def counted(self, pairs):
+        made[size] = made.get(size, 0) + pairs.count()
+        return link(self, pairs)
+
+    N._Linker.link = counted
+    try:
+        for size in (300, 600, 1200):
+            rows = around(size)
+            got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in N.near_duplicates(docs(spark, rows)).collect()}
+            assert got == brute(rows)
+    finally:
+        N._Linker.link = link
+    assert made[1200] <= 4 * 1.15 * made[300]
+
+
+def test_same_id_and_other_texts_are_documents_of_their_own(spark):
+    a, b, c = "a b c d e f g h", "q r s t u v w x", "k l m n o p i j"
+    rows = [(5, a), (5, b), (6, a), (6, b), (4, c), (5, c), (None, c), (None, "z z y y x x w w")]
+    got = sorted((tuple(r) for r in N.grouped(docs(spark, rows)).select("doc_id", "component_id", "component").collect()), key=str)
+    assert [x[:2] for x in got] == [(4, 4), (5, 4), (5, 5), (5, 5), (6, 5), (6, 5), (None, 4), (None, None)]
+    assert len({x[2] for x in got}) == 4
+    assert sum(r["kept"] for r in N.near_duplicates(docs(spark, rows)).collect()) == 4
+
+
+def test_many_copies_of_one_text(spark):
+    r = rng(3)
+    text, kept = prose(r, 40), N.HEAVY
+    rows = [(i, text) for i in range(300)] + [(1000 + i, prose(r, 40)) for i in range(50)] + [(2000, None)] * 100
+    try:
+        N.HEAVY = 20
+        got = [tuple(x) for x in N.near_duplicates(docs(spark, rows)).collect()]
+    finally:
+        N.HEAVY = kept
+    assert len(got) == len(rows) and all(x[2] == 0 for x in got if x[0] < 300) and all(x[2] == x[0] for x in got if x[0] >= 1000)

@@ -44,6 +44,9 @@ def test_clean_labels_stay(spark):
 def test_edges(spark):
     df = docs(spark, [*EDGES, (50, "my password=abcdefghijklmnop end")])
     assert P.drop_near_duplicates(spark, df, SF).where("doc_id = 5").count() == 1
+    a, b = "alpha beta gamma delta epsilon zeta eta", "one two three four five six seven eight"
+    rows = P.drop_near_duplicates(spark, docs(spark, [(5, a), (5, b), (6, a), (None, a), (None, b + " nine"), (None, b + " nine"), (8, None), (8, "")]), SF)
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in rows.collect()) == sorted([(5, a), (5, b), (0, b + " nine"), (8, ""), (8, "")])
     out = {r["doc_id"]: r for r in P.redact_secrets(spark, df, SF).collect()}
     assert out[50]["text"] == "my [REDACTED] end" and out[50]["n_chars"] == len(out[50]["text"]) and out[1]["text"] is None
     none = df.limit(0)
