@@ -29,13 +29,20 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each component of near-duplicates, and one of repeated rows.
+    """Keeps of each component of near-duplicates the row with the smallest doc_id, then the smallest digest of its text.
 
-    Rows with a null doc_id cannot be told apart by id and stay.
+    Rows are told apart by doc_id and text, so rows of one doc_id with different texts are documents of their own, and of
+    repeated rows one stays. A row with a null doc_id stays only if no other of its class has one. Texts without words
+    are like nothing and stay.
     """
-    kept = neardup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    unnamed = docs.where("doc_id is null").select(*COLUMNS)
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(unnamed)
+    found = written(neardup.grouped(docs), "grouped")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_unnamed"), "doc_id", "digest")).alias("_first")
+    winners = found.where("component is not null").groupBy("component").agg(first).select("_first.doc_id", "_first.digest")
+    kept = winners.unionByName(found.where("component is null").select("doc_id", "digest").distinct())
+    keys = kept.withColumnsRenamed({"doc_id": "_id", "digest": "_digest"})
+    rows = docs.select(*COLUMNS).withColumn("_row", F.xxhash64("text"))
+    rows = rows.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_digest")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "_row"]).select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
