@@ -12,27 +12,30 @@ the smallest. Candidates are compared by their minima, then exactly on their
 full shingle sets, and the verified links are contracted at once: components of
 links are found by spreading smallest labels between tables.
 
-Large buckets that then span several components go on in three steps, each of
-which sees only what the one before left apart:
-
-1. A class leaves a bucket in which it provably has no link. Its shingles that
-   no other class of these buckets has count towards every union but towards no
-   intersection, and a link at 0.75 needs 7/3 of the larger set's common part.
-2. Each class meets the middle of its bucket: the class with the smallest share
-   of such lonely shingles, which for copies around a base is the base.
-3. All classes of different components that large buckets still connect are
-   compared exactly, in blocks of sets that emit links only. This step grows
-   with the square of a group, of classes that share buckets, that the bound
-   cannot refute and that are not linked.
+Components that large buckets then still connect form groups, which go on in
+three steps, each of which sees only what the one before left apart:
+
+1. A class leaves its group if it provably has no link there. Its shingles that
+   no other class of the groups has count towards every union but towards no
+   intersection, and a link at 0.75 needs 3/7 of both sizes as common part.
+2. Each class meets the middles of its half-keys: for each half-key, the class
+   with the smallest share of such lonely shingles, which for copies around a
+   base is the base.
+3. All classes of different components of a group, divided once more by the
+   half-keys of those left, are compared exactly, in blocks of sets of similar
+   size that emit links only. This step grows with the square of a group, of
+   classes that share half-keys, that the bound cannot refute and that are not
+   linked; its largest component is not compared with itself.
 
 What can be lost: a pair at a similarity of exactly 0.75 shares no key with
 odds of 2 * (1 - 0.75**2)**M = 0.00002, and, where its buckets are small, has
-too few equal minima with odds of 0.0000004 (both far less above). In a large
-bucket no pair of different components stays uncompared.
+too few equal minima with odds of 0.0000004 (both far less above). Of those that
+share a large bucket no pair of different components stays uncompared.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,6 +57,8 @@ BLOCK_SHINGLES = 500_000
 #: Pairs with fewer equal minima are not compared further: 0.75 less five standard deviations.
 LEAST_EQUAL = 25
 SIMILAR = 75
+#: Sets of one band of sizes are at most this many times as large as each other: more than 4 / 3, so links stay in bands side by side.
+BAND = 1.4
 #: Ids of candidate documents that are sent to every executor, at most: 4 MB.
 MOST_SENT = 500_000
 
@@ -208,14 +213,20 @@ class _Linker:
 def _block_links(key: tuple, rows: pa.Table) -> pa.Table:
     """Links (a, b) of labels among the rows of two blocks, exact; those that others imply are left out."""
     _, i, j = (k.as_py() for k in key)
-    labels, block, n = (rows[c].to_numpy() for c in ("label", "block", "n"))
+    labels, block, n, lonely = (rows[c].to_numpy() for c in ("label", "block", "n", "lonely"))
     lists = rows["shingles"].combine_chunks()
     flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(n)
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
     links: list[tuple[int, int]] = []
-    if len(left) and len(right) and (labels != labels[0]).any():
+    if len(left) and len(right):
+        # only rows that the bound does not refute against the smallest of the other side
+        common = (100 + SIMILAR) * (n - lonely)
+        left, right = (own[common[own] >= SIMILAR * (n[own] + n[other].min())] for own, other in ((left, right), (right, left)))
+    if len(left) and len(right) and (labels[np.concatenate([left, right])] != labels[left[0]]).any():
+        chosen = np.zeros(len(n), bool)
+        chosen[right] = True
         owner = np.repeat(np.arange(len(n)), n)
-        inside = np.flatnonzero(block[owner] == j)
+        inside = np.flatnonzero(chosen[owner])
         inside = inside[np.argsort(flat[inside], kind="stable")]
         tokens, owner = flat[inside], owner[inside]
         up = {x: x for x in labels.tolist()}
@@ -240,84 +251,92 @@ def _block_links(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
 
-def _link_blocks(linker: _Linker, spanning: DataFrame) -> None:
-    """Compare all classes of different components that buckets connect. spanning: node, key and label.
-
-    The largest component of such a group is only compared with the rest, not with itself.
-    """
-    firsts = spanning.groupBy("key").agg(F.min("node").alias("b"))
-    groups = components(spanning.join(firsts, "key").select(F.col("node").alias("a"), "b").where("a <> b").distinct())
-    ids = groups.withColumnRenamed("label", "group").join(linker.labels, "node").join(linker.sets.select("node", F.col("n").alias("_n")), "node")
-    ids = written(ids, "grouped")
-    by_label = ids.groupBy("group", "label").agg(F.count("*").alias("size"), F.sum("_n").alias("total"))
-    sizes = by_label.groupBy("group").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
-    blocks = by_label.join(sizes, "group").groupBy("group", "main", (F.col("label") == F.col("main")).alias("_is_main")).agg(F.sum("size").alias("size"), F.sum("total").alias("total"))
-    needed = F.ceil(F.greatest(F.col("size") / BLOCK_SETS, F.col("total") / BLOCK_SHINGLES)).cast("int")
-    side = lambda test: F.max(F.when(test, needed))
-    blocks = blocks.groupBy("group", "main").agg(side(~F.col("_is_main")).alias("_rest"), side(F.col("_is_main")).alias("_mains"))
-    placed = ids.join(blocks, "group")
-    is_main = F.col("label") == F.col("main")
-    spot = lambda count: F.pmod(F.xxhash64("node"), count).cast("int")
-    placed = placed.withColumn("block", F.when(is_main, F.col("_rest") + spot(F.col("_mains"))).otherwise(spot(F.col("_rest"))))
-    last = F.when(is_main, F.col("_rest")).otherwise(F.col("_rest") + F.col("_mains")) - 1
-    placed = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), last)))
-    placed = placed.select("node", "label", "group", "block", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"))
-    rows = placed.join(linker.sets.select("node", "n", "shingles"), "node").select("group", "i", "j", "block", "label", "n", "shingles")
-    links = written(rows.groupBy("group", "i", "j").applyInArrow(_block_links, "a long, b long").distinct(), "links")
-    if not links.isEmpty():
-        linker.merge(links)
-    for done in (links, ids, groups):
+def _connected(rows: DataFrame, by: list[str]) -> DataFrame | None:
+    """label and group for all labels that share by with another one; rows: label and by."""
+    met = written(rows.select("label", *by).distinct(), "met")
+    several = met.groupBy(*by).agg(F.min("label").alias("b"), F.max("label").alias("_y")).where("b <> _y").drop("_y")
+    edges = written(met.join(several, by).where("label <> b").select(F.col("label").alias("a"), "b").distinct(), "edges")
+    groups = None if edges.isEmpty() else components(edges).withColumnsRenamed({"label": "group", "node": "label"})
+    for done in (met, edges):
         drop(done)
-
-
-def _spanning(rows: DataFrame, linker: _Linker) -> DataFrame:
-    """The rows (node, key) with their labels of the buckets that hold several components."""
-    now = rows.join(linker.labels, "node")
-    span = now.groupBy("key").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).where("_x <> _y").select("key")
-    return now.join(span, "key")
+    return groups
 
 
 def _with_counts(sets: DataFrame, rows: DataFrame) -> DataFrame:
-    """node, n and lonely, the number of shingles that no other node of rows has, for every node of rows."""
-    own = sets.join(rows.select("node").distinct(), "node", "left_semi")
+    """rows with n and lonely, the number of a node's shingles that no other node of rows has."""
+    own = sets.join(rows.select("node"), "node", "left_semi")
     held = own.select("node", F.explode("shingles").alias("_s")).groupBy("_s").agg(F.min("node").alias("node"), F.max("node").alias("_other"))
     alone = held.where("node = _other").groupBy("node").agg(F.count("*").alias("_alone"))
-    return own.select("node", "n").join(alone, "node", "left").select("node", "n", F.coalesce("_alone", F.lit(0)).alias("lonely"))
+    counts = own.select("node", "n").join(alone, "node", "left").select("node", "n", F.coalesce("_alone", F.lit(0)).alias("lonely"))
+    return rows.join(counts, "node")
 
 
 def _unrefuted(rows: DataFrame) -> DataFrame:
-    """The rows (node, key, label, n, lonely) whose class may be linked with another of its bucket.
+    """The rows (node, group, n, lonely) whose class may be linked with another of its group.
 
     A link of sets of n and m shingles has 100 * common >= SIMILAR * (n + m - common), where common is at most
-    n - lonely and m is at least SIMILAR % of n and the smallest of the bucket.
+    n - lonely and m is at least SIMILAR % of n and the smallest of the group.
     """
-    least = rows.groupBy("key").agg(F.min("n").alias("_least"))
+    least = rows.groupBy("group").agg(F.min("n").alias("_least"))
     other = F.greatest(F.col("_least"), F.ceil(SIMILAR * F.col("n") / 100))
     may = (100 + SIMILAR) * (F.col("n") - F.col("lonely")) >= SIMILAR * (F.col("n") + other)
-    return rows.join(least, "key").where(may).drop("_least")
+    return rows.join(least, "group").where(may).drop("_least")
+
+
+def _link_blocks(linker: _Linker, rows: DataFrame) -> None:
+    """Compare all classes of different components of a group. rows: node, label, group, n and lonely; written.
+
+    Sets are dealt into blocks of one band of sizes, which meet those of the same band and the two beside it. The
+    largest component of a group is only compared with the rest, not with itself.
+    """
+    sizes = rows.groupBy("group", "label").count().groupBy("group").agg(F.max_by("label", F.struct("count", "label")).alias("_main"))
+    band = F.floor(F.log("n") / math.log(BAND)).cast("int")
+    rows = rows.join(sizes, "group").withColumns({"is_main": F.col("label") == F.col("_main"), "band": band}).drop("_main")
+    place = ["group", "band", "is_main"]
+    needed = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    blocks = written(rows.groupBy(*place).agg(needed.alias("_count")), "blocks")
+    block = F.xxhash64("band", "is_main", "_spot")
+    rows = rows.join(blocks, place).withColumn("_spot", F.pmod(F.xxhash64("node"), "_count")).withColumn("block", block)
+    rows = written(rows.select("node", "label", "group", "block", "lonely"), "placed")
+    blocks = blocks.withColumn("_spot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_count").cast("long") - 1))).withColumn("block", block)
+    one = blocks.where("not is_main").select("group", "band", F.col("block").alias("i"))
+    other = blocks.select("group", F.explode(F.array(*[F.col("band") + x for x in (-1, 0, 1)])).alias("band"), F.col("block").alias("j"), "is_main")
+    meets = written(one.join(other, ["group", "band"]).where("is_main or j >= i").select("group", "i", "j"), "meets")
+    sides = meets.select("*", F.col("i").alias("block")).union(meets.where("i <> j").select("*", F.col("j").alias("block")))
+    full = rows.join(sides, ["group", "block"]).join(linker.sets.select("node", "n", "shingles"), "node")
+    full = full.select("group", "i", "j", "block", "label", "n", "lonely", "shingles")
+    links = written(full.groupBy("group", "i", "j").applyInArrow(_block_links, "a long, b long").distinct(), "links")
+    if not links.isEmpty():
+        linker.merge(links)
+    for done in (links, meets, rows):
+        drop(done)
 
 
-def _settle(linker: _Linker, large: DataFrame) -> None:
-    """Link until no pair of different components in a large bucket is left uncompared. large: node and key."""
-    first = written(_spanning(large, linker), "spanning")
-    if first.isEmpty():
-        drop(first)
+def _settle(linker: _Linker, large: DataFrame, halves: DataFrame) -> None:
+    """Link until no pair of different components in a large bucket is left uncompared. large: node and key of large
+    buckets; halves: node and half."""
+    groups = _connected(large.join(linker.labels, "node"), ["key"])
+    if groups is None:
         return
-    counts = written(_with_counts(linker.sets, first), "counts")
-    left = written(_unrefuted(first.join(counts, "node")), "unrefuted")
-    drop(first)
-    middles = left.groupBy("key").agg(F.min_by("node", F.struct(F.col("lonely") / F.col("n"), "node")).alias("_to"))
-    homes = linker.labels.withColumnsRenamed({"node": "_to", "label": "_home"})
-    met = left.join(middles.join(homes, "_to"), "key").where("label <> _home")
+    members = written(linker.labels.join(groups, "label"), "members")
+    left = written(_unrefuted(_with_counts(linker.sets, members)).drop("label"), "unrefuted")
+    # the middles
+    dealt = written(halves.join(left, "node").join(linker.labels, "node").select("node", "half", "label", "lonely", "n"), "dealt")
+    middle = F.min_by(F.struct("node", "label"), F.struct(F.col("lonely") / F.col("n"), "node"))
+    middles = dealt.groupBy("half").agg(middle.alias("_m")).select("half", F.col("_m.node").alias("_to"), F.col("_m.label").alias("_home"))
+    met = dealt.select("node", "half", "label").join(middles, "half").where("label <> _home")
     pairs = written(met.select(F.greatest("node", "_to").alias("a"), F.least("node", "_to").alias("b")).distinct(), "pairs")
     linker.link(pairs)
-    # what the middles have merged needs no further comparison, and the bound may refute more of the buckets that stay
-    again = written(_spanning(_unrefuted(_spanning(left.drop("label"), linker)).drop("label"), linker).select("node", "key", "label"), "spanning")
-    for done in (counts, left, pairs):
+    for done in (members, dealt, pairs):
         drop(done)
-    if not again.isEmpty():
-        _link_blocks(linker, again)
-    drop(again)
+    # what is still apart and shares a half-key within its group
+    now = left.join(linker.labels, "node")
+    again = _connected(halves.join(now, "node"), ["group", "half"])
+    if again is not None:
+        rest = written(now.drop("group").join(again, "label"), "rest")
+        _link_blocks(linker, rest)
+        drop(rest)
+    drop(left)
 
 
 def _candidates(keyed: DataFrame, buckets: DataFrame) -> DataFrame:
@@ -359,7 +378,8 @@ def _node(df: DataFrame, shared_ids: DataFrame | None) -> DataFrame:
 def _link_classes(docs: DataFrame, reps: DataFrame, shared_ids: DataFrame | None) -> DataFrame | None:
     """node and label of the classes that may be linked; reps: doc_id, digest, node and the half-keys of
     each class."""
-    keyed, buckets = _tables(reps.select("node", F.posexplode("keys").alias("pos", "half")))
+    halves = reps.select("node", F.posexplode("keys").alias("pos", "half"))
+    keyed, buckets = _tables(halves)
     pairs = _candidates(keyed, buckets)
     if pairs.isEmpty():
         for done in (keyed, buckets, pairs):
@@ -378,7 +398,7 @@ def _link_classes(docs: DataFrame, reps: DataFrame, shared_ids: DataFrame | None
     large = written(keyed.join(buckets.where(F.col("size") > SMALL).select("key"), "key"), "large")
     for done in (keyed, buckets):
         drop(done)
-    _settle(linker, large)
+    _settle(linker, large, reps.join(large.select("node").distinct(), "node", "left_semi").select("node", F.explode(F.slice("keys", 1, M)).alias("half")))
     drop(large)
     drop(linker.sets)
     return linker.labels
