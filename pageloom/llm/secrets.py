@@ -2,9 +2,9 @@
 
 Every version of every text is addressed by the SHA-256 of its content. The
 ledger keeps, for each blob, which rule versions have scanned it and the spans
-they found. A run scans only pairs of blob and rule version that the ledger
-lacks, each blob once however many paths hold it, and joins the findings back
-to all paths. Built-in functions only: copies are combined before the shuffle
+they found, each under the name of its rule version. A run scans only pairs of
+blob and rule version that the ledger lacks, each blob once however many paths
+hold it, and joins the findings of the rule versions in force back to all paths. Built-in functions only: copies are combined before the shuffle
 (by ``dropDuplicates``), and what is joined back is digests and spans.
 """
 
@@ -60,17 +60,27 @@ BASE = (
 )
 RULES = (
     *BASE,
-    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", hints=("PRIVATE KEY-----",)),
+    # header lines, then all up to the end line, or, where that is missing, the lines of key characters
+    Rule(
+        "pem",
+        "-----BEGIN [A-Z ]*PRIVATE KEY-----"
+        + r"(?:[\x0A\x0D]+[A-Za-z]+-[A-Za-z]+:[^\x0A\x0D]*){0,4}"
+        + r"(?:[^-]*-----END [A-Z ]*PRIVATE KEY-----|[\x20\x09-\x0D]+[A-Za-z0-9+/=\x0A\x0D]{40,})?",
+        hints=("PRIVATE KEY-----",),
+        version=2,
+    ),
     Rule("github", "gh[pousr]_[A-Za-z0-9]{36,}", hints=("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", hints=("xox",)),
     Rule("google", "AIza[A-Za-z0-9_-]{35}", hints=("AIza",)),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", hints=("eyJ",)),
 )
 
+#: As the ledger keeps them, and as findings() gives them: place is that of the rule among those in force.
+KEPT_SPANS = "array<struct<start:int,end:int,rule:string>>"
 SPANS = "array<struct<start:int,place:int,end:int,kind:string>>"
 
 
-def _found(text: Column, rule: Rule, place: int) -> Column:
+def _found(text: Column, rule: Rule) -> Column:
     """The rule's spans in code points: what lies between matches and the matches themselves give running offsets."""
     parts = F.arrays_zip(
         F.split(text, rule.pattern, -1).alias("gap"),
@@ -81,11 +91,11 @@ def _found(text: Column, rule: Rule, place: int) -> Column:
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.char_length(x["gap"])
         end = start + F.coalesce(F.char_length(x["match"]), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(place).alias("place"), end.alias("end"), F.lit(rule.kind).alias("kind"))
+        span = F.struct(start.alias("start"), end.alias("end"), F.lit(rule.name).alias("rule"))
         good = F.coalesce(F.char_length(x["value"]) >= rule.shortest, F.lit(False))
         return F.struct(end.alias("at"), F.when(good, F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(KEPT_SPANS).alias("spans"))
     return F.aggregate(parts, zero, step, lambda acc: acc["spans"])
 
 
@@ -99,14 +109,14 @@ def _may_hold(rule: Rule, text: Column, lower: Column) -> Column:
 
 
 def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """blob, seen (names of the rules) and spans (by start, then place of the rule) for each row of blob, text, missing.
+    """blob, seen (names of the rules) and spans (with the names of their rules) for each row of blob, text, missing.
 
     A rule runs on a row only if missing, an array of rule names, holds it.
     """
     df = blobs.withColumn("_lower", F.lower("text"))
-    none = F.array().cast(SPANS)
-    found = [F.when(F.array_contains("missing", r.name) & _may_hold(r, F.col("text"), F.col("_lower")), _found(F.col("text"), r, i)).otherwise(none) for i, r in enumerate(rules)]
-    return df.select("blob", F.col("missing").alias("seen"), F.sort_array(F.concat(*found)).alias("spans"))
+    none = F.array().cast(KEPT_SPANS)
+    found = [F.when(F.array_contains("missing", r.name) & _may_hold(r, F.col("text"), F.col("_lower")), _found(F.col("text"), r)).otherwise(none) for r in rules]
+    return df.select("blob", F.col("missing").alias("seen"), F.concat(*found).alias("spans"))
 
 
 def blob(text: Column) -> Column:
@@ -116,25 +126,35 @@ def blob(text: Column) -> Column:
 def update(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The ledger (blob, seen, spans) with the texts of docs: a row for each scan of a blob, written by the caller.
 
-    Rows of the old ledger stay as they are. A blob that only some rules have seen gets one more row, for the others.
-    Null texts count as empty. Blobs that all rules have seen are not scanned.
+    Rows of the old ledger stay as they are. A blob that only some rule versions have seen gets one more row, for the
+    others. Null texts count as empty. Blobs that all rules have seen are not scanned, and where few are new, the texts
+    of the others are not shuffled.
     """
     names = F.array(*[F.lit(r.name) for r in rules])
     text = F.coalesce(F.col("text"), F.lit(""))
     blobs = docs.select(blob(F.col("text")).alias("blob"), text.alias("text"))
     if ledger is None:
         return scan(blobs.dropDuplicates(["blob"]).withColumn("missing", names), rules)
-    seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("seen"))).alias("_seen"))
-    lacking = blobs.join(seen, "blob", "left").withColumn("missing", F.array_except(names, F.coalesce("_seen", F.array().cast("array<string>"))))
-    unseen = lacking.where(F.size("missing") > 0).select("blob", "text", "missing").dropDuplicates(["blob"])
-    return ledger.unionByName(scan(unseen, rules))
+    seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("seen"))).alias("_seen"))
+    lacking = F.array_except(names, F.coalesce("_seen", F.array().cast("array<string>")))
+    unseen = blobs.select("blob").distinct().join(seen, "blob", "left").select("blob", lacking.alias("missing"))
+    unseen = written(unseen.where(F.size("missing") > 0), "unseen")
+    if unseen.count() <= MOST_SENT:
+        blobs = blobs.join(F.broadcast(unseen.select("blob")), "blob", "left_semi")
+    return ledger.unionByName(scan(blobs.dropDuplicates(["blob"]).join(unseen, "blob"), rules))
 
 
 def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """blob and spans of the current rules, for blobs with any; one row for each blob."""
-    kinds = [r.kind for r in rules]
-    some = ledger.where(F.size("spans") > 0).groupBy("blob").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
-    return some.withColumn("spans", F.filter("spans", lambda s: s["kind"].isin(kinds)))
+    """blob and spans (by start, then place of the rule) of the rule versions in force, for blobs with any.
+
+    One row for each blob. What other versions of a rule, or rules no longer in force, have found is left out.
+    """
+    names = F.array(*[F.lit(r.name) for r in rules])
+    kinds = F.array(*[F.lit(r.kind) for r in rules])
+    place = lambda s: (F.array_position(names, s["rule"]) - 1).cast("int")
+    full = lambda s: F.struct(s["start"].alias("start"), place(s).alias("place"), s["end"].alias("end"), F.get(kinds, place(s)).alias("kind"))
+    now = ledger.select("blob", F.transform(F.filter("spans", lambda s: F.array_contains(names, s["rule"])), full).alias("spans"))
+    return now.where(F.size("spans") > 0).groupBy("blob").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
 
 
 def spans_of(docs: DataFrame, found: DataFrame) -> DataFrame:

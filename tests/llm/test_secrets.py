@@ -52,6 +52,32 @@ def test_ledger_is_incremental(spark):
     assert len(new) == 1 and new[0]["seen"] == ["word@1"] and len(new[0]["spans"]) == 1
 
 
+def test_only_rule_versions_in_force_report(spark):
+    old = S.Rule("access", "AKIA[A-Z0-9]{14,}", hints=("AKIA",), version=1)
+    new = S.Rule("access", "AKIA[0-9][A-Z0-9]{13,}", hints=("AKIA",), version=2)
+    texts = docs(spark, [(1, "AKIA" + "A" * 14), (2, "AKIA" + "7" * 14), (3, "AKIA" + "7" * 14)])
+    first = written(S.update(texts, rules=(old,)), "ledger")
+    both = written(S.update(texts, first, (new,)), "ledger")
+    get = lambda ledger, *rules: sorted((r["doc_id"], len(r["spans"])) for r in S.spans_of(texts, written(S.findings(ledger, rules), "findings")).collect())
+    assert get(first, old) == [(1, 1), (2, 1), (3, 1)]
+    assert get(both, new) == [(1, 0), (2, 1), (3, 1)]
+    # back to the first version: nothing is scanned again, and nothing is reported twice
+    again = written(S.update(texts, both, (old,)), "ledger")
+    assert again.count() == both.count() and get(again, old) == [(1, 1), (2, 1), (3, 1)]
+    moved = S.Rule("word", "zzz"), new
+    assert get(written(S.update(texts, again, moved), "ledger"), *moved) == [(1, 0), (2, 1), (3, 1)]
+
+
+def test_a_private_key_is_found_with_its_body(spark):
+    body = "\n".join("MIIEpAIBAAKCAQEA" * 4 for _ in range(25))
+    whole = "-----BEGIN RSA PRIVATE KEY-----\n" + body + "\n-----END RSA PRIVATE KEY-----"
+    headed = whole.replace("KEY-----\nMII", "KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\nMII", 1)
+    cut = "-----BEGIN PRIVATE KEY-----\n" + body
+    texts = [(1, "a " + whole + " b"), (2, "a " + headed + " b"), (3, "a " + cut + " some words of prose follow"), (4, "-----BEGIN PRIVATE KEY----- and prose - with a dash")]
+    got = {r["doc_id"]: r["t"] for r in found(spark, docs(spark, texts)).select("doc_id", S.redacted(F.col("text"), F.col("spans")).alias("t")).collect()}
+    assert got[1] == got[2] == "a [REDACTED] b" and got[3] == "a [REDACTED] some words of prose follow" and got[4].endswith(" and prose - with a dash")
+
+
 def test_redaction(spark):
     df = found(spark, docs(spark, [(1, TEXTS[0]), (2, "clean"), (3, "")]))
     got = {r["doc_id"]: r["t"] for r in df.select("doc_id", S.redacted(F.col("text"), F.col("spans")).alias("t")).collect()}
