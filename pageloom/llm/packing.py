@@ -28,7 +28,7 @@ END = 1
 GROUP_DOCS = 4096
 SEED = 20240
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, copy long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -56,21 +56,27 @@ def _pieces(path: str, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
         for batch in batches:
-            columns: list[list] = [[], [], [], [], []]
+            columns: list[list] = [[], [], [], [], [], []]
+            copies: dict[tuple, int] = {}
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.append(bpe.ids(text.as_py() or ""), np.uint32(END)).astype("<u4")
+                row = (doc_id, len(ids), zlib.crc32(ids.tobytes()))
+                copies[row] = copies.get(row, -1) + 1
                 for start in range(0, len(ids), size):
                     piece = ids[start : start + size]
-                    for column, value in zip(columns, (doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)), strict=True):
+                    for column, value in zip(columns, (doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), copies[row]), strict=True):
                         column.append(value)
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "copy"]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
     return cut
 
 
 def pieces(docs: DataFrame, path: str | None = None, size: int = SEQUENCE) -> DataFrame:
-    """A row for each piece of each document: doc_id, start, length, ids_crc32, doc_tokens. Null texts count as empty."""
+    """A row for each piece of each document: doc_id, start, length, ids_crc32, doc_tokens, copy.
+
+    copy numbers equal rows (one doc_id and text) within an Arrow batch. Null texts count as empty.
+    """
     return docs.select("doc_id", "text").mapInArrow(_pieces(path or default_path(), size), PIECES)
 
 
@@ -79,7 +85,7 @@ def _pack(size: int) -> Callable[[pa.Table], pa.Table]:
         group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
         bins, offsets = first_fit(group["length"].to_pylist(), size)
         first = group["_group"][0].as_py() << 32
-        group = group.drop_columns(["_group"])
+        group = group.drop_columns(["_group", "copy"])
         group = group.append_column("sequence_id", pa.array([first + b for b in bins], pa.int64()))
         return group.append_column("offset", pa.array(offsets, pa.int64()))
 
@@ -89,13 +95,12 @@ def _pack(size: int) -> Callable[[pa.Table], pa.Table]:
 def packed(cut: DataFrame, n_docs: int, size: int = SEQUENCE, group_docs: int = GROUP_DOCS) -> DataFrame:
     """pieces() with sequence_id and offset. n_docs sets the number of groups.
 
-    Sequences of a group are numbered from its number times 2**32. Equal documents are packed each on their own;
-    pieces of null doc_ids are dealt by their checksum. Lengths of at most ``size`` are required, as pieces() gives them.
+    Sequences of a group are numbered from its number times 2**32. Equal documents are packed each on their own. Groups
+    follow doc_id, checksum and copy, so neither null nor repeated ids fill a group. Lengths of at most ``size`` are required, as pieces() gives them.
     """
     groups = max(1, -(-n_docs // group_docs))
-    # a document is spread over its pieces' groups, so that one endless document does not make one endless group
-    own = F.coalesce("doc_id", "ids_crc32")
-    key = F.pmod(F.xxhash64(own, F.floor(F.col("start") / (64 * size)), F.lit(SEED)), F.lit(groups))
+    # a document is spread over groups, so that one endless document does not make one endless group
+    key = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "copy", F.lit(SEED)), F.lit(groups))
     return cut.withColumn("_group", key).groupBy("_group").applyInArrow(_pack(size), PACKED)
 
 

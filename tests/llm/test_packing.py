@@ -4,6 +4,7 @@ import numpy as np
 from helpers import EDGES, docs, prose, rng
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from pageloom.llm import packing as P
 from pageloom.llm.tokens import ByteBpe, default_path
@@ -55,3 +56,11 @@ def test_every_id_in_one_piece(spark):
 
 def test_empty(spark):
     assert P.pack(docs(spark, EDGES).limit(0)).count() == 0
+
+
+def test_null_and_repeated_ids_fill_no_group(spark):
+    rows = [(None, "the same text")] * 3000 + [(4, f"text {i}") for i in range(1500)] + [(i, "own") for i in range(10, 1510)]
+    cut = P.pieces(docs(spark, rows))
+    got = P.packed(cut, len(rows), group_docs=256)
+    sizes = [r["count"] for r in got.groupBy((F.col("sequence_id") / (1 << 32)).cast("long")).count().collect()]
+    assert sum(sizes) == 6000 and max(sizes) <= 2 * 6000 / len(sizes)
