@@ -26,10 +26,11 @@ def _safe(text: Column) -> Column:
 def threads(conversations: DataFrame) -> DataFrame:
     """conv_id and turns, an array of (role, text) ordered by turn, then role, then text; nulls come first.
 
-    A conversation becomes one row, since it is rendered as one text. Turns with null conv_id make one conversation.
+    A conversation becomes one row, since it is rendered as one text. Turns with null conv_id belong to none and are
+    left out before turns are gathered.
     """
     turn = F.struct("turn", "role", "text")
-    turns = conversations.select("conv_id", "turn", "role", "text").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    turns = conversations.select("conv_id", "turn", "role", "text").where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     return turns.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
@@ -97,11 +98,11 @@ def pairs_by_opening(convs: DataFrame) -> DataFrame:
     """Each conversation, as chosen, against the first (by id) of those that open with the same turn, as rejected.
 
     The first one itself, or one that shares its opening with none, has no rejected conversation. Openings are digests,
-    counted before they are shuffled, so a common opening is no hot group. Null ids are left out.
+    counted before they are shuffled, so a common opening is no hot group.
     """
     first = F.get("turns", F.lit(0))
     opening = F.sha2(F.to_json(F.struct(first["role"].alias("r"), first["text"].alias("t"))), 256)
-    opened = convs.where("conv_id is not null").select(F.col("conv_id").alias("chosen_id"), opening.alias("_opening"))
+    opened = convs.select(F.col("conv_id").alias("chosen_id"), opening.alias("_opening"))
     firsts = written(opened.groupBy("_opening").agg(F.min("chosen_id").alias("_first")), "openings")
     rejected = F.when(F.col("_first") != F.col("chosen_id"), F.col("_first")).alias("rejected_id")
     return opened.join(firsts, "_opening").select("chosen_id", rejected)
