@@ -9,8 +9,9 @@ before it only: it is tabled for every four-byte string seen in training, and
 worked out from shorter ones for the rest. A text's code length under a
 language is the exact sum over all its bytes; the shortest wins.
 
-Training counts a bounded sample of labelled documents on the executors. What
-reaches the driver, and is broadcast, is bounded by that sample.
+Training counts a bounded sample of labelled documents on the executors, bounded
+in documents and bytes of a language and in languages. What reaches the driver,
+and is broadcast, is bounded by that sample.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ from pageloom.llm.common import cached, table
 
 #: Documents a language is learned from, about (each labelled document is taken with equal odds).
 SAMPLE_DOCS = 400
+#: Bytes a language is learned from, about, where that is less: 400 documents of 20 KB.
+SAMPLE_BYTES = 8_000_000
+#: Languages that are learned, at most: those with the most labelled documents.
+MOST_LANGUAGES = 256
 ORDER = 3
 #: Texts are coded in windows of about this many bytes; a longer text is carried on from window to window.
 WINDOW = 1 << 20
@@ -71,14 +76,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays(arrays, names=["lang", "n", "gram", "times"])
 
 
-def sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """About sample_docs labelled documents of each language, none held out, chosen by a hash of doc_id."""
+def sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """About sample_docs labelled documents, or sample_bytes, of each of MOST_LANGUAGES languages, none held out.
+
+    Documents are chosen by a hash of doc_id.
+    """
     usable = F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
     labelled = docs.select("doc_id", "lang", "text").where(usable)
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes"))
+    sizes = sizes.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     if not sizes:
         return labelled.limit(0)
-    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample_docs / n))]), F.col("lang"))
+    shares = [x for r in sizes for x in (r["lang"], min(1.0, sample_docs / r["n"], sample_bytes / max(1, r["bytes"])))]
+    share = F.coalesce(F.try_element_at(F.create_map(*map(F.lit, shares)), F.col("lang")), F.lit(0.0))
     return labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < share * (1 << 20))
 
 
