@@ -19,6 +19,7 @@ the bucket that follows copied to their end.
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,10 +29,13 @@ from pageloom.llm.common import table, words
 SAMPLES = 32
 #: Quantiles of Gamma(2, 1), and bits of the hash that choose one.
 BITS = 12
-#: Documents of a bucket of consecutive ids, and the most buckets.
+#: Documents of a bucket of consecutive ids, and the most bounds of buckets; a table of more than 4 million documents
+#: has larger buckets, whose rows pass through a sort that spills.
 BUCKET_DOCS = 64
 MOST_BUCKETS = 1 << 16
 LOWEST = -(1 << 63)
+#: Bits of a digest, few enough to be multiplied by a number of buckets.
+DIGEST_BITS = 40
 
 
 def gamma_quantiles(n: int, zero: Column) -> Column:
@@ -116,36 +120,58 @@ def fingerprint(signature: Column) -> Column:
 def _bucketed(docs: DataFrame) -> DataFrame:
     """doc_id, text, ord, bucket, copied: every row, and copies of rows whose bucket comes after another's last row.
 
-    Buckets hold consecutive ids. What reaches the driver is their bounds, MOST_BUCKETS at most.
+    Buckets hold consecutive rows by ord and digest, both ascending. A bucket that one id (or none) fills is split by
+    the digests of its texts. What reaches the driver are bounds and tops of buckets, of a number that MOST_BUCKETS
+    bounds.
     """
-    rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(LOWEST)).alias("ord"))
+    rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(LOWEST)).alias("ord"), digest(F.col("text")).alias("digest"))
     n = docs.select("doc_id").count()
     if not n:
         return rows.withColumns({"bucket": F.lit(0), "copied": F.lit(False)})
-    count = min(MOST_BUCKETS, -(-n // BUCKET_DOCS))
+    size = max(BUCKET_DOCS, -(-n // MOST_BUCKETS))
+    count = -(-n // size)
     bounds = [LOWEST]
     if count > 1:
         at = [i / count for i in range(1, count)]
-        bounds += rows.agg(F.percentile_approx("ord", at, min(1_000_000, 20 * count)).alias("x")).first()["x"]
-    bounds = sorted(set(bounds))
-    # two steps of about the square root of the number of bounds find a row's bucket
-    step = math.isqrt(len(bounds) - 1) + 1
-    parts = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    firsts = _constants([p[0] for p in parts], "bigint")
-    fine = F.split(F.get(F.split(F.lit(";".join(",".join(map(str, p)) for p in parts)), ";"), F.col("_part")), ",").cast("array<bigint>")
-    rows = rows.withColumn("_part", F.size(F.filter(firsts, lambda x: x <= F.col("ord"))) - 1)
-    rows = rows.withColumn("bucket", F.col("_part") * step + F.size(F.filter(fine, lambda x: x <= F.col("ord"))) - 1).drop("_part")
-
-    top = {r["bucket"]: r["top"] for r in rows.groupBy("bucket").agg(F.max("ord").alias("top")).collect()}
+        cuts = rows.agg(F.percentile_approx("ord", at, min(1_000_000, 20 * count)).alias("x")).first()["x"]
+        # an id that fills more than a bucket gets one of its own, which can be split
+        alone = [x + y for x, z in zip([LOWEST, *cuts], cuts, strict=False) if x == z for y in (0, 1)]
+        bounds = sorted({LOWEST, *cuts, *alone})
+    counts = {r["bucket"]: r["n"] for r in _placed(rows, bounds).groupBy("bucket").agg(F.count("*").alias("n")).collect()}
+    one_id = {i for i, low in enumerate(bounds) if i + 1 < len(bounds) and bounds[i + 1] == low + 1}
+    parts = [max(1, -(-counts.get(i, 0) // size)) if i in one_id else 1 for i in range(len(bounds))]
+    rows = _placed(rows, bounds)
+    if max(parts) > 1:
+        own = F.get(_constants(parts, "bigint"), F.col("bucket"))
+        base = F.get(_constants(list(accumulate([0, *parts[:-1]])), "int"), F.col("bucket"))
+        rows = rows.withColumn("bucket", (base + F.floor(F.col("digest") * own / (1 << DIGEST_BITS))).cast("int"))
+    total = sum(parts)
+    top = {r["bucket"]: r["top"] for r in rows.groupBy("bucket").agg(F.max(F.struct("ord", "digest")).alias("top")).collect()}
     full = sorted(top)
     follows = dict(zip(full, [*full[1:], full[0]], strict=True))
-    tops = _constants([top.get(i, LOWEST) for i in range(len(bounds))], "bigint")
-    targets = _constants([follows.get(i, -1) for i in range(len(bounds))], "int")
-    first = F.get(tops, F.col("bucket")) == F.col("ord")
+    tops = [top.get(i, (LOWEST, 0)) for i in range(total)]
+    targets = _constants([follows.get(i, -1) for i in range(total)], "int")
+    # the rows before it, by descending order, are those of the next bucket
+    first = (F.get(_constants([x[0] for x in tops], "bigint"), F.col("bucket")) == F.col("ord")) & (F.get(_constants([x[1] for x in tops], "bigint"), F.col("bucket")) == F.col("digest"))
     own = F.struct(F.col("bucket"), F.lit(False).alias("copied"))
     copy = F.struct(F.get(targets, F.col("bucket")).alias("bucket"), F.lit(True).alias("copied"))
     rows = rows.withColumn("_in", F.explode(F.when(first, F.array(own, copy)).otherwise(F.array(own))))
-    return rows.select("doc_id", "text", "ord", "_in.bucket", "_in.copied")
+    return rows.select("doc_id", "text", "ord", "digest", "_in.bucket", "_in.copied")
+
+
+def digest(text: Column) -> Column:
+    """A hash of DIGEST_BITS bits, never negative; that of an empty text for null."""
+    return F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 64 - DIGEST_BITS)
+
+
+def _placed(rows: DataFrame, bounds: list[int]) -> DataFrame:
+    """rows with bucket: the number of the last bound that is not above ord, found in two steps of about its square root."""
+    step = math.isqrt(len(bounds) - 1) + 1
+    parts = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    firsts = _constants([p[0] for p in parts], "bigint")
+    fine = F.split(F.get(F.split(F.lit(";".join(",".join(map(str, p)) for p in parts)), ";"), F.col("_part")), ",").cast("array<bigint>")
+    rows = rows.withColumn("_part", F.size(F.filter(firsts, lambda x: x <= F.col("ord"))) - 1)
+    return rows.withColumn("bucket", F.col("_part") * step + F.size(F.filter(fine, lambda x: x <= F.col("ord"))) - 1).drop("_part")
 
 
 def compare_edited(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
@@ -156,7 +182,7 @@ def compare_edited(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     order fixed by their texts. Null texts count as empty. A single row is followed by itself.
     """
     rows = _bucketed(docs).withColumn("text", F.coalesce("text", F.lit("")))
-    order = Window.partitionBy("bucket").orderBy("copied", F.desc("ord"), F.xxhash64("text"))
+    order = Window.partitionBy("bucket").orderBy("copied", F.desc("ord"), F.desc("digest"), "text")
     rows = rows.withColumns({"_n": F.row_number().over(order), "_next": F.lead("text").over(order)})
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")

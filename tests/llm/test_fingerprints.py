@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 from helpers import EDGES, docs, edited, prose, rng, words
+from pyspark.sql import functions as F
 
 from pageloom.llm import fingerprints as P
 
@@ -64,3 +65,32 @@ def test_empty_and_alone(spark):
 def test_enough_samples(spark):
     (r,) = P.compare_edited(docs(spark, [(4, "one row of a few words")])).collect()
     assert len(r["fingerprint"]) >= 8 * 32
+
+
+def test_null_and_repeated_ids_are_split(spark):
+    rows = [(None, f"text {i} of no id " * 3) for i in range(300)] + [(7, f"text {i} of seven " * 3) for i in range(300)] + [(100 + i, f"own {i}") for i in range(300)]
+    kept, P.BUCKET_DOCS = P.BUCKET_DOCS, 16
+    try:
+        sizes = [r["count"] for r in P._bucketed(docs(spark, rows).select("doc_id", "text")).groupBy("bucket").count().collect()]
+        got = P.compare_edited(docs(spark, rows)).collect()
+    finally:
+        P.BUCKET_DOCS = kept
+    assert max(sizes) <= 64 and sum(sizes) == 900 + len(sizes) and len(got) == 900
+    # by descending id, then digest: every text is the next of exactly one row
+    order = [r["text"] for r in docs(spark, rows).withColumn("d", P.digest(F.col("text"))).orderBy(F.desc_nulls_last("doc_id"), F.desc("d")).collect()]
+    want = sorted(hashlib.sha256((a[: len(a) - len(a) // 2] + b[: len(a) // 2]).encode()).hexdigest() for a, b in zip(order, [*order[1:], order[0]], strict=True))
+    assert sorted(r["edited_sha256"] for r in got) == want
+
+
+def test_likeness_of_the_query_rows_against_exact_similarity(spark):
+    r = rng(17)
+    rows = [(i, edited(r, prose(r, 120), 0.1)) for i in range(30)]
+    got = {x["doc_id"]: x for x in P.compare_edited(docs(spark, rows)).collect()}
+    text, error = dict(rows), []
+    for i in range(30):
+        other = text[(i - 1) % 30]
+        n = len(text[i])
+        error.append(got[i]["near_edited"] - jaccard(terms(text[i]), terms(text[i][: n - n // 2] + other[: n // 2])))
+        error.append(got[i]["near_next"] - jaccard(terms(text[i]), terms(other)))
+    # the standard error of 32 samples is 0.09 at most
+    assert np.sqrt(np.mean(np.square(error))) < 0.09 and max(map(abs, error)) < 0.35
