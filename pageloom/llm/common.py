@@ -19,8 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests).
+
+    On a cluster the setting is required, since executors would write to disks of their own.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not where:
         where = cached("shared_dir", lambda: "file://" + tempfile.mkdtemp(prefix="pageloom-"))
     return where.rstrip("/")

@@ -324,7 +324,7 @@ def _settle(linker: _Linker, large: DataFrame, halves: DataFrame) -> None:
     dealt = written(halves.join(left, "node").join(linker.labels, "node").select("node", "half", "label", "lonely", "n"), "dealt")
     middle = F.min_by(F.struct("node", "label"), F.struct(F.col("lonely") / F.col("n"), "node"))
     middles = dealt.groupBy("half").agg(middle.alias("_m")).select("half", F.col("_m.node").alias("_to"), F.col("_m.label").alias("_home"))
-    met = dealt.select("node", "half", "label").join(middles, "half").where("label <> _home")
+    met = _join_heavy(dealt, middles, "half").where("label <> _home")
     pairs = written(met.select(F.greatest("node", "_to").alias("a"), F.least("node", "_to").alias("b")).distinct(), "pairs")
     linker.link(pairs)
     for done in (members, dealt, pairs):
