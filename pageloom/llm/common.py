@@ -73,6 +73,29 @@ def cached(key, make):
     return store[key]
 
 
+def latest(kind: str, name: str, make):
+    """make()'s value, kept until another name of this kind is asked for."""
+    store = sys.__dict__.setdefault("_pageloom_cache", {})
+    if store.get(kind, (None,))[0] != name:
+        store.pop(kind, None)
+        store[kind] = (name, make())
+    return store[kind][1]
+
+
+def slices(batch, size: int = 4 << 20):
+    """An Arrow batch in runs of rows whose texts, in the last column, have about this many bytes; one row at least."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        done = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + size, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def words(text: Column) -> Column:
     """Array of a text's words; empty for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import cached, table
+from pageloom.llm.common import latest, slices, table
 
 #: Documents a language is learned from, about (each labelled document is taken with equal odds).
 SAMPLE_DOCS = 400
@@ -34,7 +34,7 @@ SAMPLE_BYTES = 8_000_000
 MOST_LANGUAGES = 256
 ORDER = 3
 #: Texts are coded in windows of about this many bytes; a longer text is carried on from window to window.
-WINDOW = 1 << 20
+WINDOW = 1 << 18
 #: Stands before each text in place of the bytes that are not there.
 LEAD = b"\n" * ORDER
 UNDETERMINED = "und"
@@ -59,7 +59,7 @@ def held_out(doc_id: Column) -> Column:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, n, gram, times) of each batch of (lang, text)."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         by_lang: dict[str, list[bytes]] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
             by_lang.setdefault(lang, []).append(text)
@@ -195,9 +195,9 @@ def _predict(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
         import regex
 
         letter = regex.compile(r"\p{L}")
-        coder = cached(("langid", model.id), lambda: Coder(model.value))
+        coder = latest("langid", model.id, lambda: Coder(model.value))
         languages = coder.model.languages
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             texts = [t if t and languages and letter.search(t) else "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             data = [t.encode() for t in texts]
             n = len(data)

@@ -5,8 +5,8 @@ length; only piece lengths and checksums leave that task, never ids. Documents
 fall into random groups of bounded size. Each group packs its pieces on its
 own, longest first, into the first sequence with room, found in a tournament
 tree: its leaves are the sequences' free places, each inner node the larger of
-its two. A source or a run of copies cannot fill a group, since groups follow
-a hash of doc_id.
+its two. A source, a run of copies or a repeated id cannot fill a group, since
+groups follow a hash of doc_id, checksum and number of the copy.
 """
 
 from __future__ import annotations
