@@ -79,9 +79,18 @@ def lit(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+#: All characters that S matches.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim(c: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(F.regexp_replace(c, f"^{S}+", ""), f"{S}+$", "")
+    return F.btrim(c, F.lit(WHITE))
+
+
+def let(value: Column, body) -> Column:
+    """body(value), where value is worked out once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def collapse(c: Column) -> Column:
@@ -205,20 +214,33 @@ def normalize_placement(c: Column) -> Column:
         rest = F.regexp_replace(body, CITATION, "\u0000")
         return (rest != body) & rest.rlike("^[\\u0000\\s.,]*$")
 
-    def step(acc: Column, line: Column) -> Column:
-        cites = F.array_join(F.regexp_extract_all(line, F.lit(CITATION), F.lit(0)), "")
-        at = acc["at"]
-        before = F.get(acc["out"], at)
-        stop = F.regexp_extract(before, r"[.!?。！？]\s*$", 0)
-        joined = F.concat(F.left(before, F.char_length(before) - F.char_length(stop)), cites, stop)
-        moved = F.transform(acc["out"], lambda x, i: F.when(i == at, joined).otherwise(x))
-        kept = F.array_append(acc["out"], F.when(lone(line), cites).otherwise(line))
-        move = lone(line) & (at >= 0)
-        new_at = F.when(move | blank(F.element_at(kept, -1)), at).otherwise(F.size(acc["out"]))
-        return F.struct(F.when(move, moved).otherwise(kept).alias("out"), new_at.alias("at"))
-
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(-1).alias("at"))
-    return F.aggregate(lines, start, step, lambda acc: F.array_join(acc["out"], "\n"))
+    # lone lines are moved to the last line before them that is neither lone nor blank, if there is one
+    kind = lambda line, i: F.struct(i.alias("i"), lone(line).alias("lone"), blank(line).alias("blank"), F.array_join(F.regexp_extract_all(line, F.lit(CITATION), F.lit(0)), "").alias("cites"))
+
+    def step(acc: Column, x: Column) -> Column:
+        at, moves = acc["at"], x["lone"] & (acc["at"] >= 0)
+        more = F.array_append(acc["moved"], F.struct(at.alias("to"), x["i"].alias("from"), x["cites"].alias("cites")))
+        empty = F.when(x["lone"], x["cites"] == "").otherwise(x["blank"])
+        return F.struct(F.when(moves | empty, at).otherwise(x["i"]).alias("at"), F.when(moves, more).otherwise(acc["moved"]).alias("moved"))
+
+    start = F.struct(F.lit(-1).alias("at"), F.array().cast("array<struct<to:int,from:int,cites:string>>").alias("moved"))
+
+    def placed(own: Column, moved: Column) -> Column:
+        # the texts that go to a line, in order, as one map entry of it
+        to = F.array_distinct(F.transform(moved, lambda m: m["to"]))
+        texts = F.map_from_arrays(to, F.transform(to, lambda i: F.array_join(F.transform(F.filter(moved, lambda m: m["to"] == i), lambda m: m["cites"]), "")))
+        gone = F.map_from_arrays(F.transform(moved, lambda m: m["from"]), F.transform(moved, lambda m: F.lit(True)))
+
+        def line(x: Column, i: Column) -> Column:
+            add = F.try_element_at(texts, i)
+            body = F.when(lone(x), F.array_join(F.regexp_extract_all(x, F.lit(CITATION), F.lit(0)), "")).otherwise(x)
+            stop = F.regexp_extract(body, r"[.!?。！？]\s*$", 0)
+            joined = F.concat(F.left(body, F.char_length(body) - F.char_length(stop)), add, stop)
+            return F.when(F.map_contains_key(gone, i), F.lit(None)).when(add.isNull(), body).otherwise(joined)
+
+        return F.array_join(F.filter(F.transform(own, line), lambda x: x.isNotNull()), "\n")
+
+    return let(lines, lambda own: let(F.aggregate(F.transform(own, kind), start, step, lambda acc: acc["moved"]), lambda moved: placed(own, moved)))
 
 
 def page_label(page: Column) -> Column:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,24 +20,29 @@ MAX_CHAPTERS = 50
 def paragraphs_joined(text: Column, most: Column) -> Column:
     """Paragraphs put together, in order, while they fit into ``most`` characters; longer ones are cut at that length.
 
-    ``most`` travels with the fold, so that it is worked out once for a text and not for every paragraph.
+    The fold sees lengths only and gives the first and last paragraph of each chunk; texts are joined afterwards.
     """
+    lengths = lambda paras: F.transform(paras, lambda p, i: F.struct(F.char_length(p).alias("n"), i.alias("i")))
 
-    def step(acc: Column, para: Column) -> Column:
-        cur = acc["cur"]
-        joined = F.concat(cur, F.lit("\n\n"), para)
-        over = (F.char_length(joined) > acc["most"]) & (cur != "")
-        shut = F.when(T.blank(cur), acc["out"]).otherwise(F.array_append(acc["out"], T.trim(cur)))
-        cur_next = F.when(over | (cur == ""), para).otherwise(joined)
-        return F.struct(F.when(over, shut).otherwise(acc["out"]).alias("out"), cur_next.alias("cur"), acc["most"].alias("most"))
-
-    def end(acc: Column) -> Column:
-        whole = F.when(T.blank(acc["cur"]), acc["out"]).otherwise(F.array_append(acc["out"], T.trim(acc["cur"])))
-        cut = lambda c: F.when(F.char_length(c) > acc["most"], T.code_point_pieces(c, acc["most"])).otherwise(F.array(c))
-        return F.flatten(F.transform(whole, cut))
+    def step(acc: Column, p: Column) -> Column:
+        over = (acc["len"] > 0) & (acc["len"] + 2 + p["n"] > acc["most"])
+        begins = over | (acc["len"] == 0)
+        shut = F.when(over, F.array_append(acc["shut"], F.struct(acc["first"].alias("a"), (p["i"] - 1).alias("b")))).otherwise(acc["shut"])
+        return F.struct(
+            F.when(begins, p["n"]).otherwise(acc["len"] + 2 + p["n"]).alias("len"),
+            F.when(begins, p["i"]).otherwise(acc["first"]).alias("first"),
+            shut.alias("shut"),
+            p["i"].alias("last"),
+            acc["most"].alias("most"),
+        )
 
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"), most.alias("most"))
-    return F.aggregate(F.split(text, "\n\n+", -1), start, step, end)
+    spans = "array<struct<a:int,b:int>>"
+    start = F.struct(F.lit(0).alias("len"), F.lit(0).alias("first"), F.array().cast(spans).alias("shut"), F.lit(0).alias("last"), most.alias("most"))
+    bounds = lambda paras: F.aggregate(lengths(paras), start, step, lambda acc: F.array_append(acc["shut"], F.struct(acc["first"].alias("a"), acc["last"].alias("b"))))
+    whole = lambda paras, s: T.trim(F.array_join(F.slice(paras, s["a"] + 1, s["b"] - s["a"] + 1), "\n\n"))
+    joined = lambda paras: F.filter(F.transform(bounds(paras), lambda s: whole(paras, s)), lambda c: c != "")
+    cut = lambda c: F.when(F.char_length(c) > most, T.code_point_pieces(c, most)).otherwise(F.array(c))
+    return T.let(F.split(text, "\n\n+", -1), lambda paras: F.flatten(F.transform(joined(paras), cut)))
 
 
 def chunk_text(text: Column, max_tokens: Column | int = 4000) -> Column:
@@ -44,9 +50,10 @@ def chunk_text(text: Column, max_tokens: Column | int = 4000) -> Column:
 
     Null and blank texts have no chunks.
     """
-    most = F.greatest(F.lit(100), F.floor(T.lit(max_tokens) * T.chars_per_token(text))).cast("int")
     none = F.array().cast("array<string>")
-    return F.when(T.blank(text), none).when(F.char_length(text) <= most, F.array(text)).otherwise(paragraphs_joined(text, most))
+    most = lambda t: F.greatest(F.lit(100), F.floor(T.lit(max_tokens) * T.chars_per_token(t))).cast("int")
+    parts = lambda t: T.let(most(t), lambda m: F.when(F.char_length(t) <= m, F.array(t)).otherwise(paragraphs_joined(t, m)))
+    return T.let(text, lambda t: F.when(T.blank(t), none).otherwise(parts(t)))
 
 
 # fixed value: characters behind which a tail may begin
@@ -72,61 +79,54 @@ def _chars_per_token(text: str) -> float:
     return max(1.5, 4 - 2.5 * len(re.findall(T.CJK, sample)) / max(1, len(sample)))
 
 
-class _Overlap:
-    """Chunks of one text with the part of the text that is each chunk's own: (chunk, own start, own end, lead)."""
-
-    def __init__(self, text: str, max_tokens: int, ratio: float):
-        self.text = text
-        size = max(200, int(max_tokens * _chars_per_token(text)))
-        self.size, self.overlap = size, int(size * ratio)
-        self.limit = size + self.overlap
-        self.out: list[tuple[str, int, int, int]] = []
-        if not text.strip():
-            return
-        if len(text) <= size:
-            begin = len(text) - len(text.lstrip())
-            whole = text.strip()
-            self.out.append((whole, begin, begin + len(whole), 0))
-            return
-        self._pack()
-
-    def _pack(self) -> None:
-        bounds, at = [], 0
-        for gap in re.finditer("\n\n+", self.text):
-            bounds.append((at, gap.start()))
-            at = gap.end()
-        bounds.append((at, len(self.text)))
-        (begin, end), lead = bounds[0], ""
-        for a, b in bounds[1:]:
-            taken = len(lead) + 2 if lead else 0
-            if taken + b - begin > self.limit and end > begin:
-                self._close(begin, end, lead)
-                lead = tail(self.text[begin:end], self.overlap)
-                begin = a
-            end = b
-        self._close(begin, end, lead)
-
-    def _close(self, begin: int, end: int, lead: str) -> None:
-        if end <= begin:
-            return
-        raw = (lead + "\n\n" if lead else "") + self.text[begin:end]
+def _packed(begins: np.ndarray, ends: np.ndarray, limit: int, lead: Callable[[int, int], str]) -> Iterator[tuple[int, int, str]]:
+    """(begin, end, lead) of runs of paragraphs that fit into limit with the lead that the run before gives them.
+
+    A run has one paragraph that is not empty at least, however long.
+    """
+    at, given = 0, ""
+    while at < len(begins):
+        room = limit - (len(given) + 2 if given else 0)
+        fits = int(np.searchsorted(ends, begins[at] + room, "right"))
+        filled = int(np.searchsorted(ends, begins[at], "right")) + 1
+        stop = min(max(fits, filled, at + 1), len(begins))
+        yield int(begins[at]), int(ends[stop - 1]), given
+        given = lead(int(begins[at]), int(ends[stop - 1]))
+        at = stop
+
+
+def overlap_spans(text: str, max_tokens: int, ratio: float) -> list[tuple[str, int, int, int]]:
+    """Chunks of one text, each with the span of the text that is its own and the length of what it repeats before it.
+
+    Three passes: the offsets of all paragraphs, the runs of paragraphs that fill a chunk, and, for each run, its
+    windows of at most the limit. Positions in a chunk are mapped back to the text by one shift.
+    """
+    size = max(200, int(max_tokens * _chars_per_token(text)))
+    overlap = int(size * ratio)
+    limit, body = size + overlap, text.strip()
+    if not body:
+        return []
+    if len(text) <= size:
+        start = len(text) - len(text.lstrip())
+        return [(body, start, start + len(body), 0)]
+    gaps = np.array([g.span() for g in re.finditer("\n\n+", text)], np.int64).reshape(-1, 2)
+    begins, ends = np.append(0, gaps[:, 1]), np.append(gaps[:, 0], len(text))
+    out = []
+    for begin, end, lead in _packed(begins, ends, limit, lambda a, b: tail(text[a:b], overlap)):
+        raw = f"{lead}\n\n{text[begin:end]}" if lead else text[begin:end]
         chunk = raw.strip()
-        if not chunk:
-            return
-        lost, before = len(raw) - len(raw.lstrip()), len(lead) + 2 if lead else 0
-        own_lead = max(0, before - lost)
-        first = begin + max(0, lost - before)
-        last = max(first + 1, end - (len(raw) - len(raw.rstrip())))
-        if len(chunk) <= self.limit:
-            self.out.append((chunk, first, last, min(own_lead, len(chunk))))
-            return
-        clip = lambda x: min(max(x - own_lead, 0), last - first)
-        for at in range(0, len(chunk), self.limit):
-            piece = chunk[at : at + self.limit]
-            a = first + clip(at)
-            b = last if at + self.limit >= len(chunk) else first + clip(at + len(piece))
-            before_it = tail(chunk[at - self.limit : at], self.overlap) if at else ""
-            self.out.append((before_it + piece, a, max(b, a + 1), len(before_it) if at else min(own_lead, len(piece))))
+        if end == begin or not chunk:
+            continue
+        # place c of the chunk is place c + shift of the text, if that is in the run
+        shift = begin + len(raw) - len(raw.lstrip()) - (len(raw) - (end - begin))
+        own = max(0, begin - shift)
+        place = lambda c, low=begin, by=shift: max(low, c + by)
+        for at in range(0, len(chunk), limit):
+            stop = min(at + limit, len(chunk))
+            again = tail(chunk[at - limit : at], overlap) if at else ""
+            first = place(at)
+            out.append((again + chunk[at:stop], first, max(first + 1, place(stop)), len(again) if at else min(own, stop)))
+    return out
 
 
 def overlap_chunks(pages: list[str], max_tokens: int = 500, ratio: float = 0.1) -> list[tuple[str, int, int, int]]:
@@ -134,19 +134,11 @@ def overlap_chunks(pages: list[str], max_tokens: int = 500, ratio: float = 0.1)
 
     Pages are those of the chunk's own part; body_offset is where it begins in the text.
     """
-    import bisect
-
     if not pages:
         return []
-    starts, at = [], 0
-    for p in pages:
-        starts.append(at)
-        at += len(p) + 2
-    found = []
-    for text, a, b, offset in _Overlap("\n\n".join(pages), max_tokens, ratio).out:
-        first = bisect.bisect_right(starts, a)
-        found.append((text, first, max(first, bisect.bisect_right(starts, max(a, b - 1))), offset))
-    return found
+    starts = np.cumsum([0, *[len(p) + 2 for p in pages[:-1]]])
+    page = lambda at: int(np.searchsorted(starts, at, "right"))
+    return [(text, page(a), max(page(a), page(max(a, b - 1))), offset) for text, a, b, offset in overlap_spans("\n\n".join(pages), max_tokens, ratio)]
 
 
 CHUNKS = "idx int, text string, page_start int, page_end int, body_offset int"
@@ -156,15 +148,17 @@ def overlap_chunks_of(docs: DataFrame, key: str = "doc_hash", pages: str = "page
     """key, idx, text, page_start, page_end, body_offset of all documents' chunks; null pages count as empty."""
     kind = docs.schema[key].dataType.simpleString()
 
-    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for k, p in zip(frame[key], frame[pages], strict=True):
-                texts = [x or "" for x in (p if p is not None else [])]
-                rows += [(k, i, *c) for i, c in enumerate(overlap_chunks(texts, max_tokens, ratio))]
-            yield pd.DataFrame(rows, columns=[key, "idx", "text", "page_start", "page_end", "body_offset"])
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1).to_pylist()
+            found = [overlap_chunks([p or "" for p in pages or []], max_tokens, ratio) for pages in lists]
+            owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            idx = [i for f in found for i in range(len(f))]
+            columns = [[c[k] for f in found for c in f] for k in range(4)]
+            arrays = [batch.column(0).take(pa.array(owner)), pa.array(idx, pa.int32()), pa.array(columns[0], pa.string()), *(pa.array(c, pa.int32()) for c in columns[1:])]
+            yield pa.RecordBatch.from_arrays(arrays, names=[key, "idx", "text", "page_start", "page_end", "body_offset"])
 
-    return docs.select(key, pages).mapInPandas(split, f"{key} {kind}, {CHUNKS}")
+    return docs.select(key, pages).mapInArrow(split, f"{key} {kind}, {CHUNKS}")
 
 
 def page_of_offset(pages: Column, offset: Column) -> Column:
@@ -229,12 +223,17 @@ def thin_headings(headings: Column, units: Column) -> Column:
     Of the highest level on two units or more; each must move on and have a new title; the first begins the document;
     over 50 are put together in even groups. Empty if no level qualifies.
     """
-    clamped = F.transform(headings, lambda h: F.struct(h["level"].alias("level"), T.trim(h["title"]).alias("title"), F.least(F.greatest(h["unit"], F.lit(0)), units - 1).alias("unit")))
-    usable = F.filter(clamped, lambda h: h["title"] != "")
-    levels = F.array_sort(F.array_distinct(F.transform(usable, lambda h: h["level"])))
-    at = lambda lv: F.filter(usable, lambda h: h["level"] == lv)
-    wide = F.filter(levels, lambda lv: F.size(F.array_distinct(F.transform(at(lv), lambda h: h["unit"]))) >= 2)
-    return bounds_of(at(F.get(wide, F.lit(0))))
+    clamp = lambda h, last: F.struct(h["level"].alias("level"), T.trim(h["title"]).alias("title"), F.least(F.greatest(h["unit"], F.lit(0)), last).alias("unit"))
+    usable = T.let(units - 1, lambda last: F.filter(F.transform(headings, lambda h: clamp(h, last)), lambda h: h["title"] != ""))
+    at = lambda own, lv: F.filter(own, lambda h: h["level"] == lv)
+
+    def level(own: Column) -> Column:
+        # level and unit pairs, each once: the first level that has two of them
+        pairs = F.array_sort(F.array_distinct(F.transform(own, lambda h: F.struct(h["level"], h["unit"]))))
+        second = lambda ps: F.filter(ps, lambda p, i: F.coalesce(F.get(ps, i + 1)["level"] == p["level"], F.lit(False)))
+        return F.get(T.let(pairs, second), F.lit(0))["level"]
+
+    return T.let(usable, lambda own: T.let(level(own), lambda lv: bounds_of(at(own, lv))))
 
 
 def bounds_of(candidates: Column) -> Column:
@@ -248,43 +247,44 @@ def bounds_of(candidates: Column) -> Column:
         return F.when(back | (h["title"] == ""), acc).otherwise(more)
 
     kept = F.aggregate(candidates, F.array().cast(kind), step)
-    kept = F.transform(kept, lambda b, i: b.withField("start", F.when(i == 0, F.lit(0)).otherwise(b["start"])))
-    size = F.ceil(F.size(kept) / MAX_CHAPTERS).cast("int")
+    first_at_0 = lambda b, i: b.withField("start", F.when(i == 0, F.lit(0)).otherwise(b["start"]))
+
+    def grouped(all_: Column) -> Column:
+        size = F.ceil(F.size(all_) / MAX_CHAPTERS).cast("int")
 
-    def group(i: Column) -> Column:
-        part = F.slice(kept, i * size + 1, size)
-        a, b = F.element_at(part, 1), F.element_at(part, -1)
-        title = F.when(F.size(part) == 1, a["title"]).otherwise(F.concat(a["title"], F.lit(" — "), b["title"]))
-        return F.struct(title.alias("title"), a["start"].alias("start"))
+        def group(i: Column) -> Column:
+            part = F.slice(all_, i * size + 1, size)
+            a, b = F.element_at(part, 1), F.element_at(part, -1)
+            title = F.when(F.size(part) == 1, a["title"]).otherwise(F.concat(a["title"], F.lit(" — "), b["title"]))
+            return F.struct(title.alias("title"), a["start"].alias("start"))
 
-    groups = F.transform(F.sequence(F.lit(0), F.ceil(F.size(kept) / F.greatest(size, F.lit(1))).cast("int") - 1), group)
-    return F.when(F.size(kept) <= MAX_CHAPTERS, kept).otherwise(groups).cast(kind)
+        groups = F.transform(F.sequence(F.lit(0), F.ceil(F.size(all_) / F.greatest(size, F.lit(1))).cast("int") - 1), group)
+        return F.when(F.size(all_) <= MAX_CHAPTERS, all_).otherwise(groups).cast(kind)
+
+    return T.let(F.transform(kept, first_at_0), grouped)
 
 
 def paginate(blocks: Column, most: int = UNIT_CHARS) -> Column:
     """Struct of units and unit_of_block from blocks array<struct<text, break_before>>, in order.
 
-    A new unit begins at a break or where the next block would overfill it; empty blocks add nothing.
+    A new unit begins at a break or where the next block would overfill it; empty blocks add nothing. The fold sees
+    lengths only and gives the blocks that begin a unit; units are sliced afterwards.
     """
 
     def step(acc: Column, b: Column) -> Column:
-        text = T.trim(b["text"])
-        shut = F.when(F.size(acc["cur"]) > 0, F.array_append(acc["units"], F.array_join(acc["cur"], "\n\n"))).otherwise(acc["units"])
-        cut = b["break_before"] | ((text != "") & (acc["len"] > 0) & (acc["len"] + F.char_length(text) > most))
-        units, cur = F.when(cut, shut).otherwise(acc["units"]), F.when(cut, F.slice(acc["cur"], 1, 0)).otherwise(acc["cur"])
-        length = F.when(cut, F.lit(0)).otherwise(acc["len"])
-        return F.struct(
-            units.alias("units"),
-            F.when(text == "", cur).otherwise(F.array_append(cur, text)).alias("cur"),
-            (length + F.char_length(text)).alias("len"),
-            F.array_append(acc["of"], F.size(units)).alias("of"),
-        )
-
-    texts, ints = F.array().cast("array<string>"), F.array().cast("array<int>")
-    start = F.struct(texts.alias("units"), texts.alias("cur"), F.lit(0).alias("len"), ints.alias("of"))
-
-    def end(acc: Column) -> Column:
-        units = F.when(F.size(acc["cur"]) > 0, F.array_append(acc["units"], F.array_join(acc["cur"], "\n\n"))).otherwise(acc["units"])
-        return F.struct(units.alias("units"), acc["of"].alias("unit_of_block"))
-
-    return F.aggregate(blocks, start, step, end)
+        cut = (acc["len"] > 0) & (b["brk"] | ((b["n"] > 0) & (acc["len"] + b["n"] > most)))
+        begun = F.when(cut, F.array_append(acc["begun"], b["i"])).otherwise(acc["begun"])
+        return F.struct((b["n"] + F.when(cut, 0).otherwise(acc["len"])).alias("len"), begun.alias("begun"))
+
+    def units(texts: Column) -> Column:
+        sized = F.transform(F.arrays_zip(texts.alias("t"), blocks.alias("b")), lambda x, i: F.struct(F.char_length(x["t"]).alias("n"), x["b"]["break_before"].alias("brk"), i.alias("i")))
+        start = F.struct(F.lit(0).alias("len"), F.array(F.lit(0)).alias("begun"))
+        return T.let(F.aggregate(sized, start, step, lambda acc: acc["begun"]), lambda begun: spans(texts, begun))
+
+    def spans(texts: Column, begun: Column) -> Column:
+        count = lambda a, k: F.coalesce(F.get(begun, k + 1), F.size(texts)) - a
+        unit = lambda a, k: F.array_join(F.filter(F.slice(texts, a + 1, count(a, k)), lambda t: t != ""), "\n\n")
+        of = F.flatten(F.transform(begun, lambda a, k: F.array_repeat(k, count(a, k))))
+        return F.struct(F.filter(F.transform(begun, unit), lambda u: u != "").alias("units"), of.alias("unit_of_block"))
+
+    return T.let(F.transform(blocks, lambda b: T.trim(b["text"])), units)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,61 +107,59 @@ def outline(items: DataFrame, roots: str = "parent_id is null") -> DataFrame:
     return out.withColumn("_n", order).where(F.col("_n") <= OUTLINE_ITEMS).drop("_n", "path")
 
 
-_HEADING = re.compile(r"^ {0,3}(#{1,6})\s+(.+?)\s*#*\s*$")
-_FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})")
-_CITE = re.compile(T.CITATION)
+HEADING = rf"(?s)^ {{0,3}}(#{{1,6}}){T.S}+(.+?){T.S}*#*{T.S}*\z"
+FENCE = r"^ {0,3}(`{3,}|~{3,})"
 # fixed values: inline marks that a title loses
 _MARKS = (r"\*\*([^*]+?)\*\*", r"\*(?!\s)([^*\n]*[^*\s])\*", r"__([^_]+?)__", r"`([^`]+?)`", r"~~([^~]+?)~~")
 
 
-def _headings(lines: list[str], fences: bool) -> tuple[list[tuple[int, str, int]], bool]:
-    """(level, title, line) of headings outside fences, and whether a fence was left open."""
-    found, mark = [], ""
-    for at, line in enumerate(lines):
-        fence = _FENCE.match(line) if fences else None
-        if mark:
-            if fence and fence[1][0] == mark[0] and len(fence[1]) >= len(mark):
-                mark = ""
-        elif fence:
-            mark = fence[1]
-        elif heading := _HEADING.match(line):
-            found.append((len(heading[1]), heading[2], at))
-    return found, bool(mark)
-
-
-def heading_tree(markdown: str) -> list[tuple[int, int | None, int, str, int | None, str | None]]:
-    """Nodes (id, parent_id, level, title, page, doc_name); page and name are of the section's first citation."""
-    lines = (markdown or "").split("\n")
-    found, open_ = _headings(lines, True)
-    if open_:
-        found, _ = _headings(lines, False)
-    nodes, above = [], []
-    for i, (level, title, at) in enumerate(found):
-        end = found[i + 1][2] if i + 1 < len(found) else len(lines)
-        cite = _CITE.search("\n".join(lines[at:end]))
-        page = int(cite[2]) if cite and int(cite[2]) >= 1 else None
-        title = _CITE.sub("", title)
-        for mark in _MARKS:
-            title = re.sub(mark, r"\1", title)
-        above = [(n, lv) for n, lv in above if lv < level]
-        nodes.append((i, above[-1][0] if above else None, level, " ".join(title.split()), page, cite[1].strip() if page and cite[1] else None))
-        above.append((i, level))
-    return nodes
-
-
-NODES = "id int, parent_id int, level int, title string, page int, doc_name string"
+def _title(raw: Column) -> Column:
+    bare = F.regexp_replace(raw, T.CITATION, "")
+    for mark in _MARKS:
+        bare = F.regexp_replace(bare, mark, "$1")
+    return T.collapse(bare)
 
 
-def heading_trees(docs: DataFrame, key: str, markdown: str) -> DataFrame:
-    kind = docs.schema[key].dataType.simpleString()
+def _marked_lines(lines: Column) -> Column:
+    """The lines that are headings or fences: array<struct<at, level, title, fence>>, level 0 for a fence."""
+    one = lambda x, i: F.struct(i.alias("at"), F.char_length(F.regexp_extract(x, HEADING, 1)).alias("level"), F.regexp_extract(x, HEADING, 2).alias("title"), F.regexp_extract(x, FENCE, 1).alias("fence"))
+    return F.filter(F.transform(lines, one), lambda m: (m["level"] > 0) | (m["fence"] != ""))
+
+
+def _outside_fences(marked: Column) -> Column:
+    """The headings outside code. A fence ends at one of the same kind that is as long; one that never ends is no fence."""
+
+    def step(acc: Column, m: Column) -> Column:
+        inside = acc["fence"] != ""
+        ends = inside & F.startswith(m["fence"], acc["fence"])
+        fence = F.when(ends, F.lit("")).when(inside, acc["fence"]).otherwise(m["fence"])
+        return F.struct(fence.alias("fence"), F.when(~inside & (m["level"] > 0), F.array_append(acc["at"], m["at"])).otherwise(acc["at"]).alias("at"))
 
-    def run(frames):
-        for frame in frames:
-            rows = [(k, *n) for k, m in zip(frame[key], frame[markdown], strict=True) for n in heading_tree(m)]
-            out = pd.DataFrame(rows, columns=[key, "id", "parent_id", "level", "title", "page", "doc_name"])
-            yield out.astype({"parent_id": "Int32", "page": "Int32"})
+    start = F.struct(F.lit("").alias("fence"), F.array().cast("array<int>").alias("at"))
+    headings = F.filter(marked, lambda m: m["level"] > 0)
+    kept = lambda acc: F.when(acc["fence"] != "", F.transform(headings, lambda m: m["at"])).otherwise(acc["at"])
+    return T.let(F.aggregate(marked, start, step, kept), lambda at: F.filter(headings, lambda m: F.array_contains(at, m["at"])))
 
-    return docs.select(key, markdown).mapInPandas(run, f"{key} {kind}, {NODES}")
+
+def heading_trees(docs: DataFrame, key: str, markdown: str) -> DataFrame:
+    """key, id, parent_id, level, title, page, doc_name of the headings of each Markdown text, ids from 0.
+
+    A node's parent is the last one before it of a lower level. Page and name are of the first citation in the node's
+    own section. Rows of one key are trees of their own only if the texts differ.
+    """
+    df = docs.select(key, F.split(F.coalesce(F.col(markdown), F.lit("")), "\n", -1).alias("_lines"), F.xxhash64(markdown).alias("_row"))
+    df = df.withColumn("_heads", T.let(_marked_lines(F.col("_lines")), _outside_fences))
+    end = lambda i: F.coalesce(F.get("_heads", i + 1)["at"], F.size("_lines"))
+    section = lambda h, i: F.array_join(F.slice("_lines", h["at"] + 1, end(i) - h["at"]), "\n")
+    cite = lambda s: F.struct(F.regexp_extract(s, T.CITATION, 2).try_cast("int").alias("page"), T.trim(F.regexp_extract(s, T.CITATION, 1)).alias("name"))
+    node = lambda h, i: F.struct(h["level"].alias("level"), h["title"].alias("title"), cite(section(h, i)).alias("cite"))
+    df = df.select(key, "_row", F.posexplode(F.transform("_heads", node)).alias("id", "_n")).select(key, "_row", "id", "_n.level", "_n.title", "_n.cite")
+    before = Window.partitionBy(key, "_row").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda level: F.last(F.when(F.col("level") == level, F.col("id")), ignorenulls=True).over(before)
+    parent = F.greatest(F.lit(None).cast("int"), *[F.when(F.col("level") > level, last(level)) for level in range(1, 6)])
+    page = F.when(F.col("cite.page") >= 1, F.col("cite.page"))
+    name = F.when(page.isNotNull(), F.nullif(F.col("cite.name"), F.lit("")))
+    return df.select(key, "id", parent.alias("parent_id"), "level", _title(F.col("title")).alias("title"), page.alias("page"), name.alias("doc_name"))
 
 
 # ---- health of text recognition
@@ -190,80 +189,57 @@ def empty_pages(pages: DataFrame, key: str) -> DataFrame:
 
 # ---- math marks
 
-_CODE_FENCE = re.compile(r"^[ \t]*(`{3,}|~{3,})")
+# what is left as it is: fenced blocks to their end or the text's, and code spans, which cross neither a fence nor an empty line
+_CODE = re.compile(
+    r"(?m:^)[ \t]*(?P<run>`{3,}|~{3,})[^\n]*(?:\n(?![ \t]*(?P=run))[^\n]*)*(?:\n[^\n]*)?"
+    r"|(?P<ticks>`+)(?:(?!\n[ \t]*(?:\n|`{3}|~{3}))[\s\S])*?(?P=ticks)"
+)
+_MARK = re.compile(r"\\(?:\\|([(\[]))")
+#: For each opening mark its closing one, and what a formula between them cannot hold.
+_KINDS = {"(": (re.compile(r"\\\)"), re.compile(r"[$\n]")), "[": (re.compile(r"\\\]"), re.compile(r"\$|\n[ \t]*\n"))}
 _ONLY_CITE = re.compile(T.CITATION + r"\Z")
+LONGEST_CITE = 500
 
 
-def _is_math(body: str, display: bool) -> bool:
-    """Whether what stands between two marks is a formula."""
-    if not body.strip() or "$" in body or _ONLY_CITE.match(f"[{body}]"):
-        return False
-    return not re.search(r"\n[ \t]*\n", body) if display else "\n" not in body
+def _in_dollars(text: str) -> str:
+    """Formulas of a text without code. Places of closing marks and of what ends a formula are looked up in order."""
+    places = {kind: [[m.start() for m in p.finditer(text)] for p in patterns] for kind, patterns in _KINDS.items()}
 
+    def following(at: int, those: list[int]) -> int:
+        i = bisect_left(those, at)
+        return those[i] if i < len(those) else len(text)
 
-def _plain_math(text: str) -> str:
-    out, at, ends = [], 0, {}
-    for m in re.finditer(r"\\[\\(\[]", text):
-        if m.start() < at or m[0] == "\\\\":
-            if m.start() >= at:
-                out.append(text[at : m.end()])
-                at = m.end()
+    out, done, at = [], 0, 0
+    while mark := _MARK.search(text, at):
+        at = mark.end()
+        if not mark[1]:
+            continue  # an escaped backslash
+        close, wall = (following(at, those) for those in places[mark[1]])
+        if close == len(text) or wall < close or "$" in (text[mark.start() - 1 : mark.start()], text[close + 2 : close + 3]):
             continue
-        close = "\\)" if m[0] == "\\(" else "\\]"
-        if ends.get(close) == -1:
+        body = text[at:close]
+        if not body.strip() or (len(body) < LONGEST_CITE and _ONLY_CITE.match(f"[{body}]")):
             continue
-        end = ends[close] = text.find(close, m.end())
-        if end < 0:
-            continue
-        beside = text[m.start() - 1 : m.start()] == "$" or text[end + 2 : end + 3] == "$"
-        if not beside and _is_math(text[m.end() : end], close == "\\]"):
-            out += [text[at : m.start()], "$$", text[m.end() : end], "$$"]
-            at = end + 2
-    return "".join(out) + text[at:]
-
-
-_SPAN = re.compile(r"(`+)(?:(?!\n[ \t]*\n)[\s\S])*?\1")
-
-
-def _prose_math(text: str) -> str:
-    out, at = [], 0
-    for m in _SPAN.finditer(text):
-        out += [_plain_math(text[at : m.start()]), m[0]]
-        at = m.end()
-    return "".join(out) + _plain_math(text[at:])
+        out += [text[done : mark.start()], "$$", body, "$$"]
+        done = at = close + 2
+    return "".join(out) + text[done:]
 
 
 def math_normalized(markdown: str) -> str:
-    r"""\(..\) and \[..\] as $$..$$, but not in code, nor around a citation. Every mark is looked at once."""
+    r"""\(..\) and \[..\] as $$..$$, but not in code, nor beside a dollar sign, nor around a citation."""
     if "\\(" not in markdown and "\\[" not in markdown:
         return markdown
-    parts, prose, mark = [], [], ""
-
-    def flush() -> None:
-        if prose:
-            parts.append(_prose_math("\n".join(prose)))
-            prose.clear()
-
-    for line in markdown.split("\n"):
-        fence = _CODE_FENCE.match(line)
-        if mark:
-            parts.append(line)
-            if fence and fence[1][0] == mark[0] and len(fence[1]) >= len(mark):
-                mark = ""
-        elif fence:
-            flush()
-            mark = fence[1]
-            parts.append(line)
-        else:
-            prose.append(line)
-    flush()
-    return "\n".join(parts)
+    out, at = [], 0
+    for code in _CODE.finditer(markdown):
+        out += [_in_dollars(markdown[at : code.start()]), code[0]]
+        at = code.end()
+    return "".join(out) + _in_dollars(markdown[at:])
 
 
 def normalize_math(text: Column) -> Column:
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(math_normalized, na_action="ignore")
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else math_normalized(x) for x in texts.to_pylist()], pa.string())
 
     return run(text)
 

@@ -129,10 +129,13 @@ def merged(hits: DataFrame, k: int = 0) -> DataFrame:
     return ordered.limit(k) if k > 0 else ordered
 
 
-def collection_hits(members: DataFrame, chunks: DataFrame, query: list[float], k: int = PER_MEMBER, least: float = V.MIN_SCORE) -> DataFrame:
-    """The k best chunks of each member; members is small (20 at most) and bounded, chunks are not moved before the cut."""
+def collection_hits(members: DataFrame, chunks: DataFrame, query: list[float], k: int = PER_MEMBER, least: float = V.MIN_SCORE, active: str | None = None) -> DataFrame:
+    """The k best chunks of each member searched: 20 at most, the active document first, then by pos (or hash, without
+    one). That few members are sent to the chunks, which are not moved before the cut."""
+    place = [F.desc(F.col("doc_hash").eqNullSafe(F.lit(active)))] + [F.col(c) for c in ("pos", "doc_hash") if c in members.columns]
+    few = members.orderBy(*place).limit(MAX_MEMBERS).select("doc_hash", "file_name")
     hits = V.scored(chunks, query).where((F.col("score") >= least) & ~F.isnan("score"))
-    hits = hits.join(F.broadcast(members.select("doc_hash", "file_name").limit(MAX_MEMBERS)), "doc_hash")
+    hits = hits.join(F.broadcast(few), "doc_hash")
     return V.top_k(hits, ["doc_hash"], k, [F.desc("score"), F.col("idx")])
 
 

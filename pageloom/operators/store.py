@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 MAX_SESSIONS, MAX_BYTES = 30, 200 * 1024 * 1024
 MAX_COLLECTIONS, MAX_COLLECTION_HASHES, MAX_NAME = 50, 50, 200
 SCHEMA_VERSION = 1
+#: Characters of a date that part a library for eviction: up to the hour.
+SLOT_CHARS = 13
 HASH = "^[a-f0-9]{64}$"
 EPOCH = "1970-01-01T00:00:00.000Z"
 
@@ -28,8 +30,14 @@ def latest_only(requests: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def merge_summaries(sessions: DataFrame, news: DataFrame) -> DataFrame:
-    """sessions with the summaries of news (doc_hash, name, content) put into their maps; unknown hashes are ignored."""
-    got = news.groupBy("doc_hash").agg(F.map_from_entries(F.collect_list(F.struct("name", "content"))).alias("_new"))
+    """sessions with the summaries of news (doc_hash, name, content) put into their maps; unknown hashes are ignored.
+
+    Of several contents for one name the latest counts, by news' column saved_at where it has one, else the greatest.
+    Rows without a hash or name are left out.
+    """
+    order = F.struct("saved_at", "content") if "saved_at" in news.columns else F.col("content")
+    one = news.where("doc_hash is not null and name is not null").groupBy("doc_hash", "name").agg(F.max_by("content", order).alias("content"))
+    got = one.groupBy("doc_hash").agg(F.map_from_entries(F.collect_list(F.struct("name", "content"))).alias("_new"))
     df = sessions.join(got, "doc_hash", "left")
     old = F.coalesce("summaries", F.create_map().cast("map<string,string>"))
     new = F.coalesce("_new", F.create_map().cast("map<string,string>"))
@@ -68,18 +76,26 @@ def evicted(entries: DataFrame, by: list[str] | None = None, most: int = MAX_SES
     entries: doc_hash, last_accessed, byte_size, pinned; pinned ones count and stay. An entry goes exactly if what is
     left after all older unpinned ones went is still too much. by: columns that part the table into libraries.
     """
-    by = by or []
-    df = entries if by else entries.withColumn("_all", F.lit(0))
-    parts = by or ["_all"]
+    # without libraries the table is parted by the first characters of its dates, which keep their order
+    parts = by or ["_slot"]
+    df = entries if by else entries.withColumn("_slot", F.left(F.coalesce(F.col("last_accessed").cast("string"), F.lit("")), F.lit(SLOT_CHARS)))
+    df = df.withColumn("_free", (~F.col("pinned")).cast("long"))
     whole = Window.partitionBy(*parts)
     older = whole.orderBy("last_accessed", "doc_hash").rowsBetween(Window.unboundedPreceding, -1)
-    free = (~F.col("pinned")).cast("long")
-    df = df.withColumns({
-        "_count": F.count("*").over(whole) - F.coalesce(F.sum(free).over(older), F.lit(0)),
-        "_bytes": F.sum("byte_size").over(whole) - F.coalesce(F.sum(free * F.col("byte_size")).over(older), F.lit(0)),
-    })
+    gone = lambda x: F.coalesce(F.sum(x).over(older), F.lit(0))
+    df = df.withColumns({"_gone": gone(F.col("_free")), "_gone_bytes": gone(F.col("_free") * F.col("byte_size"))})
+    if by:
+        left = {"_count": F.count("*").over(whole) - F.col("_gone"), "_bytes": F.sum("byte_size").over(whole) - F.col("_gone_bytes")}
+        df = df.withColumns(left)
+    else:
+        # one row for each slot: what went in the slots before, and what there is in all
+        slots = df.groupBy("_slot").agg(F.count("*").alias("_n"), F.sum("byte_size").alias("_b"), F.sum("_free").alias("_f"), F.sum(F.col("_free") * F.col("byte_size")).alias("_fb"))
+        all_, earlier = Window.partitionBy(F.lit(0)), Window.partitionBy(F.lit(0)).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+        rest = lambda total, free: F.sum(total).over(all_) - F.coalesce(F.sum(free).over(earlier), F.lit(0))
+        slots = slots.select("_slot", rest("_n", "_f").alias("_count"), rest("_b", "_fb").alias("_bytes"))
+        df = df.join(slots, "_slot").withColumns({"_count": F.col("_count") - F.col("_gone"), "_bytes": F.col("_bytes") - F.col("_gone_bytes")})
     out = df.where(~F.col("pinned") & ((F.col("_count") > most) | (F.col("_bytes") > most_bytes)))
-    return out.drop("_count", "_bytes", "_all")
+    return out.drop("_count", "_bytes", "_gone", "_gone_bytes", "_free", "_slot")
 
 
 def clean_hashes(hashes: Column, most: int = MAX_COLLECTION_HASHES) -> Column:

@@ -17,6 +17,15 @@ COLLECTION_CHARS, LEAST_BLOCK = 12000, 200
 SINGLE_CHARS = 16000
 SEPARATOR = "\n\n---\n\n"
 TRUNCATED = "[truncated]"
+# fixed values: heading, instruction and note of the step that puts chunk summaries together, by language
+INTEGRATION = {
+    "ko": ("📋 통합 요약", "다음은 문서의 파트별 요약입니다. 이를 하나의 통합 요약으로 정리해주세요.", "[... 이하 생략 — 청크 수가 많아 일부만 포함]"),
+    "en": ("Integrated Summary", "The following are per-section summaries of the document. Please consolidate them into a single integrated summary.", "[... truncated — too many chunks to include all]"),
+    "ja": ("統合要約", "以下は文書のセクション別要約です。これらを一つの統合要約にまとめてください。", "[... 以下省略 — チャンク数が多いため一部のみ含む]"),
+    "zh": ("综合总结", "以下是文档各部分的摘要。请将它们整合为一个综合总结。", "[... 以下省略 — 分块过多仅包含部分]"),
+    "auto": ("Integrated Summary", "The following are per-section summaries of the document. Consolidate them into a single integrated summary.", "[... truncated]"),
+}
+DEFAULT_LANGUAGE = "ko"
 
 
 def fair_shares(parts: Column, budget: Column | int) -> Column:
@@ -40,10 +49,10 @@ def fair_shares(parts: Column, budget: Column | int) -> Column:
     return F.transform(lengths, lambda x: F.least(x, F.coalesce(share, x)))
 
 
-def truncated_summaries(parts: Column, budget: int, sep: str = "\n\n", note: str = TRUNCATED) -> Column:
+def truncated_summaries(parts: Column, budget: Column | int, sep: str = "\n\n", note: str = TRUNCATED) -> Column:
     """Parts joined; over the budget, long ones are cut to their fair share, without a half citation, and a note ends it."""
     joined = F.array_join(parts, sep)
-    shares = fair_shares(parts, budget - len(sep) * F.greatest(F.size(parts) - 1, F.lit(0)))
+    shares = fair_shares(parts, T.lit(budget) - len(sep) * F.greatest(F.size(parts) - 1, F.lit(0)))
 
     def cut(x: Column) -> Column:
         short = F.regexp_replace(T.strip_partial_citation(F.left(x["part"], x["share"])), f"{T.S}+$", "")
@@ -87,20 +96,29 @@ def leading(text: Column, sentences: int = 2) -> Column:
     return T.trim(F.array_join(F.slice(parts, 1, sentences), " "))
 
 
-def full_summary(docs: DataFrame, key: str, pages: str, summarize=leading, max_tokens: int = 4000) -> DataFrame:
+def _integrated(maps: Column, heading: str, note: str, reduce, max_tokens: int) -> Column:
+    """The map summaries, and, of several, what reduce makes of them under its heading.
+
+    They are joined and cut fairly to the characters that max_tokens of the joined text take.
+    """
+    joined = F.array_join(maps, "\n\n")
+    budget = F.floor(max_tokens * T.chars_per_token(joined)).cast("int")
+    cut = T.let(budget, lambda most: truncated_summaries(maps, most, note=note))
+    partial = F.array_join(maps, SEPARATOR)
+    return F.when(F.size(maps) > 1, F.concat(partial, F.lit(f"{SEPARATOR}## {heading}\n\n"), reduce(cut))).otherwise(partial)
+
+
+def full_summary(docs: DataFrame, key: str, pages: str, summarize=leading, max_tokens: int = 4000, language: str = DEFAULT_LANGUAGE) -> DataFrame:
     """key, n_chunks, partial (chunk summaries in order) and summary.
 
-    Labelled paragraphs are cut into chunks and each is summarised; several are joined, cut fairly to what one call
-    takes, and summarised again. ``summarize`` is an expression; with generated() a service takes its place.
+    Labelled paragraphs are cut into chunks and each is summarised; several are put together by one more call, under a
+    heading. ``summarize`` is an expression; with generated() a service takes its place.
     """
-    df = docs.select(key, T.label_paragraphs(F.col(pages)).alias("_text"))
-    df = df.withColumn("_chunks", chunk_text(F.col("_text"), max_tokens))
-    df = df.withColumn("_maps", F.transform("_chunks", lambda c: summarize(c)))
-    partial = F.array_join("_maps", SEPARATOR)
-    most = F.floor(max_tokens * T.chars_per_token(F.col("_text")))
-    joined = F.when(F.char_length(F.array_join("_maps", "\n\n")) <= most, F.array_join("_maps", "\n\n")).otherwise(truncated_summaries(F.col("_maps"), max_tokens))
-    summary = F.when(F.size("_chunks") > 1, F.concat(partial, F.lit(SEPARATOR), summarize(joined))).otherwise(partial)
-    return df.select(key, F.size("_chunks").cast("long").alias("n_chunks"), partial.alias("partial"), summary.alias("summary"))
+    heading, instruction, note = INTEGRATION.get(language, INTEGRATION[DEFAULT_LANGUAGE])
+    df = docs.select(key, chunk_text(T.label_paragraphs(F.col(pages)), max_tokens).alias("_chunks"))
+    df = df.select(key, F.transform("_chunks", lambda c: summarize(c)).alias("_maps"))
+    whole = T.let(F.col("_maps"), lambda m: _integrated(m, heading, note, lambda x: summarize(F.concat(F.lit(instruction + "\n\n"), x)), max_tokens))
+    return df.select(key, F.size("_maps").cast("long").alias("n_chunks"), F.array_join("_maps", SEPARATOR).alias("partial"), whole.alias("summary"))
 
 
 def chapter_summary(docs: DataFrame, key: str, chapters: str, pages: str, summarize=leading, max_tokens: int = 4000) -> DataFrame:
@@ -115,16 +133,21 @@ def chapter_summary(docs: DataFrame, key: str, chapters: str, pages: str, summar
     return df.groupBy(key).agg(F.array_join(parts, SEPARATOR).alias("summary"))
 
 
-def custom_summary(docs: DataFrame, key: str, text: str, template: str, chunked: bool, summarize=leading, max_tokens: int = 4000) -> DataFrame:
-    """key and summary by a prompt of one's own: over the text's first 16,000 characters, or over chunks and then over
-    what they gave."""
+def custom_summary(docs: DataFrame, key: str, pages: str, template: str, chunked: bool, summarize=leading, max_tokens: int = 4000, language: str = DEFAULT_LANGUAGE) -> DataFrame:
+    """key, cut and summary by a prompt of one's own over labelled paragraphs.
+
+    Either in one call over the first 16,000 characters, where ``cut`` says that there were more, or over chunks, whose
+    results stand before what the same prompt makes of them together.
+    """
+    heading, _, note = INTEGRATION.get(language, INTEGRATION[DEFAULT_LANGUAGE])
     prompt = lambda c: summarize(F.concat(F.lit(template + "\n\n"), c))
-    t = F.coalesce(F.col(text), F.lit(""))
+    df = docs.select(key, T.label_paragraphs(F.col(pages)).alias("_text"))
     if not chunked:
-        short = F.when(F.char_length(t) > SINGLE_CHARS, F.concat(F.left(t, F.lit(SINGLE_CHARS)), F.lit("[...]"))).otherwise(t)
-        return docs.select(key, prompt(short).alias("summary"))
-    df = docs.select(key, F.transform(chunk_text(t, max_tokens), lambda c: prompt(c)).alias("_maps"))
-    return df.select(key, F.when(F.size("_maps") > 1, prompt(F.array_join("_maps", "\n\n"))).otherwise(F.get("_maps", F.lit(0))).alias("summary"))
+        over = F.char_length("_text") > SINGLE_CHARS
+        short = F.concat(T.strip_partial_citation(F.left("_text", F.lit(SINGLE_CHARS))), F.lit("\n\n[...]"))
+        return df.select(key, over.alias("cut"), prompt(F.when(over, short).otherwise(F.col("_text"))).alias("summary"))
+    df = df.select(key, F.transform(chunk_text(F.col("_text"), max_tokens), lambda c: prompt(c)).alias("_maps"))
+    return df.select(key, F.lit(False).alias("cut"), T.let(F.col("_maps"), lambda m: _integrated(m, heading, note, prompt, max_tokens)).alias("summary"))
 
 
 def finalized(summary: Column, markers: Column | None = None) -> Column:

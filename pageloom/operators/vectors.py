@@ -37,11 +37,13 @@ def valid(v: Column, most: int = 8192) -> Column:
 
 
 def one_dimension(vectors: DataFrame, column: str = "embedding") -> DataFrame:
-    """The table with its dimension checked: the job fails at a vector of another size than the first."""
-    dim = vectors.agg(F.min(F.size(column)).alias("_d"), F.max(F.size(column)).alias("_e")).where("_d <> _e").count()
-    if dim:
-        raise ValueError("vectors of different dimensions")
-    return vectors
+    """The table with its dimension checked: the job that reads it fails at a vector of another size than the others.
+
+    The sizes are looked at by the job itself, in one aggregation that is joined as a single value.
+    """
+    sizes = vectors.agg(F.min(F.size(column)).alias("_least"), F.max(F.size(column)).alias("_most"))
+    good = F.when(F.col("_least") == F.col("_most"), F.lit(True)).otherwise(F.raise_error(F.lit("vectors of different dimensions")))
+    return vectors.where(sizes.select(good.alias("good")).scalar())
 
 
 def scored(chunks: DataFrame, query: list[float], column: str = "embedding") -> DataFrame:

@@ -51,22 +51,67 @@ def w9b(spark, d):
     return paged(spark, d).select("doc_id", S.truncated_summaries(F.col("pages"), 600).alias("joined"))
 
 
+# labelled paragraphs of lines as pages (v, t), then chunks as C1 packs them (one row each: doc_id, k, c)
+_LABELLED = r"""p AS (SELECT doc_id, unnest(generate_series(1, len(l))) AS page, unnest(l) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+    u AS (SELECT doc_id, page, regexp_replace(t, '^\s+|\s+$', '', 'g') AS t FROM p WHERE regexp_matches(t, '\S')),
+    v AS (SELECT doc_id, '[p.' || page || '] ' || substring(t, k * 1500 + 1, 1500) AS t, row_number() OVER (PARTITION BY doc_id ORDER BY page, k) AS i FROM (SELECT *, unnest(range(0, (length(t) - 1) // 1500 + 1)) AS k FROM u)),
+    t AS (SELECT doc_id, string_agg(t, chr(10) || chr(10) ORDER BY i) AS t FROM v GROUP BY 1)"""
+
+
+def _cpt_sql(t: str) -> str:
+    even = "concat(" + ", ".join(f"substring({t}, (length({t}) // 10) * {i} + 1, 200)" for i in range(10)) + ")"
+    cjk = "'[\\x{ac00}-\\x{d7af}\\x{3130}-\\x{318f}\\x{1100}-\\x{11ff}\\x{3040}-\\x{309f}\\x{30a0}-\\x{30ff}\\x{4e00}-\\x{9fff}]'"
+    sample = f"CASE WHEN length({t}) <= 2000 THEN {t} ELSE {even} END"
+    return f"greatest(1.5::DOUBLE, 4 - 2.5::DOUBLE * len(regexp_extract_all({sample}, {cjk})) / greatest(length({sample}), 1))"
+
+
+def _chunks_sql(tokens: int) -> str:
+    """Rows doc_id, k, c: whole paragraphs while they fit, each chunk over the limit cut at it."""
+    return rf"""z AS (SELECT doc_id, t, greatest(100, CAST(floor({tokens} * {_cpt_sql("t")}) AS BIGINT)) AS most FROM t),
+    n AS (SELECT v.doc_id, v.i, length(v.t) AS n, most FROM v JOIN z ON z.doc_id = v.doc_id),
+    f AS (SELECT doc_id, i, n AS len, 1::BIGINT AS g FROM n WHERE i = 1 UNION ALL
+          SELECT n.doc_id, n.i, CASE WHEN f.len + 2 + n.n > most THEN n.n ELSE f.len + 2 + n.n END, f.g + CASE WHEN f.len + 2 + n.n > most THEN 1 ELSE 0 END FROM f JOIN n ON n.doc_id = f.doc_id AND n.i = f.i + 1),
+    w AS (SELECT f.doc_id, g, any_value(most) AS most, regexp_replace(string_agg(v.t, chr(10) || chr(10) ORDER BY f.i), '^\s+|\s+$', '', 'g') AS c FROM f JOIN v ON v.doc_id = f.doc_id AND v.i = f.i JOIN z ON z.doc_id = f.doc_id GROUP BY 1, 2),
+    x AS (SELECT doc_id, g, j, substring(c, j * most + 1, most) AS c FROM (SELECT *, unnest(range(0, (length(c) - 1) // most + 1)) AS j FROM w)),
+    c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g, j) AS k, c FROM x)"""
+
+
+def _fair_sql(budget: str, note: str) -> str:
+    """Of rows m (doc_id, k, s): joined, or cut to fair shares of budget (over q.joined) with a note: doc_id, joined."""
+    return rf"""q AS (SELECT doc_id, count(*) AS n, string_agg(s, chr(10) || chr(10) ORDER BY k) AS joined, string_agg(s, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY k) AS partial FROM m GROUP BY 1),
+    b AS (SELECT *, {budget} AS most, greatest({budget} - 2 * (n - 1), 0) AS r FROM q),
+    o AS (SELECT m.doc_id, k, s, r, n, row_number() OVER y AS rank, coalesce(sum(length(s)) OVER (PARTITION BY m.doc_id ORDER BY length(s), k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM m JOIN b ON b.doc_id = m.doc_id WINDOW y AS (PARTITION BY m.doc_id ORDER BY length(s), k)),
+    e AS (SELECT *, CASE WHEN length(s) > floor((r - before) / (n - rank + 1)) THEN CAST(floor((r - before) / (n - rank + 1)) AS BIGINT) END AS over_ FROM o),
+    h AS (SELECT *, first_value(over_ IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS share FROM e),
+    a AS (SELECT doc_id, string_agg(CASE WHEN length(s) > share THEN regexp_replace(regexp_replace(left(s, share), '\[[^\]
+]{{0,130}}$', ''), '\s+$', '') || '…' ELSE s END, chr(10) || chr(10) ORDER BY k) || chr(10) || chr(10) || '{note}' AS cut FROM h GROUP BY 1),
+    g2 AS (SELECT b.doc_id, n, partial, CASE WHEN length(joined) <= most THEN joined ELSE cut END AS joined FROM b JOIN a ON a.doc_id = b.doc_id)"""
+
+
+def _whole_sql(prompt: str, language: str) -> str:
+    made = _LEAD.format(f"'{prompt}' || chr(10) || chr(10) || joined")
+    return f"partial || CASE WHEN n > 1 THEN chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## {S.INTEGRATION[language][0]}' || chr(10) || chr(10) || {made} ELSE '' END"
+
+
 @query(
     "c15_full_summary_one_chunk",
-    rf"""WITH p AS (SELECT doc_id, unnest(generate_series(1, len(l))) AS page, unnest(l) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
-    u AS (SELECT doc_id, page, regexp_replace(t, '^\s+|\s+$', '', 'g') AS t FROM p WHERE regexp_matches(t, '\S')),
-    v AS (SELECT doc_id, page, k, substring(t, k * 1500 + 1, 1500) AS t FROM (SELECT *, unnest(range(0, (length(t) - 1) // 1500 + 1)) AS k FROM u)),
-    t AS (SELECT doc_id, string_agg('[p.' || page || '] ' || t, chr(10) || chr(10) ORDER BY page, k) AS t FROM v GROUP BY 1)
-    SELECT doc_id, CAST(1 AS BIGINT) AS n_chunks, {_LEAD.format("t")} AS summary FROM t""",
+    f"WITH {_LABELLED} SELECT doc_id, CAST(1 AS BIGINT) AS n_chunks, {_LEAD.format('t')} AS summary FROM t",
 )
 def c15(spark, d):
     # a call that takes any of the documents whole
     return S.full_summary(paged(spark, d), "doc_id", "pages", max_tokens=100000).select("doc_id", "n_chunks", "summary")
 
 
-@query("c15_full_summary")
+_C15_BUDGET = f"CAST(floor(200 * {_cpt_sql('joined')}) AS BIGINT)"
+
+
+@query(
+    "c15_full_summary",
+    f"""WITH RECURSIVE {_LABELLED}, {_chunks_sql(200)}, m AS (SELECT doc_id, k, {_LEAD.format("c")} AS s FROM c), {_fair_sql(_C15_BUDGET, S.INTEGRATION["en"][2])}
+    SELECT doc_id, n AS n_chunks, partial, {_whole_sql(S.INTEGRATION["en"][1], "en")} AS summary FROM g2""",
+)
 def c15b(spark, d):
-    return S.full_summary(paged(spark, d), "doc_id", "pages", max_tokens=200)
+    return S.full_summary(paged(spark, d), "doc_id", "pages", max_tokens=200, language="en")
 
 
 @query("c16_chapter_summary")
@@ -75,14 +120,21 @@ def c16(spark, d):
     return S.chapter_summary(df.withColumn("chapters", C.detect_chapters(F.col("pages"), F.col("s"))), "doc_id", "chapters", "pages")
 
 
-@query("c17_custom_single", f"""SELECT doc_id, {_LEAD.format("'List the dates. Be brief' || chr(10) || chr(10) || CASE WHEN length(text) > 16000 THEN left(text, 16000) || '[...]' ELSE text END")} AS summary FROM documents""")
+_C17 = r"CASE WHEN length(t) > 16000 THEN regexp_replace(left(t, 16000), '\[[^\]\n]{0,130}$', '') || chr(10) || chr(10) || '[...]' ELSE t END"
+
+
+@query("c17_custom_single", f"""WITH {_LABELLED} SELECT doc_id, length(t) > 16000 AS cut, {_LEAD.format(f"'List the dates. Be brief' || chr(10) || chr(10) || {_C17}")} AS summary FROM t""")
 def c17(spark, d):
-    return S.custom_summary(documents(spark, d), "doc_id", "text", "List the dates. Be brief", chunked=False)
+    return S.custom_summary(paged(spark, d), "doc_id", "pages", "List the dates. Be brief", chunked=False)
 
 
-@query("c17_custom_chunked")
+@query(
+    "c17_custom_chunked",
+    f"""WITH RECURSIVE {_LABELLED}, {_chunks_sql(100)}, m AS (SELECT doc_id, k, {_LEAD.format("'List the dates' || chr(10) || chr(10) || c")} AS s FROM c), {_fair_sql(_C15_BUDGET.replace("200", "100"), S.INTEGRATION["ja"][2])}
+    SELECT doc_id, FALSE AS cut, {_whole_sql("List the dates", "ja")} AS summary FROM g2""",
+)
 def c17b(spark, d):
-    return S.custom_summary(documents(spark, d), "doc_id", "text", "List the dates", chunked=True, max_tokens=300)
+    return S.custom_summary(paged(spark, d), "doc_id", "pages", "List the dates", chunked=True, max_tokens=100, language="ja")
 
 
 @query("c18_finalized", "SELECT doc_id, concat('Sum of ', source, '[p.1].', chr(10), chr(10), 'pages 2-4', chr(10), chr(10), 'cut') AS final FROM documents")
@@ -182,13 +234,27 @@ def s7(spark, d):
     return L.outline(items).select("doc_id", "id", "level", "title")
 
 
+# every third line of a text stands behind a heading, the others are prose with a citation here and there, in a fence or not
+_MD = """CASE WHEN i % 3 = 0 THEN concat(repeat('#', CAST(1 + (i // 3 * 7 + doc_id) % 5 AS INT)), ' **Part** ', CAST(i AS VARCHAR), ' `x` #')
+    WHEN i % 31 = 5 THEN '```' ELSE concat('x ', t, CASE WHEN i % 4 = 1 THEN concat(' [', source, ' p.', CAST(i % 6 AS VARCHAR), '] and [p.9]') ELSE '' END) END"""
+
+
 @query(
     "f22_heading_tree",
-    """SELECT doc_id, unnest([0, 1, 2, 3]) AS id, unnest([NULL, 0, 1, 0]) AS parent_id, unnest([1, 2, 3, 2]) AS level, unnest([source, 'bold part', 'deep_name', 'end']) AS title, unnest([NULL, 7, NULL, 3]) AS page, unnest([NULL, NULL, NULL, source]) AS doc_name FROM documents""",
+    f"""WITH l AS (SELECT doc_id, source, unnest(range(0, len(p))) AS i, unnest(p) AS t FROM (SELECT doc_id, source, string_split(regexp_replace(text, '\\[[^\\]]*\\]', '', 'g'), chr(10)) AS p FROM documents)),
+    k AS (SELECT doc_id, source, i, {_MD} AS m, count(*) FILTER (i % 31 = 5 AND i % 3 <> 0) OVER (PARTITION BY doc_id ORDER BY i) AS f, count(*) FILTER (i % 31 = 5 AND i % 3 <> 0) OVER (PARTITION BY doc_id) AS fences FROM l),
+    h AS (SELECT *, i % 3 = 0 AND (f % 2 = 0 OR fences % 2 = 1) AS head, 1 + (i // 3 * 7 + doc_id) % 5 AS level FROM k),
+    s AS (SELECT *, count(*) FILTER (head) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS id FROM h),
+    c AS (SELECT doc_id, id, source, (min(i) FILTER (i % 4 = 1 AND i % 3 <> 0 AND i % 31 <> 5)) % 6 AS page FROM s WHERE id >= 0 GROUP BY ALL),
+    n AS (SELECT doc_id, id, level, concat('Part ', i, ' x') AS title FROM s WHERE head)
+    SELECT n.doc_id, n.id, (SELECT max(o.id) FROM n o WHERE o.doc_id = n.doc_id AND o.id < n.id AND o.level < n.level) AS parent_id, n.level, n.title, CASE WHEN page >= 1 THEN page END AS page, CASE WHEN page >= 1 THEN source END AS doc_name
+    FROM n JOIN c ON c.doc_id = n.doc_id AND c.id = n.id""",
 )
 def f22(spark, d):
-    md = F.concat(F.lit("# "), "source", F.lit("\ntext\n## **bold** part [p.7] #\n```\n# no\n```\n### `deep_name`\n## end\nsee ["), "source", F.lit(" p.3]"))
-    return L.heading_trees(documents(spark, d).select("doc_id", md.alias("md")), "doc_id", "md")
+    lines = documents(spark, d).select("doc_id", "source", F.posexplode(F.split(F.regexp_replace("text", r"\[[^\]]*\]", ""), "\n")).alias("i", "t"))
+    md = lines.select("doc_id", "i", F.expr(_MD.replace("//", "div").replace("VARCHAR", "STRING")).alias("m"))
+    md = md.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]), "\n").alias("md"))
+    return L.heading_trees(md, "doc_id", "md")
 
 
 @query(

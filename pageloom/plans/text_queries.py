@@ -12,8 +12,8 @@ from pageloom.plans.registry import query, table
 CITE = r"(?i)\[(?:([^\[\]|\n]{1,120}?)\s+)?p\.\s*(\d+)(?:\s*\|\s*[^\]\n]{0,200})?\s*\]"
 BARE = r"(?i)\[p\.\s*(\d+)(?:\s*\|\s*[^\]\n]{0,200})?\s*\]"
 #: A document's text with citations put in: bare, named, with a quotation, page 0 and one cut off at the end.
-CITED = """concat('Intro [p.', cast(doc_id % 90 as string), '] ', substring(text, 1, 200), ' [', source, '.pdf p. ', cast(doc_id % 7 as string), '] and [P.', cast(doc_id as string), ' | a quote]. ', substring(text, 201, 300), ' [p.12')"""
-CITED_SQL = """concat('Intro [p.', CAST(doc_id % 90 AS VARCHAR), '] ', substring(text, 1, 200), ' [', source, '.pdf p. ', CAST(doc_id % 7 AS VARCHAR), '] and [P.', CAST(doc_id AS VARCHAR), ' | a quote]. ', substring(text, 201, 300), ' [p.12')"""
+CITED = """concat('Intro [p.', cast(doc_id % 90 as string), '] ', substring(text, 1, 200), ' [', source, '.pdf p. ', cast(doc_id % 7 as string), '] and [P.', cast(doc_id as string), ' | a quote]. ', substring(text, 201), ' [p.12')"""
+CITED_SQL = """concat('Intro [p.', CAST(doc_id % 90 AS VARCHAR), '] ', substring(text, 1, 200), ' [', source, '.pdf p. ', CAST(doc_id % 7 AS VARCHAR), '] and [P.', CAST(doc_id AS VARCHAR), ' | a quote]. ', substring(text, 201), ' [p.12')"""
 _TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
 
@@ -107,10 +107,10 @@ def f12(spark, d):
 @query(
     "f4_sanitize_prompt",
     r"""SELECT doc_id, regexp_replace(regexp_replace(t, '(?m)^\s*---\s*$', '\\-\\-\\-', 'g'), '(?m)^\s*\[질문\]', '\\[질문\\]', 'g') AS safe
-        FROM (SELECT doc_id, concat(substring(text, 1, 50), chr(10), ' ---', chr(10), 'a --- b', chr(10), '[질문] x', chr(10), substring(text, 51, 50)) AS t FROM documents)""",
+        FROM (SELECT doc_id, concat(substring(text, 1, 50), chr(10), ' ---', chr(10), 'a --- b', chr(10), '[질문] x', chr(10), substring(text, 51)) AS t FROM documents)""",
 )
 def f4(spark, d):
-    t = F.concat(F.substring("text", 1, 50), F.lit("\n ---\na --- b\n[질문] x\n"), F.substring("text", 51, 50))
+    t = F.concat(F.substring("text", 1, 50), F.lit("\n ---\na --- b\n[질문] x\n"), F.expr("substring(text, 51)"))
     return documents(spark, d).select("doc_id", T.sanitize_prompt(t).alias("safe"))
 
 
@@ -139,12 +139,13 @@ def p11(spark, d):
 
 @query(
     "f15_label_paragraphs",
-    r"""WITH p AS (SELECT doc_id, unnest(generate_series(1, len(l))) AS page, unnest(l) AS t FROM (SELECT doc_id, string_split(substring(text, 1, 1500), chr(10)) AS l FROM documents))
-        SELECT doc_id, coalesce(string_agg('[p.' || page || '] ' || regexp_replace(t, '^\s+|\s+$', '', 'g'), chr(10) || chr(10) ORDER BY page) FILTER (regexp_matches(t, '\S')), '') AS labeled FROM p GROUP BY doc_id""",
+    r"""WITH p AS (SELECT doc_id, unnest(generate_series(1, len(l))) AS page, unnest(l) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+        u AS (SELECT doc_id, page, regexp_replace(t, '^\s+|\s+$', '', 'g') AS t FROM p),
+        v AS (SELECT doc_id, page, k, substring(t, k * 1500 + 1, 1500) AS t FROM (SELECT *, unnest(range(0, greatest(length(t) - 1, 0) // 1500 + 1)) AS k FROM u))
+        SELECT doc_id, coalesce(string_agg('[p.' || page || '] ' || t, chr(10) || chr(10) ORDER BY page, k) FILTER (t <> ''), '') AS labeled FROM v GROUP BY doc_id""",
 )
 def f15(spark, d):
-    pages = F.split(F.substring("text", 1, 1500), "\n")
-    return documents(spark, d).select("doc_id", T.label_paragraphs(pages).alias("labeled"))
+    return documents(spark, d).select("doc_id", T.label_paragraphs(F.split("text", "\n")).alias("labeled"))
 
 
 @query(
@@ -176,7 +177,7 @@ def f18(spark, d):
 
 
 _TALK = " OR ".join("regexp_matches(t, '{}')".format(p.replace("'", "''")) for p in T.CONVERSATIONAL)
-_MADE = "concat('Hope this helps', chr(10), substring(text, 1, 80), chr(10), chr(10), chr(10), chr(10), 'To summarize: all', chr(10), 'Feel free to ask [p.3]', chr(10), substring(text, 81, 80), chr(10), 'Let me know if you need', chr(10))"
+_MADE = "concat('Hope this helps', chr(10), substring(text, 1, 80), chr(10), chr(10), chr(10), chr(10), 'To summarize: all', chr(10), 'Feel free to ask [p.3]', chr(10), substring(text, 81), chr(10), 'Let me know if you need', chr(10))"
 
 
 @query(

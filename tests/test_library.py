@@ -67,8 +67,36 @@ def test_vector_search(spark):
     assert [r["idx"] for r in got] == [0, 1, 2] and math.isclose(got[0]["score"], 1, abs_tol=1e-5)
     assert V.search(df, [1.0, 0.0]).collect() == []
     assert V.search(vectors(spark, [0, 0, 0]).withColumn("embedding", V.normalized(F.col("embedding"))), [1.0, 0.0, 0.0]).collect() == []
-    with pytest.raises(ValueError, match="dimensions"):
-        V.one_dimension(vectors(spark, [1, 0, 0], [1, 0]))
+    assert V.one_dimension(vectors(spark, [1, 0, 0], [0, 1, 0])).count() == 2
+    with pytest.raises(Exception, match="dimensions"):
+        V.one_dimension(vectors(spark, [1, 0, 0], [1, 0])).collect()
+
+
+def test_members_searched_are_the_active_one_and_the_first(spark):
+    members = spark.createDataFrame([(29 - i, f"d{i:02}", "f") for i in range(30)], "pos long, doc_hash string, file_name string")
+    chunks = spark.createDataFrame([(f"d{i:02}", 0, [1.0, 0.0]) for i in range(30)], "doc_hash string, idx long, embedding array<float>")
+    got = {r["doc_hash"] for r in search.collection_hits(members, chunks, [1.0, 0.0], active="d03").collect()}
+    assert got == {"d03", *(f"d{i:02}" for i in range(11, 30))}
+
+
+def test_summary_names_given_twice(spark):
+    sessions = spark.createDataFrame([("a", {"full": "old", "x": "kept"}), ("b", None)], "doc_hash string, summaries map<string,string>")
+    news = spark.createDataFrame([("a", "full", "one", 1), ("a", "full", "two", 2), ("c", "full", "none", 1), ("b", None, "x", 1)], "doc_hash string, name string, content string, saved_at int")
+    got = {r["doc_hash"]: r["summaries"] for r in store.merge_summaries(sessions, news).collect()}
+    assert got == {"a": {"full": "two", "x": "kept"}, "b": {}}
+
+
+def test_eviction_of_a_whole_table_against_loop(spark):
+    rng = random.Random(8)
+    entries = [(f"h{i}", f"2026-01-0{rng.randrange(1, 9)}T{rng.randrange(24):02}:{rng.randrange(60):02}", rng.randrange(1, 90), rng.random() < 0.2) for i in range(200)]
+    count, size, want = len(entries), sum(e[2] for e in entries), set()
+    for h, _, n, pinned in sorted(entries, key=lambda e: (e[1], e[0])):
+        if not pinned and (count > 60 or size > 2000):
+            want.add(h)
+            count, size = count - 1, size - n
+    df = spark.createDataFrame(entries, "doc_hash string, last_accessed string, byte_size long, pinned boolean")
+    got = store.evicted(df, most=60, most_bytes=2000)
+    assert {r["doc_hash"] for r in got.collect()} == want and got.columns == df.columns
 
 
 def test_eviction_against_loop(spark):

@@ -14,7 +14,7 @@ def test_same_rows_as_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(QUERIES.keys() - ORACLES.keys()))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).columns
+    assert QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry(spark):

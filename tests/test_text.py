@@ -99,12 +99,13 @@ def test_grid(spark, rows, want):
     assert one(spark, rows, L.grid_markdown, "array<array<string>>") == want
 
 
-def test_heading_tree():
-    tree = L.heading_tree("# 문서\n## 개요\n### 배경\n### 목표\n## 결론")
-    assert [(t[3], t[1]) for t in tree] == [("문서", None), ("개요", 0), ("배경", 1), ("목표", 1), ("결론", 0)]
-    assert L.heading_tree("# **중요** 개요 [p.1]")[0][3:5] == ("중요 개요", 1)
-    assert L.heading_tree("# a_b ~c~")[0][3] == "a_b ~c~"
-    assert len(L.heading_tree("```\n# in an open fence\n# two")) == 2
+def test_heading_tree(spark):
+    texts = ["# 문서\n## 개요\n### 배경\n### 목표\n## 결론", "# **중요** 개요 [p.1]", "# a_b ~c~", "```\n# in an open fence\n# two", "~~~\n# no\n```\n~~~~\n# yes\n####### no", "", None]
+    got = L.heading_trees(spark.createDataFrame(list(enumerate(texts)), "k long, md string"), "k", "md").orderBy("k", "id").collect()
+    tree = lambda k: [r for r in got if r["k"] == k]
+    assert [(r["title"], r["parent_id"]) for r in tree(0)] == [("문서", None), ("개요", 0), ("배경", 1), ("목표", 1), ("결론", 0)]
+    assert (tree(1)[0]["title"], tree(1)[0]["page"]) == ("중요 개요", 1) and tree(2)[0]["title"] == "a_b ~c~"
+    assert len(tree(3)) == 2 and [r["title"] for r in tree(4)] == ["yes"] and not tree(5) and not tree(6)
 
 
 def test_math():
@@ -112,6 +113,29 @@ def test_math():
     assert L.math_normalized(r"`\(x\)` \[p.3\] \(open") == r"`\(x\)` \[p.3\] \(open"
     assert L.math_normalized("```\n\\(x\\)\n```") == "```\n\\(x\\)\n```"
     assert len(L.math_normalized(r"\(" * 60_000)) == 120_000
+    assert len(L.math_normalized(r"\[x" * 60_000 + r"\]$")) == 180_003
+    assert L.math_normalized("\\[\na\n\\] \\(b\nc\\) \\\\(d\\) $\\(e\\)") == "$$\na\n$$ \\(b\nc\\) \\\\(d\\) $\\(e\\)"
+    assert L.math_normalized(r"\[Beta.pdf p.5\] \(\) \( \) \[a $ b\]") == r"\[Beta.pdf p.5\] \(\) \( \) \[a $ b\]"
+
+
+def test_folds_are_linear(spark):
+    import time
+
+    def seconds(n):
+        lines = spark.createDataFrame([("\n\n".join(f"line {i} of many, some text" for i in range(n)),)], "t string").cache()
+        lines.count()
+        blocks = F.transform(F.split("t", "\n\n"), lambda x: F.struct(x.alias("text"), F.lit(False).alias("break_before")))
+        began = time.perf_counter()
+        lines.select(C.paginate(blocks).alias("p"), C.chunk_text(F.col("t"), 100).alias("c")).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(32_000) < 0.5 + 60 * max(0.05, min(seconds(1000), seconds(1000)))
+
+
+def test_placement_of_lone_citations(spark):
+    text = "[p.1]\nOne.\n- [p.2]\n\n[p.3] .\nTwo\n([p.4])\nThree! \n[p.5]"
+    assert one(spark, text, T.normalize_placement) == "[p.1]\nOne[p.2][p.3].\n\nTwo[p.4]\nThree[p.5]! "
 
 
 def test_chapters(spark):
