@@ -349,23 +349,6 @@ def c7(spark, d):
     return qa.context(hits, ["doc_hash"], T.labeled_segment(F.col("text"), T.page_label(F.col("page_start")), F.col("body_offset")))
 
 
-@query(
-    "c12_question_prompt",
-    """SELECT item_id, '[요약 내용]' || chr(10) || left(text, 20) || chr(10) || chr(10) || CASE WHEN item_id % 2 = 0 THEN '[원문 관련 부분]' || chr(10) || 'x' || chr(10) || chr(10) ELSE '' END || chr(10) || '[질문]' || chr(10) || left(text, 30) AS prompt FROM benchmark""",
-)
-def c12(spark, d):
-    p = qa.question_prompt(F.left("text", F.lit(20)), F.when(F.col("item_id") % 2 == 0, "x"), F.lit(None).cast("string"), F.left("text", F.lit(30)))
-    return table(spark, d, "benchmark").select("item_id", p.alias("prompt"))
-
-
-@query("f27_split_prompt", "SELECT item_id, CASE WHEN item_id % 2 = 0 THEN left(text, 10) ELSE '' END AS system, CASE WHEN item_id % 2 = 0 THEN 'q' || item_id ELSE left(text, 10) END AS user FROM benchmark WHERE left(text, 10) = trim(left(text, 10))")
-def f27(spark, d):
-    df = table(spark, d, "benchmark").where(F.left("text", F.lit(10)) == F.trim(F.left("text", F.lit(10))))
-    p = F.when(F.col("item_id") % 2 == 0, F.concat(F.left("text", F.lit(10)), F.lit("\n---\n\nq"), F.col("item_id").cast("string"))).otherwise(F.left("text", F.lit(10)))
-    parts = qa.split_prompt(p)
-    return df.select("item_id", parts["system"].alias("system"), parts["user"].alias("user"))
-
-
 @query("c14_refine_fallback", "SELECT item_id, CASE item_id % 3 WHEN 0 THEN text WHEN 1 THEN text ELSE 'better' END AS answer FROM benchmark")
 def c14(spark, d):
     made = F.when(F.col("item_id") % 3 == 0, F.lit(None)).when(F.col("item_id") % 3 == 1, " \n").otherwise("better")

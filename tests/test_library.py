@@ -4,10 +4,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pageloom.operators import qa, search, store
+from pageloom import settings
+from pageloom.operators import flow, qa, search, store
 from pageloom.operators import vectors as V
 from pageloom.plans import library_queries  # noqa: F401  (registers itself)
 from pageloom.plans.registry import QUERIES
+from pageloom.sources import export
 
 
 def test_collections_of_all_documents(spark):
@@ -135,3 +137,74 @@ def test_collection_members(spark):
     assert [(r["doc_hash"], r["file_name"], r["status"]) for r in got] == [("b", "tab", "ready"), ("a", "A", "ready")]
     none = search.resolve_members(members, manifest, tabs, {"doc_hash": "b", "model": None, "dim": None}).collect()
     assert {r["status"] for r in none} == {"no-index"}
+
+
+def test_documents_take_sections_then_headings_then_first_lines(spark):
+    kind = "k long, units array<string>, sections array<struct<title:string,unit:int>>, headings array<struct<level:int,title:string,unit:int>>, images array<struct<unit:int>>"
+    units = ["a", "b", "c"]
+    rows = [
+        (1, units, [("S", 1), ("T", 2), ("T", 3)], [(1, "H", 0)], [(9,), (-1,)]),
+        (2, units, [("only", 0)], [(1, "x", 0), (2, "H", 1), (2, " ", 1), (2, "I", 7)], []),
+        (3, units, None, [(1, "x", 0)], None),
+        (4, [], None, [], []),
+        (5, ["제1장 가", "b", "제2장 나"], None, None, None),
+    ]
+    got = {r["k"]: r for r in flow.documents(spark.createDataFrame(rows, kind), "k").collect()}
+    chapters = {k: [(c["title"], c["start_page"], c["end_page"]) for c in r["chapters"]] for k, r in got.items()}
+    assert chapters == {1: [("S", 1, 2), ("T", 3, 3)], 2: [("H", 1, 2), ("I", 3, 3)], 3: [("Pages 1-3", 1, 3)], 4: [], 5: [("제1장 가", 1, 2), ("제2장 나", 3, 3)]}
+    assert [i["unit"] for i in got[1]["images"]] == [2, 0] and got[1]["chapters"][0]["text"] == "a\n\nb" and got[4]["page_count"] == 0
+
+
+def test_ask_falls_back_verifies_and_refines(spark):
+    class Loud:
+        """A generator that answers drafts and rewrites differently; local, so that workers get it by value."""
+
+        def generate(self, prompts):
+            return ["Better answer [p.1]" if "[초안 답변]" in p else "A claim that nothing in the text supports at all. Another claim without any support here." for p in prompts]
+
+    embedder = V.HashingEmbedder()
+    docs = [("a", "a.pdf", ["alpha beta gamma delta"], "alpha beta gamma delta", None), ("b", "b.pdf", ["no index here"], "no index here", "sum")]
+    sessions = spark.createDataFrame(docs, "doc_hash string, file_name string, page_texts array<string>, text string, summary string")
+    chunks = V.embedded(spark.createDataFrame([("a", 0, "alpha beta gamma delta", 1, 0)], "doc_hash string, idx int, text string, page_start int, body_offset int"), embedder)
+    got = {r["doc_hash"]: r for r in flow.ask(sessions, chunks, "alpha beta gamma", embedder, Loud()).collect()}
+    assert (got["a"]["basis"], got["b"]["basis"]) == ("index", "keywords")
+    assert got["a"]["refined"] and got["a"]["answer"] == "Better answer [p.1]" and not got["a"]["degraded"]
+    # without an index of its own there is nothing to verify against
+    assert not got["b"]["refined"] and got["b"]["answer"].startswith("A claim")
+    # nothing to verify against: the draft stays
+    got = flow.ask(sessions, chunks.limit(0), "alpha beta", embedder, Loud()).collect()
+    assert len(got) == 2 and all(r["answer"].startswith("A claim") and not r["refined"] for r in got)
+    assert flow.ask(sessions, chunks, "  ", embedder, Loud()).count() == 0
+    members = spark.createDataFrame([(0, "a", "a.pdf")], "pos long, doc_hash string, file_name string")
+    got = flow.ask(sessions, chunks, "alpha beta gamma", embedder, Loud(), members=members).collect()
+    assert {r["basis"] for r in got} == {"collection"} and all(r["answer"] == "Better answer " for r in got)
+    got = flow.ask(sessions, chunks.limit(0), "alpha", embedder, Loud(), members=members).collect()
+    assert all(r["degraded"] and r["basis"] == "keywords" for r in got)
+
+
+def test_verification_fails_open(spark):
+    embedder = V.HashingEmbedder()
+    answers = spark.createDataFrame([(1, "One sentence that is long enough."), (2, "short"), (3, None)], "k long, answer string")
+    chunks = V.embedded(spark.createDataFrame([("One sentence that is long enough.",)], "text string"), embedder)
+    got = {r["k"]: r for r in flow.verified(answers, chunks, embedder, "k").collect()}
+    assert (got[1]["total"], got[1]["needs_refine"]) == (1, False) and got[1]["avg_score"] > 0.99 and (got[2]["total"], got[2]["avg_score"]) == (0, 1.0)
+    other = V.embedded(spark.createDataFrame([("x",)], "text string"), V.HashingEmbedder(8))
+    assert all(r["avg_score"] == 1.0 and not r["needs_refine"] for r in flow.verified(answers, other, embedder, "k").collect())
+
+
+def test_settings():
+    assert settings.accepted("maxChunkSize", 999) == (False, None) and settings.accepted("maxChunkSize", 1500.5) == (False, None) and settings.accepted("maxChunkSize", 16000)[0]
+    assert not settings.accepted("ollamaBaseUrl", "http://example.org")[0] and settings.accepted("persistSessions", False) == (True, False)
+    given = [{"id": "a", "name": "n" * 99, "prompt": "p", "strategy": "x"}, {"id": "", "name": "n", "prompt": "p"}, None, {"id": "b", "name": " ", "prompt": "p"}]
+    assert settings.accepted("customSummaryTemplates", given * 30)[1] == [{"id": "a", "name": "n" * 60, "prompt": "p", "strategy": "single"}] * 20
+
+
+def test_export(spark, tmp_path):
+    df = spark.createDataFrame([("k1", "T <1>", "# Head\ntext **b** `c` <x>\n\n- one\n- *two*\n\n1. a\n\n> q\n\n---", "en"), ("k2", None, None, "xyz")], "k string, title string, summary string, language string")
+    export.export(df, "k", str(tmp_path / "html"), "html")
+    got = {r["k"]: r["value"] for r in spark.read.option("wholetext", True).text(str(tmp_path / "html")).collect()}
+    for part in ('lang="en"', "<title>T &lt;1&gt;</title>", "<h1>Head</h1>", "<p>text <strong>b</strong> <code>c</code> &lt;x&gt;</p>", "<ul><li>one</li><li><em>two</em></li></ul>", "<ol><li>a</li></ol>", "<blockquote>q</blockquote>", "<hr>"):
+        assert part in got["k1"], part
+    assert 'lang="ko"' in got["k2"]
+    export.export(df, "k", str(tmp_path / "md"))
+    assert spark.read.option("wholetext", True).text(str(tmp_path / "md")).where("k = 'k1'").first()["value"].startswith("# Head\ntext")
