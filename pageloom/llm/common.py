@@ -37,6 +37,11 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     """A fresh path in the shared folder, deleted when the driver ends."""
     path = f"{shared_dir(spark)}/pageloom-{tag}-{uuid.uuid4().hex}"
