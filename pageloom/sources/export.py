@@ -76,5 +76,6 @@ def export(summaries: DataFrame, key: str, path: str, kind: str = "md") -> None:
     """
     language = F.col("language") if "language" in summaries.columns else None
     body = F.col("summary") if kind == "md" else html_page(normalize_math(F.col("summary")), F.col("title"), language)
-    fits = F.when(F.octet_length(body) <= MAX_BYTES, body).otherwise(F.raise_error(F.lit("a summary over 10 MB")))
-    summaries.select(key, F.coalesce(fits, F.lit("")).alias("value")).write.partitionBy(key).text(path)
+    whole = F.coalesce(body, F.lit(""))
+    fits = F.when(F.octet_length(whole) <= MAX_BYTES, whole).otherwise(F.raise_error(F.lit("a summary over 10 MB")))
+    summaries.select(key, fits.alias("value")).write.partitionBy(key).text(path)

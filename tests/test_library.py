@@ -202,9 +202,9 @@ def test_settings():
 def test_export(spark, tmp_path):
     df = spark.createDataFrame([("k1", "T <1>", "# Head\ntext **b** `c` <x>\n\n- one\n- *two*\n\n1. a\n\n> q\n\n---", "en"), ("k2", None, None, "xyz")], "k string, title string, summary string, language string")
     export.export(df, "k", str(tmp_path / "html"), "html")
-    got = {r["k"]: r["value"] for r in spark.read.option("wholetext", True).text(str(tmp_path / "html")).collect()}
+    got = {r["k"]: r["value"] for r in spark.read.text(str(tmp_path / "html"), wholetext=True).collect()}
     for part in ('lang="en"', "<title>T &lt;1&gt;</title>", "<h1>Head</h1>", "<p>text <strong>b</strong> <code>c</code> &lt;x&gt;</p>", "<ul><li>one</li><li><em>two</em></li></ul>", "<ol><li>a</li></ol>", "<blockquote>q</blockquote>", "<hr>"):
         assert part in got["k1"], part
     assert 'lang="ko"' in got["k2"]
     export.export(df, "k", str(tmp_path / "md"))
-    assert spark.read.option("wholetext", True).text(str(tmp_path / "md")).where("k = 'k1'").first()["value"].startswith("# Head\ntext")
+    assert spark.read.text(str(tmp_path / "md"), wholetext=True).where("k = 'k1'").first()["value"].startswith("# Head\ntext")
