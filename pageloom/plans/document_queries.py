@@ -46,11 +46,6 @@ def w9(spark, d):
     return df.select("doc_id", F.posexplode(shares).alias("i", "allotted")).select("doc_id", (F.col("i") + 1).cast("long").alias("i"), F.col("allotted").cast("long").alias("allotted"))
 
 
-@query("w9_truncated_summaries")
-def w9b(spark, d):
-    return paged(spark, d).select("doc_id", S.truncated_summaries(F.col("pages"), 600).alias("joined"))
-
-
 # labelled paragraphs of lines as pages (v, t), then chunks as C1 packs them (one row each: doc_id, k, c)
 _LABELLED = r"""p AS (SELECT doc_id, unnest(generate_series(1, len(l))) AS page, unnest(l) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
     u AS (SELECT doc_id, page, regexp_replace(t, '^\s+|\s+$', '', 'g') AS t FROM p WHERE regexp_matches(t, '\S')),
@@ -114,7 +109,30 @@ def c15b(spark, d):
     return S.full_summary(paged(spark, d), "doc_id", "pages", max_tokens=200, language="en")
 
 
-@query("c16_chapter_summary")
+@query(
+    "w9_truncated_summaries",
+    f"""WITH m AS (SELECT doc_id, unnest(range(0, len(p))) AS k, unnest(p) AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)), {_fair_sql("600", S.TRUNCATED)}
+    SELECT doc_id, joined FROM g2""",
+)
+def w9b(spark, d):
+    return paged(spark, d).select("doc_id", S.truncated_summaries(F.col("pages"), 600).alias("joined"))
+
+
+# texts without headings: chapters are ranges of ten pages, each with a number of its own made of document and chapter
+_CHAPTERS = r"""p AS (SELECT doc_id, unnest(generate_series(1, len(l))) AS page, unnest(l) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+    u AS (SELECT doc_id, page, regexp_replace(t, '^\s+|\s+$', '', 'g') AS t FROM p WHERE regexp_matches(t, '\S')),
+    v AS (SELECT doc_id * 100000 + (page - 1) // 10 AS doc_id, '[p.' || page || '] ' || substring(t, k * 1500 + 1, 1500) AS t, row_number() OVER (PARTITION BY doc_id, (page - 1) // 10 ORDER BY page, k) AS i FROM (SELECT *, unnest(range(0, (length(t) - 1) // 1500 + 1)) AS k FROM u)),
+    t AS (SELECT doc_id, string_agg(t, chr(10) || chr(10) ORDER BY i) AS t FROM v GROUP BY 1)"""
+
+
+@query(
+    "c16_chapter_summary",
+    f"""WITH RECURSIVE {_CHAPTERS}, {_chunks_sql(4000)},
+    m AS (SELECT doc_id // 100000 AS doc_id, doc_id % 100000 AS ch, string_agg({_LEAD.format("c")}, chr(10) || chr(10) ORDER BY k) AS body FROM c GROUP BY ALL),
+    d AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents)
+    SELECT doc_id, coalesce(string_agg('## Pages ' || (ch * 10 + 1) || '-' || least(ch * 10 + 10, n) || chr(10) || chr(10) || body, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY ch) FILTER (regexp_matches(body, '\\S')), '') AS summary
+    FROM d LEFT JOIN m USING (doc_id) GROUP BY doc_id""",
+)
 def c16(spark, d):
     df = paged(spark, d).withColumn("s", C.chapter_starts(F.col("pages")))
     return S.chapter_summary(df.withColumn("chapters", C.detect_chapters(F.col("pages"), F.col("s"))), "doc_id", "chapters", "pages")
@@ -190,10 +208,21 @@ def w5(spark, d):
     return df.select("doc_id", F.size("p.units").cast("long").alias("units"), F.element_at("p.unit_of_block", -1).cast("long").alias("last_unit"))
 
 
-@query("w4_thin_headings")
+@query(
+    "w4_thin_headings",
+    r"""WITH RECURSIVE l AS (SELECT doc_id, unnest(range(0, len(p))) AS i, unnest(p) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
+    h AS (SELECT doc_id, i, length(t) % 3 + 1 AS level, regexp_replace(left(t, 12), '^\s+|\s+$', '', 'g') AS title, i // 2 AS unit FROM l),
+    v AS (SELECT doc_id, min(level) AS level FROM (SELECT doc_id, level FROM h WHERE title <> '' GROUP BY ALL HAVING count(DISTINCT unit) >= 2) GROUP BY 1),
+    c AS (SELECT doc_id, title, unit, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j FROM h JOIN v USING (doc_id, level) WHERE title <> ''),
+    f AS (SELECT doc_id, j, title, unit, TRUE AS kept FROM c WHERE j = 1 UNION ALL
+          SELECT c.doc_id, c.j, CASE WHEN c.unit > f.unit AND c.title <> f.title THEN c.title ELSE f.title END, CASE WHEN c.unit > f.unit AND c.title <> f.title THEN c.unit ELSE f.unit END, c.unit > f.unit AND c.title <> f.title FROM f JOIN c ON c.doc_id = f.doc_id AND c.j = f.j + 1),
+    k AS (SELECT doc_id, title, CASE WHEN j = 1 THEN 0 ELSE unit END AS start, row_number() OVER (PARTITION BY doc_id ORDER BY j) - 1 AS x, count(*) OVER (PARTITION BY doc_id) AS n FROM f WHERE kept),
+    g AS (SELECT doc_id, x // ((n + 49) // 50) AS g, min(start) AS start, arg_min(title, x) AS a, arg_max(title, x) AS b, count(*) AS m FROM k GROUP BY ALL)
+    SELECT doc_id, CASE WHEN m = 1 THEN a ELSE a || ' — ' || b END AS title, start FROM g""",
+)
 def w4(spark, d):
     heads = F.transform("pages", lambda t, i: F.struct((F.char_length(t) % 3 + 1).alias("level"), F.left(t, F.lit(12)).alias("title"), (i / 2).cast("int").alias("unit")))
-    return paged(spark, d).select("doc_id", F.inline(C.thin_headings(heads, F.size("pages"))))
+    return paged(spark, d).select("doc_id", F.inline(C.thin_headings(heads, F.size("pages")))).withColumn("start", F.col("start").cast("long"))
 
 
 @query(
@@ -359,7 +388,11 @@ def a15(spark, d):
     return R.sticky(df, "user_id", "event_id", "bucket").select("user_id", "event_id", "num_ctx")
 
 
-@query("x4_idle_sessions")
+@query(
+    "x4_idle_sessions",
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER w + INTERVAL 2 HOURS THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g) SELECT user_id, min(ts) AS begun, max(ts) + INTERVAL 2 HOURS AS ended, count(*) AS frames FROM s GROUP BY user_id, s""",
+)
 def x4(spark, d):
     return R.idle_sessions(table(spark, d, "events").select("user_id", "ts"), "user_id", "2 hours")
 

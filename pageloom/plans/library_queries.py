@@ -475,7 +475,13 @@ def c22(spark, d):
     return store.saved(old, new)
 
 
-@query("s28_collections")
+@query(
+    "s28_collections",
+    f"""WITH e AS (SELECT doc_id // 100 AS lib, CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 3 = 1 THEN ' set ' || source ELSE 'new ' || source END AS name, CASE WHEN doc_id % 3 = 1 THEN 3 ELSE 1 END::BIGINT AS members,
+           CASE WHEN doc_id % 3 = 1 THEN {DAY_SQL} ELSE replace({DAY_SQL}, '2024-01', '2024-02') END AS la, doc_id % 100 = 1 AS pinned FROM documents),
+    w AS (SELECT *, count(*) OVER (PARTITION BY lib) AS n, count(*) FILTER (NOT pinned) OVER (PARTITION BY lib ORDER BY la, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gone FROM e)
+    SELECT id, name, members FROM w WHERE pinned OR n - gone <= 50""",
+)
 def s28(spark, d):
     # libraries of a hundred ids; a third of the documents is stored only, a third new, and a third stored and changed
     k = F.col("doc_id")
@@ -507,13 +513,13 @@ def c4(spark, d):
 @query(
     "w3_chapter_ends",
     """WITH p AS (SELECT doc_id, unnest(generate_series(1, len(l))) AS page, unnest(l) AS t, len(l) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
-    h AS (SELECT doc_id, page, n, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS i FROM p WHERE page % 3 = 2 AND n >= 4)
-    SELECT doc_id, CAST(i AS INT) AS index, 'Chapter ' || ((page + 1) // 3) || ' x' AS title, CAST(CASE WHEN i = 1 THEN 1 ELSE page END AS INT) AS start_page, CAST(coalesce(lead(page) OVER (PARTITION BY doc_id ORDER BY page) - 1, n) AS INT) AS end_page FROM h""",
+    h AS (SELECT doc_id, page, n, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS i FROM p WHERE page % 3 = 2 UNION ALL SELECT doc_id, NULL, n, 1 FROM p WHERE n = 1)
+    SELECT doc_id, CAST(i AS INT) AS index, coalesce('Chapter ' || ((page + 1) // 3) || ' x', 'Pages 1-1') AS title, CAST(CASE WHEN i = 1 THEN 1 ELSE page END AS INT) AS start_page, CAST(coalesce(lead(page) OVER (PARTITION BY doc_id ORDER BY page) - 1, n) AS INT) AS end_page FROM h""",
 )
 def w3(spark, d):
     # every third page begins with a heading
     head = lambda t, i: F.when(i % 3 == 1, F.concat(F.lit("Chapter "), F.floor((i + 2) / 3).cast("string"), F.lit(" x\n"), t)).otherwise(F.concat(F.lit("- "), t))
-    df = table(spark, d, "documents").select("doc_id", F.transform(F.split("text", "\n"), head).alias("p")).where("size(p) >= 4")
+    df = table(spark, d, "documents").select("doc_id", F.transform(F.split("text", "\n"), head).alias("p"))
     df = df.withColumn("s", C.chapter_starts(F.col("p")))
     return df.select("doc_id", F.inline(C.detect_chapters(F.col("p"), F.col("s"))))
 
