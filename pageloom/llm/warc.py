@@ -9,8 +9,13 @@ payload shared by many pages is combined before the shuffle and never expanded.
 
 from __future__ import annotations
 
+import gzip
+import io
 from collections.abc import Iterator
+from itertools import islice
+from typing import BinaryIO
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +26,9 @@ MIN_BYTES = 0
 #: The tables have no time of capture.
 DATE = "1970-01-01T00:00:00Z"
 CRLF = "\r\n"
+#: Files of more bytes are streamed, and records that are handed on together.
+LARGEST = 1 << 28
+PARSED = 64
 # Fixed value: names of the record kinds and the profile of a revisit by equal payload digest.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -122,24 +130,52 @@ def export_warc(spark: SparkSession, path: str, out: str, compression: str = "no
     whole.select(body.alias("value")).write.option("lineSep", CRLF).option("compression", compression).text(out)
 
 
+def _records(stream: BinaryIO, name: str) -> Iterator[tuple[str, bytes]]:
+    """Header and payload of each record of a WARC stream, one at a time."""
+    while line := stream.readline():
+        header = []
+        while line.strip():
+            header.append(line)
+            line = stream.readline()
+        lengths = [x.split(b":", 1)[1] for x in header if x.lower().startswith(b"content-length:")]
+        if header and not lengths:
+            raise ValueError(f"a record without Content-Length in {name}")
+        if header:
+            size = int(lengths[0])
+            payload = stream.read(size)
+            if len(payload) < size:
+                raise ValueError(f"a record of {name} is cut off")
+            yield b"".join(header).decode("utf-8", "replace"), payload
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for name, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if content is None:
+                from pyarrow import fs
+
+                system, at = fs.FileSystem.from_uri("file://" + name[5:] if name.startswith("file:/") and not name.startswith("file://") else name)
+                raw = system.open_input_stream(at, compression=None)
+            else:
+                raw = io.BytesIO(content)
+            stream = gzip.GzipFile(fileobj=raw) if name.endswith(".gz") else io.BufferedReader(raw) if content is None else raw
+            found = _records(stream, name)
+            while part := list(islice(found, PARSED)):
+                columns = [pa.array([h for h, _ in part], pa.string()), pa.array([p for _, p in part], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["header", "payload"])
+
+
 def import_warc(spark: SparkSession, out: str) -> DataFrame:
-    """header and payload of each record in plain WARC files, by their Content-Length."""
-
-    def parse(frames: Iterator) -> Iterator:
-        import pandas as pd
-
-        for frame in frames:
-            for content in frame["content"]:
-                at, found = 0, []
-                while at < len(content):
-                    end = content.index(b"\r\n\r\n", at) + 2
-                    header = content[at:end].decode()
-                    n = next(int(x.split(":")[1]) for x in header.split(CRLF) if x.lower().startswith("content-length:"))
-                    found.append((header, content[end + 2 : end + 2 + n].decode()))
-                    at = end + 2 + n + 4
-                yield pd.DataFrame(found, columns=["header", "payload"])
-
-    return spark.read.format("binaryFile").load(out).select("content").mapInPandas(parse, "header string, payload string")
+    """header and payload (binary) of each record in WARC files, plain or gzip by their names, by their Content-Length.
+
+    Files up to LARGEST bytes come through Spark's reader; larger ones are streamed, record by record, by one task each.
+    A payload may hold any bytes; bytes of a header that are not UTF-8 are replaced. A damaged file fails the job.
+    """
+    files = spark.read.format("binaryFile").load(out)
+    small = files.where(F.col("length") <= LARGEST).select("path", "content")
+    large = files.where(F.col("length") > LARGEST).select("path", F.lit(None).cast("binary").alias("content"))
+    schema = "header string, payload binary"
+    return small.mapInArrow(_parse, schema).union(large.repartition("path").mapInArrow(_parse, schema))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,9 +40,25 @@ def test_round_trip_through_files(spark):
     path = new_path(spark, "warc")
     W.write_archive(frame(spark), path)
     whole = sorted(r["record"] for r in W.records(spark, path).collect())
-    W.export_warc(spark, path, path + "/plain")
-    back = sorted(r["header"] + "\r\n" + r["payload"] + "\r\n\r\n" for r in W.import_warc(spark, path + "/plain").collect())
-    assert back == whole and len(whole) == len(PAGES)
+    for kind in ("none", "gzip"):
+        W.export_warc(spark, path, f"{path}/{kind}", kind)
+        for largest in (W.LARGEST, 1):  # at once, and streamed
+            kept, W.LARGEST = W.LARGEST, largest
+            try:
+                back = sorted(r["header"] + "\r\n" + r["payload"].decode() + "\r\n\r\n" for r in W.import_warc(spark, f"{path}/{kind}").collect())
+            finally:
+                W.LARGEST = kept
+            assert back == whole and len(whole) == len(PAGES)
+
+
+def test_payloads_of_any_bytes_and_cut_files(spark, tmp_path):
+    body = bytes(range(256))
+    (tmp_path / "a.warc").write_bytes(b"WARC/1.1\r\nContent-Length: 256\r\n\r\n" + body + b"\r\n\r\nWARC/1.0\r\ncontent-length: 0\r\n\r\n\r\n\r\n")
+    got = W.import_warc(spark, str(tmp_path / "a.warc")).collect()
+    assert [bytes(r["payload"]) for r in got] == [body, b""]
+    (tmp_path / "b.warc").write_bytes(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort")
+    with pytest.raises(Exception, match="cut off"):
+        W.import_warc(spark, str(tmp_path / "b.warc")).collect()
 
 
 def test_damage_is_found(spark):
