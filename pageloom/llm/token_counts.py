@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import exists, new_path, table
+from pageloom.llm.common import exists, new_path, slices, table
 from pageloom.llm.tokens import default_path, encoder
 
 #: The separator and the id width of the 50k byte-level vocabulary.
@@ -30,7 +30,7 @@ DTYPE = "<u2"
 #: Ids of a block.
 BLOCK = 1 << 16
 #: Documents of a file, at most.
-FILE_DOCS = 1 << 14
+FILE_DOCS = 1 << 12
 #: Files of more bytes are read in ranges of this size instead of at once.
 LARGEST = 1 << 28
 
@@ -42,7 +42,7 @@ WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 def _lines(path: str, separator: int, dtype: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, most = encoder(path, specials=False), np.iinfo(dtype).max
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             values = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = bpe.ids(text.as_py() or "")
