@@ -139,8 +139,8 @@ def keyword_count(lower_text: Column, keyword: Column) -> Column:
 
 def keyword_score(chunk: Column, words: Column) -> Column:
     """All keywords' counts in a chunk, citations not counted."""
-    lower = F.lower(strip_citations(chunk))
-    return F.aggregate(F.transform(words, lambda w: keyword_count(lower, w)), F.lit(0).cast("long"), lambda a, x: a + x)
+    total = lambda low: F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + keyword_count(low, w))
+    return let(F.lower(strip_citations(chunk)), total)
 
 
 def sentences(answer: Column) -> Column:

@@ -32,14 +32,17 @@ def keyword_search(sessions: DataFrame, query: str, limit: int = MAX_RESULTS) ->
         found, sessions = "", sessions.limit(0)
     q = F.lit(found)
     pages = F.coalesce("page_texts", F.array().cast("array<string>"))
-    hits = F.transform(pages, lambda p, i: F.struct((i + 1).alias("page"), F.coalesce(p, F.lit("")).alias("text"), T.occurrences(F.lower(F.coalesce(p, F.lit(""))), q).alias("n")))
+    # a page that has no match is passed over before anything is counted
+    count = lambda p: T.let(F.lower(p), lambda low: F.when(F.contains(low, q), T.occurrences(low, q)).otherwise(F.lit(0).cast("long")))
+    hits = F.transform(pages, lambda p, i: F.struct((i + 1).alias("page"), F.coalesce(count(p), F.lit(0).cast("long")).alias("n")))
     df = sessions.withColumn("_hits", F.filter(hits, lambda h: h["n"] > 0))
     df = df.withColumn("_sums", F.filter(F.map_values(F.coalesce("summaries", F.create_map().cast("map<string,string>"))), lambda s: F.contains(F.lower(s), q)))
     on_pages = F.aggregate("_hits", F.lit(0).cast("long"), lambda a, h: a + h["n"])
     name = F.when(F.contains(F.lower("file_name"), q), NAME_BOOST).otherwise(0)
-    df = df.withColumn("score", on_pages + SUMMARY_BOOST * F.size("_sums") + name).where("score > 0")
-    df = df.orderBy(F.desc("score"), F.desc("last_accessed"), "doc_hash").limit(limit)
-    page_snippets = F.transform(F.slice("_hits", 1, MAX_PAGE_SNIPPETS), lambda h: F.struct(h["page"].alias("page"), T.keyword_snippet(h["text"], q).alias("text")))
+    df = df.withColumn("score", on_pages + SUMMARY_BOOST * F.size("_sums") + name)
+    # a test of the score before the cut would be pushed down and count everything twice
+    df = df.orderBy(F.desc("score"), F.desc("last_accessed"), "doc_hash").limit(limit).where("score > 0")
+    page_snippets = F.transform(F.slice("_hits", 1, MAX_PAGE_SNIPPETS), lambda h: F.struct(h["page"].alias("page"), T.keyword_snippet(F.get(pages, h["page"] - 1), q).alias("text")))
     summary = F.array(F.struct(F.lit(0).alias("page"), T.keyword_snippet(F.get("_sums", F.lit(0)), q).alias("text")))
     snippets = F.when(F.size("_hits") > 0, page_snippets).when(F.size("_sums") > 0, summary).otherwise(F.slice(page_snippets, 1, 0))
     return df.select("doc_hash", "file_name", F.size(F.coalesce("page_texts", F.array().cast("array<string>"))).alias("page_count"), "score", (F.size("_sums") > 0).alias("in_summary"), snippets.alias("snippets"))
