@@ -34,3 +34,11 @@ def test_pairs(spark):
 
 def test_empty(spark):
     assert H.preference_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_long_conversations_and_turns_without_one(spark):
+    rows = [(1, i, ("user", "assistant")[i % 2], f"turn {i}") for i in range(3000)] + [(2, i, ("user", "assistant")[i % 2], f"turn {i}" if i < 2999 else "x" * 500_000) for i in range(3000)]
+    rows += [(None, i, "user", "lost") for i in range(2000)]
+    got = {r["chosen_id"]: r for r in H.preference_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got.keys() == {1, 2} and got[2]["n_prompt_turns"] == 2999 and len(got[2]["chosen"]) > 500_000
+    assert got[2]["rejected"].endswith("turn 2999<|im_end|>\n") and got[2]["prompt"].count("<|im_start|>") == 2999

@@ -52,3 +52,19 @@ def test_edges(spark):
     none = df.limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, none, SF).count() == 0
+
+
+def test_every_stage_bears_odd_rows_and_clashing_columns(spark):
+    prose = "the quick brown fox and that lazy dog of the house went to see it with them because there was some time left for it. " * 8
+    rows = [*EDGES, (None, None), (60, prose), (61, prose + "More."), (62, "long " + "wordy " * 50_000)]
+    df = docs(spark, rows, "lang_pred", "score", "kept", "n_words", "node", "digest", "component", "spans", "blob", "_row", "_id", "sequence_id", "copy")
+    for name, stage in P.STAGES:
+        out = stage(spark, df, SF)
+        got = out.collect()
+        if name != "packing":
+            assert out.columns == P.COLUMNS
+            assert {r["doc_id"] for r in got} <= {i for i, _ in rows}
+        else:
+            assert {r["doc_id"] for r in got} == {i for i, _ in rows}
+        if name in ("near-duplicates", "secret scans"):
+            assert 62 in {r["doc_id"] for r in got}
