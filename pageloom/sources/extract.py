@@ -9,142 +9,156 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from pageloom.sources.containers import CompoundFile, Damaged, attribute, child, inflate, local, parse, relations, unzip, walk
+from pageloom.sources.containers import Damaged, attribute, child, inflate, local, parse, relations, unzip, walk
+from pageloom.sources.hangul import hwp, hwpx
+from pageloom.sources.units import MAX_COLUMNS, MAX_PAGES, Block, Extracted, markdown, paged
 
-UNIT_CHARS = 1800
-MAX_PAGES, LEAST_TEXT = 500, 50
+LEAST_TEXT = 50
 GROUP_DEPTH, CHART_ROWS, CHART_SERIES = 32, 50, 20
 
 
-@dataclass
-class Block:
-    text: str
-    break_before: bool = False
-    level: int | None = None
-
-
-@dataclass
-class Extracted:
-    kind: str
-    unit_kind: str
-    units: list[str] = field(default_factory=list)
-    headings: list[tuple[int, str, int]] = field(default_factory=list)
-    sections: list[tuple[str, int]] = field(default_factory=list)
-
-
-def paged(kind: str, blocks: list[Block]) -> Extracted:
-    """Blocks put into units of about 1,800 characters; headings with the unit they are in."""
-    out, current, size = Extracted(kind, "page"), [], 0
-
-    def shut() -> None:
-        nonlocal current, size
-        if current:
-            out.units.append("\n\n".join(current))
-        current, size = [], 0
-
-    for b in blocks:
-        text = b.text.strip()
-        if b.break_before or (text and size and size + len(text) > UNIT_CHARS):
-            shut()
-        if text:
-            current.append(text)
-            size += len(text)
-            if b.level is not None:
-                out.headings.append((b.level, text, len(out.units)))
-    shut()
-    return out
+# ---- DOCX
 
 
-def markdown(rows: list[list[str]]) -> str:
-    """A Markdown table; nothing for an empty one."""
-    width = max(map(len, rows), default=0)
-    if not width:
-        return ""
-    clean = lambda t: re.sub(r"\s*\n\s*", " ", t).replace("\\", "\\\\").replace("|", "\\|").strip()
-    lines = ["| " + " | ".join(clean(c) for c in [*r, *[""] * (width - len(r))]) + " |" for r in rows]
-    return "\n".join([lines[0], "| " + " | ".join(["---"] * width) + " |", *lines[1:]])
+# fixed values: names of heading styles, values that switch off, and the characters of symbol fonts that carry meaning
+_HEADING = re.compile(r"(?:Heading|제목)\s*([1-9])", re.I)
+_OFF = ("0", "false", "off")
+_SYMBOLS = {
+    "wingdings": {0xFE: "☑", 0xFD: "☒", 0x78: "☒", 0xA8: "☐", 0x6F: "☐", 0xFC: "✓", 0xFB: "✗", 0xA7: "•", 0x9F: "•", 0x6C: "•"},
+    "symbol": {0xB7: "•"},
+}
+_UNSEEN = frozenset({"del", "moveFrom", "pPr", "rPr", "sdtPr", "sdtEndPr", "tbl", "txbxContent", "Fallback"})
 
 
-# ---- DOCX
+def _on(e: ElementTree.Element | None) -> bool | None:
+    """Whether a switch is on; null without one."""
+    return None if e is None else attribute(e, "val") not in _OFF
 
 
-def _style_levels(parts: dict[str, bytes]) -> dict[str, int]:
-    """Outline level of each paragraph style, its own or its base's."""
-    own, base = {}, {}
-    root = parse(parts.get("word/styles.xml"))
-    for s in root if root is not None else []:
-        name = attribute(s, "styleId")
-        if local(s) == "style" and name:
-            level = attribute(child(s, "pPr", "outlineLvl"), "val")
-            if level and level.isdigit():
-                own[name] = int(level)
-            base[name] = attribute(child(s, "basedOn"), "val")
-    out = {}
-    for name in base:
-        at, seen = name, set()
-        while at and at not in own and at not in seen:
-            seen.add(at)
-            at = base.get(at)
-        if at in own and own[at] < 9:
-            out[name] = own[at] + 1
-    return out
+def _outline(ppr: ElementTree.Element | None) -> int | None:
+    """1 to 9, or 0 for a paragraph said to be body text; null if nothing is said."""
+    value = attribute(child(ppr, "outlineLvl"), "val")
+    return (int(value) + 1) % 10 if value and value.isdigit() and int(value) < 10 else None
 
 
-def _run_text(p: ElementTree.Element) -> tuple[str, bool]:
-    """A paragraph's visible text, and whether a page break stands in it."""
-    out, broken = [], False
-    for e in walk(p, frozenset({"del", "moveFrom", "pPr", "rPr", "tbl", "txbxContent", "Fallback"})):
+class _Styles:
+    """Outline levels and page breaks of the paragraph styles, their own or those of the styles they build on.
+
+    They are hints: a missing or broken part gives none."""
+
+    def __init__(self, part: bytes | None):
+        try:
+            root = parse(part)
+        except Damaged:
+            root = None
+        self.base, self.levels, self.breaks, self.default = {}, {}, {}, None
+        for s in root if root is not None else []:
+            name = attribute(s, "styleId")
+            if local(s) != "style" or not name or attribute(s, "type") != "paragraph":
+                continue
+            called = _HEADING.fullmatch((attribute(child(s, "name"), "val") or "").strip())
+            level = _outline(child(s, "pPr"))
+            self.levels[name] = int(called[1]) if level is None and called else level
+            self.breaks[name] = _on(child(s, "pPr", "pageBreakBefore"))
+            self.base[name] = attribute(child(s, "basedOn"), "val")
+            if self.default is None and attribute(s, "default") not in (None, *_OFF):
+                self.default = name
+
+    def _inherited(self, values: dict, name: str | None):
+        seen = set()
+        while name in self.base and name not in seen:
+            if values[name] is not None:
+                return values[name]
+            seen.add(name)
+            name = self.base[name]
+        return None
+
+    def level(self, ppr: ElementTree.Element | None) -> int | None:
+        """A heading's level: the paragraph's own word, its style's, or what the style's id says."""
+        name = (attribute(child(ppr, "pStyle"), "val") or "").strip()
+        own, styled = _outline(ppr), self._inherited(self.levels, name)
+        called = _HEADING.fullmatch(name)
+        return next((v for v in (own, styled) if v is not None), int(called[1]) if called else 0) or None
+
+    def breaks_before(self, ppr: ElementTree.Element | None) -> bool:
+        own = _on(child(ppr, "pageBreakBefore"))
+        name = (attribute(child(ppr, "pStyle"), "val") or "").strip()
+        return bool(self._inherited(self.breaks, name or self.default) if own is None else own)
+
+
+def _symbol(e: ElementTree.Element) -> str:
+    """A symbol font's character; codes may be moved into the private area. Unknown ones are left out."""
+    code = attribute(e, "char") or ""
+    number = int(code, 16) if re.fullmatch("[0-9A-Fa-f]{1,6}", code) else -1
+    return _SYMBOLS.get((attribute(e, "font") or "").strip().lower(), {}).get(number - 0xF000 if 0xF000 <= number <= 0xF0FF else number, "")
+
+
+def _run_texts(p: ElementTree.Element) -> list[str]:
+    """A paragraph's visible text, cut at its page breaks."""
+    out, hidden = [""], set()
+    for e in walk(p, _UNSEEN):
         name = local(e)
-        if name == "r" and child(e, "rPr", "vanish") is not None and attribute(child(e, "rPr", "vanish"), "val") not in ("0", "false"):
-            for hidden in list(e):
-                e.remove(hidden)
+        if name == "r" and _on(child(e, "rPr", "vanish")):
+            hidden.update(map(id, e.iter()))
+        if id(e) in hidden:
+            continue
+        if name == "br" and attribute(e, "type") == "page":
+            out.append("")
         elif name == "t":
-            out.append(e.text or "")
-        elif name == "tab":
-            out.append("\t")
-        elif name in ("br", "cr"):
-            if attribute(e, "type") == "page":
-                broken = True
-            else:
-                out.append("\n")
-        elif name == "noBreakHyphen":
-            out.append("-")
-    return "".join(out), broken
+            out[-1] += e.text or ""
+        elif name == "sym":
+            out[-1] += _symbol(e)
+        else:
+            out[-1] += {"tab": "\t", "ptab": "\t", "br": "\n", "cr": "\n", "noBreakHyphen": "-"}.get(name, "")
+    return out
+
+
+def _unwrapped(e: ElementTree.Element) -> Iterator[ElementTree.Element]:
+    """Elements below, through wrappers; of alternatives the first choice."""
+    for c in e:
+        name = local(c)
+        if name in ("sdt", "AlternateContent"):
+            inner = child(c, "sdtContent" if name == "sdt" else "Choice")
+            yield from _unwrapped(inner) if inner is not None else ()
+        elif name in ("ins", "smartTag", "customXml"):
+            yield from _unwrapped(c)
+        else:
+            yield c
 
 
 def _cell_text(tc: ElementTree.Element) -> str:
     """A cell's paragraphs on lines; tables in it as rows `a / b; c / d`."""
     parts = []
-    for e in tc:
+    for e in _unwrapped(tc):
         if local(e) == "p":
-            parts.append(_run_text(e)[0])
+            parts.append("\n".join(_run_texts(e)))
         elif local(e) == "tbl":
             parts.append("; ".join(" / ".join(filter(None, map(str.strip, row))) for row in _docx_rows(e)))
     return "\n".join(p for p in parts if p.strip())
 
 
+def _count(e: ElementTree.Element | None, default: int) -> int:
+    """A number of columns, never more than a table may have."""
+    value = attribute(e, "val")
+    return min(int(value), MAX_COLUMNS) if value and value.isdigit() else default
+
+
 def _docx_rows(tbl: ElementTree.Element) -> list[list[str]]:
+    """Rows with merged cells' text repeated down, not across."""
     rows, above = [], {}
-    for tr in (e for e in tbl if local(e) == "tr"):
-        skip = attribute(child(tr, "trPr", "gridBefore"), "val")
-        row = [""] * (int(skip) if skip and skip.isdigit() else 0)
-        for tc in (e for e in walk(tr, frozenset({"trPr"})) if local(e) == "tc"):
-            if any(tc in list(walk(other))[1:] for other in tr.iter() if local(other) == "tc" and other is not tc):
-                continue  # a cell of a table inside a cell
-            span = attribute(child(tc, "tcPr", "gridSpan"), "val")
+    for tr in (e for e in _unwrapped(tbl) if local(e) == "tr"):
+        row = [""] * _count(child(tr, "trPr", "gridBefore"), 0)
+        for tc in (e for e in _unwrapped(tr) if local(e) == "tc"):
             merge = child(tc, "tcPr", "vMerge")
-            text = _cell_text(tc)
-            if merge is not None and attribute(merge, "val") != "restart":
-                text = above.get(len(row), "")
+            text = above.get(len(row), "") if merge is not None and attribute(merge, "val") != "restart" else _cell_text(tc)
             above[len(row)] = text
-            row += [text, *[""] * ((int(span) if span and span.isdigit() else 1) - 1)]
-        rows.append(row)
+            row += [text, *[""] * (max(1, _count(child(tc, "tcPr", "gridSpan"), 1)) - 1)]
+        rows.append(row[:MAX_COLUMNS])
     return rows
 
 
@@ -152,38 +166,32 @@ def docx(parts: dict[str, bytes]) -> Extracted:
     body = child(parse(parts.get("word/document.xml")), "body")
     if body is None:
         raise Damaged("no document")
-    levels, blocks = _style_levels(parts), []
+    styles, blocks = _Styles(parts.get("word/styles.xml")), []
     pending = False
-
-    def add(e: ElementTree.Element) -> None:
-        nonlocal pending
-        name = local(e)
-        if name == "tbl":
+    for e in _unwrapped(body):
+        if local(e) == "tbl":
             blocks.append(Block(markdown(_docx_rows(e)), pending))
             pending = False
-        elif name in ("sdt", "sdtContent", "ins", "smartTag", "customXml"):
-            for c in e:
-                add(c)
-        elif name == "p":
-            ppr = child(e, "pPr")
-            own = attribute(child(ppr, "outlineLvl"), "val")
-            level = int(own) + 1 if own and own.isdigit() and int(own) < 9 else levels.get(attribute(child(ppr, "pStyle"), "val"))
-            before = child(ppr, "pageBreakBefore") is not None and attribute(child(ppr, "pageBreakBefore"), "val") not in ("0", "false")
-            text, broken = _run_text(e)
-            blocks.append(Block(text, pending or before or broken, level))
+        elif local(e) == "p":
+            ppr, texts = child(e, "pPr"), _run_texts(e)
+            titled = next((i for i, text in enumerate(texts) if text.strip()), -1)
+            for i, text in enumerate(texts):
+                blocks.append(Block(text, i > 0 or pending or styles.breaks_before(ppr), styles.level(ppr) if i == titled else None))
             pending = child(ppr, "sectPr") is not None and attribute(child(ppr, "sectPr", "type"), "val") != "continuous"
-            seen = set()
-            for box in (x for x in e.iter() if local(x) == "txbxContent"):
-                inner = "\n".join(_run_text(p)[0] for p in box if local(p) == "p")
-                if inner.strip() and inner not in seen:
-                    seen.add(inner)
-                    blocks.append(Block(inner))
-
-    for e in body:
-        add(e)
+            blocks += map(Block, _text_boxes(e))
     return paged("docx", blocks)
 
 
+def _text_boxes(p: ElementTree.Element) -> Iterator[str]:
+    """Texts and tables of the boxes in a paragraph, and of the boxes in those."""
+    for box in (x for x in walk(p, frozenset({"Fallback", "del", "moveFrom"})) if local(x) == "txbxContent"):
+        for e in _unwrapped(box):
+            if local(e) == "p":
+                yield "\n".join(_run_texts(e))
+            elif local(e) == "tbl":
+                yield markdown(_docx_rows(e))
+
+
 # ---- PPTX
 
 
@@ -281,124 +289,6 @@ def pptx(parts: dict[str, bytes]) -> Extracted:
     return out
 
 
-# ---- HWPX
-
-
-def _hwpx_text(p: ElementTree.Element) -> str:
-    out = []
-    for e in walk(p, frozenset({"tbl", "subList", "secPr", "ctrl"})):
-        name = local(e)
-        if name == "t":
-            out.append(e.text or "")
-            for c in e:
-                out += ["\t" if local(c) == "tab" else "\n" if local(c) == "lineBreak" else "", c.tail or ""]
-        elif name == "equation":
-            script = next((x.text for x in e.iter() if local(x) == "script"), "")
-            if script and script.strip():
-                out.append(f"[수식: {script.strip()}]")
-    return "".join(out)
-
-
-def _hwpx_table(tbl: ElementTree.Element) -> str:
-    rows: dict[int, dict[int, str]] = {}
-    for tc in (e for tr in tbl if local(tr) == "tr" for e in tr if local(e) == "tc"):
-        place = child(tc, "cellAddr")
-        text = "\n".join(filter(str.strip, (_hwpx_text(p) for p in (child(tc, "subList") if child(tc, "subList") is not None else []) if local(p) == "p")))
-        rows.setdefault(int(attribute(place, "rowAddr") or 0), {})[int(attribute(place, "colAddr") or 0)] = text
-    width = max((c for r in rows.values() for c in r), default=-1) + 1
-    return markdown([[rows.get(r, {}).get(c, "") for c in range(width)] for r in range(max(rows, default=-1) + 1)])
-
-
-def _hwpx_levels(parts: dict[str, bytes]) -> dict[str, int]:
-    root = parse(parts.get("Contents/header.xml"))
-    out = {}
-    for e in root.iter() if root is not None else []:
-        head = child(e, "heading") if local(e) == "paraPr" else None
-        if head is not None and attribute(head, "type") == "OUTLINE":
-            out[attribute(e, "id")] = int(attribute(head, "level") or 0) + 1
-    return out
-
-
-def hwpx(parts: dict[str, bytes]) -> Extracted:
-    """Sections in the order of the package's spine, or by number."""
-    package = parse(parts.get("Contents/content.hpf"))
-    names = []
-    if package is not None:
-        items = {attribute(e, "id"): attribute(e, "href") for e in package.iter() if local(e) == "item"}
-        spine = [items.get(attribute(e, "idref")) for e in package.iter() if local(e) == "itemref"]
-        names = [n if n in parts else f"Contents/{n}" for n in spine if n and "section" in n]
-    if not any(n in parts for n in names):
-        names = sorted((n for n in parts if re.fullmatch(r"Contents/section\d+\.xml", n)), key=lambda n: int(re.sub(r"\D", "", n)))
-    levels, blocks = _hwpx_levels(parts), []
-    for number, name in enumerate(n for n in names if n in parts):
-        for i, p in enumerate(e for e in parse(parts[name]) if local(e) == "p"):
-            broken = attribute(p, "pageBreak") == "1" or (number > 0 and i == 0)
-            blocks.append(Block(_hwpx_text(p), broken, levels.get(attribute(p, "paraPrIDRef"))))
-            for tbl in (e for e in walk(p, frozenset({"subList"})) if local(e) == "tbl"):
-                blocks.append(Block(_hwpx_table(tbl)))
-    return paged("hwpx", blocks)
-
-
-# ---- HWP 5
-
-_PARA_HEADER, _PARA_TEXT = 66, 67
-# fixed values: control characters that take eight places, and those that take one
-_WIDE = frozenset([*range(1, 10), 11, 12, *range(14, 24)])
-
-
-def records(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """Tag, level and body of each record: ten bits, ten bits and a size of twelve, or of 32 where those are full."""
-    at = 0
-    while at + 4 <= len(data):
-        head = struct.unpack_from("<I", data, at)[0]
-        at += 4
-        size = head >> 20
-        if size == 0xFFF:
-            if at + 4 > len(data):
-                raise Damaged("record")
-            size = struct.unpack_from("<I", data, at)[0]
-            at += 4
-        if at + size > len(data):
-            raise Damaged("record")
-        yield head & 0x3FF, head >> 10 & 0x3FF, data[at : at + size]
-        at += size
-
-
-def hwp_text(body: bytes) -> str:
-    units, out, at = struct.unpack(f"<{len(body) // 2}H", body[: len(body) // 2 * 2]), [], 0
-    while at < len(units):
-        u = units[at]
-        if u in _WIDE:
-            out.append(9 if u == 9 else 0)
-            at += 8
-        else:
-            out.append(10 if u in (10, 13) else 45 if u == 24 else 32 if u in (30, 31) else 0 if u < 32 else u)
-            at += 1
-    text = struct.pack(f"<{len(out)}H", *[u for u in out]).decode("utf-16-le", "replace")
-    return re.sub("[\0-]", "", text)
-
-
-def hwp(data: bytes) -> Extracted:
-    file = CompoundFile(data)
-    header = file.read("FileHeader") if "FileHeader" in file.streams else b""
-    if not header.startswith(b"HWP Document File") or len(header) < 40:
-        raise Damaged("no file header")
-    flags = struct.unpack_from("<I", header, 36)[0]
-    if flags & 2:
-        raise Damaged("encrypted")
-    names = sorted((n for n in file.streams if re.fullmatch(r"BodyText/Section\d+", n)), key=lambda n: int(re.sub(r"\D", "", n)))
-    blocks = []
-    for number, name in enumerate(names):
-        body = file.read(name)
-        for i, (tag, _, content) in enumerate(records(inflate(body) if flags & 1 else body)):
-            if tag == _PARA_HEADER:
-                broken = (len(content) > 11 and bool(content[11] & 4)) or (number > 0 and i == 0)
-                blocks.append(Block("", broken))
-            elif tag == _PARA_TEXT and blocks:
-                blocks.append(Block(hwp_text(content).strip()))
-    return paged("hwp", blocks)
-
-
 # ---- PDF: text of simple files; no library for others is at hand
 
 
@@ -480,7 +370,7 @@ def extracted(files: DataFrame) -> DataFrame:
                     opener = next((f for test, f in EXTRACTORS if test(content)), None)
                     made = opener(content) if opener else None
                     error = None if made else "unsupported format"
-                except (Damaged, ElementTree.ParseError, struct.error, KeyError, ValueError, IndexError) as e:
+                except (ElementTree.ParseError, struct.error, zlib.error, LookupError, ValueError, RecursionError) as e:  # Damaged is a ValueError
                     error = f"{type(e).__name__}: {e}"
                 heads = [{"level": a, "title": b, "unit": c} for a, b, c in made.headings] if made else None
                 sections = [{"title": a, "unit": b} for a, b in made.sections] if made else None

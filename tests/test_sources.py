@@ -7,6 +7,7 @@ import pytest
 
 from pageloom.sources import extract as X
 from pageloom.sources.containers import CompoundFile, Damaged, unzip
+from pageloom.sources.units import Cell, grid
 
 W = 'xmlns:w="w"'
 
@@ -33,7 +34,7 @@ DOCX = f"""<w:document {W}><w:body>
 <w:tbl><w:tr><w:tc><w:p><w:r><w:t>A|1</w:t></w:r></w:p></w:tc><w:tc><w:tcPr><w:vMerge w:val="restart"/></w:tcPr><w:p><w:r><w:t>B</w:t></w:r></w:p></w:tc></w:tr>
 <w:tr><w:tc><w:p><w:r><w:t>C</w:t></w:r></w:p></w:tc><w:tc><w:tcPr><w:vMerge/></w:tcPr><w:p/></w:tc></w:tr></w:tbl>
 <w:p><w:r><w:br w:type="page"/><w:t>Second page</w:t></w:r></w:p></w:body></w:document>"""
-STYLES = f'<w:styles {W}><w:style w:styleId="Base"><w:pPr><w:outlineLvl w:val="0"/></w:pPr></w:style><w:style w:styleId="H1"><w:basedOn w:val="Base"/></w:style></w:styles>'
+STYLES = f'<w:styles {W}><w:style w:type="paragraph" w:styleId="Base"><w:pPr><w:outlineLvl w:val="0"/></w:pPr></w:style><w:style w:type="paragraph" w:styleId="H1"><w:basedOn w:val="Base"/></w:style><w:style w:type="paragraph" w:styleId="7"><w:name w:val="heading 2"/><w:pPr><w:pageBreakBefore/></w:pPr></w:style></w:styles>'
 
 
 def test_docx():
@@ -42,6 +43,29 @@ def test_docx():
     assert d.headings == [(1, "Title", 0)]
 
 
+def paragraphs(*inner):
+    return f'<w:document {W} xmlns:mc="mc"><w:body>{"".join(inner)}</w:body></w:document>'
+
+
+def test_docx_symbols_styles_breaks_and_boxes():
+    sym = lambda font, code: f'<w:sym w:font="{font}" w:char="{code}"/>'
+    box = lambda text: f"<w:txbxContent><w:p><w:r><w:t>{text}</w:t></w:r></w:p></w:txbxContent>"
+    body = paragraphs(
+        f'<w:p><w:r>{sym("Wingdings", "F0FE")}{sym("Wingdings", "00A8")}{sym("Symbol", "F0B7")}{sym("Webdings", "F0FE")}{sym("Symbol", "x")}<w:t>done</w:t></w:r></w:p>',
+        '<w:p><w:pPr><w:pStyle w:val="7"/></w:pPr><w:r><w:t>Named</w:t></w:r></w:p>',
+        '<w:p><w:pPr><w:pStyle w:val="제목 3"/><w:pageBreakBefore w:val="off"/></w:pPr><w:r><w:t>Called</w:t></w:r></w:p>',
+        '<w:p><w:r><w:t>before</w:t><w:br w:type="page"/><w:t>after</w:t></w:r></w:p>',
+        f'<w:p><w:r><mc:AlternateContent><mc:Choice>{box("in a box")}</mc:Choice><mc:Fallback>{box("in a box")}</mc:Fallback></mc:AlternateContent><w:t>host</w:t></w:r></w:p>',
+        "<w:sdt><w:sdtContent><w:tbl><w:tr><w:trPr><w:gridBefore w:val='999999999'/></w:trPr><w:sdt><w:sdtContent><w:tc><w:p/></w:tc></w:sdtContent></w:sdt></w:tr></w:tbl></w:sdtContent></w:sdt>",
+    )
+    d = X.docx({"word/document.xml": body.encode(), "word/styles.xml": STYLES.encode()})
+    assert d.units[0] == "☑☐•done" and d.units[1] == "Named\n\nCalled\n\nbefore"
+    assert d.units[2] == "after\n\nhost\n\nin a box" and d.units[3].count("---") == 256
+    assert d.headings == [(2, "Named", 1), (3, "Called", 1)]
+    with pytest.raises(Damaged, match="no text"):
+        X.docx({"word/document.xml": paragraphs("<w:p/>").encode()})
+
+
 def test_pptx():
     shape = lambda kind, text: f'<p:sp><p:nvSpPr><p:nvPr><p:ph type="{kind}"/></p:nvPr></p:nvSpPr><a:p><a:r><a:t>{text}</a:t></a:r></a:p></p:sp>'
     slide = lambda *s: f'<p:sld xmlns:p="p" xmlns:a="a"><p:cSld><p:spTree>{"".join(s)}</p:spTree></p:cSld></p:sld>'
@@ -58,11 +82,53 @@ def test_pptx():
     assert d.units == ["Two", "One\n\ntext\n\n> note"] and d.sections == [("Part", 1)] and d.headings == [(1, "Two", 0), (1, "One", 1)]
 
 
+HWPX_HEADER = '<x xmlns:h="h"><h:paraPr id="1"><h:heading type="OUTLINE" level="0"/></h:paraPr></x>'
+
+
 def test_hwpx():
-    section = '<s xmlns:h="h"><h:p paraPrIDRef="1"><h:run><h:t>개요</h:t></h:run></h:p><h:p pageBreak="1"><h:run><h:t>본문</h:t><h:equation><h:script>x over y</h:script></h:equation></h:run></h:p></s>'
-    header = '<x xmlns:h="h"><h:paraPr id="1"><h:heading type="OUTLINE" level="0"/></h:paraPr></x>'
-    d = X.hwpx(unzip(zipped({"Contents/section0.xml": section, "Contents/header.xml": header})))
-    assert d.units == ["개요", "본문[수식: x over y]"] and d.headings == [(1, "개요", 0)]
+    section = '<h:sec xmlns:h="h"><h:p paraPrIDRef="1"><h:run><h:t>개요</h:t></h:run></h:p><h:p pageBreak="1"><h:run><h:t>본문</h:t><h:equation><h:script>x over  y</h:script></h:equation><h:t>이다</h:t></h:run></h:p></h:sec>'
+    d = X.hwpx(unzip(zipped({"Contents/section0.xml": section, "Contents/header.xml": HWPX_HEADER})))
+    assert d.units == ["개요", "본문 [수식: x over y] 이다"] and d.headings == [(1, "개요", 0)]
+
+
+def test_hwpx_tables_and_boxes():
+    p = lambda inner: f"<p><run>{inner}</run></p>"
+    cell = lambda r, c, inner, rows=1, cols=1: f'<tc><cellAddr rowAddr="{r}" colAddr="{c}"/><cellSpan rowSpan="{rows}" colSpan="{cols}"/><subList>{inner}</subList></tc>'
+    inner = f'<tbl rowCnt="1" colCnt="2"><tr>{cell(0, 0, p("<t>i</t>"))}{cell(0, 1, p("<t>j</t>"))}</tr></tbl>'
+    table = f'<tbl rowCnt="2" colCnt="3"><tr>{cell(0, 0, p("<t>a</t>"), 2)}{cell(0, 1, p("<t>b</t>"), 1, 2)}</tr><tr>{cell(1, 1, p("<t>c</t>") + p("<t>d</t>"))}{cell(1, 2, p(inner))}</tr></tbl>'
+    box = f'<rect><drawText><subList>{p("<t>boxed</t>")}</subList></drawText></rect>'
+    section = f'<sec>{p("<t>one</t>" + table + "<t>two<tab/>x</t>" + box + "<ctrl><t>note</t></ctrl>")}</sec>'
+    d = X.hwpx({"Contents/section0.xml": section.encode()})
+    assert d.units == ["one\n\n| a | b |  |\n| --- | --- | --- |\n| a | c d | i / j |\n\ntwo\tx\n\nboxed"]
+    deep = p("<t>core</t>")
+    for _ in range(40):
+        deep = p(f'<drawText><subList>{deep}</subList></drawText>')
+    assert X.hwpx({"Contents/section0.xml": f"<sec>{deep}</sec>".encode()}).units == ["core"]
+
+
+def test_package():
+    container = '<container><rootfiles><rootfile full-path="Preview.txt" media-type="text/plain"/><rootfile full-path="Body/main.hpf" media-type="application/hwpml-package+xml"/></rootfiles></container>'
+    main = '<package><manifest><item id="h" href="head/header.xml"/><item id="a" href="section1.xml"/><item id="b" href="Contents/section0.xml"/><item id="c" href="%E0%A4%A"/></manifest><spine><itemref idref="a"/><itemref idref="b"/><itemref idref="x"/></spine></package>'
+    text = lambda t: f'<sec><p paraPrIDRef="1"><run><t>{t}</t></run></p></sec>'.encode()
+    parts = {"META-INF/container.xml": container.encode(), "Body/main.hpf": main.encode(), "Body/head/header.xml": HWPX_HEADER.encode(), "Body/section1.xml": text("first"), "Contents/section0.xml": text("second")}
+    d = X.hwpx(parts)
+    assert d.units == ["first", "second"] and d.headings == [(1, "first", 0), (1, "second", 1)]
+    broken = parts | {"META-INF/container.xml": b"<broken", "Contents/content.hpf": b"<package/>"}
+    assert X.hwpx(broken).units == ["second"]
+    with pytest.raises(Damaged, match="encrypted"):
+        X.hwpx(parts | {"META-INF/manifest.xml": b"<manifest><file-entry><encryption-data/></file-entry></manifest>"})
+    with pytest.raises(Damaged, match="no section"):
+        X.hwpx({"Contents/x.xml": b""})
+
+
+def test_grid():
+    rows = lambda *cells, size=(0, 0): grid([Cell(*c) for c in cells], *size)
+    assert rows((0, 0, 2, 1, "a"), (0, 1, 1, 2, "b"), (1, 1, 1, 1, "c"), size=(2, 3)) == [["a", "b", ""], ["a", "c", ""]]
+    assert rows((0, 0, 1, 1, "kept"), (0, 0, 9, 9, "late")) == [["kept"]]
+    assert rows((0, 0, 1, 1, "a"), size=(100_000, 5)) == [["a"]]
+    wide = rows((0, 0, 1, 1, "a"), (0, 300, 1, 1, "far"), (0, 299, 1, 1, "off"))
+    assert len(wide) == 2 and len(wide[0]) == 256 and wide[1][0] == "off / far"
+    assert rows() == [] and rows((-1, 0, 1, 1, "x")) == []
 
 
 def compound(streams):
@@ -86,8 +152,9 @@ def compound(streams):
     starts = {n: put(d) for n, d in padded.items()}
     entries.append(entry("Root Entry", 5, none, none, 1, 0xFFFFFFFE, 0))
     entries.append(entry("FileHeader", 2, none, 2, none, starts["FileHeader"], len(padded["FileHeader"])))
-    entries.append(entry("BodyText", 1, none, none, 3, 0, 0))
+    entries.append(entry("BodyText", 1, none, 4, 3, 0, 0))
     entries.append(entry("Section0", 2, none, none, none, starts["BodyText/Section0"], len(streams["BodyText/Section0"]) if len(streams["BodyText/Section0"]) >= 4096 else 4096))
+    entries.append(entry("DocInfo", 2, none, none, none, starts["DocInfo"], 4096))
     directory = put(b"".join(entries))
     table = len(sectors)
     fat.append(0xFFFFFFFD)
@@ -97,15 +164,60 @@ def compound(streams):
     return head.ljust(512, b"\0") + b"".join(sectors)
 
 
+def record(tag, body, level=0):
+    return struct.pack("<I", tag | level << 10 | len(body) << 20) + body
+
+
+def hwp_file(body, shapes=b"", version=5, flags=1):
+    def packed(data):
+        deflate = zlib.compressobj(wbits=-15)
+        return deflate.compress(data) + deflate.flush()
+
+    header = b"HWP Document File".ljust(32, b"\0") + struct.pack("<II", version << 24, flags)
+    return compound({"FileHeader": header, "DocInfo": packed(shapes), "BodyText/Section0": packed(body)})
+
+
+def hwp_paragraph(text=b"", level=0, shape=0, breaks=0):
+    head = record(66, b"\0" * 8 + struct.pack("<HBB", shape, 0, breaks) + b"\0" * 10, level)
+    return head + (record(67, text, level + 1) if text else b"")
+
+
+def place(code, letters):
+    """A control character with its letters, eight places long."""
+    return struct.pack("<H", code) + letters[::-1] + b"\0" * 8 + struct.pack("<H", code)
+
+
 def test_hwp():
-    record = lambda tag, body: struct.pack("<I", tag | len(body) << 20) + body
-    text = "가나다".encode("utf-16-le") + struct.pack("<H", 13)
-    body = record(66, b"\0" * 22) + record(67, text) + record(66, b"\0" * 11 + b"\4" + b"\0" * 10) + record(67, "둘".encode("utf-16-le"))
-    deflate = zlib.compressobj(wbits=-15)
-    packed = deflate.compress(body) + deflate.flush()
-    file = compound({"FileHeader": b"HWP Document File".ljust(36, b"\0") + struct.pack("<I", 1), "BodyText/Section0": packed})
-    assert CompoundFile(file).streams.keys() == {"FileHeader", "BodyText/Section0"}
-    assert X.hwp(file).units == ["가나다", "둘"]
+    text = "가나다\ue000".encode("utf-16-le") + struct.pack("<H", 13)
+    outline = record(25, struct.pack("<I", 0)) + record(25, struct.pack("<I", 1 << 23 | 1 << 25))
+    body = hwp_paragraph(text, shape=1) + hwp_paragraph("둘".encode("utf-16-le"), breaks=4) + hwp_paragraph("셋".encode("utf-16-le"), breaks=1)
+    file = hwp_file(body, outline)
+    assert CompoundFile(file).streams.keys() == {"FileHeader", "DocInfo", "BodyText/Section0"}
+    d = X.hwp(file)
+    assert d.units == ["가나다", "둘", "셋"] and d.headings == [(2, "가나다", 0)]
+    for version, flags, message in [(3, 1, "version 3"), (5, 3, "encrypted"), (5, 5, "distribution"), (5, 17, "encrypted")]:
+        with pytest.raises(Damaged, match=message):
+            X.hwp(hwp_file(body, version=version, flags=flags))
+    with pytest.raises(Damaged, match="no text"):
+        X.hwp(hwp_file(hwp_paragraph()))
+    with pytest.raises(Damaged, match="cut short"):
+        X.hwp(hwp_file(hwp_paragraph(place(11, b"tbl ")[:10])))
+
+
+def test_hwp_controls():
+    u = lambda t: t.encode("utf-16-le")
+    cell = lambda r, c, text, rows=1, cols=1: record(72, b"\0" * 8 + struct.pack("<4H", c, r, cols, rows), 2) + hwp_paragraph(u(text), 2)
+    caption = record(72, b"\0" * 8, 2) + hwp_paragraph(u("caption"), 2)
+    table = record(71, b"tbl "[::-1], 1) + caption + record(77, struct.pack("<4H", 0, 0, 2, 2), 2) + cell(0, 0, "a", 2) + cell(0, 1, "b|") + cell(1, 1, "c")
+    equation = record(71, b"eqed"[::-1], 1) + record(88, struct.pack("<IH", 0, 5) + u("x^2 y"), 2)
+    shape = record(71, b"gso "[::-1], 1) + caption + record(76, b"", 2) + record(72, b"\0" * 8, 3) + hwp_paragraph(u("boxed"), 3)
+    note = record(71, b"fn  "[::-1], 1) + record(72, b"\0" * 8, 2) + hwp_paragraph(u("note"), 2)
+    text = u("one") + place(11, b"eqed") + u("is") + place(17, b"fn  ") + place(11, b"tbl ") + u("two") + place(9, b"") [:2] + b"\0" * 14 + u("x")
+    body = hwp_paragraph(text) + equation + note + table + shape
+    expected = "one [수식: x^2 y] is\n\n| a | b\\| |\n| --- | --- |\n| a | c |\n\ntwo\tx\n\nboxed"
+    assert X.hwp(hwp_file(body)).units == [expected]
+    with pytest.raises(Damaged, match="no table record"):
+        X.hwp(hwp_file(hwp_paragraph(place(11, b"tbl ")) + record(71, b"tbl "[::-1], 1)))
 
 
 def test_pdf_and_frame(spark):
