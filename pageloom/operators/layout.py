@@ -74,8 +74,12 @@ def page_text(runs: DataFrame, key: str) -> DataFrame:
     """key and text of runs (key, idx, str, x, y, dx, dy, width, size, eol); dx, dy: the unit vector along the line.
 
     Runs are joined in order. A line break stands where the line before ended or a run lies more than half a letter off
-    the line, an empty line where empty runs ended lines between, a space where a gap is over 0.3 letters.
+    the line, an empty line where empty runs ended lines between, a space where a gap is over 0.3 letters. A run without
+    a place (null x) stands behind a space, and the next run right behind it. A null or zero size is 12, a null width
+    half a letter for each character.
     """
+    runs = runs.withColumn("size", F.coalesce(F.nullif("size", F.lit(0)), F.lit(12.0)))
+    runs = runs.withColumn("width", F.coalesce("width", F.char_length("str") * F.col("size") * 0.5))
     w = Window.partitionBy(key).orderBy("idx")
     df = runs.withColumn("_breaks", F.sum(((F.col("str") == "") & F.col("eol")).cast("int")).over(w)).where("str <> ''")
     before = lambda c: F.lag(c).over(w)
@@ -84,7 +88,7 @@ def page_text(runs: DataFrame, key: str) -> DataFrame:
     along, off = mx * F.col("_dx") + my * F.col("_dy"), F.abs(my * F.col("_dx") - mx * F.col("_dy"))
     scale = F.greatest("size", "_size")
     empty = F.col("_breaks") > F.col("_b")
-    gap = F.when(F.col("_x").isNull(), "").when(empty, "\n\n").when(F.col("_eol") | (off > scale * 0.5), "\n").when(along > F.col("_width") + scale * 0.3, " ").otherwise("")
+    gap = F.when(F.col("_size").isNull(), "").when(F.col("x").isNull(), F.when(empty & F.col("_x").isNotNull(), "\n\n").otherwise(" ")).when(F.col("_x").isNull(), "").when(empty, "\n\n").when(F.col("_eol") | (off > scale * 0.5), "\n").when(along > F.col("_width") + scale * 0.3, " ").otherwise("")
     parts = F.struct("idx", F.concat(gap, F.col("str")).alias("t"))
     return df.withColumn("_p", parts).groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list("_p")), lambda p: p["t"]), "").alias("text"))
 

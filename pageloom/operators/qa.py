@@ -141,7 +141,7 @@ def split_prompt(prompt: Column) -> Column:
     """Struct of system and user, split at the first separator line; without one all is user."""
     at = F.position(F.lit("---\n\n"), prompt)
     whole = F.struct(F.lit("").alias("system"), prompt.alias("user"))
-    parts = F.struct(T.trim(F.substring(prompt, F.lit(1), at - 1)).alias("system"), F.substring(prompt, at + 5, F.char_length(prompt)).alias("user"))
+    parts = F.struct(T.trim(F.substring(prompt, F.lit(1), at - 1)).alias("system"), T.trim(F.substring(prompt, at + 5, F.char_length(prompt))).alias("user"))
     return F.when(at > 0, parts).otherwise(whole)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.functions import text as T
+from pageloom.functions.prompts import build_prompt
 from pageloom.operators.chunk import chunk_text
 
 MEMBERS, MEMBER_SUMMARY, MEMBER_EXCERPT, MEMBER_INPUT = 10, 3000, 1500, 6000
@@ -162,21 +163,46 @@ def finalized(summary: Column, markers: Column | None = None) -> Column:
 def member_content() -> Column:
     """A member's part: its stored summary, else an excerpt of its labelled pages, else of its text; bare citations
     are given the member's name."""
-    labelled = F.nullif(T.label_paragraphs(F.coalesce("page_texts", F.array().cast("array<string>"))), F.lit(""))
-    source = F.coalesce(labelled, F.col("text"))
-    return F.coalesce(F.left(F.col("summary"), F.lit(MEMBER_SUMMARY)), F.left(source, F.lit(MEMBER_EXCERPT)))
+    return F.coalesce(F.left(F.col("summary"), F.lit(MEMBER_SUMMARY)), F.left(_member_source(), F.lit(MEMBER_EXCERPT)))
+
+
+def inline_summaries(members: DataFrame, generator: Generator, kind: str = "full", language: str = DEFAULT_LANGUAGE) -> DataFrame:
+    """members with summary filled where none is stored, for the first ten of a collection, and two columns more.
+
+    A summary is written from the first 6,000 characters of the labelled pages, else of the text; a blank result leaves
+    the member without. ``unlabelled`` tells those whose text had no page labels. ``saved`` is what to store for the
+    member (null for others); it says so if the text went on.
+    """
+    first = F.row_number().over(Window.partitionBy("collection_id").orderBy("pos"))
+    df = members.withColumn("_source", _member_source()).withColumn("_asked", F.col("summary").isNull() & ~T.blank(F.coalesce("_source", F.lit(""))) & (first <= MEMBERS))
+    prompt = build_prompt(F.left("_source", F.lit(MEMBER_INPUT)), F.lit(kind), F.lit(language))
+    asked = generated(df.where("_asked").withColumn("_prompt", prompt), generator, "_prompt").drop("_prompt")
+    written = F.when(~T.blank(F.coalesce("output", F.lit(""))), F.col("output"))
+    note = F.when(F.char_length("_source") > MEMBER_INPUT, F.concat(F.regexp_replace(written, rf"{T.S}+\z", ""), F.lit("\n\n" + INPUT_CUT.get(language, INPUT_CUT["en"])))).otherwise(written)
+    asked = asked.withColumns({"summary": written, "unlabelled": written.isNotNull() & ~_labelled(), "saved": note}).drop("output", "_source", "_asked")
+    others = df.where("not _asked").withColumns({"unlabelled": F.lit(False), "saved": F.lit(None).cast("string")})
+    return asked.unionByName(others.drop("_source", "_asked"))
+
+
+def _labelled() -> Column:
+    return F.size(F.filter(F.coalesce("page_texts", F.array().cast("array<string>")), lambda p: ~T.blank(p))) > 0
+
+
+def _member_source() -> Column:
+    return F.coalesce(F.nullif(T.label_paragraphs(F.coalesce("page_texts", F.array().cast("array<string>"))), F.lit("")), F.col("text"))
 
 
 def collection_blocks(members: DataFrame, total: int = COLLECTION_CHARS) -> DataFrame:
     """collection_id, pos, file_name, content, page_citable of what goes into one prompt.
 
     members: collection_id, pos, file_name, summary, page_texts, text, ten at most of each collection by pos. They are
-    taken in order while at least 200 characters are left; each is cut to what is left.
+    taken in order while at least 200 characters are left; each is cut to what is left. Stored summaries cite pages, and
+    so does what comes from labelled pages; a summary that is marked unlabelled (see inline_summaries) does not.
     """
     first = F.row_number().over(Window.partitionBy("collection_id").orderBy("pos"))
     df = members.withColumn("_n", first).where(F.col("_n") <= MEMBERS)
-    labelled = F.size(F.filter(F.coalesce("page_texts", F.array().cast("array<string>")), lambda p: ~T.blank(p))) > 0
-    df = df.withColumns({"_raw": member_content(), "_citable": F.col("summary").isNotNull() | labelled})
+    stored = F.col("summary").isNotNull() & (~F.col("unlabelled") if "unlabelled" in members.columns else F.lit(True))
+    df = df.withColumns({"_raw": member_content(), "_citable": stored | _labelled()})
     item = F.struct("pos", "file_name", F.coalesce("_raw", F.lit("")).alias("raw"), F.col("_citable").alias("citable"))
     df = df.groupBy("collection_id").agg(F.sort_array(F.collect_list(item)).alias("_items"))
     block = "array<struct<pos:bigint,file_name:string,content:string,page_citable:boolean>>"
@@ -194,7 +220,11 @@ def collection_blocks(members: DataFrame, total: int = COLLECTION_CHARS) -> Data
     return df.select("collection_id", "b.*")
 
 
-# fixed values: what a collection prompt asks for
+# fixed values: what a collection prompt asks for, and what a summary of a text's beginning says of itself
+INPUT_CUT = {
+    "ko": "[알림 — 문서가 길어 앞부분만 읽고 작성한 요약입니다. 뒷부분 내용은 포함되지 않았습니다]",
+    "en": "[Note — this summary was written from the beginning of the document only; later content is not included]",
+}
 UNIFIED = "Synthesize the following documents into one unified summary. Surface relationships across documents and cite each key fact with [filename p.N]."
 COMPARISON = (
     "Compare the following documents. **Do not use markdown tables.** Use two sections "
@@ -202,14 +232,23 @@ COMPARISON = (
     "and cite each point with [filename p.N]."
 )
 NO_PAGES = "(Note: the excerpt below has no page information — cite this document as [{name}] only and do not write a page number.)"
+UNIFIED_KO = "다음 여러 문서의 내용을 하나로 통합 요약하라. 문서 간 관계를 드러내고, 각 핵심 사실에 출처를 [문서명 p.N] 형식으로 표기하라."
+COMPARISON_KO = (
+    "다음 여러 문서의 내용을 비교 분석하라. **마크다운 표는 사용하지 말고**, "
+    '"## 공통점"과 "## 차이점" 두 섹션으로 나눠 각 항목을 글머리표(- )로 정리하라. 차이점은 문서별로 어떻게 다른지 명시하고, '
+    "각 근거에 출처를 [문서명 p.N] 형식으로 표기하라."
+)
+NO_PAGES_KO = "(주의: 아래 발췌에는 페이지 정보가 없습니다 — 이 문서는 [{name}] 형식으로만 인용하고 페이지 번호는 쓰지 마세요.)"
 
 
-def collection_prompt(blocks: DataFrame, comparison: bool = False) -> DataFrame:
-    """collection_id and prompt; headings inside a member's text are escaped."""
+def collection_prompt(blocks: DataFrame, comparison: bool = False, language: str = "en") -> DataFrame:
+    """collection_id and prompt; headings inside a member's text are escaped. Korean is asked in Korean, the rest in
+    English."""
+    unified, compared, no_pages = (UNIFIED_KO, COMPARISON_KO, NO_PAGES_KO) if language == "ko" else (UNIFIED, COMPARISON, NO_PAGES)
     name = T.sanitize_prompt(F.regexp_replace("file_name", r"[\r\n]+", " "))
     body = F.regexp_replace(T.sanitize_prompt(F.col("content")), r"(?m)^(\s*)(#{1,6})", r"$1\\$2")
-    note = F.when(F.col("page_citable"), F.lit("")).otherwise(F.concat(F.lit("\n"), F.replace(F.lit(NO_PAGES), F.lit("{name}"), name)))
+    note = F.when(F.col("page_citable"), F.lit("")).otherwise(F.concat(F.lit("\n"), F.replace(F.lit(no_pages), F.lit("{name}"), name)))
     one = F.struct("pos", F.concat(F.lit("## "), name, note, F.lit("\n"), body).alias("t"))
     parts = F.transform(F.sort_array(F.collect_list(one)), lambda x: x["t"])
-    text = F.concat(F.lit((COMPARISON if comparison else UNIFIED) + "\n\n"), F.array_join(parts, "\n\n"))
+    text = F.concat(F.lit((compared if comparison else unified) + "\n\n"), F.array_join(parts, "\n\n"))
     return blocks.groupBy("collection_id").agg(text.alias("prompt"))

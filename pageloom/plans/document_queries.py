@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pageloom.functions import text as T
+from pageloom.functions.prompts import CITATION_RULES, TEMPLATES
 from pageloom.operators import chunk as C
 from pageloom.operators import layout as L
 from pageloom.operators import summary as S
@@ -161,6 +162,13 @@ def c18(spark, d):
     return documents(spark, d).select("doc_id", S.finalized(made, F.array(F.lit("pages 2-4"), F.lit(None), F.lit("cut"))).alias("final"))
 
 
+_ASKED = "\n\n".join([TEMPLATES["en", "full"], CITATION_RULES["en"], "---", ""])
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 def members(spark, d):
     k = F.col("doc_id")
     return paged(spark, d).select(F.floor(k / 12).alias("collection_id"), (k % 12).alias("pos"), F.concat("source", F.lit(".pdf")).alias("file_name"), F.when(k % 3 == 0, F.concat(F.left("text", F.lit(3500)), F.lit(" [p.2]"))).alias("summary"), F.when(k % 3 == 1, F.col("pages")).alias("page_texts"), "text")
@@ -188,6 +196,19 @@ def c19b(spark, d):
     return S.collection_prompt(S.collection_blocks(members(spark, d)), comparison=True)
 
 
+# the generator gives back the whole prompt on one line, without full stops, so the rows show what was asked and what is kept
+@query(
+    "c19_inline_summaries",
+    f"""WITH {_LABELLED}, m AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN left(text, 3500) || ' [p.2]' END AS stored, CASE WHEN doc_id % 3 = 1 THEN coalesce(t.t, text) ELSE text END AS source,
+           row_number() OVER (PARTITION BY doc_id // 12 ORDER BY doc_id) AS n, doc_id % 3 = 1 AND t.t IS NOT NULL AS labelled FROM documents LEFT JOIN t USING (doc_id)),
+    g AS (SELECT *, CASE WHEN stored IS NULL AND n <= 10 AND regexp_matches(source, '\\S') THEN regexp_replace(replace(replace({_quoted(_ASKED)} || left(source, 6000), chr(10), ' '), '. ', ' '), '^\\s+|\\s+$', '', 'g') END AS made FROM m)
+    SELECT doc_id, coalesce(stored, made) AS summary, made IS NOT NULL AND NOT labelled AS unlabelled, made || CASE WHEN length(source) > 6000 THEN chr(10) || chr(10) || {_quoted(S.INPUT_CUT["en"])} ELSE '' END AS saved FROM g""",
+)
+def c19c(spark, d):
+    made = S.inline_summaries(members(spark, d).withColumn("doc_id", F.col("collection_id") * 12 + F.col("pos")), S.FirstSentences(10**9), language="en")
+    return made.select("doc_id", "summary", "unlabelled", "saved")
+
+
 # ---- layout
 
 _BLOCKS = "string_split(text, chr(10))"
@@ -241,13 +262,15 @@ def s21(spark, d):
 
 @query(
     "s6_page_text",
-    "SELECT doc_id, concat(source, ' word', chr(10), 'line', CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) ELSE '' END, 'tail') AS text FROM documents",
+    "SELECT doc_id, concat(source, ' word', chr(10), 'line', CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) ELSE '' END, 'tail', CASE WHEN doc_id % 3 = 0 THEN ' loosebehind' ELSE '' END) AS text FROM documents",
 )
 def s6(spark, d):
     f = lambda v: F.lit(float(v))
     run = lambda i, s, x, y, eol: F.struct(F.lit(i).alias("idx"), s.alias("str"), f(x).alias("x"), f(y).alias("y"), f(1).alias("dx"), f(0).alias("dy"), f(20).alias("width"), f(10).alias("size"), eol.alias("eol"))
     even = F.col("doc_id") % 2 == 0
     runs = F.array(run(0, F.col("source"), 0, 100, F.lit(False)), run(1, F.lit("word"), 30, 100, F.lit(False)), run(2, F.lit("line"), 0, 80, F.lit(False)), run(3, F.lit(""), 0, 70, even), run(4, F.lit("tail"), 21, 80, F.lit(False)))
+    loose = F.array(run(5, F.lit("loose"), 0, 0, F.lit(False)).withField("x", F.lit(None).cast("double")), run(6, F.lit(""), 0, 0, F.lit(True)), run(7, F.lit("behind"), 0, 20, F.lit(False)))
+    runs = F.concat(runs, F.when(F.col("doc_id") % 3 == 0, loose).otherwise(F.slice(loose, 1, 0)))
     return L.page_text(documents(spark, d).select("doc_id", F.inline(runs)), "doc_id")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pageloom import settings
+from pageloom.functions import prompts as P
 from pageloom.functions import sanitize as Z
 from pageloom.operators import chunk as C
 from pageloom.operators import flow, qa
@@ -159,6 +160,29 @@ def c12_prompt(spark, d):
     "SELECT item_id, CASE WHEN item_id % 2 = 0 THEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') ELSE '' END AS system, CASE WHEN item_id % 2 = 0 THEN 'q' || item_id || '---' || chr(10) || chr(10) || 'x' ELSE text END AS user FROM benchmark",
 )
 def f27(spark, d):
-    p = F.when(F.col("item_id") % 2 == 0, F.concat("text", F.lit("\n---\n\nq"), F.col("item_id").cast("string"), F.lit("---\n\nx"))).otherwise(F.col("text"))
+    p = F.when(F.col("item_id") % 2 == 0, F.concat("text", F.lit("\n---\n\nq"), F.col("item_id").cast("string"), F.lit("---\n\nx \n"))).otherwise(F.col("text"))
     parts = qa.split_prompt(p)
     return table(spark, d, "benchmark").select("item_id", parts["system"].alias("system"), parts["user"].alias("user"))
+
+
+def _values(rows) -> str:
+    """Rows of texts as SQL values."""
+    return ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in rows)
+
+
+# a template with its text, then the rule put before the first separator
+@query(
+    "f27_build_prompt",
+    f"""WITH t(lang, kind, template) AS (VALUES {_values((lang, kind, t) for (lang, kind), t in P.TEMPLATES.items())}), r(lang, rule) AS (VALUES {_values(P.CITATION_RULES.items())}),
+    d AS (SELECT doc_id, text, source, ['full', 'chapter', 'keywords', 'qa', 'custom'][doc_id % 5 + 1] AS kind, ['ko', 'en', 'ja', 'zh', 'auto', 'fr', NULL][doc_id % 7 + 1] AS lang, CASE WHEN doc_id % 2 = 0 THEN source END AS own FROM documents),
+    k AS (SELECT *, CASE WHEN lang IN ('ko', 'en', 'ja', 'zh', 'auto') THEN lang ELSE 'ko' END AS known FROM d),
+    w AS (SELECT doc_id, k.kind, coalesce(k.lang, '') AS lang, CASE WHEN k.kind = 'custom' THEN own ELSE t.template END || chr(10) || chr(10) || '---' || chr(10) || chr(10) || text AS raw, rule FROM k LEFT JOIN t ON t.lang = known AND t.kind = k.kind JOIN r ON r.lang = known),
+    x AS (SELECT *, position(chr(10) || chr(10) || '---' || chr(10) || chr(10) IN raw) AS split FROM w)
+    SELECT doc_id, kind, lang, CASE WHEN kind = 'keywords' THEN raw ELSE left(raw, split - 1) || chr(10) || chr(10) || rule || substring(raw, split) END AS prompt FROM x""",
+)
+def f27_build(spark, d):
+    k = F.col("doc_id")
+    kind = F.get(F.array(*map(F.lit, (*P.KINDS, "custom"))), k % 5)
+    lang = F.get(F.array(*map(F.lit, ("ko", "en", "ja", "zh", "auto", "fr", None))), k % 7)
+    own = F.when(k % 2 == 0, F.concat(F.lit(" \n"), "source", F.lit(" "))).otherwise("  ")
+    return documents(spark, d).select("doc_id", kind.alias("kind"), F.coalesce(lang, F.lit("")).alias("lang"), P.build_prompt(F.col("text"), kind, lang, own).alias("prompt"))

@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from pageloom import settings
+from pageloom.functions import prompts as P
 from pageloom.operators import flow, qa, search, store
+from pageloom.operators import summary as S
 from pageloom.operators import vectors as V
 from pageloom.plans import library_queries  # noqa: F401  (registers itself)
 from pageloom.plans.registry import QUERIES
@@ -208,3 +210,34 @@ def test_export(spark, tmp_path):
     assert 'lang="ko"' in got["k2"]
     export.export(df, "k", str(tmp_path / "md"))
     assert spark.read.text(str(tmp_path / "md"), wholetext=True).where("k = 'k1'").first()["value"].startswith("# Head\ntext")
+
+
+def test_inline_summaries_and_korean_prompts(spark):
+    class Echo:
+        def generate(self, prompts):
+            return ["" if p.endswith("silent") else "made " + p[-5:] + " [p.1]\n" for p in prompts]
+
+    rows = [(1, 0, "a.pdf", "stored [p.3]", None, "x"), (1, 1, "b.pdf", None, ["", "paged"], "other"), (1, 2, "c.pdf", None, None, "plain"), (1, 3, "d.pdf", None, None, "silent"), (1, 4, "e.pdf", None, None, None), (1, 5, "f.pdf", None, [" "], "y" * 6001)]
+    rows += [(1, 6 + i, f"{i}.pdf", None, None, f"late{i}") for i in range(6)]
+    members = spark.createDataFrame(rows, "collection_id int, pos long, file_name string, summary string, page_texts array<string>, text string")
+    df = S.inline_summaries(members, Echo())
+    got = {r["pos"]: (r["summary"], r["unlabelled"], r["saved"]) for r in df.collect()}
+    assert got[0] == ("stored [p.3]", False, None) and got[1] == ("made paged [p.1]\n", False, "made paged [p.1]\n")
+    assert got[2] == ("made plain [p.1]\n", True, "made plain [p.1]\n") and got[3] == (None, False, None) and got[4] == (None, False, None)
+    assert got[5][2] == "made yyyyy [p.1]\n\n" + S.INPUT_CUT["ko"] and got[9][0] is not None and got[10] == (None, False, None) and len(got) == 12
+    blocks = {r["pos"]: r for r in S.collection_blocks(df).collect()}
+    assert [p for p in blocks if not blocks[p]["page_citable"]] == [2, 3, 5, 6, 7, 8, 9] and blocks[3]["content"] == "silent"
+    prompt = S.collection_prompt(S.collection_blocks(df), comparison=True, language="ko").collect()[0]["prompt"]
+    assert prompt.startswith(S.COMPARISON_KO + "\n\n## a.pdf\nstored [a.pdf p.3]\n\n## b.pdf\n") and S.NO_PAGES_KO.replace("{name}", "c.pdf") in prompt
+
+
+def test_prompt_of_each_kind(spark):
+    kinds = [("full", "en", None), ("keywords", "ja", None), ("qa", "xx", None), ("custom", "zh", " mine\n"), ("custom", "zh", " "), ("other", "en", None), (None, None, None)]
+    df = spark.createDataFrame(kinds, "kind string, lang string, own string")
+    got = [r["p"] for r in df.select(P.build_prompt(F.lit("text ---\n\n more"), F.col("kind"), F.col("lang"), F.col("own")).alias("p")).collect()]
+    tail = "\n\n---\n\ntext ---\n\n more"
+    assert got[0] == P.TEMPLATES["en", "full"] + "\n\n" + P.CITATION_RULES["en"] + tail and got[1] == P.TEMPLATES["ja", "keywords"] + tail
+    assert got[2] == P.TEMPLATES["ko", "qa"] + "\n\n" + P.CITATION_RULES["ko"] + tail and got[3] == "mine\n\n" + P.CITATION_RULES["zh"] + tail
+    assert got[4:] == [None, None, None]
+    both = spark.createDataFrame([(got[0],)], "p string").select(qa.split_prompt(F.col("p")).alias("s")).collect()[0]["s"]
+    assert both["user"] == "text ---\n\n more" and both["system"] == got[0][: -len(tail)]
