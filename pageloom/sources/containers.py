@@ -37,6 +37,15 @@ def unzip(content: bytes, wanted=lambda name: True) -> dict[str, bytes]:
     return out
 
 
+def entries(content: bytes) -> list[str]:
+    """Names of all entries."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            return [i.filename for i in z.infolist() if not i.is_dir()]
+    except zipfile.BadZipFile as e:
+        raise Damaged(str(e)) from e
+
+
 def inflate(data: bytes, most: int = MAX_INFLATED, wbits: int = -15) -> bytes:
     d = zlib.decompressobj(wbits)
     try:

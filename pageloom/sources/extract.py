@@ -14,11 +14,14 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from pageloom.sources.containers import Damaged, attribute, child, inflate, local, parse, relations, unzip, walk
+from pageloom.sources.containers import Damaged, attribute, child, entries, inflate, local, parse, relations, unzip, walk
 from pageloom.sources.hangul import hwp, hwpx
+from pageloom.sources.pictures import collected
 from pageloom.sources.units import MAX_COLUMNS, MAX_PAGES, Block, Extracted, markdown, paged
 
 LEAST_TEXT = 50
+#: Pictures that a batch of rows may hold before it is handed on.
+BATCH_BYTES = 64 * 1024 * 1024
 GROUP_DEPTH, CHART_ROWS, CHART_SERIES = 32, 50, 20
 
 
@@ -98,9 +101,11 @@ def _symbol(e: ElementTree.Element) -> str:
     return _SYMBOLS.get((attribute(e, "font") or "").strip().lower(), {}).get(number - 0xF000 if 0xF000 <= number <= 0xF0FF else number, "")
 
 
-def _run_texts(p: ElementTree.Element) -> list[str]:
-    """A paragraph's visible text, cut at its page breaks."""
+def _run_texts(p: ElementTree.Element, pictures: list[list[str]] | None = None) -> list[str]:
+    """A paragraph's visible text, cut at its page breaks; pictures gets the references of each cut."""
     out, hidden = [""], set()
+    pictures = [] if pictures is None else pictures
+    pictures.append([])
     for e in walk(p, _UNSEEN):
         name = local(e)
         if name == "r" and _on(child(e, "rPr", "vanish")):
@@ -109,6 +114,9 @@ def _run_texts(p: ElementTree.Element) -> list[str]:
             continue
         if name == "br" and attribute(e, "type") == "page":
             out.append("")
+            pictures.append([])
+        elif name == "blip" and attribute(e, "embed"):
+            pictures[-1].append(attribute(e, "embed"))
         elif name == "t":
             out[-1] += e.text or ""
         elif name == "sym":
@@ -167,29 +175,38 @@ def docx(parts: dict[str, bytes]) -> Extracted:
     if body is None:
         raise Damaged("no document")
     styles, blocks = _Styles(parts.get("word/styles.xml")), []
+    rels = relations(parts, "word/document.xml")
+    files = lambda references: [rels[r][1] for r in references if r in rels]
     pending = False
     for e in _unwrapped(body):
         if local(e) == "tbl":
-            blocks.append(Block(markdown(_docx_rows(e)), pending))
+            blocks.append(Block(markdown(_docx_rows(e)), pending, pictures=files(_blips(e))))
             pending = False
         elif local(e) == "p":
-            ppr, texts = child(e, "pPr"), _run_texts(e)
+            pictures: list[list[str]] = []
+            ppr, texts = child(e, "pPr"), _run_texts(e, pictures)
             titled = next((i for i, text in enumerate(texts) if text.strip()), -1)
             for i, text in enumerate(texts):
-                blocks.append(Block(text, i > 0 or pending or styles.breaks_before(ppr), styles.level(ppr) if i == titled else None))
+                blocks.append(Block(text, i > 0 or pending or styles.breaks_before(ppr), styles.level(ppr) if i == titled else None, pictures=files(pictures[i])))
             pending = child(ppr, "sectPr") is not None and attribute(child(ppr, "sectPr", "type"), "val") != "continuous"
-            blocks += map(Block, _text_boxes(e))
+            blocks += (Block(text, pictures=files(references)) for text, references in _text_boxes(e))
     return paged("docx", blocks)
 
 
-def _text_boxes(p: ElementTree.Element) -> Iterator[str]:
-    """Texts and tables of the boxes in a paragraph, and of the boxes in those."""
+def _blips(e: ElementTree.Element) -> list[str]:
+    """References of the pictures below an element."""
+    return [attribute(x, "embed") for x in walk(e, _UNSEEN - {"tbl", "txbxContent"}) if local(x) == "blip" and attribute(x, "embed")]
+
+
+def _text_boxes(p: ElementTree.Element) -> Iterator[tuple[str, list[str]]]:
+    """Texts and tables of the boxes in a paragraph, and of the boxes in those, with their pictures."""
     for box in (x for x in walk(p, frozenset({"Fallback", "del", "moveFrom"})) if local(x) == "txbxContent"):
         for e in _unwrapped(box):
             if local(e) == "p":
-                yield "\n".join(_run_texts(e))
+                pictures: list[list[str]] = []
+                yield "\n".join(_run_texts(e, pictures)), sum(pictures, [])
             elif local(e) == "tbl":
-                yield markdown(_docx_rows(e))
+                yield markdown(_docx_rows(e)), _blips(e)
 
 
 # ---- PPTX
@@ -233,17 +250,20 @@ def chart(root: ElementTree.Element | None) -> str:
     return markdown(rows) if n else ""
 
 
-def _slide(parts: dict[str, bytes], part: str) -> tuple[str, str | None]:
+def _slide(parts: dict[str, bytes], part: str) -> tuple[str, str | None, list[str]]:
     root, rels = parse(parts.get(part)), relations(parts, part)
     tree = child(root, "cSld", "spTree")
-    titles, rest = [], []
+    titles, rest, pictures = [], [], []
 
     def shape(e: ElementTree.Element, depth: int) -> None:
         name = local(e)
         if name == "grpSp" and depth < GROUP_DEPTH:
             for c in e:
                 shape(c, depth + 1)
+        elif name == "pic":
+            pictures.extend(attribute(x, "embed") for x in walk(e, frozenset({"extLst"})) if local(x) == "blip")
         elif name == "sp":
+            pictures.append(attribute(child(e, "spPr", "blipFill", "blip"), "embed"))
             kind = attribute(child(e, "nvSpPr", "nvPr", "ph"), "type")
             text = _paragraphs(e)
             if text and kind not in ("sldNum", "dt", "ftr"):
@@ -266,7 +286,7 @@ def _slide(parts: dict[str, bytes], part: str) -> tuple[str, str | None]:
             text = "\n".join(filter(None, map(_paragraphs, notes)))
             if text:
                 rest.append("\n".join("> " + line for line in text.split("\n")))
-    return "\n\n".join(x for x in [*titles, *rest] if x.strip()), (titles[0] if titles else None)
+    return "\n\n".join(x for x in [*titles, *rest] if x.strip()), (titles[0] if titles else None), [rels[r][1] for r in pictures if r in rels]
 
 
 def pptx(parts: dict[str, bytes]) -> Extracted:
@@ -277,7 +297,8 @@ def pptx(parts: dict[str, bytes]) -> Extracted:
     for s in (e for e in root.iter() if local(e) == "sldId" and attribute(e, "id") is not None and e.attrib):
         target = next((rels[v] for k, v in s.attrib.items() if k.endswith("}id") and v in rels), None)
         if target:
-            text, title = _slide(parts, target[1])
+            text, title, pictures = _slide(parts, target[1])
+            out.pictures += [(len(out.units), path) for path in pictures]
             at[s.attrib.get("id")] = len(out.units)
             if title:
                 out.headings.append((1, title.split("\n")[0], len(out.units)))
@@ -342,9 +363,11 @@ _ZIP = (("docx", "word/document.xml", docx), ("pptx", "ppt/presentation.xml", pp
 
 def _open_zip(content: bytes) -> Extracted:
     parts = unzip(content, lambda name: not re.search(r"(^|/)media/|(^|/)BinData/", name))
-    for _, mark, run in _ZIP:
+    for kind, mark, run in _ZIP:
         if any(n.startswith(mark) for n in parts):
-            return run(parts)
+            made = run(parts, entries(content)) if kind == "hwpx" else run(parts)
+            made.load = lambda paths: unzip(content, frozenset(paths).__contains__)
+            return made
     raise Damaged("no known document in the archive")
 
 
@@ -355,27 +378,38 @@ EXTRACTORS: list[tuple[Callable[[bytes], bool], Callable[[bytes], Extracted]]] =
     (lambda b: b[:8] == bytes.fromhex("D0CF11E0A1B11AE1"), hwp),
 ]
 
-DOCUMENTS = "path string, kind string, unit_kind string, units array<string>, headings array<struct<level:int,title:string,unit:int>>, sections array<struct<title:string,unit:int>>, error string"
+DOCUMENTS = "path string, kind string, unit_kind string, units array<string>, headings array<struct<level:int,title:string,unit:int>>, sections array<struct<title:string,unit:int>>, images array<struct<unit:int,path:string,kind:string,width:int,height:int,content:binary>>, more_images boolean, error string"
+
+
+def extracted(files: DataFrame, images: bool = True) -> DataFrame:
+    """A row for each file of files (path, content): its document, or the error that stopped it; other files go on.
 
+    images: the pictures kept (see ``collected``); ``more_images`` tells that there were more. PDF files give none.
+    """
 
-def extracted(files: DataFrame) -> DataFrame:
-    """A row for each file of files (path, content): its document, or the error that stopped it; other files go on."""
+    names = ["path", "kind", "unit_kind", "units", "headings", "sections", "images", "more_images", "error"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
+            rows, size = [], 0
             for path, content in zip(frame["path"], frame["content"], strict=True):
                 content, made, error = bytes(content or b""), None, None
                 try:
                     opener = next((f for test, f in EXTRACTORS if test(content)), None)
                     made = opener(content) if opener else None
                     error = None if made else "unsupported format"
+                    pictures, more = collected(made.pictures, made.load) if made and images else ([], False)
                 except (ElementTree.ParseError, struct.error, zlib.error, LookupError, ValueError, RecursionError) as e:  # Damaged is a ValueError
-                    error = f"{type(e).__name__}: {e}"
+                    made, error = None, f"{type(e).__name__}: {e}"
                 heads = [{"level": a, "title": b, "unit": c} for a, b, c in made.headings] if made else None
                 sections = [{"title": a, "unit": b} for a, b in made.sections] if made else None
-                rows.append((path, made and made.kind, made and made.unit_kind, made and made.units, heads, sections, error))
-            yield pd.DataFrame(rows, columns=["path", "kind", "unit_kind", "units", "headings", "sections", "error"])
+                seen = [vars(p) for p in pictures] if made else None
+                rows.append((path, made and made.kind, made and made.unit_kind, made and made.units, heads, sections, seen, more if made else None, error))
+                size += sum(len(p.content) for p in pictures) if made else 0
+                if size > BATCH_BYTES:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, size = [], 0
+            yield pd.DataFrame(rows, columns=names)
 
     return files.select("path", "content").mapInPandas(run, DOCUMENTS)
 

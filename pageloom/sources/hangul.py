@@ -29,24 +29,58 @@ class Table:
 
 class Story:
     """Text of paragraphs. ``pieces`` gives what a paragraph holds, in order: ("text", str), ("equation", str),
-    ("table", Table) or ("box", paragraphs)."""
+    ("table", Table), ("box", paragraphs) or ("picture", reference). ``path`` gives a reference's file, if there is one."""
 
-    def __init__(self, pieces: Callable[[Any], Iterable[tuple[str, Any]]]):
-        self.pieces = pieces
+    def __init__(self, pieces: Callable[[Any], Iterable[tuple[str, Any]]], path: Callable[[Any], str | None]):
+        self.pieces, self.path = pieces, path
 
-    def blocks(self, paragraphs: Iterable[tuple[Any, bool, int | None]]) -> Iterator[Block]:
-        """Blocks of (paragraph, starts a page, level): its texts and tables, then its boxes, which break no page."""
+    def blocks(self, paragraphs: Iterable[tuple[Any, bool, int | None]]) -> list[Block]:
+        """Blocks of (paragraph, starts a page, level): its texts and tables, then its boxes, which break no page.
+
+        A picture belongs to the text or table that it stands in; without one, to the block before.
+        """
+        out: list[Block] = []
         for paragraph, broken, level in paragraphs:
-            parts, boxes = self._parts(paragraph, 0, False)
+            parts, boxes, pictures = self._parts(paragraph, 0, False)
             if broken and not parts:
-                yield Block("", True)
-            for i, text in enumerate(parts):
-                yield Block(text, broken and i == 0, None if i else level, text.strip().split("\n")[0])
+                out.append(Block("", True))
+            made = [Block(text, broken and i == 0, None if i else level, text.strip().split("\n")[0]) for i, text in enumerate(parts)]
+            out += made
+            for i, reference in pictures:
+                self._hang(reference, made[min(i, len(made) - 1)] if made else None, out)
             for box in boxes:
-                yield Block(self._within(box, 1, False))
+                text = self._within(box, 1, False)
+                if text.strip():
+                    out.append(Block(text))
+                for reference in self._pictures(box):
+                    self._hang(reference, None, out)
+        return out
+
+    def _hang(self, reference, block: Block | None, out: list[Block]) -> None:
+        path = self.path(reference)
+        if path:
+            if not out:
+                out.append(Block(""))
+            (block or out[-1]).pictures.append(path)
+
+    def _pictures(self, paragraphs: list) -> Iterator[Any]:
+        """References of all pictures in paragraphs and what they hold."""
+        todo = list(reversed(paragraphs))
+        while todo:
+            below = []
+            for kind, value in self.pieces(todo.pop()):
+                if kind == "picture":
+                    yield value
+                elif kind == "table":
+                    below += [p for c in value.cells for p in c[4]]
+                elif kind == "box":
+                    below += value
+            todo += reversed(below)
 
-    def _parts(self, paragraph, depth: int, flat: bool) -> tuple[list[str], list[list]]:
-        parts, boxes, behind = [""], [], False
+    def _parts(self, paragraph, depth: int, flat: bool) -> tuple[list[str], list[list], list[tuple[int, Any]]]:
+        """Texts and tables, boxes, and pictures with the number of the text or table they stand in."""
+        parts, boxes, pictures, behind = [""], [], [], False
+        filled = lambda: sum(bool(p.strip()) for p in parts)
         for kind, value in self.pieces(paragraph):
             if kind == "text" and value:
                 parts[-1] += (" " if behind and not value[0].isspace() else "") + value
@@ -55,11 +89,15 @@ class Story:
                 parts[-1] += (" " if parts[-1] and not parts[-1][-1].isspace() else "") + _equation(value)
                 behind = True
             elif kind == "table":
+                if not depth:
+                    pictures += [(filled(), r) for r in self._pictures([p for c in value.cells for p in c[4]])]
                 parts += [self._table(value, depth + 1, flat), ""]
                 behind = False
+            elif kind == "picture":
+                pictures.append((filled() - bool(parts[-1].strip()), value))
             elif kind == "box":
                 boxes.append(value)
-        return [p for p in parts if p.strip()], boxes
+        return [p for p in parts if p.strip()], boxes, pictures
 
     def _within(self, paragraphs: list, depth: int, flat: bool) -> str:
         """A cell's or a box's text: paragraphs on lines, its own boxes behind each."""
@@ -67,7 +105,7 @@ class Story:
             return self._plain(paragraphs)
         lines = []
         for p in paragraphs:
-            parts, boxes = self._parts(p, depth, flat)
+            parts, boxes, _ = self._parts(p, depth, flat)
             lines += [*parts, *(self._within(b, depth + 1, flat) for b in boxes)]
         return "\n".join(lines)
 
@@ -107,7 +145,7 @@ def _equation(script: str) -> str:
 # ---- HWPX
 
 # fixed values: names of what is no body text, the package's media type, characters written as elements
-_ASIDE = frozenset({"ctrl", "secPr", "linesegarray", "shapeComment", "hiddenComment", "pic"})
+_ASIDE = frozenset({"ctrl", "secPr", "linesegarray", "shapeComment", "hiddenComment"})
 _PACKAGE = "application/hwpml-package+xml"
 _CHARACTERS = {"lineBreak": "\n", "tab": "\t", "nbSpace": " ", "fwSpace": " ", "hyphen": "-"}
 
@@ -132,6 +170,10 @@ def _hwpx_pieces(p: ElementTree.Element) -> Iterator[tuple[str, Any]]:
             yield "equation", "".join(child(e, "script").itertext()) if child(e, "script") is not None else ""
         elif name == "tbl":
             yield "table", _hwpx_table(e)
+        elif name == "pic":
+            image = next((x for x in walk(e) if local(x) == "img"), None)
+            if attribute(image, "binaryItemIDRef"):
+                yield "picture", attribute(image, "binaryItemIDRef")
         elif name == "drawText":
             yield from (("box", _named(inner, "p")) for inner in _named(e, "subList"))
         elif name not in _ASIDE:
@@ -150,10 +192,10 @@ def _hwpx_table(tbl: ElementTree.Element) -> Table:
     return Table(cells, _number(tbl, "rowCnt", len(trs)), _number(tbl, "colCnt", max((c[1] + c[3] for c in cells), default=0)))
 
 
-def package(parts: dict[str, bytes], media_type: str = _PACKAGE, usual: str = "Contents/content.hpf") -> tuple[dict[str, str], list[str]]:
+def package(parts: dict[str, bytes], names: frozenset[str], media_type: str = _PACKAGE, usual: str = "Contents/content.hpf") -> tuple[dict[str, str], list[str]]:
     """Part of each item by id, and the spine's parts in order, from the package file that container.xml names for the
-    media type, or from the usual one. References count from the package file, or from the root if nothing is there.
-    Without a readable package both are empty."""
+    media type, or from the usual one. References count from the package file, or from the root if none of the names is
+    there. Without a readable package both are empty."""
     for path in (_root_file(parts, media_type), usual):
         try:
             root = parse(parts.get(path)) if path else None
@@ -169,7 +211,7 @@ def package(parts: dict[str, bytes], media_type: str = _PACKAGE, usual: str = "C
                 steps = folder.split("/") if folder else []
                 for step in href.split("/"):
                     steps = steps[:-1] if step == ".." else steps if step in ("", ".") else [*steps, step]
-                items[attribute(e, "id")] = "/".join(steps) if "/".join(steps) in parts else href
+                items[attribute(e, "id")] = "/".join(steps) if "/".join(steps) in names else href
         return items, [items[attribute(e, "idref")] for e in walk(root) if local(e) == "itemref" and attribute(e, "idref") in items]
     return {}, []
 
@@ -202,11 +244,14 @@ def _hwpx_levels(header: bytes | None) -> dict[str, int]:
     return {name: _number(h, "level", 0) + 1 for name, h in heads if h is not None and attribute(h, "type") == "OUTLINE"}
 
 
-def hwpx(parts: dict[str, bytes]) -> Extracted:
-    """Sections in the order of the package's spine, or by number."""
+def hwpx(parts: dict[str, bytes], names: list[str] | None = None) -> Extracted:
+    """Sections in the order of the package's spine, or by number. names: all entries, if parts leaves some out."""
     if encrypted(parts):
         raise Damaged("encrypted")
-    items, spine = package(parts)
+    present = frozenset(names or parts)
+    items, spine = package(parts, present)
+    stems = {m[1].lower(): n for n in reversed(names or list(parts)) if (m := re.fullmatch(r"(?i)BinData/([^/]+)\.[^./]+", n))}
+    picture = lambda reference: items[reference] if items.get(reference) in present else stems.get(reference.lower())
     numbered = [n for n in parts if re.fullmatch(r"(?i)Contents/section\d+\.xml", n)]
     names = [n for n in spine if re.search(r"(?i)(^|/)section\d+\.xml$", n)] or sorted(numbered, key=lambda n: int(re.sub(r"\D", "", n)))
     if not names:
@@ -222,13 +267,14 @@ def hwpx(parts: dict[str, bytes]) -> Extracted:
             for i, p in enumerate(_named(root, "p")):
                 yield p, attribute(p, "pageBreak") == "1" or (number > 0 and i == 0), levels.get(attribute(p, "paraPrIDRef"))
 
-    return paged("hwpx", list(Story(_hwpx_pieces).blocks(paragraphs())))
+    return paged("hwpx", Story(_hwpx_pieces, picture).blocks(paragraphs()))
 
 
 # ---- HWP 5
 
 # fixed values: record tags, control characters of eight places, those among them with a control of their own, flags
-_SHAPE, _PARAGRAPH, _TEXT, _CONTROL, _LIST, _TABLE, _EQUATION = 25, 66, 67, 71, 72, 77, 88
+_BINARY, _SHAPE, _PARAGRAPH, _TEXT, _CONTROL, _LIST, _TABLE, _PICTURE, _EQUATION = 18, 25, 66, 67, 71, 72, 77, 85, 88
+_PICTURE_ID = 71
 _WIDE = frozenset([*range(1, 10), 11, 12, *range(14, 24)])
 _OWNED = frozenset([1, 2, 3, 11, 12, *range(14, 19), 21, 22, 23])
 _COMPRESSED, _PASSWORD, _DISTRIBUTED, _RIGHTS = 1, 2, 4, 16
@@ -328,7 +374,7 @@ def _hwp_control(c: Record) -> Iterator[tuple[str, Any]]:
     if letters == "tbl ":
         yield "table", _hwp_table(c.below)
     elif letters == "gso ":
-        yield from (("box", paragraphs) for paragraphs in _boxes(c))
+        yield from _shapes(c)
     elif letters == "eqed":
         script = next((r.body for r in c.below if r.tag == _EQUATION and len(r.body) >= 6), None)
         if script is not None:
@@ -351,14 +397,28 @@ def _hwp_table(below: list[Record]) -> Table:
     return Table(cells, *struct.unpack_from("<2H", below[at].body, 4))
 
 
-def _boxes(shape: Record, depth: int = 0) -> Iterator[list[Record]]:
-    """The text boxes of a shape and of the shapes in it; a list right below the control is its caption."""
+def _shapes(shape: Record, depth: int = 0) -> Iterator[tuple[str, Any]]:
+    """Text boxes and pictures of a shape and of the shapes in it; a list right below the control is its caption."""
     for i, r in enumerate(shape.below):
-        if r.tag == _LIST:
+        if r.tag == _PICTURE:
+            if len(r.body) >= _PICTURE_ID + 2:
+                yield "picture", struct.unpack_from("<H", r.body, _PICTURE_ID)[0]
+        elif r.tag == _LIST:
             if depth:
-                yield _after(shape.below, i)
+                yield "box", _after(shape.below, i)
         elif r.tag != _PARAGRAPH and depth < MAX_SHAPES:
-            yield from _boxes(r, depth + 1)
+            yield from _shapes(r, depth + 1)
+
+
+def picture_streams(info: bytes) -> list[tuple[str, int] | None]:
+    """Stream and mode of compression (0: the document's, 1: yes, 2: no) of each embedded file; null for others."""
+    out: list[tuple[str, int] | None] = []
+    for body in (body for tag, _, body in records(info) if tag == _BINARY):
+        kind, number, length = struct.unpack_from("<3H", body) if len(body) >= 6 else (0, 0, 0)
+        name = body[6 : 6 + 2 * length].decode("utf-16-le", "replace").lower()
+        good = kind & 15 == 1 and len(name) == length and re.fullmatch("[a-z0-9]{1,8}", name)
+        out.append((f"BinData/BIN{number:04X}.{name}", kind >> 4 & 3) if good else None)
+    return out
 
 
 def outline_levels(info: bytes) -> dict[int, int]:
@@ -383,7 +443,28 @@ def hwp(data: bytes) -> Extracted:
     read = lambda name: inflate(file.read(name)) if flags & _COMPRESSED else file.read(name)
     if "DocInfo" not in file.streams:
         raise Damaged("no document information")
-    levels = outline_levels(read("DocInfo"))
+    info = read("DocInfo")
+    levels, streams = outline_levels(info), picture_streams(info)
+    actual = {n.lower(): n for n in file.streams}  # names differ in case
+    modes: dict[str, int] = {}
+
+    def picture(number: int) -> str | None:
+        stream, mode = (streams[number - 1] if 0 < number <= len(streams) else None) or ("", 0)
+        path = actual.get(stream.lower())
+        if path:
+            modes[path] = mode
+        return path
+
+    def load(paths: list[str]) -> dict[str, bytes]:
+        out = {}
+        for path in paths:
+            packed = modes[path] == 1 or (modes[path] == 0 and flags & _COMPRESSED)
+            try:
+                out[path] = inflate(file.read(path)) if packed else file.read(path)
+            except Damaged:
+                continue  # one broken picture does not cost the others
+        return out
+
     names = sorted((n for n in file.streams if re.fullmatch(r"(?i)BodyText/Section\d+", n)), key=lambda n: int(re.sub(r"\D", "", n)))
     if not names:
         raise Damaged("distribution document" if any(n.lower().startswith("viewtext/") for n in file.streams) else "no section")
@@ -394,4 +475,6 @@ def hwp(data: bytes) -> Extracted:
                 broken = (len(p.body) > 11 and bool(p.body[11] & _BREAKS)) or (number > 0 and i == 0)
                 yield p, broken, levels.get(struct.unpack_from("<H", p.body, 8)[0]) if len(p.body) >= 10 else None
 
-    return paged("hwp", list(Story(_hwp_pieces).blocks(paragraphs())))
+    out = paged("hwp", Story(_hwp_pieces, picture).blocks(paragraphs()))
+    out.load = load
+    return out

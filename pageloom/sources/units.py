@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pageloom.sources.containers import Damaged
@@ -17,6 +18,7 @@ class Block:
     break_before: bool = False
     level: int | None = None
     title: str | None = None
+    pictures: list[str] = field(default_factory=list)
 
 
 @dataclass
@@ -26,6 +28,9 @@ class Extracted:
     units: list[str] = field(default_factory=list)
     headings: list[tuple[int, str, int]] = field(default_factory=list)
     sections: list[tuple[str, int]] = field(default_factory=list)
+    pictures: list[tuple[int, str]] = field(default_factory=list)
+    #: contents of pictures by path; those that cannot be read are left out
+    load: Callable[[list[str]], dict[str, bytes]] = lambda paths: {}
 
 
 def paged(kind: str, blocks: list[Block]) -> Extracted:
@@ -48,7 +53,9 @@ def paged(kind: str, blocks: list[Block]) -> Extracted:
             size += len(text)
             if b.level is not None:
                 out.headings.append((b.level, b.title or text, len(out.units)))
+        out.pictures += [(len(out.units), path) for path in b.pictures]
     shut()
+    out.pictures = [(min(unit, len(out.units) - 1), path) for unit, path in out.pictures]
     if not out.units:
         raise Damaged("no text")
     if len(out.units) > MAX_PAGES:

@@ -6,6 +6,8 @@ import zlib
 import pytest
 
 from pageloom.sources import extract as X
+from pageloom.sources import pictures as I
+from pageloom.sources import writers
 from pageloom.sources.containers import CompoundFile, Damaged, unzip
 from pageloom.sources.units import Cell, grid
 
@@ -245,3 +247,75 @@ def test_limits():
         CompoundFile(b"x" * 600)
     with pytest.raises(Damaged, match="document type"):
         X.docx({"word/document.xml": b"<!DOCTYPE x><x/>"})
+
+
+def png(width, height, tail=b""):
+    return b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 13) + b"IHDR" + struct.pack(">II", width, height) + tail
+
+
+def jpeg(width, height, marker=0xC2):
+    segments = b"\xff\xe0" + struct.pack(">H", 6) + b"JFIF" + b"\xff\xff\xc4" + struct.pack(">H", 2) + b"\xff\xd0"
+    return b"\xff\xd8" + segments + bytes([0xFF, marker]) + struct.pack(">HBHH", 11, 8, height, width) + b"\0" * 6
+
+
+def test_picture_headers():
+    bmp = lambda w, h, size=40: b"BM" + b"\0" * 12 + struct.pack("<Iii", size, w, h)
+    assert I.probe(png(7, 9)) == ("png", 7, 9) and I.probe(png(7, 9)[:23]) is None and I.probe(png(7, 9).replace(b"IHDR", b"IDAT")) is None
+    assert I.probe(jpeg(640, 480)) == ("jpeg", 640, 480) and I.probe(jpeg(640, 480, 0xDA)) is None and I.probe(jpeg(640, 480)[:-8]) is None
+    assert I.probe(bmp(5, -6)) == ("bmp", 5, 6) and I.probe(bmp(5, 6, 12)) is None
+    assert I.probe(b"GIF89a" + struct.pack("<HH", 3, 4)) == ("gif", 3, 4) and I.probe(b"GIF80a" + b"\0" * 9) is None
+    assert I.probe(b"") is None and I.probe(b"\xff\xd8\xff\xe0\0\0") is None
+    assert I.fitted("png", 1024, 10) is None and I.fitted("jpeg", 4096, 3) == (1024, 1) and I.fitted("gif", 60, 70) == (60, 70) and I.fitted("png", 1500, 2001) == (768, 1024)
+
+
+def test_pictures_kept():
+    files = {f"p{i}": png(50, 50) for i in range(60)} | {"small": png(49, 900), "huge": png(4000, 1001), "text": b"text"}
+    load = lambda paths: {p: files[p] for p in paths if p in files}
+    kept, more = I.collected([(0, "small"), (0, "huge"), (1, "text"), (1, "gone"), (2, "p0"), (3, "p0"), (3, "p1")], load)
+    assert [(p.unit, p.path) for p in kept] == [(2, "p0"), (3, "p1")] and not more
+    kept, more = I.collected([(i, f"p{i}") for i in range(60)], load)
+    assert len(kept) == 50 and more
+    assert I.collected([(0, "p0")] * 500, load)[1] is False and I.collected([(0, f"q{i}") for i in range(401)], load) == ([], True)
+
+
+def test_pictures_of_each_format(spark):
+    rel = lambda *r: "<Relationships>" + "".join(f'<Relationship Id="{i}" Type="x/{t}" Target="{p}"/>' for i, t, p in r) + "</Relationships>"
+    blip = lambda r: f'<w:r><w:drawing><a:blip r:embed="{r}"/></w:drawing></w:r>'
+    document = f'<w:document {W} xmlns:a="a" xmlns:r="r"><w:body><w:p><w:r><w:t>one</w:t><w:br w:type="page"/><w:t>two</w:t></w:r>{blip("a")}</w:p><w:tbl><w:tr><w:tc><w:p>{blip("b")}</w:p></w:tc></w:tr></w:tbl><w:p>{blip("a")}{blip("none")}</w:p></w:body></w:document>'
+    docx = zipped({"word/document.xml": document, "word/_rels/document.xml.rels": rel(("a", "image", "media/1.png"), ("b", "image", "media/2.jpg")), "word/media/1.png": png(60, 61), "word/media/2.jpg": jpeg(70, 71)})
+
+    slide = '<p:sld xmlns:p="p" xmlns:a="a" xmlns:r="r"><p:cSld><p:spTree><p:sp><p:spPr><a:blipFill><a:blip r:embed="f"/></a:blipFill></p:spPr><a:p><a:r><a:t>x</a:t></a:r></a:p></p:sp><p:grpSp><p:pic><a:blip r:embed="g"/></p:pic></p:grpSp></p:spTree></p:cSld></p:sld>'
+    pptx = zipped({
+        "ppt/presentation.xml": '<p:presentation xmlns:p="p" xmlns:r="r"><p:sldIdLst><p:sldId id="256" r:id="r1"/></p:sldIdLst></p:presentation>',
+        "ppt/_rels/presentation.xml.rels": rel(("r1", "slide", "slides/slide1.xml")), "ppt/slides/slide1.xml": slide,
+        "ppt/slides/_rels/slide1.xml.rels": rel(("f", "image", "../media/f.png"), ("g", "image", "../media/g.png")), "ppt/media/f.png": png(80, 81), "ppt/media/g.png": png(90, 91),
+    })
+
+    pic = lambda ref: f'<pic><img binaryItemIDRef="{ref}"/></pic>'
+    cell = f'<tbl rowCnt="1" colCnt="1"><tr><tc><cellAddr rowAddr="0" colAddr="0"/><subList><p><run><t>c</t>{pic("image2")}</run></p></subList></tc></tr></tbl>'
+    box = f'<rect><drawText><subList><p><run>{pic("image3")}</run></p></subList></drawText></rect>'
+    section = f'<sec><p><run>{pic("image1")}<t>one</t></run></p><p pageBreak="1"><run>{cell}{box}</run></p></sec>'
+    hwpx = zipped({"Contents/content.hpf": '<package><item id="image1" href="BinData/first.png"/></package>', "Contents/section0.xml": section, "BinData/first.png": png(51, 52), "BinData/image2.png": png(53, 54), "BinData/Image3.PNG": png(55, 56)})
+
+    gso = record(71, b" osg", 1) + record(76, b"", 2) + record(85, b"\0" * 71 + struct.pack("<H", 1), 3) + record(85, b"\0" * 71 + struct.pack("<H", 2), 3) + record(85, b"\0" * 71 + struct.pack("<H", 9), 3)
+    binary = lambda mode, n, ext: record(18, struct.pack("<3H", 1 | mode << 4, n, len(ext)) + ext.encode("utf-16-le"))
+    packed = lambda data: (d := zlib.compressobj(wbits=-15)).compress(data) + d.flush()
+    streams = {
+        "FileHeader": b"HWP Document File".ljust(32, b"\0") + struct.pack("<II", 5 << 24, 1),
+        "DocInfo": packed(binary(0, 1, "png") + binary(2, 10, "PNG")),
+        "BodyText/Section0": packed(hwp_paragraph("하나".encode("utf-16-le")) + hwp_paragraph("둘".encode("utf-16-le"), breaks=4) + gso),
+        "BinData/BIN0001.png": packed(png(57, 58)), "BinData/BIN000A.png": png(59, 60),
+    }
+    files = [("a.docx", docx), ("b.pptx", pptx), ("c.hwpx", hwpx), ("d.hwp", writers.compound(streams)), ("e.pdf", b"%PDF-")]
+    df = X.extracted(spark.createDataFrame(files, "path string, content binary"))
+    got = {r["path"]: [(i["unit"], i["kind"], i["width"], i["height"]) for i in r["images"]] if r["images"] is not None else r["error"] for r in df.collect()}
+    assert got["a.docx"] == [(1, "png", 60, 61), (1, "jpeg", 70, 71)] and got["b.pptx"] == [(0, "png", 80, 81), (0, "png", 90, 91)]
+    assert got["c.hwpx"] == [(0, "png", 51, 52), (1, "png", 53, 54), (1, "png", 55, 56)] and got["d.hwp"] == [(1, "png", 57, 58), (1, "png", 59, 60)]
+    assert "without text" in got["e.pdf"]
+    assert all(not r["images"] for r in X.extracted(spark.createDataFrame(files, "path string, content binary"), images=False).collect())
+
+
+def test_many_sectors():
+    streams = {"FileHeader": b"x", "BodyText/Section0": bytes(range(256)) * 4000, "A": b"y" * 5000}
+    file = CompoundFile(writers.compound(streams))
+    assert {n: file.read(n)[: len(d)] for n, d in streams.items()} == streams
