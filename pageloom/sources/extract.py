@@ -211,100 +211,159 @@ def _text_boxes(p: ElementTree.Element) -> Iterator[tuple[str, list[str]]]:
 
 # ---- PPTX
 
-
-def _paragraphs(e: ElementTree.Element) -> str:
+# fixed values: placeholders that are no body text, titles, SmartArt points with text, how a table says what it leaves out
+_APART = frozenset({"sldNum", "dt", "ftr", "hdr", "sldImg"})
+_TITLES = frozenset({"title", "ctrTitle"})
+_NODES = (None, "node", "asst")
+_CUT_CATEGORIES, _CUT_SERIES = "항목 categories", "계열 series"
+
+
+def _shown(e: ElementTree.Element) -> Iterator[ElementTree.Element]:
+    """What is below an element, without fallbacks, extensions and fields of numbers and dates."""
+    todo = [e]
+    while todo:
+        e = todo.pop()
+        field = (attribute(e, "type") or "") if local(e) == "fld" else ""
+        if local(e) not in ("Fallback", "extLst") and field != "slidenum" and not field.startswith("datetime"):
+            yield e
+            todo += reversed(e)
+
+
+def _paragraphs(body: ElementTree.Element | None) -> str:
+    """A text body's paragraphs on lines, without empty ones."""
     lines = []
-    for p in (x for x in e.iter() if local(x) == "p"):
-        text = "".join(x.text or "" if local(x) == "t" else "\n" if local(x) == "br" else "" for x in p.iter())
+    for p in (e for e in (body if body is not None else []) if local(e) == "p"):
+        text = "".join(x.text or "" if local(x) == "t" else {"br": "\n", "tab": "\t"}.get(local(x), "") for x in _shown(p))
         if text.strip():
-            lines.append(text)
+            lines.append(text.rstrip())
     return "\n".join(lines)
 
 
 def _pptx_table(tbl: ElementTree.Element) -> str:
-    rows = []
+    """Every place has a cell here; one that continues another is marked."""
+    rows: list[list[str]] = []
+    width = min(MAX_COLUMNS, sum(local(e) == "gridCol" for e in walk(tbl, frozenset({"tr"}))))
+    marked = lambda c, name: attribute(c, name) in ("1", "true")
     for tr in (e for e in tbl if local(e) == "tr"):
-        cells = [e for e in tr if local(e) == "tc"]
-        rows.append(["" if attribute(c, "hMerge") == "1" or attribute(c, "vMerge") == "1" else _paragraphs(c) for c in cells])
+        row: list[str] = []
+        for c in [e for e in tr if local(e) == "tc"][:MAX_COLUMNS]:
+            above = rows[-1][len(row)] if rows and len(row) < len(rows[-1]) else ""
+            row.append(above if marked(c, "vMerge") else "" if marked(c, "hMerge") else _paragraphs(child(c, "txBody")))
+        rows.append(row + [""] * (width - len(row)))
     return markdown(rows)
 
 
+def _points(e: ElementTree.Element | None, most: int = CHART_ROWS) -> tuple[list[str], int]:
+    """A cache's values by their numbers, up to ``most``, and how many there are."""
+    found, total = {}, 0
+    for x in walk(e) if e is not None else ():
+        number = attribute(x, "val" if local(x) == "ptCount" else "idx") or ""
+        if local(x) in ("ptCount", "pt") and number.isdigit():
+            total = max(total, int(number) + (local(x) == "pt"))
+            if local(x) == "pt" and int(number) < most:
+                value = child(x, "v")
+                found[int(number)] = "".join(value.itertext()) if value is not None else ""
+    return [found.get(i, "") for i in range(max(found, default=-1) + 1)], total
+
+
+def _categories(axis: ElementTree.Element | None) -> tuple[list[str], int]:
+    """Names along the axis. Of several levels the first is the innermost; an outer name stands before its first."""
+    levels = next((x for x in walk(axis) if local(x) == "multiLvlStrCache"), None) if axis is not None else None
+    if levels is None:
+        return _points(axis)
+    names = [_points(x)[0] for x in levels if local(x) == "lvl"][::-1]
+    width = max(map(len, names), default=0)
+    return [" ".join(n[i] for n in names if i < len(n) and n[i].strip()) for i in range(width)], _points(levels)[1]
+
+
 def chart(root: ElementTree.Element | None) -> str:
-    """A chart's series as a table: categories down, series across, the rest counted."""
+    """A chart's title and its series as rows of a table, categories across; a line tells what was left out."""
     if root is None:
         return ""
-    points = lambda e: [("".join(v.text or "" for v in pt if local(v) == "v")) for pt in e.iter() if local(pt) == "pt"] if e is not None else []
-    series = [s for s in root.iter() if local(s) == "ser"]
-    names, columns, categories = [], [], []
+    series = [s for s in walk(root) if local(s) == "ser"]
+    header, rows, total = [], [], 0
     for s in series[:CHART_SERIES]:
-        names.append(" ".join(points(child(s, "tx"))))
-        categories = categories or points(child(s, "cat")) or points(child(s, "xVal"))
-        columns.append(points(child(s, "val")) or points(child(s, "yVal")))
-    n = max([len(categories), *map(len, columns)], default=0)
-    at = lambda x, i: x[i] if i < len(x) else ""
-    rows = [["", *names], *[[at(categories, i), *[at(c, i) for c in columns]] for i in range(min(n, CHART_ROWS))]]
-    if n > CHART_ROWS:
-        rows.append([f"… ({CHART_ROWS}/{n})"])
-    if len(series) > CHART_SERIES:
-        rows[0].append(f"… ({CHART_SERIES}/{len(series)})")
-    return markdown(rows) if n else ""
+        names, n = _categories(next((a for a in (child(s, "cat"), child(s, "xVal")) if a is not None), None))
+        values, m = _points(next((a for a in (child(s, "val"), child(s, "yVal")) if a is not None), None))
+        header, total = max(header, names, key=len), max(total, n, m)
+        literal = child(s, "tx", "v")
+        rows.append([literal.text or "" if literal is not None else "".join(_points(child(s, "tx"), 1)[0]), *values])
+    made = markdown([["", *header], *rows]) if rows else ""
+    cut = [f"{name} {most}/{n}" for name, most, n in ((_CUT_CATEGORIES, CHART_ROWS, total), (_CUT_SERIES, CHART_SERIES, len(series))) if n > most]
+    title = _paragraphs(child(root, "chart", "title", "tx", "rich")).strip()
+    return "\n\n".join(filter(None, [title, made, f"… ({' · '.join(cut)})" if made and cut else ""]))
+
+
+def smart_art(root: ElementTree.Element | None) -> str:
+    """The points with text, as a list."""
+    points = (p for p in (walk(root) if root is not None else ()) if local(p) == "pt" and attribute(p, "type") in _NODES)
+    texts = (" ".join(filter(None, map(str.strip, _paragraphs(child(p, "t")).split("\n")))) for p in points)
+    return "\n".join(f"- {t}" for t in texts if t)
 
 
 def _slide(parts: dict[str, bytes], part: str) -> tuple[str, str | None, list[str]]:
-    root, rels = parse(parts.get(part)), relations(parts, part)
-    tree = child(root, "cSld", "spTree")
+    """A slide's text (titles first, then shapes in order, notes quoted at the end), its title and its pictures."""
+    rels = relations(parts, part)
     titles, rest, pictures = [], [], []
+    related = lambda e, name: parse(parts.get(rels.get(attribute(e, name), ("", ""))[1]))
+
+    def frame(e: ElementTree.Element) -> str:
+        for x in walk(e):
+            if local(x) == "tbl":
+                return _pptx_table(x)
+            if local(x) == "chart" and attribute(x, "id") in rels:
+                return chart(related(x, "id"))
+            if local(x) == "relIds" and attribute(x, "dm") in rels:
+                return smart_art(related(x, "dm"))
+        return ""
 
     def shape(e: ElementTree.Element, depth: int) -> None:
         name = local(e)
-        if name == "grpSp" and depth < GROUP_DEPTH:
-            for c in e:
+        if name == "grpSp" and depth >= GROUP_DEPTH:
+            rest.extend(_paragraphs(x) for x in _shown(e) if local(x) == "txBody")
+        elif name == "grpSp":
+            for c in _unwrapped(e):
                 shape(c, depth + 1)
         elif name == "pic":
-            pictures.extend(attribute(x, "embed") for x in walk(e, frozenset({"extLst"})) if local(x) == "blip")
-        elif name == "sp":
-            pictures.append(attribute(child(e, "spPr", "blipFill", "blip"), "embed"))
+            pictures.extend(attribute(x, "embed") for x in _shown(e) if local(x) == "blip")
+        elif name in ("sp", "cxnSp"):
             kind = attribute(child(e, "nvSpPr", "nvPr", "ph"), "type")
-            text = _paragraphs(e)
-            if text and kind not in ("sldNum", "dt", "ftr"):
-                (titles if kind in ("title", "ctrTitle") else rest).append(text)
+            if kind not in _APART:
+                pictures.append(attribute(child(e, "spPr", "blipFill", "blip"), "embed"))
+                (titles if kind in _TITLES else rest).append(_paragraphs(child(e, "txBody")))
         elif name == "graphicFrame":
-            for x in e.iter():
-                if local(x) == "tbl":
-                    rest.append(_pptx_table(x))
-                elif local(x) == "chart" and attribute(x, "id") in rels:
-                    rest.append(chart(parse(parts.get(rels[attribute(x, "id")][1]))))
-                elif local(x) == "relIds" and attribute(x, "dm") in rels:
-                    data = parse(parts.get(rels[attribute(x, "dm")][1]))
-                    rest.append(_paragraphs(data) if data is not None else "")
-
-    for e in tree if tree is not None else []:
+            rest.append(frame(e))
+
+    tree = child(parse(parts[part]), "cSld", "spTree")
+    for e in _unwrapped(tree) if tree is not None else ():
         shape(e, 0)
-    for kind, target in rels.values():
-        if kind == "notesSlide" and target in parts:
-            notes = [sp for sp in parse(parts[target]).iter() if local(sp) == "sp" and attribute(child(sp, "nvSpPr", "nvPr", "ph"), "type") == "body"]
-            text = "\n".join(filter(None, map(_paragraphs, notes)))
-            if text:
-                rest.append("\n".join("> " + line for line in text.split("\n")))
-    return "\n\n".join(x for x in [*titles, *rest] if x.strip()), (titles[0] if titles else None), [rels[r][1] for r in pictures if r in rels]
+    notes = parse(parts.get(next((target for _, target in rels.values() if re.search(r"(?i)(^|/)notesSlides/[^/]+\.xml$", target)), "")))
+    bodies = [sp for sp in (walk(notes) if notes is not None else ()) if local(sp) == "sp" and attribute(child(sp, "nvSpPr", "nvPr", "ph"), "type") == "body"]
+    quoted = [f"> {line}" for sp in bodies for line in _paragraphs(child(sp, "txBody")).split("\n") if line]
+    titles = [t for t in titles if t]
+    text = "\n\n".join(x for x in [*titles, *rest, "\n".join(quoted)] if x)
+    return text, (titles[0].split("\n")[0].strip() if titles else None), [rels[r][1] for r in pictures if r in rels]
 
 
 def pptx(parts: dict[str, bytes]) -> Extracted:
+    """A slide is a unit, also one that is missing, so that the numbers of the others hold."""
     root, rels = parse(parts.get("ppt/presentation.xml")), relations(parts, "ppt/presentation.xml")
     if root is None:
         raise Damaged("no presentation")
     out, at = Extracted("pptx", "slide"), {}
-    for s in (e for e in root.iter() if local(e) == "sldId" and attribute(e, "id") is not None and e.attrib):
-        target = next((rels[v] for k, v in s.attrib.items() if k.endswith("}id") and v in rels), None)
-        if target:
-            text, title, pictures = _slide(parts, target[1])
-            out.pictures += [(len(out.units), path) for path in pictures]
-            at[s.attrib.get("id")] = len(out.units)
-            if title:
-                out.headings.append((1, title.split("\n")[0], len(out.units)))
-            out.units.append(text)
-    for s in (e for e in root.iter() if local(e) == "section"):
-        first = next((at[i.attrib["id"]] for i in s.iter() if local(i) == "sldId" and i.attrib.get("id") in at), None)
+    order = [e for e in walk(root) if local(e) == "sldId" and any(k.endswith("}id") for k in e.attrib)]
+    if len(order) > MAX_PAGES:
+        raise Damaged(f"{len(order)} slides, more than {MAX_PAGES}")
+    for s in order:
+        target = next((rels[v][1] for k, v in s.attrib.items() if k.endswith("}id") and v in rels), None)
+        text, title, pictures = _slide(parts, target) if target in parts else ("", None, [])
+        at[s.attrib.get("id")] = len(out.units)
+        if title:
+            out.headings.append((1, title, len(out.units)))
+        out.pictures += [(len(out.units), path) for path in pictures]
+        out.units.append(text)
+    for s in (e for e in walk(root) if local(e) == "section"):
+        first = next((at[i.attrib["id"]] for i in walk(s) if local(i) == "sldId" and i.attrib.get("id") in at), None)
         if first is not None:
             out.sections.append((attribute(s, "name") or "", first))
     return out
@@ -399,6 +458,8 @@ def extracted(files: DataFrame, images: bool = True) -> DataFrame:
                     made = opener(content) if opener else None
                     error = None if made else "unsupported format"
                     pictures, more = collected(made.pictures, made.load) if made and images else ([], False)
+                    if made and not pictures and not any(map(str.strip, made.units)):
+                        raise Damaged("no text")
                 except (ElementTree.ParseError, struct.error, zlib.error, LookupError, ValueError, RecursionError) as e:  # Damaged is a ValueError
                     made, error = None, f"{type(e).__name__}: {e}"
                 heads = [{"level": a, "title": b, "unit": c} for a, b, c in made.headings] if made else None

@@ -69,7 +69,7 @@ def test_docx_symbols_styles_breaks_and_boxes():
 
 
 def test_pptx():
-    shape = lambda kind, text: f'<p:sp><p:nvSpPr><p:nvPr><p:ph type="{kind}"/></p:nvPr></p:nvSpPr><a:p><a:r><a:t>{text}</a:t></a:r></a:p></p:sp>'
+    shape = lambda kind, text: f'<p:sp><p:nvSpPr><p:nvPr><p:ph type="{kind}"/></p:nvPr></p:nvSpPr><p:txBody><a:p><a:r><a:t>{text}</a:t></a:r></a:p></p:txBody></p:sp>'
     slide = lambda *s: f'<p:sld xmlns:p="p" xmlns:a="a"><p:cSld><p:spTree>{"".join(s)}</p:spTree></p:cSld></p:sld>'
     rel = lambda *r: "<Relationships>" + "".join(f'<Relationship Id="{i}" Type="x/{t}" Target="{p}"/>' for i, t, p in r) + "</Relationships>"
     parts = {
@@ -87,6 +87,45 @@ def test_pptx():
 HWPX_HEADER = '<x xmlns:h="h"><h:paraPr id="1"><h:heading type="OUTLINE" level="0"/></h:paraPr></x>'
 
 
+def xml(text):
+    return X.parse(text.encode())
+
+
+def test_charts():
+    cache = lambda name, values: f'<{name}><ref><cache><ptCount val="{len(values)}"/>' + "".join(f'<pt idx="{i}"><v>{v}</v></pt>' for i, v in enumerate(values) if v is not None) + f"</cache></ref></{name}>"
+    ser = lambda name, cats, vals, x="cat", y="val": f"<ser>{name}{cache(x, cats)}{cache(y, vals)}</ser>"
+    axis = "<valAx><title><tx><rich><p><r><t>axis</t></r></p></rich></tx></title></valAx>"
+    title = "<title><tx><rich><p><r><t>Sales</t></r></p></rich></tx></title>"
+    one = xml(f'<cs><chart>{title}<plot>{ser("<tx><v>lit</v></tx>", ["a", "b|"], [1, None, 3])}{ser(cache("tx", ["ref"]), ["a"], [5], "xVal", "yVal")}{axis}</plot></chart></cs>')
+    assert X.chart(one) == "Sales\n\n|  | a | b\\| |  |\n| --- | --- | --- | --- |\n| lit | 1 |  | 3 |\n| ref | 5 |  |  |"
+    many = xml(f'<cs><chart>{axis}<plot>{"".join(ser("", list(range(60)), list(range(60))) for _ in range(21))}</plot></chart></cs>')
+    lines = X.chart(many).split("\n")
+    assert lines[0].count("|") == 52 and len(lines) == 24 and lines[-1] == "… (항목 categories 50/60 · 계열 series 20/21)"
+    level = lambda *pts: "<lvl>" + "".join(f'<pt idx="{i}"><v>{v}</v></pt>' for i, v in pts) + "</lvl>"
+    levels = f'<cat><multiLvlStrCache><ptCount val="4"/>{level((0, "Q1"), (1, "Q2"), (2, "Q1"), (3, "Q2"))}{level((0, "Y1"), (2, "Y2"))}</multiLvlStrCache></cat>'
+    assert X.chart(xml(f"<cs><ser>{levels}</ser></cs>")).startswith("|  | Y1 Q1 | Q2 | Y2 Q1 | Q2 |")
+    assert X.chart(None) == "" and X.chart(xml("<cs/>")) == ""
+
+
+def test_smart_art_and_slide_tables():
+    t = lambda *ps: "<t>" + "".join(f"<p><r><t>{p}</t></r></p>" for p in ps) + "</t>"
+    data = xml(f'<d><pt type="doc">{t("no")}</pt><pt>{t("A", " ", "B ")}</pt><pt type="asst">{t("C")}</pt><pt type="node"/><pt type="parTrans">{t("no")}</pt></d>')
+    assert X.smart_art(data) == "- A B\n- C" and X.smart_art(None) == ""
+    c = lambda text, mark="": f"<tc {mark}><txBody><p><r><t>{text}</t></r><fld type='slidenum'><t>7</t></fld></p></txBody></tc>"
+    table = xml(f'<tbl><tblGrid><gridCol/><gridCol/><gridCol/></tblGrid><tr>{c("a")}{c("b")}</tr><tr><tc vMerge="1"/>{c("x", chr(104) + "Merge=" + chr(34) + "true" + chr(34))}{c("d")}</tr></tbl>')
+    assert X._pptx_table(table) == "| a | b |  |\n| --- | --- | --- |\n| a |  | d |"
+
+
+def test_missing_and_empty_slides(spark):
+    rel = '<Relationships><Relationship Id="r1" Type="x/slide" Target="slides/slide1.xml"/></Relationships>'
+    deep = lambda n: "<p:grpSp>" * n + '<p:sp><p:txBody><a:p><a:r><a:t>deep</a:t></a:r></a:p></p:txBody></p:sp>' + "</p:grpSp>" * n
+    deck = lambda ids, inner: zipped({"ppt/presentation.xml": f'<p:presentation xmlns:p="p" xmlns:r="r"><p:sldIdLst>{ids}</p:sldIdLst></p:presentation>', "ppt/_rels/presentation.xml.rels": rel, "ppt/slides/slide1.xml": f'<p:sld xmlns:p="p" xmlns:a="a"><p:cSld><p:spTree>{inner}</p:spTree></p:cSld></p:sld>'})
+    ids = '<p:sldId id="1" r:id="r9"/><p:sldId id="2" r:id="r1"/>'
+    files = [("a", deck(ids, deep(40))), ("b", deck(ids, "")), ("c", deck(ids * 251, deep(1)))]
+    got = {r["path"]: r["units"] or r["error"] for r in X.extracted(spark.createDataFrame(files, "path string, content binary")).collect()}
+    assert got == {"a": ["", "deep"], "b": "Damaged: no text", "c": "Damaged: 502 slides, more than 500"}
+
+
 def test_hwpx():
     section = '<h:sec xmlns:h="h"><h:p paraPrIDRef="1"><h:run><h:t>개요</h:t></h:run></h:p><h:p pageBreak="1"><h:run><h:t>본문</h:t><h:equation><h:script>x over  y</h:script></h:equation><h:t>이다</h:t></h:run></h:p></h:sec>'
     d = X.hwpx(unzip(zipped({"Contents/section0.xml": section, "Contents/header.xml": HWPX_HEADER})))
@@ -284,7 +323,7 @@ def test_pictures_of_each_format(spark):
     document = f'<w:document {W} xmlns:a="a" xmlns:r="r"><w:body><w:p><w:r><w:t>one</w:t><w:br w:type="page"/><w:t>two</w:t></w:r>{blip("a")}</w:p><w:tbl><w:tr><w:tc><w:p>{blip("b")}</w:p></w:tc></w:tr></w:tbl><w:p>{blip("a")}{blip("none")}</w:p></w:body></w:document>'
     docx = zipped({"word/document.xml": document, "word/_rels/document.xml.rels": rel(("a", "image", "media/1.png"), ("b", "image", "media/2.jpg")), "word/media/1.png": png(60, 61), "word/media/2.jpg": jpeg(70, 71)})
 
-    slide = '<p:sld xmlns:p="p" xmlns:a="a" xmlns:r="r"><p:cSld><p:spTree><p:sp><p:spPr><a:blipFill><a:blip r:embed="f"/></a:blipFill></p:spPr><a:p><a:r><a:t>x</a:t></a:r></a:p></p:sp><p:grpSp><p:pic><a:blip r:embed="g"/></p:pic></p:grpSp></p:spTree></p:cSld></p:sld>'
+    slide = '<p:sld xmlns:p="p" xmlns:a="a" xmlns:r="r"><p:cSld><p:spTree><p:sp><p:spPr><a:blipFill><a:blip r:embed="f"/></a:blipFill></p:spPr><p:txBody><a:p><a:r><a:t>x</a:t></a:r></a:p></p:txBody></p:sp><p:grpSp><p:pic><a:blip r:embed="g"/></p:pic></p:grpSp></p:spTree></p:cSld></p:sld>'
     pptx = zipped({
         "ppt/presentation.xml": '<p:presentation xmlns:p="p" xmlns:r="r"><p:sldIdLst><p:sldId id="256" r:id="r1"/></p:sldIdLst></p:presentation>',
         "ppt/_rels/presentation.xml.rels": rel(("r1", "slide", "slides/slide1.xml")), "ppt/slides/slide1.xml": slide,
