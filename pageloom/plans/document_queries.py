@@ -10,6 +10,7 @@ from pageloom.operators import chunk as C
 from pageloom.operators import layout as L
 from pageloom.operators import summary as S
 from pageloom.plans.registry import query, table
+from pageloom.plans.text_queries import BARE, SANITIZED
 from pageloom.sources import formats
 from pageloom.streaming import requests as R
 
@@ -174,7 +175,21 @@ def members(spark, d):
     return paged(spark, d).select(F.floor(k / 12).alias("collection_id"), (k % 12).alias("pos"), F.concat("source", F.lit(".pdf")).alias("file_name"), F.when(k % 3 == 0, F.concat(F.left("text", F.lit(3500)), F.lit(" [p.2]"))).alias("summary"), F.when(k % 3 == 1, F.col("pages")).alias("page_texts"), "text")
 
 
-@query("c19_w8_collection_blocks")
+_CUT = "regexp_replace({0}, '\\[[^\\]\\n]{{0,130}}$', '')"
+# members in order, each taking its part of 12,000 characters
+_MEMBER_BLOCKS = rf"""{_LABELLED},
+    m AS (SELECT doc_id // 12 AS c, doc_id % 12 AS pos, source || '.pdf' AS file, CASE doc_id % 3 WHEN 0 THEN left(left(text, 3500) || ' [p.2]', 3000) WHEN 1 THEN left(coalesce(t.t, text), 1500) ELSE left(text, 1500) END AS raw,
+          CASE doc_id % 3 WHEN 0 THEN text IS NOT NULL WHEN 1 THEN t.t IS NOT NULL ELSE FALSE END AS citable, row_number() OVER (PARTITION BY doc_id // 12 ORDER BY doc_id) AS i FROM documents LEFT JOIN t USING (doc_id)),
+    f AS (SELECT DISTINCT c, 0::BIGINT AS i, 12000::BIGINT AS rest, NULL::BIGINT AS pos, NULL::VARCHAR AS file, NULL::VARCHAR AS content, NULL::BOOLEAN AS citable FROM m UNION ALL
+          SELECT c, i, CASE WHEN taken THEN rest - length(k) ELSE rest END, pos, file, CASE WHEN taken THEN k END, citable FROM (
+              SELECT *, rest >= 200 AND regexp_matches(raw, '\S') AND regexp_matches(k, '\S') AS taken FROM (
+                  SELECT *, CASE WHEN length(named) > rest THEN {_CUT.format("left(named, rest)")} ELSE named END AS k FROM (
+                      SELECT m.c, m.i, f.rest, m.pos, m.file, coalesce(m.raw, '') AS raw, m.citable, regexp_replace({_CUT.format("left(coalesce(m.raw, ''), f.rest)")}, '{BARE}', '[' || m.file || ' p.\1]', 'g') AS named
+                      FROM f JOIN m ON m.c = f.c AND m.i = f.i + 1 WHERE m.i <= 10)))),
+    b AS (SELECT c AS collection_id, pos, file AS file_name, content, citable AS page_citable FROM f WHERE content IS NOT NULL)"""
+
+
+@query("c19_w8_collection_blocks", f"WITH RECURSIVE {_MEMBER_BLOCKS} SELECT * FROM b")
 def c19(spark, d):
     return S.collection_blocks(members(spark, d))
 
@@ -191,7 +206,12 @@ def w8(spark, d):
     return S.collection_blocks(plain, 5000).select("collection_id", "pos", F.char_length("content").cast("long").alias("chars"))
 
 
-@query("c19_collection_prompt")
+@query(
+    "c19_collection_prompt",
+    rf"""WITH RECURSIVE {_MEMBER_BLOCKS}
+    SELECT collection_id, {_quoted(S.COMPARISON)} || chr(10) || chr(10) || string_agg('## ' || file_name || CASE WHEN page_citable THEN '' ELSE chr(10) || replace({_quoted(S.NO_PAGES)}, '{{name}}', file_name) END || chr(10) ||
+        regexp_replace({SANITIZED.format("content")}, '(?m)^(\s*)(#{{1,6}})', '\1\\\2', 'g'), chr(10) || chr(10) ORDER BY pos) AS prompt FROM b GROUP BY 1""",
+)
 def c19b(spark, d):
     return S.collection_prompt(S.collection_blocks(members(spark, d)), comparison=True)
 

@@ -14,6 +14,7 @@ BARE = r"(?i)\[p\.\s*(\d+)(?:\s*\|\s*[^\]\n]{0,200})?\s*\]"
 #: A document's text with citations put in: bare, named, with a quotation, page 0 and one cut off at the end.
 CITED = """concat('Intro [p.', cast(doc_id % 90 as string), '] ', substring(text, 1, 200), ' [', source, '.pdf p. ', cast(doc_id % 7 as string), '] and [P.', cast(doc_id as string), ' | a quote]. ', substring(text, 201), ' [p.12')"""
 CITED_SQL = """concat('Intro [p.', CAST(doc_id % 90 AS VARCHAR), '] ', substring(text, 1, 200), ' [', source, '.pdf p. ', CAST(doc_id % 7 AS VARCHAR), '] and [P.', CAST(doc_id AS VARCHAR), ' | a quote]. ', substring(text, 201), ' [p.12')"""
+SANITIZED = r"regexp_replace(regexp_replace({0}, '(?m)^\s*---\s*$', '\\-\\-\\-', 'g'), '(?m)^\s*\[질문\]', '\\[질문\\]', 'g')"
 _TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
 
@@ -106,7 +107,7 @@ def f12(spark, d):
 
 @query(
     "f4_sanitize_prompt",
-    r"""SELECT doc_id, regexp_replace(regexp_replace(t, '(?m)^\s*---\s*$', '\\-\\-\\-', 'g'), '(?m)^\s*\[질문\]', '\\[질문\\]', 'g') AS safe
+    rf"""SELECT doc_id, {SANITIZED.format("t")} AS safe
         FROM (SELECT doc_id, concat(substring(text, 1, 50), chr(10), ' ---', chr(10), 'a --- b', chr(10), '[질문] x', chr(10), substring(text, 51)) AS t FROM documents)""",
 )
 def f4(spark, d):
