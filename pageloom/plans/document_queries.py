@@ -62,7 +62,7 @@ def _cpt_sql(t: str) -> str:
     return f"greatest(1.5::DOUBLE, 4 - 2.5::DOUBLE * len(regexp_extract_all({sample}, {cjk})) / greatest(length({sample}), 1))"
 
 
-def _chunks_sql(tokens: int) -> str:
+def chunks_sql(tokens: int) -> str:
     """Rows doc_id, k, c: whole paragraphs while they fit, each chunk over the limit cut at it."""
     return rf"""z AS (SELECT doc_id, t, greatest(100, CAST(floor({tokens} * {_cpt_sql("t")}) AS BIGINT)) AS most FROM t),
     n AS (SELECT v.doc_id, v.i, length(v.t) AS n, most FROM v JOIN z ON z.doc_id = v.doc_id),
@@ -104,7 +104,7 @@ _C15_BUDGET = f"CAST(floor(200 * {_cpt_sql('joined')}) AS BIGINT)"
 
 @query(
     "c15_full_summary",
-    f"""WITH RECURSIVE {_LABELLED}, {_chunks_sql(200)}, m AS (SELECT doc_id, k, {_LEAD.format("c")} AS s FROM c), {_fair_sql(_C15_BUDGET, S.INTEGRATION["en"][2])}
+    f"""WITH RECURSIVE {_LABELLED}, {chunks_sql(200)}, m AS (SELECT doc_id, k, {_LEAD.format("c")} AS s FROM c), {_fair_sql(_C15_BUDGET, S.INTEGRATION["en"][2])}
     SELECT doc_id, n AS n_chunks, partial, {_whole_sql(S.INTEGRATION["en"][1], "en")} AS summary FROM g2""",
 )
 def c15b(spark, d):
@@ -129,7 +129,7 @@ _CHAPTERS = r"""p AS (SELECT doc_id, unnest(generate_series(1, len(l))) AS page,
 
 @query(
     "c16_chapter_summary",
-    f"""WITH RECURSIVE {_CHAPTERS}, {_chunks_sql(4000)},
+    f"""WITH RECURSIVE {_CHAPTERS}, {chunks_sql(4000)},
     m AS (SELECT doc_id // 100000 AS doc_id, doc_id % 100000 AS ch, string_agg({_LEAD.format("c")}, chr(10) || chr(10) ORDER BY k) AS body FROM c GROUP BY ALL),
     d AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents)
     SELECT doc_id, coalesce(string_agg('## Pages ' || (ch * 10 + 1) || '-' || least(ch * 10 + 10, n) || chr(10) || chr(10) || body, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY ch) FILTER (regexp_matches(body, '\\S')), '') AS summary
@@ -150,7 +150,7 @@ def c17(spark, d):
 
 @query(
     "c17_custom_chunked",
-    f"""WITH RECURSIVE {_LABELLED}, {_chunks_sql(100)}, m AS (SELECT doc_id, k, {_LEAD.format("'List the dates' || chr(10) || chr(10) || c")} AS s FROM c), {_fair_sql(_C15_BUDGET.replace("200", "100"), S.INTEGRATION["ja"][2])}
+    f"""WITH RECURSIVE {_LABELLED}, {chunks_sql(100)}, m AS (SELECT doc_id, k, {_LEAD.format("'List the dates' || chr(10) || chr(10) || c")} AS s FROM c), {_fair_sql(_C15_BUDGET.replace("200", "100"), S.INTEGRATION["ja"][2])}
     SELECT doc_id, FALSE AS cut, {_whole_sql("List the dates", "ja")} AS summary FROM g2""",
 )
 def c17b(spark, d):

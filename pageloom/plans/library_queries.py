@@ -12,6 +12,7 @@ from pageloom.functions import text as T
 from pageloom.operators import chunk as C
 from pageloom.operators import qa, search, store
 from pageloom.operators import vectors as V
+from pageloom.plans.document_queries import chunks_sql
 from pageloom.plans.registry import query, table
 
 
@@ -343,10 +344,18 @@ def c8(spark, d):
     return df.select("doc_id", F.char_length("context").cast("long").alias("n"), F.sha2("context", 256).alias("hash"))
 
 
-@query("c7_rag_context")
+# 1,200 characters, so that some of the best passages do not fit and later ones still may
+@query(
+    "c7_rag_context",
+    f"""WITH RECURSIVE {_V}, h AS (SELECT doc_hash, idx, row_number() OVER (PARTITION BY doc_hash ORDER BY score DESC, idx) AS n FROM c WHERE score >= 0.1 QUALIFY n <= 5),
+    s AS (SELECT doc_hash, idx, n, '[p.' || (idx % 5 + 1) || ']' || chr(10) || substring('chunk ' || idx || repeat(' word', CAST(idx % 90 AS INT)), CAST(idx % 4 AS INT) + 1) AS segment FROM h),
+    f AS (SELECT DISTINCT doc_hash, 0::BIGINT AS n, 0::BIGINT AS used, NULL::BIGINT AS idx, NULL::VARCHAR AS segment FROM s UNION ALL
+          SELECT s.doc_hash, s.n, CASE WHEN used + length(s.segment) <= 1200 THEN used + length(s.segment) ELSE used END, s.idx, CASE WHEN used + length(s.segment) <= 1200 THEN s.segment END FROM f JOIN s ON s.doc_hash = f.doc_hash AND s.n = f.n + 1)
+    SELECT doc_hash, coalesce(string_agg(segment, chr(10) || chr(10) ORDER BY idx), '') AS context, count(segment) AS kept FROM f GROUP BY 1""",
+)
 def c7(spark, d):
     hits = V.top_k(V.scored(chunks(spark, d), first_vector(spark, d)).where("score >= 0.1"), ["doc_hash"], 5, [F.desc("score"), F.col("idx")])
-    return qa.context(hits, ["doc_hash"], T.labeled_segment(F.col("text"), T.page_label(F.col("page_start")), F.col("body_offset")))
+    return qa.context(hits, ["doc_hash"], T.labeled_segment(F.col("text"), T.page_label(F.col("page_start")), F.col("body_offset")), 1200)
 
 
 @query("c14_refine_fallback", "SELECT item_id, CASE item_id % 3 WHEN 0 THEN text WHEN 1 THEN text ELSE 'better' END AS answer FROM benchmark")
@@ -571,7 +580,14 @@ def c2(spark, d):
     return C.overlap_chunks_of(lined(spark, d), "doc_id", "page_texts", 120)
 
 
-@query("c3_chunk_chapters")
+# a chapter is ten lines here; document and chapter are one number while its lines are packed
+@query(
+    "c3_chunk_chapters",
+    f"""WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), r AS (SELECT doc_id, l, unnest(generate_series(0, (len(l) - 1) // 10)) AS i FROM l),
+    t AS (SELECT doc_id * 1000000 + i + 1 AS doc_id, array_to_string(l[i * 10 + 1:(i + 1) * 10], chr(10) || chr(10)) AS t FROM r),
+    v AS (SELECT doc_id, unnest(generate_series(1, len(p))) AS i, unnest(p) AS t FROM (SELECT doc_id, string_split(t, chr(10) || chr(10)) AS p FROM t)), {chunks_sql(200)}
+    SELECT doc_id // 1000000 AS doc_id, CAST(doc_id % 1000000 AS INT) AS index, CAST(k - 1 AS INT) AS i, c AS chunk FROM c""",
+)
 def c3(spark, d):
     df = lined(spark, d).withColumn("s", C.chapter_starts(F.col("page_texts")))
     df = df.select("doc_id", F.explode(C.with_text(C.detect_chapters(F.col("page_texts"), F.col("s")), F.col("page_texts"))).alias("c"))
