@@ -132,8 +132,11 @@ def keywords(question: Column) -> Column:
 
 
 def keyword_count(lower_text: Column, keyword: Column) -> Column:
-    """ASCII keywords count as whole words, all others as substrings."""
-    whole = F.size(F.regexp_extract_all(lower_text, F.concat(F.lit(r"\b"), keyword, F.lit(r"\b")), F.lit(0)))
+    """ASCII keywords count as whole words, all others as substrings.
+
+    Only ASCII letters, digits and the underscore make a word here; what \\b takes for one depends on Java's version.
+    """
+    whole = F.size(F.regexp_extract_all(lower_text, F.concat(F.lit("(?<![A-Za-z0-9_])"), keyword, F.lit("(?![A-Za-z0-9_])")), F.lit(0)))
     return F.when(keyword.rlike("^[a-z0-9]+$"), whole.cast("long")).otherwise(occurrences(lower_text, keyword))
 
 

