@@ -26,6 +26,8 @@ CREDENTIALS = (
     (r"\bAIza[A-Za-z0-9_\-]{30,}\b", "AIza[REDACTED]"),
 )
 ENTITY = "&(#x[0-9a-fA-F]+|#[0-9]+|lt|gt|quot|apos|amp);"
+#: An edge of a word of ASCII letters, digits and underscores; what Java takes for \b depends on its version.
+EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 PRIVATE_USE = r"[\x{E000}-\x{F8FF}\x{F0000}-\x{10FFFF}]"
 
 
@@ -62,7 +64,7 @@ def xml_text(c: Column) -> Column:
 
 def _replaced(c: Column, rules: tuple[tuple[str, str], ...]) -> Column:
     for pattern, shown in rules:
-        c = F.regexp_replace(c, pattern, shown)
+        c = F.regexp_replace(c, pattern.replace(r"\b", EDGE), shown)
     return c
 
 

@@ -154,3 +154,13 @@ def test_nulls(spark):
     for f in (T.keywords, T.sentences, T.parse_citations, T.normalize_placement, T.chars_per_token, T.token_estimate, T.strip_conversational, T.semantic_snippet):
         one(spark, None, f)
     assert one(spark, None, C.chunk_text) == []
+
+
+def test_word_bounds_are_ascii(spark):
+    from pageloom.functions import sanitize
+
+    text = spark.createDataFrame([("étion tion_ tion. xtion 본tion",)], "t string")
+    assert text.select(T.keyword_score(F.col("t"), F.array(F.lit("tion")))).first()[0] == 3
+    key = "sk-" + "a1" * 12
+    errors = spark.createDataFrame([(f"clé{key} x{key} 키{key}-é",)], "t string")
+    assert errors.select(sanitize.error_body(F.col("t"))).first()[0] == f"clésk-[REDACTED] x{key} 키sk-[REDACTED]-é"
