@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,42 @@ def test_best_scores_work_through_queries_in_blocks(spark):
     assert V.best_scores(queries.limit(0), queries, "idx").count() == 0
 
 
+def test_best_scores_embed_each_chunk_once(spark, tmp_path):
+    log = str(tmp_path / "embedded")
+
+    class Noted(V.HashingEmbedder):
+        def embed(self, texts):
+            with open(log, "a") as f:
+                f.write("".join(t + "\n" for t in texts))
+            return super().embed(texts)
+
+    chunks = V.embedded(spark.createDataFrame([(f"chunk {i}",) for i in range(20)], "text string"), Noted())
+    queries = V.embedded(spark.createDataFrame([(i, f"chunk {i}") for i in range(9)], "idx int, text string"), V.HashingEmbedder())
+    got = {r["idx"]: r["max_score"] for r in V.best_scores(queries, chunks, "idx", block=2).collect()}
+    assert len(got) == 9 and all(abs(x - 1) < 1e-6 for x in got.values())
+    with open(log) as f:
+        assert sorted(f.read().split("\n")[:-1]) == sorted(f"chunk {i}" for i in range(20))
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+@pytest.mark.parametrize("block", [7, 1000])
+def test_best_scores_are_exact(spark, kind, block):
+    rng = np.random.default_rng(5)
+    unit = lambda n: [v / np.linalg.norm(v) for v in rng.integers(-2, 3, (n, 16)) + rng.choice([0.0, 1e-7], (n, 16)) + 0.01]
+    some, many = unit(30), unit(1500)
+    # copies, and vectors that single precision cannot tell apart
+    many += [q * (1 - k * 1e-8) for q in some[:10] for k in range(3)] + many[:50]
+    frame = lambda vs: spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vs)], f"idx int, embedding array<{kind}>")
+    queries, chunks = frame(some + some[:5]), frame(many + [[1.0] * 8]).union(frame([[]]).withColumn("embedding", F.lit(None).cast(f"array<{kind}>")))
+    pairs = queries.crossJoin(chunks.where("size(embedding) = 16").select(F.col("embedding").alias("c")))
+    want = {r["idx"]: r["x"] for r in pairs.groupBy("idx").agg(F.max(V.dot(F.col("embedding"), F.col("c"))).alias("x")).collect()}
+    got = {r["idx"]: r["max_score"] for r in V.best_scores(queries, chunks, "idx", block).collect()}
+    assert len(want) == 35 and got == want
+    assert V.best_scores(queries, frame([[1.0] * 8]), "idx", block).count() == 0
+    big = V.best_scores(queries, frame([[1e30] * 16]), "idx", block).collect()
+    assert {r["max_score"] for r in big} <= {0.0, 1.0}
+
+
 def test_vector_search(spark):
     df = vectors(spark, [1, 0, 0], [0.7, 0.7, 0], [0, 1, 0]).withColumn("embedding", V.normalized(F.col("embedding")))
     got = V.search(df, [1.0, 0.0, 0.0], 5, 0.0).collect()
