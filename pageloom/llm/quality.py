@@ -23,6 +23,7 @@ STOP_WORDS = (
     "der die das und den von zu mit sich auf ein eine nicht dem für ist im des es "
     "el los las y que del se por con una su para al lo como más"
 ).split()
+STOP_BYTES = max(len(w.encode()) for w in STOP_WORDS)
 
 
 @dataclass(frozen=True)
@@ -60,20 +61,36 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE_COUNTS = ("n_lines", "n_stop", "n_exclaims")
 
 
+def _is_stop_word(word: Column) -> Column:
+    """Only words short enough are lower-cased: no capital of the list's letters has fewer bytes than its small letter
+    or more, but for the Kelvin sign, whose k the list does not have."""
+    return (F.octet_length(word) <= STOP_BYTES) & F.lower(word).isin(*dict.fromkeys(STOP_WORDS))
+
+
 def _repeat_words(df: DataFrame) -> DataFrame:
     """Add n_repeat_words from the array column _words: words inside 3-word windows that occur twice or more.
 
     Windows are 64-bit hashes sorted beside their positions inside the row; equal neighbours repeat. The positions
-    of repeating windows, in order, each cover three words less what the next one covers.
+    of repeating windows, in order, each cover three words less what the next one covers. Lambdas are interpreted, and
+    a column of the row that they name is read anew for each word. So they get numbers from shifted arrays instead.
     """
-    window = lambda w, i: F.struct(F.xxhash64(w, F.get("_words", i + 1), F.get("_words", i + 2)).alias("h"), i.alias("i"))
-    same = lambda x, j: (x["h"] == F.get("_sorted", j - 1)["h"]) | (x["h"] == F.get("_sorted", j + 1)["h"])
-    step = lambda p, k: F.least(F.lit(3), F.coalesce(F.get("_at", k + 1) - p, F.lit(3)))
-    df = df.withColumn("_sorted", F.sort_array(F.slice(F.transform("_words", window), F.lit(1), F.greatest(F.size("_words") - 2, F.lit(0)))))
-    df = df.withColumn("_at", F.sort_array(F.transform(F.filter("_sorted", same), lambda x: x["i"])))
+    n = F.greatest(F.size("_words") - 2, F.lit(0))
+    part = lambda name, start, length: F.slice(F.col(name), F.lit(start), length)
+    mix = lambda x, y: F.xxhash64(x, y)
+    step = lambda p, q: F.least(F.lit(3), F.coalesce(q - p, F.lit(3)))
+    df = df.withColumn("_ids", F.transform("_words", lambda w: F.xxhash64(w)))
+    df = df.withColumn("_windows", F.zip_with(F.zip_with(part("_ids", 1, n), part("_ids", 2, n), mix), part("_ids", 3, n), mix))
+    places = F.transform("_windows", lambda _, i: i)
+    df = df.withColumn("_sorted", F.sort_array(F.arrays_zip(F.col("_windows").alias("h"), places.alias("i"))))
+    df = df.withColumn("_hashes", part("_sorted.h", 1, n)).withColumn("_places", part("_sorted.i", 1, n))
+    pairs = F.greatest(n - 1, F.lit(0))
+    df = df.withColumn("_same", F.zip_with(part("_hashes", 1, pairs), part("_hashes", 2, pairs), lambda x, y: x == y))
+    no = F.array(F.lit(False))
+    repeats = F.zip_with(F.concat(no, "_same"), F.concat("_same", no), lambda x, y: x | y)
+    df = df.withColumn("_at", F.sort_array(F.array_compact(F.zip_with("_places", repeats, lambda i, r: F.when(r, i)))))
     # the test, always true, keeps the optimizer from pasting the arrays into filters and into each other
     once = F.monotonically_increasing_id() >= 0
-    return df.withColumn("n_repeat_words", F.when(once, F.aggregate(F.transform("_at", step), F.lit(0), lambda a, x: a + x).cast("long")))
+    return df.withColumn("n_repeat_words", F.when(once, F.aggregate(F.zip_with("_at", part("_at", 2, F.size("_at")), step), F.lit(0), lambda a, x: a + x).cast("long")))
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -92,8 +109,8 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_exclaims": F.regexp_count(t, F.lit("!")).cast("long"),
         "n_lines": F.size("_lines").cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_stop": F.size(F.filter("_words", lambda w: F.lower(w).isin(*dict.fromkeys(STOP_WORDS)))).cast("long"),
-    }).drop("_words", "_lines", "_sorted", "_at")
+        "n_stop": F.size(F.filter("_words", _is_stop_word)).cast("long"),
+    }).drop("_words", "_lines", "_ids", "_windows", "_sorted", "_hashes", "_places", "_same", "_at")
 
 
 def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:

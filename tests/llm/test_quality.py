@@ -1,3 +1,6 @@
+import random
+import re
+
 from compare import oracle, rows
 from helpers import EDGES, docs, words
 
@@ -42,3 +45,19 @@ def test_rules_take_effect(spark):
     text = " ".join(f"the word{i} of line{i}" for i in range(60))
     df = docs(spark, [(1, text), (2, text.replace("word", "wo###rd")), (3, text.replace("the", "xx").replace(" of", " yy"))])
     assert [(r["doc_id"], r["kept"], r["failed_rules"]) for r in Q.quality(df).orderBy("doc_id").collect()] == [(1, True, []), (2, False, ["symbols"]), (3, False, ["stop words"])]
+
+
+def test_lambdas_leave_the_row_alone(spark):
+    # an array of the row that a lambda names is read anew, and a struct built anew, for each word: garbage by the word
+    plan = Q.quality(docs(spark, EDGES))._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"#\d+L?\[", plan)
+    assert "named_struct" not in plan
+
+
+def test_repeats_and_stop_words_of_random_texts(spark):
+    pick, some = random.Random(5), ["a", "b", "c", "THE", "Für", "FÜR", "MÁS", "más", "K", "İn", "nicht", "nichts"]
+    texts = [(k, " ".join(pick.choices(some[: pick.randint(1, len(some))], k=pick.randint(0, 60)))) for k in range(200)]
+    got = {r["doc_id"]: (r["n_repeat_words"], r["n_stop"]) for r in Q.quality(docs(spark, texts)).collect()}
+    assert got == {k: (repeats(t), sum(w.lower() in Q.STOP_WORDS for w in words(t))) for k, t in texts}
+    letters = set("".join(Q.STOP_WORDS))
+    assert all(len(chr(c).encode()) == len(chr(c).lower().encode()) for c in range(0xD800) if chr(c).lower() in letters)
